@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import col
 
@@ -42,23 +43,30 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return long
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str],
+def running_totals(df: DataFrame, keys: Sequence[str], order, weights: Sequence[str],
                    n_buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``weights`` in ``order`` within each key.
 
-    ``df`` must hold at most one row per ``(keys, order)`` (pre-aggregate first);
-    the output adds ``<w><suffix>`` for every weight.
+    ``order`` is a column name or a list of names (lexicographic); rows must be
+    unique per ``(keys, order)`` (pre-aggregate first). Buckets are cut on the
+    first order column, so equal leading values share a bucket and the
+    lexicographic order inside it stays exact. Adds ``<w><suffix>`` per weight.
     """
     keys = list(keys)
+    orders = [order] if isinstance(order, str) else list(order)
+    lead = F.col(orders[0])
+    if isinstance(df.schema[orders[0]].dataType, T.StringType):
+        # monotone numeric proxy of byte order: first 7 UTF-8 bytes as a big-endian integer
+        lead = F.conv(F.rpad(F.substring(F.hex(F.substring(lead, 1, 7)), 1, 14), 14, "0"), 16, 10) \
+            .cast("long")
     b = n_buckets or _default_buckets(df)
     probs = [i / b for i in range(1, b)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order), probs, 10000).alias("_bounds"))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(lead, probs, 10000).alias("_bounds"))
     # bounds has one row per key; Catalyst/AQE broadcasts it when it is small.
     tagged = (df.join(bounds, keys, "left") if keys else df.crossJoin(bounds)) \
-        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(order)))) \
+        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < lead))) \
         .drop("_bounds")
-    local_w = (Window.partitionBy(*keys, "_bucket").orderBy(order)
+    local_w = (Window.partitionBy(*keys, "_bucket").orderBy(*orders)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for w in weights:
         tagged = tagged.withColumn(f"_{w}_local", F.sum(w).over(local_w))
@@ -73,6 +81,21 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: Sequ
     return out.drop("_bucket", *[f"_{w}_local" for w in weights], *[f"_{w}_off" for w in weights])
 
 
+def row_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank",
+              n_buckets: int | None = None) -> DataFrame:
+    """1-based ``row_number`` within keys by a unique lexicographic order, without a hot task."""
+    ranked = running_totals(df.withColumn("_one", F.lit(1)), keys, list(order), ["_one"], n_buckets)
+    return ranked.withColumnRenamed("_one_cum", name).drop("_one")
+
+
+def dense_codes(df: DataFrame, column: str, code: str, n_buckets: int | None = None) -> DataFrame:
+    """0-based dense rank of each distinct value of ``column`` (code-point order), as a
+    ``(column, code)`` mapping built from the distinct values -- nothing goes to the driver."""
+    distinct = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    ranked = row_ranks(distinct, [], [column], "_r", n_buckets)
+    return ranked.select(column, (F.col("_r") - 1).cast("double").alias(code))
+
+
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy/pandas default, DuckDB ``quantile_cont``).

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 from . import sqlkit as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,3 +327,140 @@ def q_quality_score(spark, sf):
 def q_quality_score_documents(spark, sf):
     from ..operators.stats import quality_score
     return quality_score(_docs_labels(spark, sf), ["n_chars"])
+
+
+# ---------------------------------------------------------------------------
+# D: drift
+
+EVENTS_SPLIT = "2024-01-16"
+DRIFT_EVENT_COLS = ["value", "user_id", "event_id"]
+EV_REF_SQL = f"SELECT * FROM events WHERE ts < TIMESTAMP '{EVENTS_SPLIT}'"
+EV_CUR_SQL = f"SELECT * FROM events WHERE ts >= TIMESTAMP '{EVENTS_SPLIT}'"
+
+
+def _event_halves(spark, sf):
+    ev = table(spark, sf, "events")
+    cut = F.lit(EVENTS_SPLIT).cast("timestamp_ntz")
+    return ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
+
+
+@register("drift_report", S.drift_sql(EV_REF_SQL, EV_CUR_SQL, DRIFT_EVENT_COLS))
+def q_drift_report(spark, sf):
+    from ..operators.drift import drift
+    ref, cur = _event_halves(spark, sf)
+    return drift(ref, cur, DRIFT_EVENT_COLS)
+
+
+@register("drift_rollup", S.drift_rollup_sql(S.drift_sql(EV_REF_SQL, EV_CUR_SQL, DRIFT_EVENT_COLS),
+                                             len(DRIFT_EVENT_COLS)))
+def q_drift_rollup(spark, sf):
+    from ..operators.drift import drift, drift_rollup
+    ref, cur = _event_halves(spark, sf)
+    return drift_rollup(drift(ref, cur, DRIFT_EVENT_COLS), len(DRIFT_EVENT_COLS))
+
+
+@register("drift_by_segment", S.drift_sql(EV_REF_SQL, EV_CUR_SQL, ["value", "user_id"], ["event_type"]))
+def q_drift_by_segment(spark, sf):
+    """D-12 keyed by segment: one drift row per (event_type, feature)."""
+    from ..operators.drift import drift
+    ref, cur = _event_halves(spark, sf)
+    return drift(ref, cur, ["value", "user_id"], segments=["event_type"])
+
+
+LI_FEATURES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+               "l_returnflag", "l_linestatus"]
+LI_TARGET = "l_extendedprice"
+LI_KEY_SQL = "concat_ws('|', l_orderkey, l_linenumber)"
+
+
+def _lineitem_encoded_split_sql() -> str:
+    """lineitem: strings label-encoded over the table, medians imputed, exact 80/20 hash split."""
+    enc = ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS DOUBLE) AS {c}"
+                    for c in ["l_returnflag", "l_linestatus"])
+    nums = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LI_FEATURES if c not in ("l_returnflag", "l_linestatus"))
+    return f"""
+SELECT *, row_number() OVER (ORDER BY {S.split_hash('k')}, k) <= ceil(count(*) OVER () * 0.2) AS is_test
+FROM (SELECT {LI_KEY_SQL} AS k, {nums}, {enc} FROM lineitem)"""
+
+
+@register("drift_self_split", S.drift_sql(
+    f"SELECT * FROM ({_lineitem_encoded_split_sql()}) WHERE NOT is_test",
+    f"SELECT * FROM ({_lineitem_encoded_split_sql()}) WHERE is_test", LI_FEATURES))
+def q_drift_self_split(spark, sf):
+    """D-11: encode + impute (fitted on the table, as the reference does), split 80/20, compare."""
+    from ..operators.drift import drift
+    from ..operators.prep import hash_split, impute_median, label_encode
+    li = hash_split(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    x = label_encode(li, ["l_returnflag", "l_linestatus"])
+    split = materialize(impute_median(x.select("is_test", *LI_FEATURES), LI_FEATURES))
+    return drift(split.where(~F.col("is_test")), split.where(F.col("is_test")), LI_FEATURES)
+
+
+# ---------------------------------------------------------------------------
+# X: preprocessing
+
+ORDERS_KEY = "o_orderkey"
+
+
+@register("stratified_split", f"""
+SELECT o_orderstatus AS stratum, count(*) AS n_rows, count(*) FILTER (WHERE is_test) AS n_test,
+       CAST(sum({S.split_hash('o_orderkey')}) FILTER (WHERE is_test) AS BIGINT) AS test_hash_sum
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {S.split_hash('o_orderkey')},
+                                   CAST(o_orderkey AS VARCHAR))
+                <= ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS is_test FROM orders)
+GROUP BY o_orderstatus""")
+def q_stratified_split(spark, sf):
+    """X-8: exact per-class ceil(20 %) test rows chosen by md5 hash of the key."""
+    from ..functions.exprs import split_hash
+    from ..operators.prep import hash_split
+    o = table(spark, sf, "orders")
+    s = hash_split(o, [ORDERS_KEY], strata="o_orderstatus")
+    return s.groupBy(F.col("o_orderstatus").alias("stratum")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").alias("n_test"),
+        F.sum(F.when(F.col("is_test"), split_hash(F.col(ORDERS_KEY)))).cast("long").alias("test_hash_sum"))
+
+
+def _orders_prep_sql() -> str:
+    """orders, classification on o_orderstatus: codes/medians/scaling fitted on train."""
+    h = S.split_hash("k")
+    return f"""
+WITH b AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_custkey, o_totalprice, o_orderpriority,
+                  coalesce(o_orderstatus, 'nan') AS lab FROM orders),
+s AS (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY {h}, k)
+                <= ceil(count(*) OVER (PARTITION BY lab) * 0.2) AS is_test FROM b),
+pc AS (SELECT o_orderpriority AS v, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS code
+       FROM (SELECT DISTINCT coalesce(o_orderpriority, 'nan') AS o_orderpriority FROM s WHERE NOT is_test)),
+lc AS (SELECT lab AS v, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS DOUBLE) AS code
+       FROM (SELECT DISTINCT lab FROM s WHERE NOT is_test)),
+e AS (SELECT s.k, s.is_test, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice, pc.code AS o_orderpriority,
+             lc.code AS label
+      FROM s LEFT JOIN pc ON coalesce(s.o_orderpriority, 'nan') = pc.v LEFT JOIN lc ON s.lab = lc.v),
+md AS (SELECT quantile_cont(o_custkey, 0.5) AS m1, quantile_cont(o_totalprice, 0.5) AS m2,
+              quantile_cont(o_orderpriority, 0.5) AS m3 FROM e WHERE NOT is_test),
+i AS (SELECT k, is_test, coalesce(o_custkey, m1) AS o_custkey, coalesce(o_totalprice, m2) AS o_totalprice,
+             coalesce(o_orderpriority, m3) AS o_orderpriority, label FROM e, md),
+st AS (SELECT avg(o_custkey) AS a1, stddev_pop(o_custkey) AS d1, avg(o_totalprice) AS a2,
+              stddev_pop(o_totalprice) AS d2, avg(o_orderpriority) AS a3, stddev_pop(o_orderpriority) AS d3
+       FROM i WHERE NOT is_test)
+SELECT k AS _key, is_test,
+       {S.rnd('(o_custkey - a1) / CASE WHEN d1 = 0 THEN 1.0 ELSE d1 END', 6)} AS o_custkey,
+       {S.rnd('(o_totalprice - a2) / CASE WHEN d2 = 0 THEN 1.0 ELSE d2 END', 6)} AS o_totalprice,
+       {S.rnd('(o_orderpriority - a3) / CASE WHEN d3 = 0 THEN 1.0 ELSE d3 END', 6)} AS o_orderpriority,
+       label
+FROM i, st"""
+
+
+@register("prep_matrix", _orders_prep_sql())
+def q_prep_matrix(spark, sf):
+    """X-1 ... X-9 on orders (target o_orderstatus): stratified split, codes, medians and
+    scaling fitted on train, applied to both sides; one row per order."""
+    from ..functions.exprs import rnd
+    from ..operators.prep import prepare, standardize
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
+                                          "o_orderstatus")
+    prep = prepare(o, "o_orderstatus", "classification", ["o_orderkey"])
+    feats = prep["features"]
+    tr = standardize(prep["train"], feats, fit=prep["train"]).withColumn("is_test", F.lit(False))
+    te = standardize(prep["test"], feats, fit=prep["train"]).withColumn("is_test", F.lit(True))
+    both = tr.unionByName(te)
+    return both.select("_key", "is_test", *[rnd(F.col(c), 6).alias(c) for c in feats], "label")

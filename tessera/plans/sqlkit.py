@@ -67,3 +67,82 @@ def ks_pvalue_sql(d: str, n1: str, n2: str) -> str:
     series = (f"(SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})) "
               f"FROM range(1, 101) t(k))")
     return f"(CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(greatest(2.0 * {series}, 0.0), 1.0) END)"
+
+
+def drift_sql(ref: str, cur: str, cols: list[str], segs: list[str] = ()) -> str:
+    """SQL twin of ``operators.drift.drift`` (KS, PSI, JS, moments, vote, severity)."""
+    segs = list(segs)
+    sg = "".join(f"{s}, " for s in segs)
+    keys = ", ".join(segs + ["feature"])
+    u = union_all(
+        [f"SELECT {sg}'{c}' AS feature, CAST({c} AS DOUBLE) AS value, {side} AS side FROM ({src}) "
+         f"WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))"
+         for side, src in ((0, ref), (1, cur)) for c in cols])
+    probs = ", ".join(repr(i / 10) for i in range(11))
+    lo = "CASE WHEN lo_ = hi_ THEN lo_ - 0.5 ELSE lo_ END"
+    hi = "CASE WHEN lo_ = hi_ THEN hi_ + 0.5 ELSE hi_ END"
+    ksp = ks_pvalue_sql("ks_statistic", "n_train", "n_test")
+    return f"""
+WITH u AS ({u}),
+sz AS (SELECT {keys}, count(*) FILTER (WHERE side = 0) AS n_train, count(*) FILTER (WHERE side = 1) AS n_test,
+              avg(value) FILTER (WHERE side = 0) AS m0, avg(value) FILTER (WHERE side = 1) AS m1,
+              stddev_pop(value) FILTER (WHERE side = 0) AS s0, stddev_pop(value) FILTER (WHERE side = 1) AS s1,
+              min(value) AS lo_, max(value) AS hi_
+       FROM u GROUP BY {keys} HAVING n_train >= 5 AND n_test >= 5),
+v AS (SELECT u.*, sz.n_train, sz.n_test, {lo} AS lo, {hi} AS hi FROM u JOIN sz USING ({keys})),
+vc AS (SELECT {keys}, value, count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1,
+              any_value(n_train) AS n_train, any_value(n_test) AS n_test FROM v GROUP BY {keys}, value),
+cu AS (SELECT *, sum(c0) OVER w AS cc0, sum(c1) OVER w AS cc1 FROM vc
+       WINDOW w AS (PARTITION BY {keys} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ks AS (SELECT {keys}, max(abs(cc0 / n_train - cc1 / n_test)) AS ks_statistic FROM cu GROUP BY {keys}),
+ed AS (SELECT {keys}, list_sort(list_distinct(quantile_cont(value, [{probs}]))) AS edges
+       FROM v WHERE side = 0 GROUP BY {keys}),
+bn AS (SELECT {keys}, side, least(len(list_filter(edges, lambda e: e <= value)) - 1, len(edges) - 2) AS bin
+       FROM v JOIN ed USING ({keys})
+       WHERE len(edges) >= 3 AND value >= edges[1] AND value <= edges[len(edges)]),
+bc AS (SELECT {keys}, bin, count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1
+       FROM bn GROUP BY {keys}, bin),
+gr AS (SELECT {keys}, CAST(b.bin AS INTEGER) AS bin, len(edges) - 1 AS nb
+       FROM ed, range(0, 10) b(bin) WHERE len(edges) >= 3 AND b.bin < len(edges) - 1),
+pq AS (SELECT {keys}, (coalesce(c0, 0) + 1.0) / (n_train + nb) AS p, (coalesce(c1, 0) + 1.0) / (n_test + nb) AS q
+       FROM gr LEFT JOIN bc USING ({keys}, bin) JOIN sz USING ({keys})),
+ps AS (SELECT {keys}, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY {keys}),
+jb AS (SELECT {keys}, least(19, CAST(floor((value - lo) * 20 / (hi - lo)) AS INTEGER)) AS bin,
+              count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1
+       FROM v GROUP BY ALL),
+jg AS (SELECT {keys}, n_train, n_test, ({hi}) - ({lo}) AS rng, CAST(b.bin AS INTEGER) AS bin
+       FROM sz, range(0, 20) b(bin)),
+de AS (SELECT {keys}, coalesce(c0, 0) / (n_train * (rng / 20)) + 1e-10 AS p,
+              coalesce(c1, 0) / (n_test * (rng / 20)) + 1e-10 AS q
+       FROM jg LEFT JOIN jb USING ({keys}, bin)),
+nm AS (SELECT {keys}, p / sum(p) OVER (PARTITION BY {keys}) AS p, q / sum(q) OVER (PARTITION BY {keys}) AS q FROM de),
+js AS (SELECT {keys}, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js
+       FROM nm GROUP BY {keys}),
+r0 AS (SELECT sz.*, ks.ks_statistic, coalesce(ps.psi, 0.0) AS psi, js.js
+       FROM sz JOIN ks USING ({keys}) LEFT JOIN ps USING ({keys}) JOIN js USING ({keys})),
+r1 AS (SELECT *, {ksp} AS ks_pvalue FROM r0),
+r2 AS (SELECT *, (CAST(ks_pvalue < 0.05 AS INTEGER) + CAST(psi > 0.1 AS INTEGER) + CAST(js > 0.05 AS INTEGER)) >= 2
+                 AS drift_detected FROM r1)
+SELECT {keys}, n_train, n_test, drift_detected,
+       CASE WHEN drift_detected AND (ks_pvalue < 0.01 OR psi > 0.25) THEN 'critical'
+            WHEN drift_detected THEN 'warning' ELSE 'none' END AS severity,
+       {rnd('ks_statistic')} AS ks_statistic, {rnd('ks_pvalue', 6)} AS ks_pvalue, {rnd('psi')} AS psi,
+       {rnd('js')} AS js_distance, {rnd('m0')} AS train_mean, {rnd('m1')} AS test_mean,
+       {rnd('s0')} AS train_std, {rnd('s1')} AS test_std
+FROM r2"""
+
+
+def drift_rollup_sql(report_sql: str, total: int) -> str:
+    return f"""
+WITH rep AS ({report_sql}),
+a AS (SELECT count(*) FILTER (WHERE drift_detected) AS features_drifted,
+             count(*) FILTER (WHERE severity = 'critical') AS critical_count FROM rep),
+b AS (SELECT *, CASE WHEN critical_count > 0 OR features_drifted / {max(total, 1)} > 0.3 THEN 'critical'
+                     WHEN features_drifted > 0 THEN 'warning' ELSE 'none' END AS drift_severity FROM a)
+SELECT features_drifted > 0 AS overall_drift_detected, drift_severity, features_drifted, critical_count,
+       CAST({total} AS BIGINT) AS total_features,
+       CASE WHEN drift_severity = 'none' THEN 'No significant distribution drift detected between train and test sets. Model predictions should be reliable on this data split.'
+            WHEN drift_severity = 'warning' THEN CAST(features_drifted AS VARCHAR) || '/{total} features show distribution drift (KS test + PSI). Consider investigating these features — they may reduce model generalizability.'
+            ELSE '⚠ CRITICAL: ' || CAST(critical_count AS VARCHAR) || ' features show severe distribution shift. ' || CAST(features_drifted AS VARCHAR) || '/{total} features drifted total. Model performance on test data may be unreliable. Recommend re-sampling or stratified splitting.'
+       END AS summary
+FROM b"""

@@ -98,21 +98,21 @@ def main(argv):
         try:
             pdf = fn(spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
-            print(f"{name:32s} SPARK ERROR {type(e).__name__}: {str(e)[:400]}")
+            print(f"\n{name:32s} SPARK ERROR {type(e).__name__}: {str(e)[:400]}")
             failed.append(name)
             continue
         dt = time.time() - t
         if name not in sqls:
-            print(f"{name:32s} rows={len(pdf):6d} (no oracle) {dt:.1f}s")
+            print(f"\n{name:32s} rows={len(pdf):6d} (no oracle) {dt:.1f}s")
             continue
         try:
             dpdf = con.execute(sqls[name]).df()
         except Exception as e:  # noqa: BLE001
-            print(f"{name:32s} DUCKDB ERROR {str(e)[:400]}")
+            print(f"\n{name:32s} DUCKDB ERROR {str(e)[:400]}")
             failed.append(name)
             continue
         ok, msg = compare(pdf, dpdf)
-        print(f"{name:32s} rows={len(pdf):6d} {'OK ' if ok else 'BAD'} {msg[:300]} {dt:.1f}s")
+        print(f"\n{name:32s} rows={len(pdf):6d} {'OK ' if ok else 'BAD'} {msg[:300]} {dt:.1f}s")
         if not ok:
             failed.append(name)
     print("FAILED:", failed)
