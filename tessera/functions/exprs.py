@@ -89,9 +89,13 @@ def split_hash(key: Column, seed: int = 42) -> Column:
 
 
 def parses_as_datetime(c: Column) -> Column:
-    """True when a string parses as ISO or one of the fixed layouts."""
+    """True when a string parses as ISO or one of the fixed layouts.
+
+    Every accepted layout starts with a digit; the cheap regex guard keeps the
+    (exception-driven, slow) parsers away from ordinary text.
+    """
     attempts = [F.try_to_timestamp(c)] + [F.try_to_timestamp(c, F.lit(f)) for f in DATETIME_FORMATS]
-    return F.coalesce(*attempts).isNotNull()
+    return F.when(F.trim(c).rlike("^[0-9]"), F.coalesce(*attempts).isNotNull()).otherwise(F.lit(False))
 
 
 def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:

@@ -155,5 +155,5 @@ def top_k(df: DataFrame, groups: Sequence[str], order: Sequence, k: int,
     w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
     stage1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
     w2 = Window.partitionBy(*groups).orderBy(*order)
-    return stage1.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k) \
+    return stage1.withColumn(rank_col, F.row_number().over(w2).cast("long")).where(F.col(rank_col) <= k) \
         .drop("_salt", "_r1")

@@ -464,3 +464,245 @@ def q_prep_matrix(spark, sf):
     te = standardize(prep["test"], feats, fit=prep["train"]).withColumn("is_test", F.lit(True))
     both = tr.unionByName(te)
     return both.select("_key", "is_test", *[rnd(F.col(c), 6).alias(c) for c in feats], "label")
+
+
+# ---------------------------------------------------------------------------
+# Generic per-table profile SQL (the twin of operators.profile.schema_profile)
+
+TABLE_KINDS = {
+    "lineitem": [(c, *LINEITEM_KINDS[c]) for c in LINEITEM_COLS],
+    "orders": [("o_orderkey", "bigint", "numeric"), ("o_custkey", "bigint", "numeric"),
+               ("o_orderstatus", "string", "string"), ("o_totalprice", "double", "numeric"),
+               ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "string")],
+    "events": [("event_id", "bigint", "numeric"), ("ts", "timestamp_ntz", "datetime"),
+               ("user_id", "bigint", "numeric"), ("event_type", "string", "string"),
+               ("value", "double", "numeric"), ("props", "string", "string")],
+    "documents": [("doc_id", "bigint", "numeric"), ("text", "string", "string"), ("lang", "string", "string"),
+                  ("source", "string", "string"), ("n_chars", "bigint", "numeric")],
+    "part": [("p_partkey", "bigint", "numeric"), ("p_name", "string", "string"), ("p_brand", "string", "string"),
+             ("p_type", "string", "string"), ("p_size", "int", "numeric"), ("p_retailprice", "double", "numeric")],
+    "labels": [("doc_id", "bigint", "numeric"), ("quality", "int", "numeric"), ("toxic", "int", "numeric")],
+    "customer": [("c_custkey", "bigint", "numeric"), ("c_name", "string", "string"), ("c_nationkey", "int", "numeric"),
+                 ("c_acctbal", "double", "numeric"), ("c_mktsegment", "string", "string")],
+}
+
+
+def profile_sql(tbl: str, dataset_id: int | None = None) -> str:
+    parts = []
+    ds = f"{dataset_id} AS dataset_id, " if dataset_id is not None else ""
+    for i, (c, dtype, kind) in enumerate(TABLE_KINDS[tbl]):
+        num = kind == "numeric"
+        nu = f"count(DISTINCT {c})"
+        if kind == "numeric":
+            role = (f"CASE WHEN {nu} <= 20 AND {nu} / greatest(count(*), 1) < 0.05 "
+                    f"THEN 'categorical' ELSE 'numeric' END")
+        elif kind == "datetime":
+            role = "'datetime'"
+        else:
+            dt = f"(count({c}) > 0 AND count({c}) = count(TRY_CAST({c} AS TIMESTAMP)))"
+            role = f"CASE WHEN {dt} THEN 'datetime' WHEN {nu} <= 50 THEN 'categorical' ELSE 'text' END"
+
+        def stat(e):
+            return S.safe4(e) if num else "NULL::DOUBLE"
+        parts.append(
+            f"SELECT {ds}'{c}' AS column_name, {i} AS position, '{dtype}' AS dtype, count(*) AS n_rows, "
+            f"{nu} AS n_unique, count(*) - count({c}) AS n_missing, "
+            f"CASE WHEN count(*) > 0 THEN round((count(*) - count({c})) * 100.0 / count(*), 2) ELSE 0.0 END AS missing_pct, "
+            f"{role} AS role, {stat(f'min({c})')} AS _min, {stat(f'max({c})')} AS _max, "
+            f"{stat(f'avg({c})')} AS _mean, {stat(f'stddev_samp({c})')} AS _std FROM {tbl}")
+    return S.union_all(parts)
+
+
+# ---------------------------------------------------------------------------
+# T: task detection
+
+TASK_CASES = [(1, "lineitem", "l_extendedprice"), (2, "orders", "o_orderstatus"), (3, "orders", None),
+              (4, "part", "p_retailprice"), (5, "labels", "quality")]
+
+
+def _task_sql() -> str:
+    profs = S.union_all([f"SELECT * FROM ({profile_sql(t, i)})" for i, t, _ in TASK_CASES])
+    tg = S.union_all([f"SELECT {i} AS dataset_id, {repr(tc) if tc else 'NULL::VARCHAR'} AS target_column"
+                      for i, _, tc in TASK_CASES])
+    return f"""
+WITH p AS ({profs}),
+tg AS ({tg}),
+fl AS (SELECT dataset_id, bool_or(role = 'datetime') AS has_datetime FROM p GROUP BY dataset_id),
+j AS (SELECT tg.dataset_id, tg.target_column, fl.has_datetime, p.role AS trole0, p.n_unique AS tnu0,
+             coalesce(p.role, 'numeric') AS trole, coalesce(p.n_unique, 10) AS tnu,
+             tg.target_column IS NOT NULL AND tg.target_column <> '' AS has_t
+      FROM tg LEFT JOIN fl USING (dataset_id) LEFT JOIN p ON p.dataset_id = tg.dataset_id AND p.column_name = tg.target_column),
+k AS (SELECT *, coalesce(has_datetime, false) AND has_t AND trole0 = 'numeric' AS ts,
+             trole = 'categorical' OR (trole = 'numeric' AND tnu <= 20) AS cls FROM j)
+SELECT dataset_id, CASE WHEN has_t THEN target_column END AS target_column,
+       CASE WHEN ts THEN 'time_series' WHEN NOT has_t THEN 'clustering' WHEN cls THEN 'classification'
+            WHEN trole = 'numeric' THEN 'regression' ELSE 'classification' END AS task_type,
+       CASE WHEN ts THEN 0.85 WHEN NOT has_t THEN 0.75 WHEN cls THEN 0.88 WHEN trole = 'numeric' THEN 0.90 ELSE 0.60 END
+           ::DOUBLE AS confidence,
+       CASE WHEN ts THEN 'Dataset has datetime column(s) and a numeric target, suggesting time-series forecasting.'
+            WHEN NOT has_t THEN 'No target column specified — unsupervised clustering is the natural approach.'
+            WHEN cls THEN 'Target ''' || target_column || ''' has ' || CAST(tnu AS VARCHAR) || ' unique values — classification task.'
+            WHEN trole = 'numeric' THEN 'Target ''' || target_column || ''' is continuous numeric — regression task.'
+            ELSE 'Fallback to classification based on target column analysis.' END AS reasoning,
+       'heuristic' AS source
+FROM k"""
+
+
+def _profiles_with_ids(spark, sf, cases):
+    from ..operators.profile import clean, schema_profile
+    out = None
+    for i, t, _ in cases:
+        p = schema_profile(clean(table(spark, sf, t))).withColumn("dataset_id", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("task_detect", _task_sql())
+def q_task_detect(spark, sf):
+    """T-1 ... T-4 for five (table, target) cases in one keyed job."""
+    from ..operators.task import detect_task
+    targets = spark.createDataFrame([(i, tc) for i, _, tc in TASK_CASES], "dataset_id int, target_column string")
+    return detect_task(_profiles_with_ids(spark, sf, TASK_CASES), targets)
+
+
+@register("class_distribution", """
+WITH c AS (SELECT CAST(o_orderstatus AS VARCHAR) AS class_value, count(*) AS n FROM orders
+           WHERE o_orderstatus IS NOT NULL GROUP BY 1)
+SELECT class_value, count(*) OVER () AS n_classes, count(*) OVER () = 2 AS is_binary,
+       round(n / sum(n) OVER (), 4) AS share FROM c""")
+def q_class_distribution(spark, sf):
+    """T-6 on orders.o_orderstatus."""
+    from ..operators.task import class_distribution
+    return class_distribution(table(spark, sf, "orders"), "o_orderstatus")
+
+
+@register("regression_detail", f"""
+SELECT min(o_totalprice) AS target_min, max(o_totalprice) AS target_max, avg(o_totalprice) AS target_mean,
+       stddev_samp(o_totalprice) AS target_std FROM orders""".replace(
+    "min(o_totalprice) AS target_min", f"{S.rnd('min(o_totalprice)', 6)} AS target_min").replace(
+    "max(o_totalprice) AS target_max", f"{S.rnd('max(o_totalprice)', 6)} AS target_max").replace(
+    "avg(o_totalprice) AS target_mean", f"{S.rnd('avg(o_totalprice)', 6)} AS target_mean").replace(
+    "stddev_samp(o_totalprice) AS target_std", f"{S.rnd('stddev_samp(o_totalprice)', 6)} AS target_std"))
+def q_regression_detail(spark, sf):
+    """T-7 on orders.o_totalprice."""
+    from ..functions.exprs import rnd
+    from ..operators.task import regression_detail
+    r = regression_detail(table(spark, sf, "orders"), "o_totalprice")
+    return r.select(*[rnd(F.col(c), 6).alias(c) for c in r.columns])
+
+
+@register("suggested_k", """
+SELECT CAST(least(greatest(2, floor(sqrt(count(*)) / 5)), 10) AS INTEGER) AS suggested_k, count(*) AS n_rows
+FROM embeddings""")
+def q_suggested_k(spark, sf):
+    """T-8 on embeddings."""
+    from ..operators.task import suggested_k
+    return suggested_k(table(spark, sf, "embeddings"))
+
+
+# ---------------------------------------------------------------------------
+# F: feature suggestions and transforms
+
+def _suggest_sql(tbl: str, numeric: list[str]) -> str:
+    hint = {"log1p": "'F.log1p(F.greatest(F.col(''' || column_name || '''), F.lit(0)))'",
+            "sqrt": "'F.sqrt(F.greatest(F.col(''' || column_name || '''), F.lit(0)))'"}
+    if len(numeric) >= 2:
+        pairs = []
+        for i, a in enumerate(numeric):
+            for b in numeric[i + 1:]:
+                r = (f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) = 0 THEN 0.0 "
+                     f"ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END")
+                pairs.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {S.safe4(r)} AS r FROM {tbl}")
+        cr = S.union_all(pairs)
+    else:
+        cr = "SELECT NULL::VARCHAR AS col_a, NULL::VARCHAR AS col_b, NULL::DOUBLE AS r WHERE false"
+    return f"""
+WITH prof AS ({profile_sql(tbl)}),
+l AS ({S.long_values(tbl, numeric)}),
+sk AS (SELECT column_name, {S.safe4('skewness(value)')} AS skewness FROM l GROUP BY column_name HAVING count(*) >= 5),
+{_iqr_cte(tbl, numeric).strip().replace('l AS (', 'l2 AS (', 1).replace('FROM l GROUP', 'FROM l2 GROUP').replace('FROM l JOIN', 'FROM l2 JOIN')},
+ol AS (SELECT column_name, round(n_outliers * 100.0 / n, 2) AS pct FROM o WHERE n_outliers > 0),
+cr AS ({cr}),
+num AS (SELECT prof.column_name, position, abs(coalesce(skewness, 0.0)) AS s, pct
+        FROM prof LEFT JOIN sk USING (column_name) LEFT JOIN ol USING (column_name) WHERE role = 'numeric'),
+r AS (
+  SELECT column_name AS feature, 'log1p' AS transform, printf('High skewness (%.2f) — log transform will normalize distribution', s) AS reason,
+         'high' AS priority, 'Reduces outlier influence, improves linear model performance' AS impact,
+         {hint['log1p']} AS code_hint, 0 AS g, position AS p1, 0 AS p2, 0 AS sub FROM num WHERE s > 2.0
+  UNION ALL
+  SELECT column_name, 'sqrt', printf('Moderate skewness (%.2f) — square root can help', s), 'medium',
+         'Reduces tail effects for parametric models', {hint['sqrt']}, 0, position, 0, 0 FROM num WHERE s > 1.0 AND s <= 2.0
+  UNION ALL
+  SELECT column_name, 'robust_scale', CAST(pct AS VARCHAR) || '% outliers detected — robust scaling recommended', 'high',
+         'IQR-based scaling resists outlier distortion', 'pyspark.ml.feature.RobustScaler', 0, position, 0, 1
+  FROM num WHERE pct > 5
+  UNION ALL
+  SELECT cr.col_a || ' × ' || cr.col_b, 'interaction',
+         printf('High correlation (%.2f) — interaction term may capture non-linear relationship', cr.r), 'medium',
+         'Captures multiplicative effects between related features',
+         'F.col(''' || cr.col_a || ''') * F.col(''' || cr.col_b || ''')', 1, a.position, b.position, 0
+  FROM cr JOIN num a ON a.column_name = cr.col_a JOIN num b ON b.column_name = cr.col_b
+  WHERE a.position < b.position AND abs(cr.r) > 0.7
+  UNION ALL
+  SELECT column_name, CASE WHEN n_unique > 10 THEN 'target_encode' ELSE 'one_hot' END,
+         CASE WHEN n_unique > 10 THEN printf('High cardinality (%d categories) — target encoding preferred over one-hot', n_unique)
+              ELSE printf('Low cardinality (%d categories) — one-hot encoding is safe', n_unique) END,
+         CASE WHEN n_unique > 10 THEN 'high' ELSE 'low' END,
+         CASE WHEN n_unique > 10 THEN 'Avoids dimensionality explosion from one-hot encoding'
+              ELSE 'Standard encoding for tree-based and linear models' END,
+         CASE WHEN n_unique > 10 THEN 'pyspark.ml.feature.TargetEncoder(inputCols=[''' || column_name || '''])'
+              ELSE 'pyspark.ml.feature.OneHotEncoder(inputCols=[''' || column_name || '''])' END,
+         2, position, 0, 0 FROM prof WHERE role = 'categorical'
+  UNION ALL
+  SELECT column_name, 'datetime_extract', 'Datetime column — extract year, month, day_of_week, hour for temporal patterns',
+         'high', 'Unlocks seasonal and cyclical patterns in the data', 'F.month(F.col(''' || column_name || '''))',
+         3, position, 0, 0 FROM prof WHERE role = 'datetime'),
+k AS (SELECT *, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END,
+                                   g, p1, p2, sub) AS rank FROM r)
+SELECT rank, feature, transform, reason, priority, impact, code_hint FROM k WHERE rank <= 8"""
+
+
+def _suggest_spark(spark, sf, tbl):
+    from ..operators.features import suggest_features
+    from ..operators.profile import clean, schema_profile
+    from ..operators.stats import correlations, iqr_outliers, numeric_stats, role_columns
+    df = clean(table(spark, sf, tbl))
+    prof = materialize(schema_profile(df))
+    num = role_columns(prof)  # one row per column: metadata, not data
+    skew = numeric_stats(df, num).where(F.col("n") >= 5) if num else None
+    outl = iqr_outliers(df, num) if num else None
+    corr = correlations(df, num)
+    empty = spark.createDataFrame([], "column_name string, skewness double, pct double")
+    return suggest_features(prof, skew if skew is not None else empty, outl if outl is not None else empty, corr)
+
+
+@register("feature_suggest", _suggest_sql("documents", ["doc_id", "n_chars"]))
+def q_feature_suggest(spark, sf):
+    """F-1 ... F-8 on documents (n_chars is heavily skewed)."""
+    return _suggest_spark(spark, sf, "documents")
+
+
+@register("feature_suggest_events", _suggest_sql("events", ["event_id", "user_id", "value"]))
+def q_feature_suggest_events(spark, sf):
+    """F-1 ... F-8 on events (moderate skew, one-hot, datetime)."""
+    return _suggest_spark(spark, sf, "events")
+
+
+@register("feature_apply", f"""
+SELECT doc_id, n_chars,
+       {S.rnd('CASE WHEN n_chars IS NOT NULL THEN ln(1 + greatest(CAST(n_chars AS DOUBLE), 0.0)) END', 6)} AS n_chars_log,
+       {S.rnd('CASE WHEN n_chars IS NOT NULL THEN sqrt(greatest(CAST(n_chars AS DOUBLE), 0.0)) END', 6)} AS n_chars_sqrt,
+       doc_id * n_chars AS doc_id_x_n_chars,
+       year(ts) AS ts_year, month(ts) AS ts_month, CAST((dayofweek(ts) + 6) % 7 AS INTEGER) AS ts_day_of_week,
+       hour(ts) AS ts_hour
+FROM (SELECT d.doc_id, d.n_chars, e.ts FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id)""")
+def q_feature_apply(spark, sf):
+    """F-9 ... F-12 and F-16: log1p/sqrt/interaction in one projection, datetime parts."""
+    from ..functions.exprs import rnd
+    from ..operators.features import apply_features, datetime_extract
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    sugg = [{"feature": "n_chars", "transform": "log1p"}, {"feature": "n_chars", "transform": "sqrt"},
+            {"feature": "doc_id × n_chars", "transform": "interaction"}, {"feature": "x", "transform": "unknown"}]
+    out = datetime_extract(apply_features(d, sugg).join(e, "doc_id", "left"), "ts").drop("ts")
+    return out.withColumn("n_chars_log", rnd(F.col("n_chars_log"), 6)).withColumn("n_chars_sqrt", rnd(F.col("n_chars_sqrt"), 6))
