@@ -706,3 +706,271 @@ def q_feature_apply(spark, sf):
             {"feature": "doc_id × n_chars", "transform": "interaction"}, {"feature": "x", "transform": "unknown"}]
     out = datetime_extract(apply_features(d, sugg).join(e, "doc_id", "left"), "ts").drop("ts")
     return out.withColumn("n_chars_log", rnd(F.col("n_chars_log"), 6)).withColumn("n_chars_sqrt", rnd(F.col("n_chars_sqrt"), 6))
+
+
+# ---------------------------------------------------------------------------
+# C: recommendation
+
+REC_CASES = [(1, "orders", "classification", ["o_orderkey", "o_custkey", "o_totalprice"]),
+             (2, "lineitem", "regression", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]),
+             (3, "customer", "clustering", ["c_custkey", "c_nationkey", "c_acctbal"])]
+
+
+def _registry_sql() -> str:
+    from ..operators.recommend import REGISTRY
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+    rows = [f"({lit(k)}, {lit(n)}, {lit(t)}, [{', '.join(lit(p) for p in pros)}], {lit(cx)}, {lit(it)}, {lit(uw)}, {i})"
+            for i, (k, n, t, pros, _c, cx, it, uw, _s) in enumerate(REGISTRY)]
+    return (f"SELECT * FROM (VALUES {', '.join(rows)}) "
+            f"AS reg(model_key, model_name, task, pros, complexity, interpretability, use_when, registry_pos)")
+
+
+def _summary_sql(i: int, tbl: str, task: str, num: list[str]) -> str:
+    cols = [c for c, _, _ in TABLE_KINDS[tbl]]
+    miss = S.union_all([f"SELECT count(*) - count({c}) AS m FROM {tbl}" for c in cols])
+    return f"""
+SELECT {i} AS dataset_id, '{task}' AS task_type, q.n_rows, q.n_cols, q.quality_score,
+       (SELECT count(*) FROM ({miss}) WHERE m > 0) AS n_missing_cols,
+       (SELECT count(*) FROM ({_iqr_sql(tbl, num)})) AS n_outlier_cols,
+       (SELECT count(*) FILTER (WHERE role = 'numeric') FROM ({profile_sql(tbl)})) AS numeric_count,
+       (SELECT count(*) FILTER (WHERE role = 'categorical') FROM ({profile_sql(tbl)})) AS cat_count
+FROM ({_quality_sql(tbl, cols, num)}) q"""
+
+
+def _recommend_sql() -> str:
+    summ = S.union_all([_summary_sql(*c) for c in REC_CASES])
+    return f"""
+WITH s AS ({summ}),
+reg AS ({_registry_sql()}),
+j AS (SELECT s.*, reg.*, array_to_string(pros, ' ') AS pj FROM s JOIN reg ON s.task_type = reg.task),
+sc AS (SELECT *, round(least(CAST(50.0
+         + CASE WHEN n_rows < 500 THEN CASE WHEN complexity = 'low' THEN 15 WHEN complexity = 'high' THEN -10 ELSE 0 END
+                WHEN n_rows < 10000 THEN CASE WHEN complexity IN ('low', 'medium') THEN 10 ELSE 5 END
+                ELSE CASE WHEN complexity = 'high' THEN 15 ELSE 5 END END
+         + CASE WHEN quality_score < 60 THEN (CASE WHEN contains(pj, 'Robust') THEN 10 ELSE 0 END)
+                + (CASE WHEN contains(pj, 'Handles missing values') THEN 8 ELSE 0 END) ELSE 0 END
+         + CASE WHEN n_outlier_cols > 2 AND model_key IN ('random_forest_reg', 'random_forest_clf', 'xgboost_reg',
+                'xgboost_clf', 'dbscan') THEN 8 ELSE 0 END
+         + CASE WHEN interpretability IN ('high', 'very_high') THEN 5 ELSE 0 END
+         + CASE WHEN model_key IN ('xgboost_reg', 'xgboost_clf', 'gradient_boosting_reg', 'gradient_boosting_clf') THEN 10 ELSE 0 END
+         - CASE WHEN model_key IN ('linear_regression', 'ridge', 'logistic_regression', 'svr', 'svm_clf')
+                AND cat_count > numeric_count THEN 8 ELSE 0 END AS DOUBLE), 100.0), 2) AS score FROM j),
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, registry_pos) AS rank FROM sc)
+SELECT dataset_id, rank, model_key, model_name, score, complexity, interpretability, rank = 1 AS recommended,
+       CASE WHEN score >= 75 THEN '**' || model_name || '** is highly recommended for this dataset.'
+            WHEN score >= 60 THEN '**' || model_name || '** is a solid choice.'
+            ELSE '**' || model_name || '** may work but consider alternatives.' END
+       || ' Best suited when: *' || use_when || '*.'
+       || CASE WHEN n_rows < 500 THEN ' With a small dataset, simpler models may generalize better.'
+               WHEN n_rows > 50000 THEN ' With large data, ensemble methods will shine.' ELSE '' END AS reasoning
+FROM rk"""
+
+
+@register("recommend", _recommend_sql())
+def q_recommend(spark, sf):
+    """C-1 ... C-8: summaries of three tables (from their profiles and EDA) x the registry."""
+    from ..operators.profile import clean, schema_profile
+    from ..operators.recommend import dataset_summary, recommend, registry
+    from ..operators.stats import role_columns
+    summ = None
+    for i, t, task, _ in REC_CASES:
+        df = clean(table(spark, sf, t))
+        prof = materialize(schema_profile(df))
+        s = materialize(dataset_summary(df, prof, role_columns(prof), i, task))
+        summ = s if summ is None else summ.unionByName(s)
+    return recommend(summ, registry(spark))
+
+
+# ---------------------------------------------------------------------------
+# M / V: models and evaluation
+
+def _li_split_sql() -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY {S.split_hash('k')}, k) <= ceil(count(*) OVER () * 0.2) AS is_test
+FROM (SELECT *, {LI_KEY_SQL} AS k FROM lineitem)"""
+
+
+@register("linreg_simple", f"""
+WITH s AS ({_li_split_sql()}),
+f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+      FROM s WHERE NOT is_test),
+p AS (SELECT l_extendedprice AS y, a + b * l_quantity AS yhat FROM s, f WHERE is_test),
+m AS (SELECT count(*) AS n, sum((y - yhat) * (y - yhat)) AS sse, sum(abs(y - yhat)) AS sae, var_pop(y) AS vy FROM p)
+SELECT {S.rnd('b')} AS slope, {S.rnd('a')} AS intercept, {S.rnd('1 - sse / (vy * n)')} AS r2,
+       {S.rnd('sqrt(sse / n)')} AS rmse, {S.rnd('sae / n')} AS mae FROM m, f""")
+def q_linreg_simple(spark, sf):
+    """M-1 + V-1: ordinary least squares (normal equations) on the 80 % hash split, metrics on the 20 %."""
+    from pyspark.ml.regression import LinearRegression
+    from ..functions.exprs import rnd
+    from ..operators.evaluate import regression_metrics
+    from ..operators.prep import assemble, hash_split
+    li = materialize(hash_split(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").alias("label")),
+        ["l_orderkey", "l_linenumber"]))
+    model = LinearRegression(regParam=0.0, solver="normal").fit(assemble(li.where(~F.col("is_test")), ["l_quantity"]))
+    pred = model.transform(assemble(li.where(F.col("is_test")), ["l_quantity"]))
+    coef = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "b double, a double")
+    return coef.crossJoin(regression_metrics(pred)).select(rnd(F.col("b")).alias("slope"),
+                                                           rnd(F.col("a")).alias("intercept"), "r2", "rmse", "mae")
+
+
+CLS_PRED_SQL = """SELECT CAST(l.quality AS DOUBLE) AS label, CASE WHEN d.n_chars > 500 THEN 1.0 ELSE 0.0 END AS prediction
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+
+def _cls_pred(spark, sf):
+    lab = table(spark, sf, "labels")
+    d = table(spark, sf, "documents")
+    return lab.join(d, "doc_id").select(F.col("quality").cast("double").alias("label"),
+                                        F.when(F.col("n_chars") > 500, 1.0).otherwise(0.0).alias("prediction"))
+
+
+@register("class_metrics", f"""
+WITH p AS ({CLS_PRED_SQL}),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS ok,
+             count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+             count(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn FROM p)
+SELECT {S.rnd('ok / n')} AS accuracy,
+       {S.rnd('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
+       {S.rnd('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall,
+       {S.rnd('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)')} AS f1 FROM c""")
+def q_class_metrics(spark, sf):
+    """V-2/V-3: binary metrics of the rule n_chars > 500 against labels.quality."""
+    from ..operators.evaluate import classification_metrics
+    return classification_metrics(_cls_pred(spark, sf), n_classes=2)
+
+
+@register("class_metrics_weighted", f"""
+WITH p AS (SELECT CAST(l.quality + l.toxic AS DOUBLE) AS label,
+                  CASE WHEN d.n_chars > 2000 THEN 2.0 WHEN d.n_chars > 500 THEN 1.0 ELSE 0.0 END AS prediction
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+cls AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
+per AS (SELECT c, count(*) FILTER (WHERE label = c AND prediction = c) AS tp,
+               count(*) FILTER (WHERE label <> c AND prediction = c) AS fp,
+               count(*) FILTER (WHERE label = c AND prediction <> c) AS fn,
+               count(*) FILTER (WHERE label = c) AS support FROM cls, p GROUP BY c),
+w AS (SELECT sum(support * coalesce(tp / nullif(tp + fp, 0), 0.0)) / sum(support) AS precision,
+             sum(support * coalesce(tp / nullif(tp + fn, 0), 0.0)) / sum(support) AS recall,
+             sum(support * coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)) / sum(support) AS f1 FROM per)
+SELECT {S.rnd('(SELECT count(*) FILTER (WHERE label = prediction) / count(*) FROM p)')} AS accuracy,
+       {S.rnd('precision')} AS precision, {S.rnd('recall')} AS recall, {S.rnd('f1')} AS f1 FROM w""")
+def q_class_metrics_weighted(spark, sf):
+    """V-3 weighted branch: 3-class target (quality + toxic) vs a length rule."""
+    from ..operators.evaluate import classification_metrics
+    lab = table(spark, sf, "labels")
+    d = table(spark, sf, "documents")
+    p = lab.join(d, "doc_id").select(
+        (F.col("quality") + F.col("toxic")).cast("double").alias("label"),
+        F.when(F.col("n_chars") > 2000, 2.0).when(F.col("n_chars") > 500, 1.0).otherwise(0.0).alias("prediction"))
+    return classification_metrics(p, n_classes=3)
+
+
+@register("confusion_matrix", f"""
+SELECT label AS actual, prediction AS predicted, count(*) AS n FROM ({CLS_PRED_SQL}) GROUP BY ALL""")
+def q_confusion_matrix(spark, sf):
+    """V-4."""
+    from ..operators.evaluate import confusion
+    return confusion(_cls_pred(spark, sf))
+
+
+EMB_LONG_SQL = """SELECT vec_id AS key, label AS cluster, CAST(d AS INTEGER) AS dim, CAST(embedding[d + 1] AS DOUBLE) AS x
+FROM (SELECT *, unnest(range(len(embedding))) AS d FROM embeddings) WHERE label <> -1"""
+
+
+@register("cluster_metrics", f"""
+WITH l AS ({EMB_LONG_SQL}),
+pt AS (SELECT key, cluster, sum(x * x) AS sq FROM l GROUP BY key, cluster),
+csz AS (SELECT cluster, count(*) AS nk, sum(sq) AS qk FROM pt GROUP BY cluster),
+cdim AS (SELECT cluster, dim, sum(x) AS sk, avg(x) AS ck FROM l GROUP BY cluster, dim),
+kk AS (SELECT count(*) AS k, sum(nk) AS n FROM csz),
+dots AS (SELECT l.key, l.cluster, c.cluster AS other, sum(l.x * c.sk) AS dot FROM l JOIN cdim c USING (dim)
+         GROUP BY l.key, l.cluster, c.cluster),
+md AS (SELECT dots.key, dots.cluster, dots.other, o.nk, pt.sq - 2 * dots.dot / o.nk + o.qk / o.nk AS d
+       FROM dots JOIN pt USING (key) JOIN csz o ON o.cluster = dots.other),
+pp AS (SELECT key, cluster,
+              max(CASE WHEN other = cluster THEN CASE WHEN nk > 1 THEN d * nk / (nk - 1) ELSE 0.0 END END) AS a,
+              min(CASE WHEN other <> cluster THEN d END) AS b, max(CASE WHEN other = cluster THEN nk END) AS nk
+       FROM md GROUP BY key, cluster),
+sil AS (SELECT avg(CASE WHEN nk > 1 THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) ELSE 0.0 END) AS s FROM pp),
+g AS (SELECT dim, avg(x) AS g FROM l GROUP BY dim),
+bt AS (SELECT sum(nk * (ck - g) * (ck - g)) AS bb FROM cdim JOIN g USING (dim) JOIN csz USING (cluster)),
+wp AS (SELECT key, l.cluster, sum((x - ck) * (x - ck)) AS w2 FROM l JOIN cdim USING (cluster, dim) GROUP BY key, l.cluster),
+wt AS (SELECT sum(w2) AS ww FROM wp),
+sk AS (SELECT cluster, avg(sqrt(w2)) AS s FROM wp GROUP BY cluster),
+cd AS (SELECT a.cluster AS ka, b.cluster AS kb, sqrt(sum((a.ck - b.ck) * (a.ck - b.ck))) AS m
+       FROM cdim a JOIN cdim b ON a.dim = b.dim AND a.cluster <> b.cluster GROUP BY a.cluster, b.cluster),
+rt AS (SELECT ka, max(coalesce((sa.s + sb.s) / nullif(m, 0), 0.0)) AS mx
+       FROM cd JOIN sk sa ON sa.cluster = cd.ka JOIN sk sb ON sb.cluster = cd.kb GROUP BY ka),
+db AS (SELECT avg(mx) AS db FROM rt)
+SELECT k AS n_clusters_found, {S.rnd('s')} AS silhouette_sq,
+       {S.rnd('coalesce(bb * (n - k) / nullif(ww * (k - 1), 0), 0.0)')} AS calinski_harabasz,
+       {S.rnd('db')} AS davies_bouldin
+FROM kk, sil, bt, wt, db""")
+def q_cluster_metrics(spark, sf):
+    """V-10 ... V-12 on embeddings with the given label as the clustering."""
+    from ..operators.evaluate import cluster_metrics
+    return cluster_metrics(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
+
+
+@register("cluster_sizes", "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label")
+def q_cluster_sizes(spark, sf):
+    """V-13."""
+    from ..operators.evaluate import cluster_sizes
+    return cluster_sizes(table(spark, sf, "embeddings"), "label")
+
+
+@register("cluster_centers", f"SELECT cluster, dim, {S.rnd('avg(x)', 6)} AS center FROM ({EMB_LONG_SQL}) GROUP BY cluster, dim")
+def q_cluster_centers(spark, sf):
+    """V-14 (centers given the labels)."""
+    from ..operators.evaluate import cluster_centers
+    return cluster_centers(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
+
+
+@register("fit_eval_regression")
+def q_fit_eval_regression(spark, sf):
+    """M-1/M-2 + V-1, V-5: linear and ridge regression of orders.o_totalprice, 5-fold CV."""
+    from ..operators.models import fit_eval
+    from ..operators.prep import prepare
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus",
+                                          "o_totalprice")
+    prep = prepare(o, "o_totalprice", "regression", ["o_orderkey"])
+    out = None
+    for key in ("linear_regression", "ridge"):
+        m = fit_eval(prep, key)["metrics"]
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("fit_eval_classification")
+def q_fit_eval_classification(spark, sf):
+    """M-7/M-12 + V-2 ... V-5: logistic regression and a decision tree for labels.quality."""
+    from ..operators.models import fit_eval
+    from ..operators.prep import prepare
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    df = table(spark, sf, "labels").join(d, "doc_id").select("doc_id", "lang", "source", "n_chars", "toxic", "quality")
+    prep = prepare(df, "quality", "classification", ["doc_id"])
+    out = None
+    for key in ("logistic_regression", "decision_tree"):
+        m = fit_eval(prep, key)["metrics"]
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, sf):
+    """M-13 + V-10 ... V-13: k-means (k=3) on standardized embeddings, then its metrics."""
+    from pyspark.ml.functions import array_to_vector
+    from ..operators.evaluate import cluster_metrics
+    from ..operators.models import kmeans
+    e = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    labels, _ = kmeans(e, "v", "vec_id", k=3)
+    return cluster_metrics(materialize(labels), "_s", "vec_id", "cluster")
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf):
+    """V-15: 2-D PCA of standardized embeddings (sign-fixed)."""
+    from ..operators.evaluate import pca_2d
+    return pca_2d(table(spark, sf, "embeddings"), "embedding", "vec_id")
