@@ -974,3 +974,75 @@ def q_pca_2d(spark, sf):
     """V-15: 2-D PCA of standardized embeddings (sign-fixed)."""
     from ..operators.evaluate import pca_2d
     return pca_2d(table(spark, sf, "embeddings"), "embedding", "vec_id")
+
+
+# ---------------------------------------------------------------------------
+# TS: time series
+
+def _ev_daily(spark, sf):
+    from ..operators.forecast import period_series
+    return period_series(table(spark, sf, "events"), "ts", "value", ["event_type"], "day")
+
+
+def _orders_monthly(spark, sf, keys=()):
+    from ..operators.forecast import period_series
+    return period_series(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", list(keys), "month")
+
+
+@register("lag_matrix", f"""
+WITH s AS (SELECT CAST(event_type AS VARCHAR) AS series_key, date_trunc('day', ts) AS t, CAST(sum(value) AS DOUBLE) AS value
+           FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+i AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY t) - 1 AS INTEGER) AS idx,
+             CAST(count(*) OVER (PARTITION BY series_key) AS INTEGER) AS n FROM s),
+l AS (SELECT *, {', '.join(f'lag(value, {k}) OVER (PARTITION BY series_key ORDER BY idx) AS lag_{k}' for k in range(1, 6))}
+      FROM i WHERE n >= 10)
+SELECT series_key, strftime(t, '%Y-%m-%d') AS period, idx, n, {S.rnd('value')} AS value,
+       {', '.join(S.rnd(f'lag_{k}') + f' AS lag_{k}' for k in range(1, 6))}, {S.rnd('value - lag_1')} AS diff_1
+FROM l""")
+def q_lag_matrix(spark, sf):
+    """TS-1, TS-2, TS-4, TS-8: daily event value per event_type, 5 lags and the first difference."""
+    from ..functions.exprs import rnd
+    from ..operators.forecast import lag_matrix
+    lm = lag_matrix(_ev_daily(spark, sf))
+    return lm.select("series_key", F.date_format("t", "yyyy-MM-dd").alias("period"), "idx", "n",
+                     rnd(F.col("value")).alias("value"), *[rnd(F.col(f"lag_{k}")).alias(f"lag_{k}") for k in range(1, 6)],
+                     rnd(F.col("diff_1")).alias("diff_1"))
+
+
+@register("ts_split", f"""
+WITH s AS (SELECT o_orderpriority AS series_key, date_trunc('month', o_orderdate) AS t,
+                  CAST(sum(o_totalprice) AS DOUBLE) AS value
+           FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) GROUP BY ALL),
+i AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY t) - 1 AS INTEGER) AS idx,
+             CAST(count(*) OVER (PARTITION BY series_key) AS INTEGER) AS n FROM s)
+SELECT series_key, strftime(t, '%Y-%m') AS period, idx, n, CAST(floor(n * 0.8) AS INTEGER) AS train_size,
+       CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS segment, {S.rnd('value')} AS value
+FROM i WHERE n >= 10""")
+def q_ts_split(spark, sf):
+    """TS-2/TS-3: monthly order value per priority, chronological 80/20 split."""
+    from ..functions.exprs import rnd
+    from ..operators.forecast import split_segments
+    s = split_segments(_orders_monthly(spark, sf, ["o_orderpriority"]))
+    return s.select("series_key", F.date_format("t", "yyyy-MM").alias("period"), "idx", "n", "train_size", "segment",
+                    rnd(F.col("value")).alias("value"))
+
+
+@register("forecast_hw")
+def q_forecast_hw(spark, sf):
+    """M-17 + TS-6/TS-7: additive Holt-Winters (m=12, grid-searched) per priority series."""
+    from ..operators.forecast import forecast, forecast_metrics
+    return forecast_metrics(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
+
+
+@register("forecast_arima")
+def q_forecast_arima(spark, sf):
+    """M-16 + TS-7: ARIMA(1,1,1) by Hannan-Rissanen per priority series, with AIC."""
+    from ..operators.forecast import forecast, forecast_metrics
+    return forecast_metrics(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "arima"))
+
+
+@register("forecast_rf")
+def q_forecast_rf(spark, sf):
+    """M-18 + TS-5/TS-7: 5-lag random forest, one-step forecasts, per-series metrics with R^2."""
+    from ..operators.forecast import forecast_metrics, forecast_rf
+    return forecast_metrics(forecast_rf(_orders_monthly(spark, sf, ["o_orderpriority"])), with_r2=True)
