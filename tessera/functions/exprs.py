@@ -130,3 +130,11 @@ def dagostino_k2_pvalue(n: Column, g1: Column, g2: Column) -> Column:
     z2 = ((1 - 2.0 / (9.0 * a)) - term) / F.sqrt(2.0 / (9.0 * a))
     k2 = z1 * z1 + z2 * z2
     return F.exp(-k2 / 2.0)
+
+
+def short_float_str(c: Column, digits: int = 4) -> Column:
+    """Plain decimal text of a value already rounded to ``digits`` (``0.0001``, ``0.5``,
+    ``12.0``), the way Python prints such floats; Spark's cast would print ``1.0E-4``."""
+    s = F.regexp_replace(F.format_string(f"%.{digits}f", c), "0+$", "")
+    return F.when(c.isNull(), F.lit(None)).otherwise(
+        F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
@@ -370,7 +370,8 @@ def q_drift_by_segment(spark, sf):
 LI_FEATURES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                "l_returnflag", "l_linestatus"]
 LI_TARGET = "l_extendedprice"
-LI_KEY_SQL = "concat_ws('|', l_orderkey, l_linenumber)"
+LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]   # unique in lineitem
+LI_KEY_SQL = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def _lineitem_encoded_split_sql() -> str:
@@ -390,7 +391,7 @@ def q_drift_self_split(spark, sf):
     """D-11: encode + impute (fitted on the table, as the reference does), split 80/20, compare."""
     from ..operators.drift import drift
     from ..operators.prep import hash_split, impute_median, label_encode
-    li = hash_split(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    li = hash_split(table(spark, sf, "lineitem"), LI_KEYS)
     x = label_encode(li, ["l_returnflag", "l_linestatus"])
     split = materialize(impute_median(x.select("is_test", *LI_FEATURES), LI_FEATURES))
     return drift(split.where(~F.col("is_test")), split.where(F.col("is_test")), LI_FEATURES)
@@ -806,8 +807,7 @@ def q_linreg_simple(spark, sf):
     from ..operators.evaluate import regression_metrics
     from ..operators.prep import assemble, hash_split
     li = materialize(hash_split(table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", F.col("l_extendedprice").alias("label")),
-        ["l_orderkey", "l_linenumber"]))
+        *LI_KEYS, "l_quantity", F.col("l_extendedprice").alias("label")), LI_KEYS))
     model = LinearRegression(regParam=0.0, solver="normal").fit(assemble(li.where(~F.col("is_test")), ["l_quantity"]))
     pred = model.transform(assemble(li.where(F.col("is_test")), ["l_quantity"]))
     coef = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "b double, a double")
@@ -1046,3 +1046,166 @@ def q_forecast_rf(spark, sf):
     """M-18 + TS-5/TS-7: 5-lag random forest, one-step forecasts, per-series metrics with R^2."""
     from ..operators.forecast import forecast_metrics, forecast_rf
     return forecast_metrics(forecast_rf(_orders_monthly(spark, sf, ["o_orderpriority"])), with_r2=True)
+
+
+# ---------------------------------------------------------------------------
+# R / H / L: arena, chart data, explanation
+
+ARENA_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _ols_arena_sql() -> str:
+    feats = ARENA_FEATURES
+    un = S.union_all([f"SELECT '{f}' AS feature, {i} AS run_pos, CAST({f} AS DOUBLE) AS x, y, is_test, fold FROM s"
+                      for i, f in enumerate(feats)])
+    return f"""
+WITH s0 AS ({_li_split_sql()}),
+s AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, is_test, (floor({S.split_hash('k')} / 100) % 5) AS fold, * FROM s0),
+l AS ({un}),
+tr AS (SELECT * FROM l WHERE NOT is_test), te AS (SELECT * FROM l WHERE is_test),
+sm AS (SELECT feature, fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy
+       FROM tr GROUP BY feature, fold),
+tt AS (SELECT feature, sum(n) AS tn, sum(sx) AS tsx, sum(sy) AS tsy, sum(sxx) AS tsxx, sum(sxy) AS tsxy FROM sm GROUP BY feature),
+ft AS (SELECT feature, (tn * tsxy - tsx * tsy) / nullif(tn * tsxx - tsx * tsx, 0) AS b, tn, tsx, tsy FROM tt),
+ft2 AS (SELECT feature, b, (tsy - b * tsx) / tn AS a FROM ft),
+tm AS (SELECT te.feature, 1.0 - sum(pow(y - (a + b * x), 2)) / nullif(var_pop(y) * count(*), 0) AS r2,
+              sqrt(sum(pow(y - (a + b * x), 2)) / count(*)) AS rmse, sum(abs(y - (a + b * x))) / count(*) AS mae
+       FROM te JOIN ft2 USING (feature) GROUP BY te.feature),
+cf AS (SELECT sm.feature, sm.fold,
+              ((tn - n) * (tsxy - sxy) - (tsx - sx) * (tsy - sy)) / nullif((tn - n) * (tsxx - sxx) - (tsx - sx) * (tsx - sx), 0) AS b,
+              tn - n AS nn, tsx - sx AS ssx, tsy - sy AS ssy FROM sm JOIN tt USING (feature)),
+cf2 AS (SELECT feature, fold, b, (ssy - b * ssx) / nn AS a FROM cf),
+cvk AS (SELECT tr.feature, tr.fold, 1.0 - sum(pow(y - (a + b * x), 2)) / nullif(var_pop(y) * count(*), 0) AS r2k
+        FROM tr JOIN cf2 USING (feature, fold) GROUP BY tr.feature, tr.fold),
+cv AS (SELECT feature, avg(r2k) AS cv_r2_mean, stddev_pop(r2k) AS cv_r2_std FROM cvk GROUP BY feature),
+w AS (SELECT * FROM tm JOIN cv USING (feature)),
+pos AS (SELECT DISTINCT feature, run_pos FROM l)
+SELECT 1 AS run_id, 'ols_' || w.feature AS model_key, 'OLS on ' || w.feature AS model_name, pos.run_pos, u.metric,
+       {S.rnd('u.value')} AS value
+FROM w JOIN pos USING (feature),
+     LATERAL (VALUES ('r2', w.r2), ('rmse', w.rmse), ('mae', w.mae), ('cv_r2_mean', w.cv_r2_mean),
+                     ('cv_r2_std', w.cv_r2_std)) u(metric, value)"""
+
+
+def _ols_arena(spark, sf):
+    from ..operators.models import ols_arena_metrics
+    li = table(spark, sf, "lineitem")
+    return materialize(ols_arena_metrics(li, "l_extendedprice", ARENA_FEATURES, LI_KEYS))
+
+
+@register("arena_metrics", _ols_arena_sql())
+def q_arena_metrics(spark, sf):
+    """R-2 over SQL-expressible candidates: one least-squares model per lineitem feature,
+    test metrics and 5-fold CV, all from grouped sums."""
+    return _ols_arena(spark, sf)
+
+
+@register("leaderboard", f"""
+WITH m AS ({_ols_arena_sql()}),
+p AS (SELECT run_id, model_key, model_name, run_pos,
+             {S.rnd("coalesce(max(CASE WHEN metric = 'r2' THEN value END), 0.0)")} AS primary_value
+      FROM m GROUP BY run_id, model_key, model_name, run_pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY primary_value DESC, run_pos) AS rank FROM p)
+SELECT run_id, rank, model_key, model_name, 'r2' AS primary_metric, primary_value,
+       CASE rank WHEN 1 THEN '🥇 CHAMPION' WHEN 2 THEN '🥈 RUNNER-UP' WHEN 3 THEN '🥉 BRONZE' ELSE '' END AS badge
+FROM r""")
+def q_leaderboard(spark, sf):
+    """R-3/R-4 on the regression arena."""
+    from ..operators.arena import leaderboard
+    return leaderboard(_ols_arena(spark, sf), "regression")
+
+
+@register("radar", f"""
+WITH m AS ({_ols_arena_sql()}),
+w AS (SELECT run_id, model_key, model_name, run_pos, max(CASE WHEN metric = 'r2' THEN value END) AS r2,
+             max(CASE WHEN metric = 'cv_r2_mean' THEN value END) AS cv_r2_mean,
+             max(CASE WHEN metric = 'cv_r2_std' THEN value END) AS cv_r2_std
+      FROM m GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY run_pos) AS o FROM w),
+v AS (SELECT run_id, model_key, model_name, run_pos,
+             round(CASE WHEN coalesce(r2, 0.0) <= 1.0 THEN coalesce(r2, 0.0) * 100.0 ELSE r2 END, 1) AS a0,
+             round(CASE WHEN coalesce(cv_r2_mean, 0.0) <= 1.0 THEN coalesce(cv_r2_mean, 0.0) * 100.0 ELSE cv_r2_mean END, 1) AS a1,
+             round(least(greatest(1.0 - coalesce(cv_r2_std, 0.0), 0.0), 1.0) * 100.0, 1) AS a2
+      FROM f WHERE o <= 5)
+SELECT run_id, model_key, model_name, run_pos, u.axis_pos, u.axis_label, u.value + 0.0 AS value
+FROM v, LATERAL (VALUES (0, 'R²', a0), (1, 'CV R²', a1), (2, 'Consistency', a2)) u(axis_pos, axis_label, value)""")
+def q_radar(spark, sf):
+    """R-6 on the regression arena."""
+    from ..operators.arena import radar
+    r = radar(_ols_arena(spark, sf), "regression")
+    return r.withColumn("value", F.col("value") + F.lit(0.0))
+
+
+@register("explain_rules", f"""
+WITH m AS ({_ols_arena_sql()}),
+w AS (SELECT model_key, model_name, max(CASE WHEN metric = 'r2' THEN value END) AS r2 FROM m GROUP BY ALL)
+SELECT model_key, model_name, r2, 'Completed regression using ' || model_name || '.' AS summary,
+       'R² = ' || (CASE WHEN ends_with(rtrim(printf('%.4f', r2), '0'), '.') THEN rtrim(printf('%.4f', r2), '0') || '0'
+                        ELSE rtrim(printf('%.4f', r2), '0') END) || '. ' || CASE WHEN r2 > 0.9 THEN 'Excellent fit.' WHEN r2 > 0.7 THEN 'Good fit.'
+           ELSE 'Moderate fit — consider feature engineering.' END AS performance_analysis,
+       'Check feature importance chart for top predictors.' AS key_drivers,
+       'Consider cross-validation and hyperparameter tuning for better results.' AS recommendations,
+       'Always validate results on unseen data before production deployment.' AS cautions
+FROM w""")
+def q_explain_rules(spark, sf):
+    """L-1 over every arena model's metrics."""
+    from ..operators.chartdata import explain
+    m = _ols_arena(spark, sf)
+    wide = m.groupBy("model_key", "model_name").agg(F.max(F.when(F.col("metric") == "r2", F.col("value"))).alias("r2"))
+    return explain(wide, "regression")
+
+
+@register("prediction_sample", f"""
+WITH s AS ({_li_split_sql()}),
+f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+      FROM s WHERE NOT is_test),
+p AS (SELECT k, {S.split_hash('k')} AS h, l_extendedprice AS actual, a + b * l_quantity AS predicted FROM s, f WHERE is_test),
+t AS (SELECT * FROM p ORDER BY h, k LIMIT 50)
+SELECT k AS _key, {S.rnd('actual')} AS actual, {S.rnd('predicted')} AS predicted, {S.rnd('actual - predicted')} AS residual,
+       {S.rnd('least(min(actual) OVER (), min(predicted) OVER ())')} AS diag_min,
+       {S.rnd('greatest(max(actual) OVER (), max(predicted) OVER ())')} AS diag_max
+FROM t""")
+def q_prediction_sample(spark, sf):
+    """V-8 + H-1/H-2: first 50 test predictions (split order) of the least-squares fit,
+    residuals and the diagonal range. The 50-row limit is the operator itself."""
+    from pyspark.ml.regression import LinearRegression
+    from ..functions.exprs import rnd, split_hash
+    from ..operators.prep import assemble, hash_split
+    li = materialize(hash_split(table(spark, sf, "lineitem").select(
+        *LI_KEYS, "l_quantity", F.col("l_extendedprice").alias("label")), LI_KEYS)
+        .withColumn("_key", F.concat_ws("|", *LI_KEYS)))
+    model = LinearRegression(regParam=0.0, solver="normal").fit(assemble(li.where(~F.col("is_test")), ["l_quantity"]))
+    test = li.where(F.col("is_test")).withColumn("_h", split_hash(F.col("_key")))
+    sample = model.transform(assemble(test, ["l_quantity"])).orderBy("_h", "_key").limit(50)
+    s2 = sample.select("_key", "label", "prediction")
+    w = Window.partitionBy()  # over the 50-row sample
+    return s2.select("_key", rnd(F.col("label")).alias("actual"), rnd(F.col("prediction")).alias("predicted"),
+                     rnd(F.col("label") - F.col("prediction")).alias("residual"),
+                     rnd(F.least(F.min("label").over(w), F.min("prediction").over(w))).alias("diag_min"),
+                     rnd(F.greatest(F.max("label").over(w), F.max("prediction").over(w))).alias("diag_max"))
+
+
+@register("drift_bars", f"""
+SELECT feature, ks_statistic, psi, drift_detected, 0.05 AS ks_warning, 0.1 AS psi_warning
+FROM ({S.drift_sql(EV_REF_SQL, EV_CUR_SQL, DRIFT_EVENT_COLS)})""".replace("0.05 AS ks_warning", "CAST(0.05 AS DOUBLE) AS ks_warning").replace("0.1 AS psi_warning", "CAST(0.1 AS DOUBLE) AS psi_warning"))
+def q_drift_bars(spark, sf):
+    """H-12: KS / PSI bars with warning lines."""
+    from ..operators.chartdata import drift_bars
+    from ..operators.drift import drift
+    ref, cur = _event_halves(spark, sf)
+    return drift_bars(drift(ref, cur, DRIFT_EVENT_COLS))
+
+
+@register("target_distribution", _hist_sql("orders", ["o_totalprice"], 30).replace("HAVING count(*) >= 5", "HAVING count(*) >= 1"))
+def q_target_distribution(spark, sf):
+    """H-9 (regression target): 30 equal-width bins of orders.o_totalprice."""
+    from ..operators.chartdata import target_distribution
+    return target_distribution(table(spark, sf, "orders"), "o_totalprice", "regression")
+
+
+@register("forecast_frame")
+def q_forecast_frame(spark, sf):
+    """H-8: train / actual / forecast rows of the Holt-Winters forecast per priority."""
+    from ..operators.chartdata import forecast_frame
+    from ..operators.forecast import forecast
+    return forecast_frame(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
