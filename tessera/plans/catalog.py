@@ -1209,3 +1209,19 @@ def q_forecast_frame(spark, sf):
     from ..operators.chartdata import forecast_frame
     from ..operators.forecast import forecast
     return forecast_frame(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
+
+
+# ---------------------------------------------------------------------------
+# D-13: streaming drift
+
+@register("drift_stream")
+def q_drift_stream(spark, sf):
+    """D-13: events replayed as a file stream; daily PSI / JS distance per feature against the
+    first half of the month as reference (windows finalized by a 1-hour watermark)."""
+    from ..streaming.drift_stream import drift_stream
+    ref, _ = _event_halves(spark, sf)
+    path = f"{sf.rstrip('/')}/event[s].parquet"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(path)
+    query, out = drift_stream(stream, ref, "ts", ["value", "user_id"], window="1 day", delay="1 hour")
+    query.awaitTermination()
+    return spark.read.parquet(out)
