@@ -110,6 +110,8 @@ def prepare(df: DataFrame, target: str | None, task: str, key_cols: Sequence[str
     elif target:
         base = base.withColumn("_label_raw", col(target).cast("double")) \
             .where(F.col("_label_raw").isNotNull() & ~F.isnan("_label_raw"))
+    if target:
+        base = base.drop(target)
     strata = "_label_raw" if task == "classification" else None
     split = materialize(hash_split(base, ["_key"], test_fraction, seed, strata))
     train_raw, test_raw = split.where(~F.col("is_test")), split.where(F.col("is_test"))
