@@ -24,6 +24,22 @@ from pyspark.sql import types as T
 from ..functions.exprs import col
 
 
+# Fixed value: a key's values are ordered inside one task only when a size check
+# proves the group holds at most this many (distinct) rows.
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def _max_group_rows(df: DataFrame, keys: list, value: str | None = None) -> int:
+    """Largest group size per key: exact row count, or (with ``value``) an HLL estimate
+    of distinct values, inflated by its error bound. One small aggregation job."""
+    if value is None:
+        agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
+    else:
+        agg = df.groupBy(*keys).agg((F.approx_count_distinct(value, 0.02) * 1.1).alias("_g"))
+    r = agg.agg(F.max("_g")).first()[0]
+    return int(r or 0)
+
+
 def _default_buckets(df: DataFrame) -> int:
     try:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -54,6 +70,11 @@ def running_totals(df: DataFrame, keys: Sequence[str], order, weights: Sequence[
     """
     keys = list(keys)
     orders = [order] if isinstance(order, str) else list(order)
+    if n_buckets is None and _max_group_rows(df, keys) <= SINGLE_TASK_ROWS:
+        # size-checked: every key fits one task, so a plain per-key window is exact and cheapest
+        wk = (Window.partitionBy(*keys).orderBy(*orders)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("*", *[F.sum(w).over(wk).alias(f"{w}{suffix}") for w in weights])
     lead = F.col(orders[0])
     if isinstance(df.schema[orders[0]].dataType, T.StringType):
         # monotone numeric proxy of byte order: first 7 UTF-8 bytes as a big-endian integer
@@ -96,36 +117,93 @@ def dense_codes(df: DataFrame, column: str, code: str, n_buckets: int | None = N
     return ranked.select(column, (F.col("_r") - 1).cast("double").alias(code))
 
 
+def _bucketed(df: DataFrame, keys: list, lead_name: str, weight: str, n_buckets: int | None):
+    """Tag rows with a value bucket (monotone in ``lead_name``) and return
+    ``(tagged, offsets)`` where ``offsets`` holds, per (keys, bucket), the bucket's
+    total weight and the total weight of all earlier buckets (keys x buckets rows)."""
+    lead = F.col(lead_name)
+    if isinstance(df.schema[lead_name].dataType, T.StringType):
+        lead = F.conv(F.rpad(F.substring(F.hex(F.substring(lead, 1, 7)), 1, 14), 14, "0"), 16, 10).cast("long")
+    b = n_buckets or max(_default_buckets(df), 64)
+    probs = [i / b for i in range(1, b)]
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(lead, probs, 10000).alias("_bounds"))
+    tagged = (df.join(bounds, keys, "left") if keys else df.crossJoin(bounds)) \
+        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < lead))).drop("_bounds")
+    bw = tagged.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_bw"))
+    prev = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bw.withColumn("_off", F.coalesce(F.sum("_bw").over(prev), F.lit(0)))
+    return tagged, offsets
+
+
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy/pandas default, DuckDB ``quantile_cont``).
 
     ``long`` holds ``keys..., value`` with missing values already removed.
     Returns ``keys..., p double, q double`` (one row per key and probability).
+
+    Distinct values with multiplicities are bucketed by an approximate sketch;
+    bucket totals locate the bucket holding each needed rank, and only those
+    buckets (at most two per probability) are sorted.
     """
     keys = list(keys)
     counted = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    cum = running_totals(counted, keys, value, ["_w"], n_buckets)
-    cum = cum.withColumn("_lo_rank", F.col("_w_cum") - F.col("_w"))  # ranks [lo_rank, _w_cum)
-    sizes = counted.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    targets = sizes.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
-                           "_n") \
-        .withColumn("_pos", F.col("p") * (F.col("_n") - 1)) \
-        .withColumn("_r0", F.floor("_pos")).withColumn("_r1", F.ceil("_pos"))
-    # targets: keys x len(probs) rows -- small, broadcast by AQE; each value row checks it.
-    joined = cum.join(targets, keys) \
-        .where(((F.col("_r0") >= F.col("_lo_rank")) & (F.col("_r0") < F.col("_w_cum")))
-               | ((F.col("_r1") >= F.col("_lo_rank")) & (F.col("_r1") < F.col("_w_cum"))))
-    hit0 = (F.col("_r0") >= F.col("_lo_rank")) & (F.col("_r0") < F.col("_w_cum"))
-    hit1 = (F.col("_r1") >= F.col("_lo_rank")) & (F.col("_r1") < F.col("_w_cum"))
-    agg = joined.groupBy(*keys, "p").agg(
-        F.max(F.when(hit0, F.col(value))).alias("_v0"),
-        F.max(F.when(hit1, F.col(value))).alias("_v1"),
-        F.first("_pos").alias("_pos"), F.first("_r0").alias("_r0"))
-    frac = F.col("_pos") - F.col("_r0")
+    if n_buckets is None and _max_group_rows(long, keys, value) <= SINGLE_TASK_ROWS:
+        # size-checked: the distinct values of each key fit one task's map
+        pct = F.percentile(F.col(value), [float(p) for p in probs], F.col("_w"))
+        return counted.groupBy(*keys).agg(pct.alias("_qs")).select(
+            *keys, F.posexplode("_qs").alias("_i", "q")).select(
+            *keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("p"), "q")
+    tagged, offsets = _bucketed(counted, keys, value, "_w", n_buckets)
+    sizes = offsets.groupBy(*keys).agg(F.sum("_bw").alias("_n"))
+    targets = sizes.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_n") \
+        .withColumn("_pos", F.col("p") * (F.col("_n") - 1))
+    ranks = targets.select(*keys, "p", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r")) \
+        .distinct()
+    # which bucket holds each rank: offsets is keys x buckets rows
+    where = ranks.join(offsets, keys).where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bw"))) \
+        .select(*keys, "p", "_pos", "_r", "_bucket", "_off")
+    need = where.select(*keys, "_bucket").distinct()
+    chosen = tagged.join(F.broadcast(need) if len(keys) <= 1 else need, keys + ["_bucket"], "left_semi")
+    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chosen.withColumn("_c", F.sum("_w").over(w))
+    hit = local.join(where, keys + ["_bucket"]) \
+        .where((F.col("_r") >= F.col("_off") + F.col("_c") - F.col("_w")) & (F.col("_r") < F.col("_off") + F.col("_c")))
+    agg = hit.groupBy(*keys, "p").agg(
+        F.max(F.when(F.col("_r") == F.floor("_pos"), F.col(value))).alias("_v0"),
+        F.max(F.when(F.col("_r") == F.ceil("_pos"), F.col(value))).alias("_v1"),
+        F.first("_pos").alias("_pos"))
+    frac = F.col("_pos") - F.floor("_pos")
     return agg.select(*keys, "p", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac).alias("q"))
 
 
+def first_k_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: F.Column | str,
+                 name: str, n_buckets: int | None = None) -> DataFrame:
+    """Flag the first ``k`` rows per key in a unique lexicographic ``order``.
+
+    Exact without sorting everything: bucket totals decide whole buckets; only
+    the bucket that straddles rank ``k`` is sorted. ``k`` is a column of ``df``
+    (constant within a key) or a literal-valued Column."""
+    keys, order = list(keys), list(order)
+    kc = k if isinstance(k, F.Column) else F.col(k)
+    if n_buckets is None and _max_group_rows(df, keys) <= SINGLE_TASK_ROWS:
+        w = Window.partitionBy(*keys).orderBy(*order)  # size-checked: each key fits one task
+        return df.withColumn(name, F.row_number().over(w) <= kc)
+    base = df.withColumn("_k", kc).withColumn("_one", F.lit(1))
+    tagged, offsets = _bucketed(base, keys, order[0], "_one", n_buckets)
+    kk = base.groupBy(*keys).agg(F.max("_k").alias("_kk"))
+    cls = offsets.join(kk, keys).select(
+        *keys, "_bucket", "_off",
+        F.when(F.col("_off") + F.col("_bw") <= F.col("_kk"), F.lit("in"))
+         .when(F.col("_off") >= F.col("_kk"), F.lit("out")).otherwise(F.lit("split")).alias("_cls"))
+    t = tagged.join(cls, keys + ["_bucket"])
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    edge = t.where(F.col("_cls") == "split").withColumn(
+        name, F.col("_off") + F.row_number().over(w) <= F.col("_k"))
+    rest = t.where(F.col("_cls") != "split").withColumn(name, F.col("_cls") == "in")
+    return edge.unionByName(rest).drop("_k", "_one", "_bucket", "_off", "_cls")
+
+
 def quantile_columns(long: DataFrame, keys: Sequence[str], value: str,
                      named_probs: dict[str, float], exact: bool = True,
                      accuracy: int = 100000) -> DataFrame:

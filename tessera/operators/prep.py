@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import col, split_hash
 from ..session import materialize
-from .order_stats import dense_codes, quantile_columns, row_ranks, to_long
+from .order_stats import dense_codes, first_k_flag, quantile_columns, to_long
 
 # Fixed values.
 TEST_FRACTION = 0.2
@@ -78,11 +78,11 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = TE
     key = F.concat_ws("|", *[col(c).cast("string") for c in key_cols])
     tagged = df.withColumn("_skey", key).withColumn("_h", split_hash(F.col("_skey"), seed))
     groups = [strata] if strata else []
-    sizes = tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_ranks(tagged, groups, ["_h", "_skey"], "_rank")
-    joined = ranked.join(sizes, groups) if groups else ranked.crossJoin(sizes)
-    return joined.withColumn(name, F.col("_rank") <= F.ceil(F.col("_n") * test_fraction)) \
-        .drop("_skey", "_h", "_rank", "_n")
+    # the flag sorts only the hash bucket that straddles the cut of each stratum
+    sized = tagged.join(tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups) if groups \
+        else tagged.crossJoin(tagged.agg(F.count(F.lit(1)).alias("_n")))
+    flagged = first_k_flag(sized, groups, ["_h", "_skey"], F.ceil(F.col("_n") * test_fraction), name)
+    return flagged.drop("_skey", "_h", "_n")
 
 
 def standardize(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:

@@ -51,11 +51,13 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_n")]
+    distincts = []
     for i, f in enumerate(fields):
         v = clean_value(col(f.name), f.dataType)
         kind = kind_of(f.dataType)
         distinct = F.count_distinct(v) if exact else F.approx_count_distinct(v)
-        aggs += [F.count(v).alias(f"_nn{i}"), distinct.alias(f"_nu{i}")]
+        aggs.append(F.count(v).alias(f"_nn{i}"))
+        distincts.append(distinct.alias(f"_nu{i}"))
         if kind == "numeric":
             d = v.cast("double")
             aggs += [F.min(d).alias(f"_mn{i}"), F.max(d).alias(f"_mx{i}"),
@@ -63,7 +65,9 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         if kind == "string":
             # every non-null value must parse (bool_and skips nulls); no non-null -> not datetime
             aggs.append(F.bool_and(F.when(v.isNotNull(), parses_as_datetime(v))).alias(f"_dt{i}"))
-    one = df.agg(*aggs)
+    # Two one-row aggregates: exact DISTINCT counts expand every input row once per
+    # column, and must not drag the ~5 plain aggregates per column through that Expand.
+    one = df.agg(*aggs).crossJoin(df.agg(*distincts)) if exact else df.agg(*aggs, *distincts)
     null_d = F.lit(None).cast("double")
     rows = []
     for i, f in enumerate(fields):

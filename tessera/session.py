@@ -61,8 +61,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
+def ensure_parallel(df):
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A large table already arrives in thousands of splits and is returned as is;
+    a single small file (one row group = one task) is round-robin repartitioned
+    once so the per-row work that follows (unpivots, Expand, hashing) uses every
+    core. Round-robin repartition sorts locally first, so retries are stable.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, target // 2):
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def materialize(df):
