@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, ks_pvalue, rnd
-from .order_stats import exact_quantiles, running_totals
+from ..session import materialize
+from .order_stats import running_totals, weighted_quantiles
 from .stats import bin_index
 
 # Drift thresholds.
@@ -43,58 +44,62 @@ def _tagged_long(reference: DataFrame, current: DataFrame, cols: Sequence[str],
 
 def drift(reference: DataFrame, current: DataFrame, cols: Sequence[str],
           segments: Sequence[str] = ()) -> DataFrame:
-    """One row per (segment..., feature) with both sides holding >= 5 values."""
+    """One row per (segment..., feature) with both sides holding >= 5 values.
+
+    One pass over the raw rows builds the per-value count table
+    ``(segment..., feature, value, c0, c1)``; it is materialized once (reliable
+    checkpoint) and every statistic -- moments, KS, PSI edges and bins, JS bins --
+    is computed from that reduced table. A value repeated a billion times is one row.
+    """
     keys = list(segments) + ["feature"]
     long = _tagged_long(reference, current, cols, segments)
-    sizes = long.groupBy(*keys).agg(
-        F.count_if(F.col("side") == 0).alias("n_train"), F.count_if(F.col("side") == 1).alias("n_test"),
-        F.avg(F.when(F.col("side") == 0, F.col("value"))).alias("_m0"),
-        F.avg(F.when(F.col("side") == 1, F.col("value"))).alias("_m1"),
-        F.stddev_pop(F.when(F.col("side") == 0, F.col("value"))).alias("_s0"),
-        F.stddev_pop(F.when(F.col("side") == 1, F.col("value"))).alias("_s1"),
+    vc = materialize(long.groupBy(*keys, "value").agg(
+        F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1")))
+    c0, c1, v = F.col("c0"), F.col("c1"), F.col("value")
+    first = vc.groupBy(*keys).agg(
+        F.sum("c0").alias("n_train"), F.sum("c1").alias("n_test"),
+        (F.sum(c0 * v) / F.sum("c0")).alias("_m0"), (F.sum(c1 * v) / F.sum("c1")).alias("_m1"),
         F.min("value").alias("_lo"), F.max("value").alias("_hi")) \
         .where((F.col("n_train") >= MIN_VALUES) & (F.col("n_test") >= MIN_VALUES))
-    # sizes: one row per (segment, feature) -- the small side of every join below
-    valid = long.join(sizes.select(*keys, "n_train", "n_test", "_lo", "_hi"), keys)
-
-    # KS: distinct values with side counts -> running totals -> max |F0 - F1|
-    vc = valid.groupBy(*keys, "value").agg(F.count_if(F.col("side") == 0).alias("c0"),
-                                          F.count_if(F.col("side") == 1).alias("c1"),
-                                          F.first("n_train").alias("n_train"), F.first("n_test").alias("n_test"))
-    cum = running_totals(vc, keys, "value", ["c0", "c1"])
+    # second moment around the side means (two passes over the small table: stable)
+    spread = vc.join(first.select(*keys, "_m0", "_m1"), keys).groupBy(*keys).agg(
+        F.sqrt(F.sum(c0 * (v - F.col("_m0")) * (v - F.col("_m0"))) / F.sum("c0")).alias("_s0"),
+        F.sqrt(F.sum(c1 * (v - F.col("_m1")) * (v - F.col("_m1"))) / F.sum("c1")).alias("_s1"))
+    sizes = first.join(spread, keys)
+    valid = vc.join(first.select(*keys, "n_train", "n_test", "_lo", "_hi"), keys)
+
+    # KS: running totals over distinct values -> max |F0 - F1|
+    cum = running_totals(valid, keys, "value", ["c0", "c1"])
     ks = cum.groupBy(*keys).agg(F.max(F.abs(F.col("c0_cum") / F.col("n_train")
                                             - F.col("c1_cum") / F.col("n_test"))).alias("ks_statistic"))
 
     # PSI: distinct reference deciles as edges; out-of-range current values dropped
-    ref_long = valid.where(F.col("side") == 0)
-    qs = exact_quantiles(ref_long, keys, "value", [i / PSI_BINS for i in range(PSI_BINS + 1)])
+    qs = weighted_quantiles(valid, keys, "value", "c0", [i / PSI_BINS for i in range(PSI_BINS + 1)])
     edges = qs.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
     nb = F.size("edges") - 1
     raw_bin = F.size(F.filter(F.col("edges"), lambda e: e <= F.col("value"))) - 1
-    binned = valid.join(edges, keys).where(nb >= 2) \
+    bin_counts = valid.join(edges, keys).where(nb >= 2) \
         .where((F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))) \
-        .withColumn("bin", F.least(raw_bin, nb - 1))
-    bin_counts = binned.groupBy(*keys, "bin").agg(F.count_if(F.col("side") == 0).alias("c0"),
-                                                 F.count_if(F.col("side") == 1).alias("c1"))
+        .withColumn("bin", F.least(raw_bin, nb - 1)) \
+        .groupBy(*keys, "bin").agg(F.sum("c0").alias("b0"), F.sum("c1").alias("b1"))
     grid = edges.where(nb >= 2).select(*keys, F.explode(F.sequence(F.lit(0), nb - 1)).alias("bin"),
                                        nb.alias("nb"))
     pq = grid.join(bin_counts, keys + ["bin"], "left").join(sizes.select(*keys, "n_train", "n_test"), keys) \
-        .select(*keys, ((F.coalesce("c0", F.lit(0)) + 1) / (F.col("n_train") + F.col("nb"))).alias("p"),
-                ((F.coalesce("c1", F.lit(0)) + 1) / (F.col("n_test") + F.col("nb"))).alias("q"))
+        .select(*keys, ((F.coalesce("b0", F.lit(0)) + 1) / (F.col("n_train") + F.col("nb"))).alias("p"),
+                ((F.coalesce("b1", F.lit(0)) + 1) / (F.col("n_test") + F.col("nb"))).alias("q"))
     psi = pq.groupBy(*keys).agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
 
     # JS distance on pooled equal-width bins
     lo = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     hi = F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     jbin = valid.withColumn("bin", bin_index(F.col("value"), lo, hi, JS_BINS)) \
-        .groupBy(*keys, "bin").agg(F.count_if(F.col("side") == 0).alias("c0"),
-                                   F.count_if(F.col("side") == 1).alias("c1"))
+        .groupBy(*keys, "bin").agg(F.sum("c0").alias("b0"), F.sum("c1").alias("b1"))
     jgrid = sizes.select(*keys, "n_train", "n_test", (hi - lo).alias("_range"),
                          F.explode(F.sequence(F.lit(0), F.lit(JS_BINS - 1))).alias("bin"))
     width = F.col("_range") / JS_BINS
     dens = jgrid.join(jbin, keys + ["bin"], "left").select(
-        *keys, (F.coalesce("c0", F.lit(0)) / (F.col("n_train") * width) + JS_EPS).alias("p"),
-        (F.coalesce("c1", F.lit(0)) / (F.col("n_test") * width) + JS_EPS).alias("q"))
+        *keys, (F.coalesce("b0", F.lit(0)) / (F.col("n_train") * width) + JS_EPS).alias("p"),
+        (F.coalesce("b1", F.lit(0)) / (F.col("n_test") * width) + JS_EPS).alias("q"))
     from pyspark.sql import Window
     wk = Window.partitionBy(*keys)  # 20 rows per key: a window over the bin grid, not the data
     normed = dens.select(*keys, (F.col("p") / F.sum("p").over(wk)).alias("p"),

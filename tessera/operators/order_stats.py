@@ -141,19 +141,34 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
 
     ``long`` holds ``keys..., value`` with missing values already removed.
     Returns ``keys..., p double, q double`` (one row per key and probability).
+    """
+    keys = list(keys)
+    counted = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    small = n_buckets is None and _max_group_rows(long, keys, value) <= SINGLE_TASK_ROWS
+    return weighted_quantiles(counted, keys, value, "_w", probs, n_buckets, single_task=small)
 
-    Distinct values with multiplicities are bucketed by an approximate sketch;
+
+def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weight: str,
+                       probs: Sequence[float], n_buckets: int | None = None,
+                       single_task: bool | None = None) -> DataFrame:
+    """Exact quantiles of a distribution given as distinct ``value`` rows with integer
+    multiplicities ``weight`` (rows with weight 0 are ignored).
+
+    Size-checked small groups use Spark's ``percentile`` with frequencies (one
+    task per key). Otherwise values are bucketed by an approximate sketch,
     bucket totals locate the bucket holding each needed rank, and only those
     buckets (at most two per probability) are sorted.
     """
     keys = list(keys)
-    counted = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    if n_buckets is None and _max_group_rows(long, keys, value) <= SINGLE_TASK_ROWS:
-        # size-checked: the distinct values of each key fit one task's map
-        pct = F.percentile(F.col(value), [float(p) for p in probs], F.col("_w"))
+    counted = counted.where(F.col(weight) > 0)
+    if single_task is None:
+        single_task = n_buckets is None and _max_group_rows(counted, keys) <= SINGLE_TASK_ROWS
+    if single_task:
+        pct = F.percentile(F.col(value), [float(p) for p in probs], F.col(weight))
         return counted.groupBy(*keys).agg(pct.alias("_qs")).select(
             *keys, F.posexplode("_qs").alias("_i", "q")).select(
             *keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("p"), "q")
+    counted = counted.withColumnRenamed(weight, "_w") if weight != "_w" else counted
     tagged, offsets = _bucketed(counted, keys, value, "_w", n_buckets)
     sizes = offsets.groupBy(*keys).agg(F.sum("_bw").alias("_n"))
     targets = sizes.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_n") \

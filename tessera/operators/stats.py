@@ -163,11 +163,13 @@ def normality_k2(df: DataFrame, cols: Sequence[str], alpha: float = NORMAL_ALPHA
     return mom.select("column_name", "n", safe4(p, 6).alias("p_value"), (p > alpha).alias("is_normal"))
 
 
-def correlations(df: DataFrame, cols: Sequence[str], batch: int = 200) -> DataFrame:
+def correlations(df: DataFrame, cols: Sequence[str], batch: int = 8) -> DataFrame:
     """E-9: pairwise-complete Pearson r for every ordered pair (full square), undefined -> 0.
 
     ``corr`` raises under ANSI on a constant column, so r is
-    ``try_divide(covar_pop, stddev_pop * stddev_pop)`` over the pair's complete rows.
+    ``try_divide(covar_pop(a, b), sqrt(covar_pop(a, a) * covar_pop(b, b)))`` over the
+    pair's complete rows. Pairs are aggregated ``batch`` at a time: a few hundred
+    moment aggregates in one projection exceed the whole-stage codegen method limit.
     """
     cols = list(cols)
     if len(cols) < 2:
@@ -182,7 +184,7 @@ def correlations(df: DataFrame, cols: Sequence[str], batch: int = 200) -> DataFr
         for j, (a, b) in enumerate(chunk):
             va = F.when(vals[b].isNotNull(), vals[a])
             vb = F.when(vals[a].isNotNull(), vals[b])
-            r = F.try_divide(F.covar_pop(va, vb), F.stddev_pop(va) * F.stddev_pop(vb))
+            r = F.try_divide(F.covar_pop(va, vb), F.sqrt(F.covar_pop(va, va) * F.covar_pop(vb, vb)))
             aggs.append(safe4(r).alias(f"_r{j}"))
         one = df.agg(*aggs)
         structs = []

@@ -86,5 +86,10 @@ def materialize(df):
     Used where a composed operator would otherwise re-plan (and re-run) a deep
     DAG several times; survives executor loss, unlike a local checkpoint.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # without persisting, the checkpoint write recomputes the whole plan a second time
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
