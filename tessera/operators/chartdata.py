@@ -73,8 +73,9 @@ def radar_frame(radar: DataFrame, n_models: int = RADAR_CHART_MODELS) -> DataFra
     """H-11: first four models, each polygon closed by repeating its first axis."""
     first = radar.withColumn("_m", F.dense_rank().over(Window.partitionBy("run_id").orderBy("run_pos"))) \
         .where(F.col("_m") <= n_models).drop("_m")
-    n_axes = F.max("axis_pos").over(Window.partitionBy("run_id", "model_key")) + 1
-    closing = first.where(F.col("axis_pos") == 0).withColumn("axis_pos", n_axes)
+    n_axes = F.max("axis_pos").over(Window.partitionBy("run_id", "model_key")) + 1  # <= 5 rows per model
+    closing = first.withColumn("_n", n_axes).where(F.col("axis_pos") == 0) \
+        .withColumn("axis_pos", F.col("_n")).drop("_n")
     return first.unionByName(closing)
 
 

@@ -1225,3 +1225,87 @@ def q_drift_stream(spark, sf):
     query, out = drift_stream(stream, ref, "ts", ["value", "user_id"], window="1 day", delay="1 hour")
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# M-14 / M-15 and the remaining chart frames
+
+def _scaled_customer(spark, sf):
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    v = VectorAssembler(inputCols=["c_acctbal", "c_nationkey"], outputCol="_v").transform(c)
+    return StandardScaler(inputCol="_v", outputCol="v", withMean=True, withStd=True).fit(v).transform(v) \
+        .select("c_custkey", "v")
+
+
+@register("density_clusters")
+def q_density_clusters(spark, sf):
+    """M-14 re-aim: grid-density clustering (eps 0.5, min_samples 5) of standardized customer
+    balance and nation; cluster sizes with noise (-1) included (V-13)."""
+    from ..operators.cluster import grid_density_clusters
+    from ..operators.evaluate import cluster_sizes
+    return cluster_sizes(grid_density_clusters(_scaled_customer(spark, sf), "v", "c_custkey"), "cluster")
+
+
+@register("agglomerative_clusters")
+def q_agglomerative_clusters(spark, sf):
+    """M-15 re-aim: Ward merge of k-means micro-clusters (k=3) on embeddings, with its metrics."""
+    from ..operators.cluster import ward_agglomerative
+    from ..operators.evaluate import cluster_metrics
+    e = table(spark, sf, "embeddings")
+    labels = materialize(ward_agglomerative(e, "embedding", "vec_id", k=3))
+    return cluster_metrics(e.join(labels, "vec_id"), "embedding", "vec_id", "cluster")
+
+
+@register("class_counts", f"""
+SELECT label AS code, count(*) AS n, 'actual' AS series FROM ({CLS_PRED_SQL}) GROUP BY label
+UNION ALL
+SELECT prediction, count(*), 'predicted' FROM ({CLS_PRED_SQL}) GROUP BY prediction""")
+def q_class_counts(spark, sf):
+    """H-3: actual vs predicted class counts of the length rule."""
+    from ..operators.chartdata import class_counts
+    return class_counts(_cls_pred(spark, sf))
+
+
+@register("radar_frame", f"""
+WITH r AS (SELECT * FROM ({ORACLE['radar']})),
+f AS (SELECT * FROM r WHERE run_pos IN (SELECT DISTINCT run_pos FROM r ORDER BY run_pos LIMIT 4))
+SELECT * FROM f
+UNION ALL
+SELECT run_id, model_key, model_name, run_pos,
+       (SELECT max(axis_pos) + 1 FROM f f2 WHERE f2.model_key = f.model_key) AS axis_pos, axis_label, value
+FROM f WHERE axis_pos = 0""")
+def q_radar_frame(spark, sf):
+    """H-11: first four arena models, polygons closed."""
+    from ..operators.arena import radar
+    from ..operators.chartdata import radar_frame
+    r = radar(_ols_arena(spark, sf), "regression").withColumn("value", F.col("value") + F.lit(0.0))
+    return radar_frame(r).withColumn("axis_pos", F.col("axis_pos").cast("int"))
+
+
+@register("importance_bars")
+def q_importance_bars(spark, sf):
+    """V-7 + H-5: random-forest importances for orders.o_totalprice, top 15 with median highlight."""
+    from ..operators.chartdata import importance_bars
+    from ..operators.models import estimator, feature_importance
+    from ..operators.prep import assemble, prepare
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus",
+                                          "o_totalprice")
+    prep = prepare(o, "o_totalprice", "regression", ["o_orderkey"])
+    model = estimator("random_forest_reg", "regression", 0, 0).fit(assemble(prep["train"], prep["features"]))
+    return importance_bars(feature_importance(model, prep["features"], spark))
+
+
+@register("cluster_scatter")
+def q_cluster_scatter(spark, sf):
+    """V-15 + H-6/H-7: k-means labels on the 2-D PCA of embeddings, with cluster shares."""
+    from pyspark.ml.functions import array_to_vector
+    from ..operators.chartdata import cluster_scatter
+    from ..operators.evaluate import pca_2d
+    from ..operators.models import kmeans
+    e = table(spark, sf, "embeddings")
+    vec = e.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    labels, _ = kmeans(vec, "v", "vec_id", k=3)
+    sc = cluster_scatter(pca_2d(e, "embedding", "vec_id"), labels, "vec_id")
+    share = sc.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return sc.join(share, "label")
