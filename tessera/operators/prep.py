@@ -59,11 +59,20 @@ def medians(fit: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
-    """X-4: median imputation (exact, fitted on ``fit``); all-missing column -> 0."""
-    med = medians(fit if fit is not None else df, cols).select(*[col(c).alias(f"_med_{c}") for c in cols])
+    """X-4: median imputation (exact, fitted on ``fit``); all-missing column -> 0.
+
+    Missing values are counted first (one cheap aggregate over ``df``); medians
+    -- an exact quantile job -- are computed only for columns that need them."""
+    cols = list(cols)
+    d = {c: col(c).cast("double") for c in cols}
+    miss = df.agg(*[F.count_if(d[c].isNull() | F.isnan(d[c])).alias(c) for c in cols]).first()
+    need = [c for c in cols if miss[c] > 0]
+    filled = {c: F.when(~F.isnan(d[c]), d[c]) for c in cols}
+    if not need:
+        return df.select(*[filled[c].alias(c) if c in cols else col(c) for c in df.columns])
+    med = medians(fit if fit is not None else df, need).select(*[col(c).alias(f"_med_{c}") for c in need])
     joined = df.crossJoin(F.broadcast(med))  # one row
-    return joined.select(*[F.coalesce(F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")),
-                                      F.col(f"_med_{c}"), F.lit(0.0)).alias(c)
+    return joined.select(*[(F.coalesce(filled[c], F.col(f"_med_{c}"), F.lit(0.0)) if c in need else filled[c]).alias(c)
                            if c in cols else col(c) for c in df.columns])
 
 

@@ -220,13 +220,17 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bo
         safe4(F.col("lower")).alias("lower_bound"), safe4(F.col("upper")).alias("upper_bound"))
 
 
-def quality_score(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """E-11 + E-13: one row with the inputs, the score (1 dp), grade and missing-cell share."""
+def quality_score(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True,
+                  outliers: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """E-11 + E-13: one row with the inputs, the score (1 dp), grade and missing-cell share.
+    ``outliers`` / ``missing`` accept already computed ``iqr_outliers`` / ``missing_counts``."""
     n_cols = len(df.columns)
-    miss = missing_counts(df).groupBy().agg(F.max("n_rows").alias("n_rows"),
-                                            F.sum("n_missing").alias("total_missing_cells"))
+    miss = (missing if missing is not None else missing_counts(df)).groupBy().agg(
+        F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("total_missing_cells"))
     dups = duplicate_rows(df)
-    if numeric_cols:
+    if outliers is not None:
+        outl = outliers.agg(F.avg("pct").alias("mean_outlier_pct"))
+    elif numeric_cols:
         outl = iqr_outliers(df, numeric_cols, exact=exact).agg(F.avg("pct").alias("mean_outlier_pct"))
     else:
         outl = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean_outlier_pct"))
