@@ -136,18 +136,28 @@ def _bucketed(df: DataFrame, keys: list, lead_name: str, weight: str, n_buckets:
 
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
+                    probs: Sequence[float], n_buckets: int | None = None,
+                    max_distinct: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy/pandas default, DuckDB ``quantile_cont``).
 
     ``long`` holds ``keys..., value`` with missing values already removed.
     Returns ``keys..., p double, q double`` (one row per key and probability).
+    ``max_distinct`` is a caller-supplied bound on distinct values per key (e.g. from
+    an HLL sketch folded into an aggregate it runs anyway); without it one is measured.
     """
     keys = list(keys)
     counted = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    small = n_buckets is None and _max_group_rows(long, keys, value) <= SINGLE_TASK_ROWS
+    if max_distinct is None and n_buckets is None:
+        max_distinct = _max_group_rows(long, keys, value)
+    small = n_buckets is None and max_distinct <= SINGLE_TASK_ROWS
     return weighted_quantiles(counted, keys, value, "_w", probs, n_buckets, single_task=small)
 
 
+def distinct_bound(col_expr) -> F.Column:
+    """Aggregate giving a safe upper estimate of distinct values (HLL + its error margin)."""
+    return (F.approx_count_distinct(col_expr, 0.02) * 1.1 + 100).cast("long")
+
+
 def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weight: str,
                        probs: Sequence[float], n_buckets: int | None = None,
                        single_task: bool | None = None) -> DataFrame:
@@ -221,14 +231,14 @@ def first_k_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: F.
 
 def quantile_columns(long: DataFrame, keys: Sequence[str], value: str,
                      named_probs: dict[str, float], exact: bool = True,
-                     accuracy: int = 100000) -> DataFrame:
+                     accuracy: int = 100000, max_distinct: int | None = None) -> DataFrame:
     """Wide form: one row per key with one column per named probability."""
     keys = list(keys)
     if not exact:
         arr = F.percentile_approx(F.col(value), list(named_probs.values()), accuracy)
         return long.groupBy(*keys).agg(arr.alias("_qs")).select(
             *keys, *[F.col("_qs")[i].alias(n) for i, n in enumerate(named_probs)])
-    qs = exact_quantiles(long, keys, value, list(named_probs.values()))
+    qs = exact_quantiles(long, keys, value, list(named_probs.values()), max_distinct=max_distinct)
     return qs.groupBy(*keys).agg(*[
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n)
         for n, p in named_probs.items()])

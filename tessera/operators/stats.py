@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import (clean_value, col, dagostino_k2_pvalue, is_missing, rnd, safe4,
                                sample_excess_kurtosis, sample_skewness)
-from .order_stats import quantile_columns, to_long, top_k
+from .order_stats import distinct_bound, quantile_columns, to_long, top_k
 
 # Thresholds of the exploratory report.
 HIST_BINS = 20
@@ -68,13 +68,24 @@ def missing_table(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """E-4a-d: mean, median, sample std, min, max, q25, q75, G1 skewness, G2 excess kurtosis."""
+    """E-4a-d: mean, median, sample std, min, max, q25, q75, G1 skewness, G2 excess kurtosis.
+
+    Two passes: moments plus a distinct-count sketch per column (k rows, read on the
+    driver to pick the quantile strategy), then the exact quantiles."""
     long = to_long(df, cols)
-    moments = long.groupBy("column_name").agg(
+    mom = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"),
         F.min("value").alias("_min"), F.max("value").alias("_max"),
-        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
-    qs = quantile_columns(long, ["column_name"], "value", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75}, exact=exact)
+        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"), distinct_bound(F.col("value")).alias("_nd"))
+    rows = mom.collect()  # one row per column
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, n long, mean double, median double, "
+                                                   "std double, min double, max double, q25 double, q75 double, "
+                                                   "skewness double, kurtosis double")
+    moments = df.sparkSession.createDataFrame(rows, mom.schema)
+    bound = max(r["_nd"] for r in rows)
+    qs = quantile_columns(long, ["column_name"], "value", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75}, exact=exact,
+                          max_distinct=bound)
     return moments.join(qs, "column_name").select(
         "column_name", "n", safe4(F.col("_mean")).alias("mean"), safe4(F.col("_median")).alias("median"),
         safe4(F.col("_std")).alias("std"), safe4(F.col("_min")).alias("min"), safe4(F.col("_max")).alias("max"),
@@ -201,22 +212,28 @@ def correlations(df: DataFrame, cols: Sequence[str], batch: int = 8) -> DataFram
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool = True) -> DataFrame:
     long = to_long(df, cols)
-    qs = quantile_columns(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, exact=exact)
-    n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    sizes = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), distinct_bound(F.col("value")).alias("_nd"))
+    rows = sizes.collect()  # one row per column
+    bound = max((r["_nd"] for r in rows), default=0)
+    qs = quantile_columns(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, exact=exact, max_distinct=bound)
+    n = df.sparkSession.createDataFrame([(r["column_name"], r["n"]) for r in rows], "column_name string, n long")
     iqr = F.col("q3") - F.col("q1")
     return qs.join(n, "column_name").select("column_name", "n", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
-                                       (F.col("q3") + k * iqr).alias("upper"))
+                                            (F.col("q3") + k * iqr).alias("upper"))
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool = True) -> DataFrame:
-    """E-10: strict IQR fences; columns with n >= 4 and at least one outlier."""
+    """E-10: strict IQR fences; columns with n >= 4 and at least one outlier.
+    Outliers are counted on the per-value table the quantiles already built."""
     fences = iqr_fences(df, cols, k, exact).where(F.col("n") >= MIN_ROWS_OUTLIERS)
-    long = to_long(df, cols)
-    flagged = long.join(F.broadcast(fences.select("column_name", "lower", "upper")), "column_name") \
-        .groupBy("column_name").agg(F.count_if((F.col("value") < F.col("lower")) |
-                                          (F.col("value") > F.col("upper"))).alias("n_outliers"))
+    counted = to_long(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_w"))
+    flagged = counted.join(F.broadcast(fences.select("column_name", "lower", "upper")), "column_name") \
+        .groupBy("column_name").agg(F.sum(F.when((F.col("value") < F.col("lower")) |
+                                                 (F.col("value") > F.col("upper")), F.col("_w")).otherwise(0))
+                                    .alias("n_outliers"))
     return flagged.join(fences, "column_name").where(F.col("n_outliers") > 0).select(
-        "column_name", "n_outliers", F.round(F.col("n_outliers") * 100.0 / F.col("n"), 2).alias("pct"),
+        "column_name", F.col("n_outliers").cast("long").alias("n_outliers"),
+        F.round(F.col("n_outliers") * 100.0 / F.col("n"), 2).alias("pct"),
         safe4(F.col("lower")).alias("lower_bound"), safe4(F.col("upper")).alias("upper_bound"))
 
 
