@@ -117,7 +117,7 @@ def table_summary(profile: DataFrame) -> DataFrame:
         F.max(F.col("is_datetime").cast("int")).cast("boolean").alias("has_datetime"))
 
 
-def sample_values(df: DataFrame, order_col: str | None = None, k: int = 5) -> DataFrame:
+def sample_values(df: DataFrame, order_col: str | None = None, k: int = 5, long_form: bool = False) -> DataFrame:
     """P-8: first ``k`` non-null values per column as strings, ordered by ``order_col``
     (or by the value itself when no order is given). Two-stage top-k, no hot task."""
     from .order_stats import top_k
@@ -128,6 +128,8 @@ def sample_values(df: DataFrame, order_col: str | None = None, k: int = 5) -> Da
         .where(F.col("value").isNotNull())
     order = [F.col("_ord"), F.col("value")] if order_col else [F.col("value")]
     ranked = top_k(long, ["column_name"], order, k)
+    if long_form:
+        return ranked.select("column_name", "rank", "value")
     return ranked.groupBy("column_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
                     lambda s: s["value"]).alias("sample_values"))

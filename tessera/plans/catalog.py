@@ -1309,3 +1309,110 @@ def q_cluster_scatter(spark, sf):
     sc = cluster_scatter(pca_2d(e, "embedding", "vec_id"), labels, "vec_id")
     share = sc.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     return sc.join(share, "label")
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks and the remaining small operators
+
+def _scratch(spark, name):
+    """A fresh folder under the session's checkpoint directory (shared storage on a cluster)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", f"""
+SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_customers, {S.rnd('sum(o_totalprice)', 2)} AS total_price,
+       count(DISTINCT o_orderpriority) AS n_priorities, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day
+FROM orders""")
+def q_csv_roundtrip(spark, sf):
+    """S-1/S-4/S-5/S-6/S-12: orders written as CSV with header, loaded back by extension with
+    type inference and cleaning, then aggregated."""
+    from ..functions.exprs import rnd
+    from ..sources.readers import load, write_csv
+    path = _scratch(spark, "orders-csv") + "/orders.csv"
+    write_csv(table(spark, sf, "orders"), path)
+    o = load(spark, path)
+    return o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_customers"),
+                 rnd(F.sum("o_totalprice"), 2).alias("total_price"),
+                 F.count_distinct("o_orderpriority").alias("n_priorities"),
+                 F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"))
+
+
+@register("json_roundtrip", """
+SELECT count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS total_chars, count(DISTINCT lang) AS n_langs,
+       count(*) FILTER (WHERE text IS NULL) AS null_texts
+FROM documents""")
+def q_json_roundtrip(spark, sf):
+    """S-3/S-13: documents written as JSON lines (``to_json`` per row), loaded back and aggregated."""
+    from ..sources.readers import load, to_json_rows
+    path = _scratch(spark, "documents-json") + "/documents.json"
+    to_json_rows(table(spark, sf, "documents")).write.text(path)
+    d = load(spark, path)
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").cast("long").alias("total_chars"),
+                 F.count_distinct("lang").alias("n_langs"), F.count_if(F.col("text").isNull()).alias("null_texts"))
+
+
+@register("sample_values", """
+WITH l AS (SELECT 'o_custkey' AS column_name, o_orderkey AS ord, CAST(o_custkey AS VARCHAR) AS value FROM orders
+           WHERE o_custkey IS NOT NULL
+           UNION ALL SELECT 'o_orderstatus', o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL
+           UNION ALL SELECT 'o_totalprice', o_orderkey, CAST(o_totalprice AS VARCHAR) FROM orders WHERE o_totalprice IS NOT NULL),
+r AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY ord, value) AS rank FROM l)
+SELECT column_name, rank, value FROM r WHERE rank <= 5""")
+def q_sample_values(spark, sf):
+    """P-8: first five non-null values per column in key order (two-stage top-k)."""
+    from ..operators.profile import sample_values
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return sample_values(o, "o_orderkey", long_form=True)
+
+
+@register("class_names", """
+SELECT CAST(dense_rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS code, v AS class_name
+FROM (SELECT DISTINCT coalesce(o_orderpriority, 'nan') AS v FROM orders)""")
+def q_class_names(spark, sf):
+    """V-6 / X-5: class codes in code-point order, null as 'nan'."""
+    from ..operators.order_stats import dense_codes
+    o = table(spark, sf, "orders").select(F.coalesce(F.col("o_orderpriority"), F.lit("nan")).alias("class_name"))
+    return dense_codes(o, "class_name", "code")
+
+
+@register("split_sizes", f"""
+SELECT count(*) FILTER (WHERE NOT is_test) AS train_size, count(*) FILTER (WHERE is_test) AS test_size,
+       {len(LI_FEATURES)} AS n_features FROM ({_li_split_sql()})""")
+def q_split_sizes(spark, sf):
+    """V-9: train/test sizes of the exact 80/20 hash split and the feature count."""
+    from ..operators.prep import hash_split
+    s = hash_split(table(spark, sf, "lineitem").select(*LI_KEYS), LI_KEYS)
+    return s.agg(F.count_if(~F.col("is_test")).alias("train_size"), F.count_if("is_test").alias("test_size"),
+                 F.lit(len(LI_FEATURES)).alias("n_features"))
+
+
+@register("datetime_columns", f"""
+SELECT column_name, position FROM ({profile_sql('orders')}) WHERE role = 'datetime'
+UNION ALL
+SELECT column_name, position FROM ({profile_sql('events')}) WHERE role = 'datetime'""")
+def q_datetime_columns(spark, sf):
+    """T-9 / P-11: datetime-role columns of orders and events."""
+    from ..operators.profile import clean, schema_profile
+    from ..operators.task import datetime_columns
+    a = datetime_columns(schema_profile(clean(table(spark, sf, "orders"))))
+    b = datetime_columns(schema_profile(clean(table(spark, sf, "events"))))
+    return a.unionByName(b)
+
+
+@register("eda_report_json")
+def q_eda_report_json(spark, sf):
+    """E-12 + S-13: the full exploratory report of events, one JSON document per section row."""
+    from ..operators.profile import clean, schema_profile
+    from ..operators.stats import eda_report
+    from ..sources.readers import to_json_rows
+    df = clean(table(spark, sf, "events"))
+    rep = eda_report(df, materialize(schema_profile(df)))
+    out = None
+    for name, frame in rep.items():
+        if frame is None:
+            continue
+        j = to_json_rows(frame).select(F.lit(name).alias("section"), "json")
+        out = j if out is None else out.unionByName(j)
+    return out
