@@ -1416,3 +1416,13 @@ def q_eda_report_json(spark, sf):
         j = to_json_rows(frame).select(F.lit(name).alias("section"), "json")
         out = j if out is None else out.unionByName(j)
     return out
+
+
+@register("arena_clustering")
+def q_arena_clustering(spark, sf):
+    """R-1/R-2/R-4/R-5: the three clustering candidates on standardized embeddings, ranked by
+    silhouette (squared Euclidean), with winner and counts."""
+    from ..operators.arena import arena_clustering, arena_summary, leaderboard
+    metrics, errors = arena_clustering(table(spark, sf, "embeddings"), "embedding", "vec_id")
+    board = leaderboard(metrics, "clustering")
+    return board.join(arena_summary(board, errors), "run_id")
