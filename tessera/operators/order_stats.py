@@ -174,10 +174,25 @@ def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weig
     if single_task is None:
         single_task = n_buckets is None and _max_group_rows(counted, keys) <= SINGLE_TASK_ROWS
     if single_task:
-        pct = F.percentile(F.col(value), [float(p) for p in probs], F.col(weight))
-        return counted.groupBy(*keys).agg(pct.alias("_qs")).select(
-            *keys, F.posexplode("_qs").alias("_i", "q")).select(
-            *keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("p"), "q")
+        # size-checked: sort each key's distinct values in one task and pick the rows
+        # holding ranks floor/ceil(p (n-1)) for every p
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counted.select(*keys, value, F.col(weight).alias("_w"),
+                             F.sum(weight).over(w).alias("_c"),
+                             F.sum(weight).over(Window.partitionBy(*keys)).alias("_n"))
+        targets = F.array(*[F.struct(F.lit(float(p)).alias("p"),
+                                     (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos")) for p in probs])
+        lo = F.col("_c") - F.col("_w")
+        hits = cum.select(*keys, value, F.explode(F.filter(targets, lambda t: (
+            ((F.floor(t["pos"]) >= lo) & (F.floor(t["pos"]) < F.col("_c")))
+            | ((F.ceil(t["pos"]) >= lo) & (F.ceil(t["pos"]) < F.col("_c")))))).alias("t"), lo.alias("_lo"), "_c")
+        r0, r1 = F.floor(F.col("t.pos")), F.ceil(F.col("t.pos"))
+        agg = hits.groupBy(*keys, F.col("t.p").alias("p")).agg(
+            F.max(F.when((r0 >= F.col("_lo")) & (r0 < F.col("_c")), F.col(value))).alias("_v0"),
+            F.max(F.when((r1 >= F.col("_lo")) & (r1 < F.col("_c")), F.col(value))).alias("_v1"),
+            F.first("t.pos").alias("_pos"))
+        frac = F.col("_pos") - F.floor("_pos")
+        return agg.select(*keys, "p", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac).alias("q"))
     counted = counted.withColumnRenamed(weight, "_w") if weight != "_w" else counted
     tagged, offsets = _bucketed(counted, keys, value, "_w", n_buckets)
     sizes = offsets.groupBy(*keys).agg(F.sum("_bw").alias("_n"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, small_frame, table
 from . import sqlkit as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -668,8 +668,8 @@ def _suggest_spark(spark, sf, tbl):
     from ..operators.profile import clean, schema_profile
     from ..operators.stats import correlations, iqr_outliers, numeric_stats, role_columns
     df = clean(table(spark, sf, tbl))
-    prof = materialize(schema_profile(df))
-    num = role_columns(prof)  # one row per column: metadata, not data
+    prof = small_frame(schema_profile(df))  # one row per column: metadata, not data
+    num = role_columns(prof)
     skew = numeric_stats(df, num).where(F.col("n") >= 5) if num else None
     outl = iqr_outliers(df, num) if num else None
     corr = correlations(df, num)
@@ -778,8 +778,8 @@ def q_recommend(spark, sf):
     summ = None
     for i, t, task, _ in REC_CASES:
         df = clean(table(spark, sf, t))
-        prof = materialize(schema_profile(df))
-        s = materialize(dataset_summary(df, prof, role_columns(prof), i, task))
+        prof = small_frame(schema_profile(df))          # one row per column
+        s = small_frame(dataset_summary(df, prof, role_columns(prof), i, task))  # one row
         summ = s if summ is None else summ.unionByName(s)
     return recommend(summ, registry(spark))
 
@@ -1408,7 +1408,7 @@ def q_eda_report_json(spark, sf):
     from ..operators.stats import eda_report
     from ..sources.readers import to_json_rows
     df = clean(table(spark, sf, "events"))
-    rep = eda_report(df, materialize(schema_profile(df)))
+    rep = eda_report(df, small_frame(schema_profile(df)))
     out = None
     for name, frame in rep.items():
         if frame is None:
