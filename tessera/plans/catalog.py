@@ -1464,3 +1464,13 @@ def q_arena_classification(spark, sf):
     metrics, errors = arena(prepare(df, "quality", "classification", ["doc_id"]))
     board = leaderboard(metrics, "classification")
     return board.join(arena_summary(board, errors), "run_id")
+
+
+@register("cv_folds")
+def q_cv_folds(spark, sf):
+    """V-5 + H-4: per-fold R^2 of ridge regression for orders.o_totalprice (true folds)."""
+    from ..operators.models import fit_eval
+    from ..operators.prep import prepare
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus",
+                                          "o_totalprice")
+    return fit_eval(prepare(o, "o_totalprice", "regression", ["o_orderkey"]), "ridge")["cv"]
