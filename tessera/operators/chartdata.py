@@ -16,13 +16,13 @@ KS_WARNING_LINE, PSI_WARNING_LINE = 0.05, 0.1
 
 
 def actual_vs_predicted(pred: DataFrame) -> DataFrame:
-    """H-1/H-2: pairs, residual, and the diagonal's range over both series."""
-    w = Window.partitionBy()  # over the prediction sample the caller passes
-    lo = F.least(F.min("label").over(w), F.min("prediction").over(w))
-    hi = F.greatest(F.max("label").over(w), F.max("prediction").over(w))
-    return pred.select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
-                       (F.col("label") - F.col("prediction")).alias("residual"), lo.alias("diag_min"),
-                       hi.alias("diag_max"))
+    """H-1/H-2: pairs, residual, and the diagonal's range over both series (a one-row
+    aggregate joined back, so a full prediction table never meets an unpartitioned window)."""
+    rng = pred.agg(F.least(F.min("label"), F.min("prediction")).alias("diag_min"),
+                   F.greatest(F.max("label"), F.max("prediction")).alias("diag_max"))
+    return pred.crossJoin(F.broadcast(rng)).select(
+        F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
+        (F.col("label") - F.col("prediction")).alias("residual"), "diag_min", "diag_max")
 
 
 def class_counts(pred: DataFrame, class_names: DataFrame | None = None) -> DataFrame:

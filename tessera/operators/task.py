@@ -69,14 +69,14 @@ def detect_task(profile: DataFrame, targets: DataFrame, second_opinion: DataFram
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
-    """T-6: classes, n_classes, is_binary and each class's share (4 dp, nulls excluded)."""
+    """T-6: classes, n_classes, is_binary and each class's share (4 dp, nulls excluded).
+    Totals are a one-row aggregate joined back (no unpartitioned window over classes)."""
     counts = df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("class_value")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    w = Window.partitionBy()  # over the per-class table (one row per class)
-    return counts.select("class_value", F.count(F.lit(1)).over(w).alias("n_classes"),
-                         (F.count(F.lit(1)).over(w) == 2).alias("is_binary"),
-                         F.round(F.col("n") / F.sum("n").over(w), 4).alias("share"))
+    tot = counts.agg(F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("_t"))
+    return counts.crossJoin(F.broadcast(tot)).select(
+        "class_value", "n_classes", (F.col("n_classes") == 2).alias("is_binary"),
+        F.round(F.col("n") / F.col("_t"), 4).alias("share"))
 
 
 def regression_detail(df: DataFrame, target: str) -> DataFrame:

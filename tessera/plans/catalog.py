@@ -1178,11 +1178,11 @@ def q_prediction_sample(spark, sf):
     test = li.where(F.col("is_test")).withColumn("_h", split_hash(F.col("_key")))
     sample = model.transform(assemble(test, ["l_quantity"])).orderBy("_h", "_key").limit(50)
     s2 = sample.select("_key", "label", "prediction")
-    w = Window.partitionBy()  # over the 50-row sample
-    return s2.select("_key", rnd(F.col("label")).alias("actual"), rnd(F.col("prediction")).alias("predicted"),
-                     rnd(F.col("label") - F.col("prediction")).alias("residual"),
-                     rnd(F.least(F.min("label").over(w), F.min("prediction").over(w))).alias("diag_min"),
-                     rnd(F.greatest(F.max("label").over(w), F.max("prediction").over(w))).alias("diag_max"))
+    out = s2.crossJoin(F.broadcast(s2.agg(F.least(F.min("label"), F.min("prediction")).alias("_lo"),
+                                          F.greatest(F.max("label"), F.max("prediction")).alias("_hi"))))
+    return out.select("_key", rnd(F.col("label")).alias("actual"), rnd(F.col("prediction")).alias("predicted"),
+                      rnd(F.col("label") - F.col("prediction")).alias("residual"),
+                      rnd(F.col("_lo")).alias("diag_min"), rnd(F.col("_hi")).alias("diag_max"))
 
 
 @register("drift_bars", f"""
