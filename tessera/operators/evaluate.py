@@ -85,9 +85,11 @@ def cluster_metrics(df: DataFrame, vec: str, key: str, cluster: str) -> DataFram
     cdim = long.groupBy("cluster", "dim").agg(F.sum("x").alias("Sk"), F.avg("x").alias("ck"))
     k = csz.agg(F.count(F.lit(1)).alias("k"), F.sum("nk").alias("n"))
     # mean squared distance from point i to cluster C: sq_i - 2 x_i.S_C / n_C + Q_C / n_C
-    dots = long.join(cdim.withColumnRenamed("cluster", "other"), "dim") \
+    # cdim has clusters x dims rows (bounded by the model, not the data): broadcast it, so the
+    # point side is never shuffled on the low-cardinality ``dim`` key
+    dots = long.join(F.broadcast(cdim.withColumnRenamed("cluster", "other")), "dim") \
         .groupBy("key", "cluster", "other").agg(F.sum(F.col("x") * F.col("Sk")).alias("dot"))
-    md = dots.join(pt.select("key", "sq"), "key").join(csz.withColumnRenamed("cluster", "other"), "other") \
+    md = dots.join(pt.select("key", "sq"), "key").join(F.broadcast(csz.withColumnRenamed("cluster", "other")), "other") \
         .select("key", "cluster", "other", "nk",
                 (F.col("sq") - 2 * F.col("dot") / F.col("nk") + F.col("Qk") / F.col("nk")).alias("d"))
     # own cluster: mean over the other n_k - 1 points (self distance is 0)
@@ -101,9 +103,9 @@ def cluster_metrics(df: DataFrame, vec: str, key: str, cluster: str) -> DataFram
     sil = per_pt.agg(F.avg(s).alias("silhouette_sq"))
     # Calinski-Harabasz: between / within dispersion
     gmean = long.groupBy("dim").agg(F.avg("x").alias("g"))
-    between = cdim.join(gmean, "dim").join(csz.select("cluster", "nk"), "cluster") \
+    between = cdim.join(F.broadcast(gmean), "dim").join(F.broadcast(csz.select("cluster", "nk")), "cluster") \
         .agg(F.sum(F.col("nk") * (F.col("ck") - F.col("g")) * (F.col("ck") - F.col("g"))).alias("B"))
-    within_pt = long.join(cdim.select("cluster", "dim", "ck"), ["cluster", "dim"]) \
+    within_pt = long.join(F.broadcast(cdim.select("cluster", "dim", "ck")), ["cluster", "dim"]) \
         .groupBy("key", "cluster").agg(F.sum((F.col("x") - F.col("ck")) * (F.col("x") - F.col("ck"))).alias("w2"))
     within = within_pt.agg(F.sum("w2").alias("W"))
     ch = between.crossJoin(within).crossJoin(k).select(
