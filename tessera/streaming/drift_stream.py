@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, rnd
 from ..operators.order_stats import exact_quantiles, to_long
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, small_frame
 
 PSI_BINS = 10
 JS_BINS = 20
@@ -128,7 +128,7 @@ def drift_stream(stream: DataFrame, reference: DataFrame, ts: str, cols: Sequenc
     spark = stream.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/drift-stream-{uuid.uuid4().hex}"
     out = output_path or base + "/out"
-    bins = reference_bins(reference, cols).cache()
+    bins = small_frame(reference_bins(reference, cols))  # one row per feature, pinned by value
     counts = window_bin_counts(stream, bins, ts, cols, window, delay)
 
     def sink(batch: DataFrame, batch_id: int):

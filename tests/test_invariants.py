@@ -117,3 +117,23 @@ def test_stream_equals_batch(spark):
     b = b[b.window_start.isin(s.window_start.unique())].sort_values(["window_start", "feature"]).reset_index(drop=True)
     assert len(s) > 0 and len(s) == len(b)
     assert (s[["psi", "js_distance", "n_current"]].values == b[["psi", "js_distance", "n_current"]].values).all()
+
+
+def test_bucketed_paths_match_single_task_paths(spark):
+    """The scalable (bucketed) branches give the same answers as the size-checked ones."""
+    from tessera.operators.order_stats import first_k_flag, weighted_quantiles
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), "id")
+    k = F.ceil(F.lit(0.2) * 667)
+    a = {r["id"]: r["f"] for r in first_k_flag(df, ["g"], ["h", "id"], k, "f", n_buckets=9).collect()}
+    b = {r["id"]: r["f"] for r in first_k_flag(df, ["g"], ["h", "id"], k, "f").collect()}
+    assert a == b and sum(a.values()) == 3 * 134
+    rng = np.random.default_rng(5)
+    vals = rng.integers(0, 50, 500)
+    w = np.bincount(vals)
+    counted = spark.createDataFrame([("x", float(v), int(c)) for v, c in enumerate(w) if c > 0],
+                                    "k string, v double, c long")
+    probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    got = {r["p"]: r["q"] for r in weighted_quantiles(counted, ["k"], "v", "c", probs, n_buckets=6).collect()}
+    got1 = {r["p"]: r["q"] for r in weighted_quantiles(counted, ["k"], "v", "c", probs).collect()}
+    for p in probs:
+        assert abs(got[p] - np.quantile(vals, p)) < 1e-9 and abs(got1[p] - np.quantile(vals, p)) < 1e-9
