@@ -19,7 +19,6 @@ OUTLIER_PCT = 5
 CORR_HIGH = 0.7
 ONE_HOT_MAX = 10
 TOP_SUGGESTIONS = 8
-PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 TXT = {
     "log1p": ("High skewness ({:.2f}) — log transform will normalize distribution",
               "Reduces outlier influence, improves linear model performance"),
@@ -36,10 +35,6 @@ TXT = {
 }
 
 
-def _fmt2(c):
-    return F.format_string("%.2f", c)
-
-
 def _row(feature, transform, reason, priority, hint, group, p1, p2, sub):
     return F.struct(feature.alias("feature"), F.lit(transform).alias("transform"), reason.alias("reason"),
                     F.lit(priority).alias("priority"), F.lit(TXT[transform][1]).alias("impact"),

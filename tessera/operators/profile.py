@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import (clean_value, col, is_missing, kind_of, parses_as_datetime,
                                safe4)
@@ -133,14 +132,3 @@ def sample_values(df: DataFrame, order_col: str | None = None, k: int = 5, long_
     return ranked.groupBy("column_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
                     lambda s: s["value"]).alias("sample_values"))
-
-
-def numeric_columns(profile_rows, roles=("numeric",)) -> list[str]:
-    """Column names with a role, from collected profile rows (k rows, one per column)."""
-    return [r["column_name"] for r in sorted(profile_rows, key=lambda r: r["position"]) if r["role"] in roles]
-
-
-def numeric_type_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType,
-                                                                         T.LongType, T.FloatType, T.DoubleType,
-                                                                         T.DecimalType))]

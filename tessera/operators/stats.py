@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import (clean_value, col, dagostino_k2_pvalue, is_missing, rnd, safe4,
                                sample_excess_kurtosis, sample_skewness)
@@ -285,8 +284,3 @@ def eda_report(df: DataFrame, profile: DataFrame | None = None, exact: bool = Tr
         "outliers": iqr_outliers(df, num, exact=exact) if num else None,
         "quality": quality_score(df, num, exact),
     }
-
-
-def is_numeric_type(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                              T.DoubleType, T.DecimalType))
