@@ -7,6 +7,7 @@ These helpers exist for tests, the bench and the query catalogue.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,6 +62,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package when only the driver can (it is neither installed,
+    nor on PYTHONPATH, nor in the working directory): Spark sends them a zip of it, once a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    sc = spark.sparkContext
+    if root in known or "site-packages" in root or getattr(sc, "_tessera_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-package-")  # the driver's own copy; Spark serves it to the workers
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tessera"), "zip", root, "tessera"))
+    sc._tessera_shipped = True
+
+
 def ensure_parallel(df):
     """Spread a scan that yields fewer splits than the cluster has cores.
 
