@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, packing, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op5_warc": warc.op5,
     "op8_bpe": bpe.op8,
 }
 
