@@ -39,6 +39,22 @@ def fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+def fitting_sample(df: DataFrame, label: str, key: str, rows: int, classes: int = 256) -> DataFrame:
+    """About ``rows`` rows of each class of ``df``, at most 2 * rows * classes of them together.
+
+    A row is taken by the hash of its key, at a rate that follows from its class's count. Classes
+    beyond the ``classes`` most frequent (ties: smaller label) are not taken. For fitting only.
+    """
+    counts = (df.groupBy(label).agg(F.count("*").alias("n")).filter(F.col(label).isNotNull())
+              .orderBy(F.desc("n"), label).limit(classes).collect())
+    if not counts:
+        return df.limit(0)
+    scale = 1 << 30
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(scale, -(-rows * scale // r["n"])))])
+    place = F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(scale))
+    return df.filter(place < F.try_element_at(rate, F.col(label))).limit(2 * rows * len(counts))
+
+
 # ---------------------------------------------------------------- text inside tasks
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +71,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of documents of at most ``limit`` bytes together (a longer document stands alone)."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of at most ``rows`` documents and ``limit`` bytes (a longer document stands alone)."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1))
         yield a, b
         a = b
 

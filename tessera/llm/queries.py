@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, warc
+from . import bpe, langid, packing, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op3_langid": langid.op3,
     "op5_warc": warc.op5,
     "op8_bpe": bpe.op8,
 }
