@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, warc
+from . import bpe, langid, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_langid": langid.op3,
+    "op4_quality": quality.op4,
     "op5_warc": warc.op5,
     "op8_bpe": bpe.op8,
 }
