@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quality, warc
+from . import bpe, langid, packing, pii, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_pii": pii.op2,
     "op3_langid": langid.op3,
     "op4_quality": quality.op4,
     "op5_warc": warc.op5,
