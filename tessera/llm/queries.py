@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, pii, quality, warc
+from . import bpe, langid, packing, pii, quality, topk, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_langid": langid.op3,
     "op4_quality": quality.op4,
     "op5_warc": warc.op5,
+    "op6_topk": topk.op6,
     "op8_bpe": bpe.op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_topk": topk.OP6_SQL,
+}
