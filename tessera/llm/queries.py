@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, itq, langid, packing, pii, quality, topk, warc
+from . import bpe, itq, jaccard_join, langid, packing, pii, quality, topk, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_warc": warc.op5,
     "op6_topk": topk.op6,
     "op8_bpe": bpe.op8,
+    "op9_jaccard_join": jaccard_join.op9,
     "op10_itq": itq.op10,
 }
 
 ORACLE: dict[str, str] = {
     "op6_topk": topk.OP6_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_itq": itq.OP10_SQL,
 }
