@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, itq, jaccard_join, langid, packing, pii, quality, topk, warc
+from . import bpe, gru_lm, itq, jaccard_join, langid, packing, pii, quality, topk, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4,
     "op5_warc": warc.op5,
     "op6_topk": topk.op6,
+    "op7_gru_lm": gru_lm.op7,
     "op8_bpe": bpe.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_itq": itq.op10,
