@@ -12,11 +12,15 @@ alone would leave one region. Hence two levels:
    first. The boundary window is the first n - ceil(percent * n / 100) + 1 of them: a set that links with it
    misses at most the others' number, so two linked sets share a region. The order uses a fixed-size table of
    approximate frequencies; any table gives a right result, this one keeps regions small.
-2. In a region, the smallest class is the pivot and is compared with every other class exactly. What links with
-   it is one component already and is not compared again. If all classes of the region are in one component the
-   region is done. Otherwise it is joined recursively: the remaining pairs of different components whose distances
-   to the pivot differ by at most delta (triangle inequality) are compared, all of them in a region of at most
-   ``leaf`` classes, else those of further pivots, one for each of up to ``PIVOTS`` components, and so on.
+2. In a region, the class with the fewest rarer shingles (of a group of copies, what they were copied from) is the
+   pivot and is compared with every other class exactly. What links with it is one component already and is not
+   compared again. If all classes of the region are in one component the region is done. Otherwise it is joined
+   recursively: the remaining pairs of different components whose distances to the pivot differ by at most
+   delta (triangle inequality) are compared, all of them in a region of at most ``leaf`` classes, else those
+   of further pivots, one for each of up to ``PIVOTS`` components, and so on.
+
+A region answers for the pairs whose first common shingle it is: their common shingles are no more than those
+that follow in either set, so pairs with too few of them, or with sizes that no link allows, are not compared.
 
 Regions of a frequent shingle are salted for the counting and never collected; pivots come from partial aggregates.
 No pair is compared twice, and no link between different components is lost.
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import components, document_words, mix64, rows_of, stored
 
-WIDTH, PERCENT, LEAF, PIVOTS = 5, 80, 32, 8
+WIDTH, PERCENT, LEAF, PIVOTS = 5, 80, 64, 64
 #: Entries of the frequency table, of the filter of wanted ids; share of documents that makes a shingle frequent.
 TABLE_BITS, FILTER_BITS, FREQUENT, SALTS = 19, 25, 0.002, 32
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -125,7 +129,7 @@ def _levels(table: np.ndarray, documents: int) -> np.ndarray:
 
 
 def _regions(width: int, percent: int, levels):
-    """Rows (s, c, n, salt): the regions of every set, once for each class in a task."""
+    """Rows (s, c, n, i, salt): the regions of every set, once for each class in a task; i shingles precede s in the order."""
     def run(batches):
         level, seen = levels.value, set()
         for batch in batches:
@@ -151,7 +155,8 @@ def _regions(width: int, percent: int, levels):
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([r[0] for r in rows])), pa.array(np.repeat(np.array([r[1] for r in rows]), count)),
             pa.array(np.repeat(np.array([r[2] for r in rows], np.int32), count)),
-            pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32))], ["s", "c", "n", "salt"])
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in count])),
+            pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32))], ["s", "c", "n", "i", "salt"])
     return run
 
 
@@ -214,9 +219,9 @@ def _class_key(c: str = "c", n: str = "n"):
     return F.struct(F.col(c).alias("c"), F.col(n).alias("n"))
 
 
-def _fits(percent: int, a, b):
-    """Sizes that a link allows."""
-    return (percent * F.greatest(a, b) <= 100 * F.least(a, b))
+def _fits(percent: int, n, i, m, j):
+    """Whether sets of n and m shingles can link if their first common one follows i and j others."""
+    return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
@@ -238,43 +243,46 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     sets = rows.mapInArrow(_sets(width, bits), "c long, n int, items array<long>").select(_class_key().alias("k"), "items")
     sets = stored(sets.join(members, "k", "left_semi").dropDuplicates(["k"]), "jaccard-sets")
 
-    pivots = regions.groupBy("s").agg(F.min("k").alias("p"))
-    regions = stored(regions.join(pivots, "s"), "jaccard-regions")
-    star = regions.filter((F.col("p") != F.col("k")) & _fits(percent, F.col("p.n"), F.col("k.n"))).select(
-        F.col("p").alias("a"), F.col("k").alias("b")).distinct()
-    compared = _compared(star, sets, percent)
-    distance = compared  # to the regions' first pivots
+    # members that no member of their region can link with, by size and place, are of no use there
+    least = regions.groupBy("s").agg(F.min("k.n").alias("least"))
+    n, i = F.col("k.n"), F.col("i")
+    smallest = F.greatest(F.col("least"), F.ceil(n * percent / 100))
+    regions = stored(regions.join(least, "s").filter((100 + percent) * (n - i) >= percent * (n + smallest)).drop("least"), "jaccard-regions")
+    first = regions.groupBy("s").agg(F.min(F.struct("i", "k")).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    regions = stored(regions.join(first.select("s", F.col("first.k").alias("p"), F.col("first.i").alias("pi")), "s"), "jaccard-regions")
+    star = regions.filter((F.col("p") != F.col("k")) & _fits(percent, F.col("p.n"), F.col("pi"), n, i)).select(
+        F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b")).distinct()
+    compared = [_compared(star, sets, percent)]
+    distance = compared[0].select("a", "b", "d").union(compared[0].select("b", "a", "d")).toDF("p", "k", "d")
+    regions = regions.select("s", "k", "i", "p")
+    groups = asked = heads = None
     while True:
-        links = compared.filter("linked").select("a", "b")
-        groups = components(links, "jaccard")
+        if groups is None or not compared[-1].filter("linked").isEmpty():
+            groups = components(reduce(DataFrame.union, compared).filter("linked").select("a", "b"), "jaccard")
+        if asked is not None and heads.isEmpty():
+            break
         labelled = regions.join(groups.select(F.col("id").alias("k"), "component"), "k", "left").withColumn(
             "component", F.coalesce("component", "k"))
         open_ = labelled.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        todo = labelled.join(open_.filter("x != y").select("s", "size"), "s")
-        # a pivot has been compared with its whole region
-        todo = todo.join(distance.select(F.col("a").alias("p"), F.col("b").alias("k"), "d"), ["p", "k"], "left")
-        todo = stored(todo.filter("k != p").select("s", "p", "k", "component", "d", "size"), "jaccard-open")
+        todo = labelled.join(open_.filter("x != y").select("s", "size"), "s").filter("k != p")  # p has met its whole region
+        todo = stored(todo.join(distance, ["p", "k"], "left").select("s", "p", "k", "i", "component", "d", "size"), "jaccard-open")
         if todo.isEmpty():
             break
-        near = (F.col("d").isNull() | F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) <= 1 - percent / 100 + 1e-12))
-        other = todo.select("s", F.col("k").alias("l"), F.col("component").alias("other"), F.col("d").alias("e"))
-        window = Window.partitionBy("s").orderBy("k")
-        heads = (todo.filter(F.col("size") > leaf).groupBy("s", "component").agg(F.min(F.struct("k", "d")).alias("m"))
-                 .select("s", "component", "m.*").withColumn("i", F.row_number().over(window)).filter(F.col("i") <= PIVOTS).drop("i"))
-        heads = stored(heads, "jaccard-pivots")
-        small = todo.filter(F.col("size") <= leaf).select("s", "k", "component", "d").join(other, "s").filter(F.col("k") < F.col("l"))
-        large = heads.join(other, "s")
-        pairs = (small.select("k", "l", "component", "other", "d", "e").union(large.select("k", "l", "component", "other", "d", "e"))
-                 .filter((F.col("component") != F.col("other")) & near & _fits(percent, F.col("k.n"), F.col("l.n")))
+        side = lambda *names: [F.col(x).alias(y) for x, y in zip(("k", "i", "component", "d"), names)]
+        other = todo.select("s", *side("l", "j", "other", "e"))
+        window = Window.partitionBy("s").orderBy("m.i", "m.k")
+        heads = (todo.filter(F.col("size") > leaf).groupBy("s", "component").agg(F.min(F.struct("i", "k", "d")).alias("m"))
+                 .withColumn("r", F.row_number().over(window)).filter(F.col("r") <= PIVOTS))
+        heads = stored(heads.select("s", "m.k", "m.i", "component", "m.d"), "jaccard-pivots")
+        asked = todo.filter(F.col("size") <= leaf).select("s", *side("k", "i", "component", "d")).unionByName(heads)
+        near = F.col("d").isNull() | F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) <= 1 - percent / 100 + 1e-12)
+        pairs = (asked.join(other, "s").filter((F.col("component") != F.col("other")) & near
+                                               & _fits(percent, F.col("k.n"), F.col("i"), F.col("l.n"), F.col("j")))
                  .select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
-                 .join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-        found = _compared(pairs, sets, percent)
-        regions = todo.filter(F.col("size") > leaf).join(heads.select("s", "k"), ["s", "k"], "left_anti").select("s", "k", "p")
-        compared = stored(compared.union(found), "jaccard-compared")
-        if heads.isEmpty():
-            groups = components(compared.filter("linked").select("a", "b"), "jaccard")
-            break
-        regions = stored(regions, "jaccard-regions")
+                 .join(reduce(DataFrame.union, compared).select("a", "b"), ["a", "b"], "left_anti"))
+        compared.append(_compared(pairs, sets, percent))
+        regions = stored(todo.filter(F.col("size") > leaf).join(heads.select("s", "k"), ["s", "k"], "left_anti")
+                         .select("s", "k", "i", "p"), "jaccard-regions")
     named = groups.join(low.withColumnRenamed("k", "id"), "id").select("id", "component", "low")
     named = named.join(named.groupBy("component").agg(F.min("low").alias("lowest")), "component").select(F.col("id").alias("k"), "lowest")
     classes = low.join(named, "k", "left").select("k.c", "k.n", F.coalesce("lowest", "low").alias("component_id"))
@@ -283,10 +291,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def _shared_regions(texts: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """(s, k): regions that hold more than one class. Those of frequent shingles are counted by salt and all kept."""
-    spread = texts.mapInArrow(_regions(width, percent, levels), "s long, c long, n int, salt int")
+    """(s, k, i): regions that hold more than one class. Those of frequent shingles are counted by salt and all kept."""
+    spread = texts.mapInArrow(_regions(width, percent, levels), "s long, c long, n int, i int, salt int")
     counted = spread.withColumn("m", F.count("*").over(Window.partitionBy("s", "salt")))
-    return stored(counted.filter("m > 1 or salt >= 0").select("s", _class_key().alias("k")).distinct(), "jaccard-shared")
+    return stored(counted.filter("m > 1 or salt >= 0").select("s", _class_key().alias("k"), "i").distinct(), "jaccard-shared")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
