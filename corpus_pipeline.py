@@ -1,12 +1,79 @@
-"""Corpus pipeline: quality, language, near duplicates, personal data, packing."""
+"""Corpus pipeline over ``documents``: quality, language, near duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on every document its predecessor kept and returns a DataFrame that is
+written as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
+
+Null texts count as empty texts in every stage; the language stage rejects them. Columns beside doc_id and text
+pass through the first four stages as they are, save that masking updates n_chars.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm import jaccard_join, langid, packing, pii, quality
+from tessera.llm.common import stored
+
+#: Below this score a text is in none of the learnt languages (four even languages give 0.25 each).
+LANGUAGE_SCORE = 0.4
+
+
+def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more; labels come from the labels table."""
+    scored = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("score >= 0.5").select(*docs.columns)
+
+
+def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learnt languages: those without letters or without a likely language go."""
+    found = langid.predicted(docs)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays, of rows that repeat it one.
+
+    Documents without an id cannot be told apart and stay.
+    """
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    others = found.filter("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        whole = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        kept = whole.unionByName(kept.filter("doc_id is null"))
+    return kept.select(*docs.columns)
+
+
+def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind; no document goes."""
+    masked = pii.mask(pii.detect(docs))
+    if "n_chars" in docs.columns:
+        changed = (F.size("spans") > 0) & F.col("n_chars").isNotNull()
+        masked = masked.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents as pieces of sequences of at most 2048 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and tokenizers have no SQL form; tests/llm compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages in order over ``documents``; each stage's rows are written to the shared folder and read back."""
-    from tessera.llm.common import stored
+def run(spark, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
