@@ -1,7 +1,8 @@
 """Near-duplicate vectors by iterative quantisation, multi-index Hamming tables and exact cosines.
 
-A rotation is learnt on a bounded sample so that the signs of the rotated, centred unit vectors make balanced
-64-bit codes close to the vectors (iterative quantisation). A code's substrings are its keys in as many
+A rotation is learnt on a bounded sample so that the signs of the rotated unit vectors make 64-bit codes close to
+the vectors (iterative quantisation). The vectors are not centred: links are by angle from the origin, and a group
+of near copies that outweighs the rest would otherwise become the centre and be torn apart. A code's substrings are its keys in as many
 tables; two vectors are candidates if in some table their keys differ in at most ``radius`` bits, so
 every pair of codes at a Hamming distance below tables * (radius + 1) is found, and most beyond. Candidates
 are compared by cosine of the original vectors in double precision, so no link is wrong.
@@ -31,18 +32,16 @@ BITS, SAMPLE, ROUNDS, BLOCK, MANY = 64, 4096, 50, 512, 1 << 22
 
 
 class Rotation:
-    """Mean and projection for one vector length."""
+    """Projection for one vector length."""
 
     def __init__(self, x: np.ndarray):
         """``x``: unit vectors (rows). Principal directions first, then the rotation that fits their signs best."""
         rng = np.random.default_rng(0)
         x = np.pad(x, ((0, 0), (0, max(0, BITS - x.shape[1]))))
-        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-        centred = x - self.mean
-        _, vectors = np.linalg.eigh(centred.T @ centred + 1e-12 * np.eye(x.shape[1]))
+        _, vectors = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(x.shape[1]))
         axes = vectors[:, ::-1][:, :BITS]
         turn = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
-        v = centred @ axes
+        v = x @ axes
         for _ in range(ROUNDS if len(x) else 0):
             u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
             turn = (u @ w).T
@@ -50,7 +49,7 @@ class Rotation:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         x = np.pad(x, ((0, 0), (0, max(0, BITS - x.shape[1]))))
-        bits = (x - self.mean) @ self.axes >= 0
+        bits = x @ self.axes >= 0
         return np.packbits(bits, axis=1).view("<i8").ravel()
 
 
