@@ -138,3 +138,63 @@ def short_float_str(c: Column, digits: int = 4) -> Column:
     s = F.regexp_replace(F.format_string(f"%.{digits}f", c), "0+$", "")
     return F.when(c.isNull(), F.lit(None)).otherwise(
         F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s))
+
+
+# AS 241 (PPND16), numerator and denominator in its three ranges, ascending powers.
+_PPND = (
+    ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+      45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+     (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+      21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)),
+    ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+      1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+     (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+      0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+      0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+     (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+      7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+)
+# Hart's approximation of the normal tail, ascending powers.
+_TAIL = ((220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688,
+          0.0352624965998911),
+         (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207,
+          1.75566716318264, 0.0883883476483184))
+
+
+def polynomial_sql(coefficients, x: str) -> str:
+    """Horner form as SQL text that Spark and ANSI engines read alike."""
+    out = f"CAST({coefficients[-1]:.20e} AS DOUBLE)"
+    for c in reversed(coefficients[:-1]):
+        out = f"(CAST({c:.20e} AS DOUBLE) + ({x}) * {out})"
+    return out
+
+
+#: Standard normal quantile ``m`` of a column ``p``: steps of names and SQL text, each over the columns before it.
+INVERSE_NORMAL_STEPS = [
+    {"q": "p - CAST(0.5 AS DOUBLE)"},
+    {"r": "CASE WHEN abs(q) <= 0.425 THEN 0.0 ELSE sqrt(-ln(least(p, 1 - p))) END"},
+    {"s": "CASE WHEN abs(q) <= 0.425 THEN CAST(0.180625 AS DOUBLE) - q * q WHEN r <= 5 THEN r - CAST(1.6 AS DOUBLE) ELSE r - 5 END"},
+    {"m": "CASE " + " ".join(
+        f"{when} {sign} * ({polynomial_sql(_PPND[k][0], 's')}) / ({polynomial_sql(_PPND[k][1], 's')})"
+        for k, (when, sign) in enumerate((("WHEN abs(q) <= 0.425 THEN", "q"), ("WHEN r <= 5 THEN", "sign(q)"), ("ELSE", "sign(q)")))) + " END"},
+]
+
+
+def normal_tail_steps(z: str, out: str) -> list[dict[str, str]]:
+    """Steps for ``out`` = P(Z > z), ``z`` a column name; 0 beyond 37, where the density underflows."""
+    far = "a_ + 1 / (a_ + 2 / (a_ + 3 / (a_ + 4 / (a_ + CAST(0.65 AS DOUBLE)))))"
+    return [
+        {"a_": f"abs({z})"},
+        {"e_": "exp(-a_ * a_ / 2)", "far_": f"CAST(1 AS DOUBLE) / ({far}) / CAST(2.506628274631 AS DOUBLE)",
+         "near_": f"({polynomial_sql(_TAIL[0], 'a_')}) / ({polynomial_sql(_TAIL[1], 'a_')})"},
+        {"up_": "CASE WHEN a_ > 37 THEN CAST(0 AS DOUBLE) WHEN a_ < 7.07106781186547 THEN e_ * near_ ELSE e_ * far_ END"},
+        {out: f"CASE WHEN {z} >= 0 THEN up_ ELSE 1 - up_ END"},
+    ]
+
+
+def with_steps(df, steps: list[dict[str, str]]):
+    """``df`` with the columns of each step added, step by step."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    return df

@@ -24,20 +24,29 @@ from pyspark.sql import types as T
 from ..functions.exprs import col
 
 
-# Fixed value: a key's values are ordered inside one task only when a size check
-# proves the group holds at most this many (distinct) rows.
-SINGLE_TASK_ROWS = 1_000_000
+#: Key columns that hold one value per named column of a table; frames keyed by them alone are broadcast.
+NAMED_KEYS = frozenset({"column_name", "feature"})
+#: Copies of a per-key frame whose key values grow with the data; each key's rows spread over as many tasks.
+SALTS = 16
+#: Values of a key sampled (by hash) for string bucket bounds.
+BOUND_SAMPLE = 256
 
 
-def _max_group_rows(df: DataFrame, keys: list, value: str | None = None) -> int:
-    """Largest group size per key: exact row count, or (with ``value``) an HLL estimate
-    of distinct values, inflated by its error bound. One small aggregation job."""
-    if value is None:
-        agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
-    else:
-        agg = df.groupBy(*keys).agg((F.approx_count_distinct(value, 0.02) * 1.1).alias("_g"))
-    r = agg.agg(F.max("_g")).first()[0]
-    return int(r or 0)
+def keyed_join(df: DataFrame, frame: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join a frame with one row per key to ``df``, never gathering a key's rows in one task.
+
+    Frames keyed by column names (a row per named column) or by nothing (one row) are broadcast. Frames keyed by
+    data values may grow with the table: they are repeated ``SALTS`` times and joined on the key
+    and a salt from ``df``'s column ``spread``.
+    """
+    keys = list(keys)
+    if not keys:
+        return df.crossJoin(F.broadcast(frame))
+    if set(keys) <= NAMED_KEYS:
+        return df.join(F.broadcast(frame), keys, how)
+    salted = frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")) \
+        .join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -59,6 +68,26 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return long
 
 
+def _bounds(df: DataFrame, keys: list, lead: str, b: int) -> DataFrame:
+    """Per key an ascending array ``_bounds`` that cuts ``lead``'s values into about ``b`` buckets.
+
+    Numbers: a quantile sketch. Strings: a hash sample of at most BOUND_SAMPLE values a key, so a
+    common prefix does not matter. The bounds decide where work is cut, never the result.
+    """
+    if not isinstance(df.schema[lead].dataType, T.StringType):
+        return df.groupBy(*keys).agg(F.percentile_approx(lead, [i / b for i in range(1, b)], 10000).alias("_bounds"))
+    place = F.xxhash64(lead)
+    sample = top_k(df.select(*keys, lead, place.alias("_place")), keys, [F.col("_place"), F.col(lead)], BOUND_SAMPLE,
+                   salt_on="_place", rank_col="_rank")
+    return sample.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list(lead))).alias("_bounds"))
+
+
+def _tagged(df: DataFrame, keys: list, lead: str, b: int) -> DataFrame:
+    """``df`` with ``_bucket``, monotone in ``lead`` within a key."""
+    return keyed_join(df, _bounds(df, keys, lead, b), keys, lead, "left") \
+        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(lead)))).drop("_bounds")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order, weights: Sequence[str],
                    n_buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``weights`` in ``order`` within each key.
@@ -70,23 +99,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order, weights: Sequence[
     """
     keys = list(keys)
     orders = [order] if isinstance(order, str) else list(order)
-    if n_buckets is None and _max_group_rows(df, keys) <= SINGLE_TASK_ROWS:
-        # size-checked: every key fits one task, so a plain per-key window is exact and cheapest
-        wk = (Window.partitionBy(*keys).orderBy(*orders)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select("*", *[F.sum(w).over(wk).alias(f"{w}{suffix}") for w in weights])
-    lead = F.col(orders[0])
-    if isinstance(df.schema[orders[0]].dataType, T.StringType):
-        # monotone numeric proxy of byte order: first 7 UTF-8 bytes as a big-endian integer
-        lead = F.conv(F.rpad(F.substring(F.hex(F.substring(lead, 1, 7)), 1, 14), 14, "0"), 16, 10) \
-            .cast("long")
-    b = n_buckets or _default_buckets(df)
-    probs = [i / b for i in range(1, b)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(lead, probs, 10000).alias("_bounds"))
-    # bounds has one row per key; Catalyst/AQE broadcasts it when it is small.
-    tagged = (df.join(bounds, keys, "left") if keys else df.crossJoin(bounds)) \
-        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < lead))) \
-        .drop("_bounds")
+    tagged = _tagged(df, keys, orders[0], n_buckets or _default_buckets(df))
     local_w = (Window.partitionBy(*keys, "_bucket").orderBy(*orders)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for w in weights:
@@ -121,14 +134,7 @@ def _bucketed(df: DataFrame, keys: list, lead_name: str, weight: str, n_buckets:
     """Tag rows with a value bucket (monotone in ``lead_name``) and return
     ``(tagged, offsets)`` where ``offsets`` holds, per (keys, bucket), the bucket's
     total weight and the total weight of all earlier buckets (keys x buckets rows)."""
-    lead = F.col(lead_name)
-    if isinstance(df.schema[lead_name].dataType, T.StringType):
-        lead = F.conv(F.rpad(F.substring(F.hex(F.substring(lead, 1, 7)), 1, 14), 14, "0"), 16, 10).cast("long")
-    b = n_buckets or max(_default_buckets(df), 64)
-    probs = [i / b for i in range(1, b)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(lead, probs, 10000).alias("_bounds"))
-    tagged = (df.join(bounds, keys, "left") if keys else df.crossJoin(bounds)) \
-        .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < lead))).drop("_bounds")
+    tagged = _tagged(df, keys, lead_name, n_buckets or max(_default_buckets(df), 64))
     bw = tagged.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_bw"))
     prev = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bw.withColumn("_off", F.coalesce(F.sum("_bw").over(prev), F.lit(0)))
@@ -136,63 +142,27 @@ def _bucketed(df: DataFrame, keys: list, lead_name: str, weight: str, n_buckets:
 
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], n_buckets: int | None = None,
-                    max_distinct: int | None = None) -> DataFrame:
+                    probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy/pandas default, DuckDB ``quantile_cont``).
 
     ``long`` holds ``keys..., value`` with missing values already removed.
     Returns ``keys..., p double, q double`` (one row per key and probability).
-    ``max_distinct`` is a caller-supplied bound on distinct values per key (e.g. from
-    an HLL sketch folded into an aggregate it runs anyway); without it one is measured.
     """
     keys = list(keys)
     counted = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    if max_distinct is None and n_buckets is None:
-        max_distinct = _max_group_rows(long, keys, value)
-    small = n_buckets is None and max_distinct <= SINGLE_TASK_ROWS
-    return weighted_quantiles(counted, keys, value, "_w", probs, n_buckets, single_task=small)
-
-
-def distinct_bound(col_expr) -> F.Column:
-    """Aggregate giving a safe upper estimate of distinct values (HLL + its error margin)."""
-    return (F.approx_count_distinct(col_expr, 0.02) * 1.1 + 100).cast("long")
+    return weighted_quantiles(counted, keys, value, "_w", probs, n_buckets)
 
 
 def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weight: str,
-                       probs: Sequence[float], n_buckets: int | None = None,
-                       single_task: bool | None = None) -> DataFrame:
+                       probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles of a distribution given as distinct ``value`` rows with integer
     multiplicities ``weight`` (rows with weight 0 are ignored).
 
-    Size-checked small groups use Spark's ``percentile`` with frequencies (one
-    task per key). Otherwise values are bucketed by an approximate sketch,
-    bucket totals locate the bucket holding each needed rank, and only those
-    buckets (at most two per probability) are sorted.
+    Values are bucketed by an approximate sketch, bucket totals locate the bucket holding each
+    needed rank, and only those buckets (at most two per probability) are sorted.
     """
     keys = list(keys)
     counted = counted.where(F.col(weight) > 0)
-    if single_task is None:
-        single_task = n_buckets is None and _max_group_rows(counted, keys) <= SINGLE_TASK_ROWS
-    if single_task:
-        # size-checked: sort each key's distinct values in one task and pick the rows
-        # holding ranks floor/ceil(p (n-1)) for every p
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counted.select(*keys, value, F.col(weight).alias("_w"),
-                             F.sum(weight).over(w).alias("_c"),
-                             F.sum(weight).over(Window.partitionBy(*keys)).alias("_n"))
-        targets = F.array(*[F.struct(F.lit(float(p)).alias("p"),
-                                     (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos")) for p in probs])
-        lo = F.col("_c") - F.col("_w")
-        hits = cum.select(*keys, value, F.explode(F.filter(targets, lambda t: (
-            ((F.floor(t["pos"]) >= lo) & (F.floor(t["pos"]) < F.col("_c")))
-            | ((F.ceil(t["pos"]) >= lo) & (F.ceil(t["pos"]) < F.col("_c")))))).alias("t"), lo.alias("_lo"), "_c")
-        r0, r1 = F.floor(F.col("t.pos")), F.ceil(F.col("t.pos"))
-        agg = hits.groupBy(*keys, F.col("t.p").alias("p")).agg(
-            F.max(F.when((r0 >= F.col("_lo")) & (r0 < F.col("_c")), F.col(value))).alias("_v0"),
-            F.max(F.when((r1 >= F.col("_lo")) & (r1 < F.col("_c")), F.col(value))).alias("_v1"),
-            F.first("t.pos").alias("_pos"))
-        frac = F.col("_pos") - F.floor("_pos")
-        return agg.select(*keys, "p", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac).alias("q"))
     counted = counted.withColumnRenamed(weight, "_w") if weight != "_w" else counted
     tagged, offsets = _bucketed(counted, keys, value, "_w", n_buckets)
     sizes = offsets.groupBy(*keys).agg(F.sum("_bw").alias("_n"))
@@ -201,7 +171,7 @@ def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weig
     ranks = targets.select(*keys, "p", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_r")) \
         .distinct()
     # which bucket holds each rank: offsets is keys x buckets rows
-    where = ranks.join(offsets, keys).where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bw"))) \
+    where = (ranks.join(offsets, keys) if keys else ranks.crossJoin(F.broadcast(offsets))).where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bw"))) \
         .select(*keys, "p", "_pos", "_r", "_bucket", "_off")
     need = where.select(*keys, "_bucket").distinct()
     chosen = tagged.join(F.broadcast(need) if len(keys) <= 1 else need, keys + ["_bucket"], "left_semi")
@@ -218,42 +188,44 @@ def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weig
 
 
 def first_k_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: F.Column | str,
-                 name: str, n_buckets: int | None = None) -> DataFrame:
+                 name: str, n_buckets: int | None = None, levels: int = 2) -> DataFrame:
     """Flag the first ``k`` rows per key in a unique lexicographic ``order``.
 
-    Exact without sorting everything: bucket totals decide whole buckets; only
-    the bucket that straddles rank ``k`` is sorted. ``k`` is a column of ``df``
-    (constant within a key) or a literal-valued Column."""
+    Exact without sorting everything: bucket totals decide whole buckets; the bucket that straddles
+    rank ``k`` is cut into buckets again (``levels`` times in all) and only the last straddling one,
+    n / buckets^levels rows, is sorted. ``k`` is a column of ``df`` (constant within a key) or a Column."""
     keys, order = list(keys), list(order)
     kc = k if isinstance(k, F.Column) else F.col(k)
-    if n_buckets is None and _max_group_rows(df, keys) <= SINGLE_TASK_ROWS:
-        w = Window.partitionBy(*keys).orderBy(*order)  # size-checked: each key fits one task
-        return df.withColumn(name, F.row_number().over(w) <= kc)
     base = df.withColumn("_k", kc).withColumn("_one", F.lit(1))
     tagged, offsets = _bucketed(base, keys, order[0], "_one", n_buckets)
     kk = base.groupBy(*keys).agg(F.max("_k").alias("_kk"))
-    cls = offsets.join(kk, keys).select(
+    cls = (offsets.join(kk, keys) if keys else offsets.crossJoin(F.broadcast(kk))).select(
         *keys, "_bucket", "_off",
         F.when(F.col("_off") + F.col("_bw") <= F.col("_kk"), F.lit("in"))
          .when(F.col("_off") >= F.col("_kk"), F.lit("out")).otherwise(F.lit("split")).alias("_cls"))
     t = tagged.join(cls, keys + ["_bucket"])
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    edge = t.where(F.col("_cls") == "split").withColumn(
-        name, F.col("_off") + F.row_number().over(w) <= F.col("_k"))
+    edge = t.where(F.col("_cls") == "split")
     rest = t.where(F.col("_cls") != "split").withColumn(name, F.col("_cls") == "in")
-    return edge.unionByName(rest).drop("_k", "_one", "_bucket", "_off", "_cls")
+    if levels > 1:
+        left = edge.withColumn("_left", F.col("_k") - F.col("_off")).drop("_k", "_one", "_bucket", "_off", "_cls")
+        edge = first_k_flag(left, keys, order, "_left", name, n_buckets, levels - 1).drop("_left")
+    else:
+        w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+        edge = edge.withColumn(name, F.col("_off") + F.row_number().over(w) <= F.col("_k")) \
+            .drop("_k", "_one", "_bucket", "_off", "_cls")
+    return edge.unionByName(rest.drop("_k", "_one", "_bucket", "_off", "_cls"))
 
 
 def quantile_columns(long: DataFrame, keys: Sequence[str], value: str,
                      named_probs: dict[str, float], exact: bool = True,
-                     accuracy: int = 100000, max_distinct: int | None = None) -> DataFrame:
+                     accuracy: int = 100000) -> DataFrame:
     """Wide form: one row per key with one column per named probability."""
     keys = list(keys)
     if not exact:
         arr = F.percentile_approx(F.col(value), list(named_probs.values()), accuracy)
         return long.groupBy(*keys).agg(arr.alias("_qs")).select(
             *keys, *[F.col("_qs")[i].alias(n) for i, n in enumerate(named_probs)])
-    qs = exact_quantiles(long, keys, value, list(named_probs.values()), max_distinct=max_distinct)
+    qs = exact_quantiles(long, keys, value, list(named_probs.values()))
     return qs.groupBy(*keys).agg(*[
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n)
         for n, p in named_probs.items()])

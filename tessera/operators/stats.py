@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (clean_value, col, dagostino_k2_pvalue, is_missing, rnd, safe4,
-                               sample_excess_kurtosis, sample_skewness)
-from .order_stats import distinct_bound, quantile_columns, to_long, top_k
+from ..functions.exprs import (clean_value, col, dagostino_k2_pvalue, INVERSE_NORMAL_STEPS, is_missing, rnd, safe4,
+                               sample_excess_kurtosis, sample_skewness, with_steps)
+from . import normality as normality_steps
+from .order_stats import quantile_columns, running_totals, to_long, top_k
 
 # Thresholds of the exploratory report.
 HIST_BINS = 20
 MIN_ROWS_DISTRIBUTION = 5      # histogram / normality need at least this many values
 MIN_ROWS_OUTLIERS = 4
-SHAPIRO_MAX_N = 5000           # above: D'Agostino-Pearson K^2; at or below: Shapiro-Wilk
-SHAPIRO_SAMPLE = 2000
+MIN_ROWS_K2 = 8                # the kurtosis transform of K^2 needs at least this many
 NORMAL_ALPHA = 0.05
 IQR_K = 1.5
 TOP_VALUES = 10
@@ -69,22 +69,13 @@ def missing_table(df: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """E-4a-d: mean, median, sample std, min, max, q25, q75, G1 skewness, G2 excess kurtosis.
 
-    Two passes: moments plus a distinct-count sketch per column (k rows, read on the
-    driver to pick the quantile strategy), then the exact quantiles."""
+    Moments in one aggregate, exact quantiles from the bucketed value table; nothing runs while building."""
     long = to_long(df, cols)
-    mom = long.groupBy("column_name").agg(
+    moments = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"),
         F.min("value").alias("_min"), F.max("value").alias("_max"),
-        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"), distinct_bound(F.col("value")).alias("_nd"))
-    rows = mom.collect()  # one row per column
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column_name string, n long, mean double, median double, "
-                                                   "std double, min double, max double, q25 double, q75 double, "
-                                                   "skewness double, kurtosis double")
-    moments = df.sparkSession.createDataFrame(rows, mom.schema)
-    bound = max(r["_nd"] for r in rows)
-    qs = quantile_columns(long, ["column_name"], "value", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75}, exact=exact,
-                          max_distinct=bound)
+        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
+    qs = quantile_columns(long, ["column_name"], "value", {"_q25": 0.25, "_median": 0.5, "_q75": 0.75}, exact=exact)
     return moments.join(qs, "column_name").select(
         "column_name", "n", safe4(F.col("_mean")).alias("mean"), safe4(F.col("_median")).alias("median"),
         safe4(F.col("_std")).alias("std"), safe4(F.col("_min")).alias("min"), safe4(F.col("_max")).alias("max"),
@@ -138,37 +129,46 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = HIST_BINS,
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
-def normality(df: DataFrame, cols: Sequence[str], alpha: float = NORMAL_ALPHA,
-              seed: int = 42) -> DataFrame:
-    """E-7: K^2 (n > 5000) as column expressions; Shapiro-Wilk (5 <= n <= 5000) per column
-    on a bounded sample (<= 2000 rows) through ``applyInPandas``."""
+#: Ranks that one row stands for when equal values are spelt out; a value holding more is split first.
+RANKS_PER_ROW = 4096
+
+
+def normality(df: DataFrame, cols: Sequence[str], alpha: float = NORMAL_ALPHA) -> DataFrame:
+    """E-7: Shapiro-Wilk W and D'Agostino's K^2 of every column with at least 5 values, over all rows.
+
+    Ranks come from the bucketed running totals of the distinct values; W's sums are grouped sums over ranks.
+    ``w_p_value`` is null for n > 5000, where its approximation is not published, ``k2_p_value`` for n < 8.
+    ``is_normal`` goes by W's p-value where there is one, else by K^2's."""
     long = to_long(df, cols)
-    mom = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.skewness("value").alias("_g1"),
-                                     F.kurtosis("value").alias("_g2"))
-    big = mom.where(F.col("n") > SHAPIRO_MAX_N).select(
-        "column_name", "n", F.lit("dagostino_k2").alias("method"),
-        dagostino_k2_pvalue(F.col("n"), F.col("_g1"), F.col("_g2")).alias("p_value"))
-    small_cols = mom.where((F.col("n") >= MIN_ROWS_DISTRIBUTION) & (F.col("n") <= SHAPIRO_MAX_N)) \
-        .select("column_name", "n")
-    # bounded sample: each column holds at most 5000 rows here; keep <= 2000 by hash order
-    from ..functions.exprs import split_hash
-    cand = long.join(F.broadcast(small_cols), "column_name") \
-        .withColumn("_h", split_hash(F.concat_ws("|", F.col("column_name"), F.col("value").cast("string")), seed))
-    sample = top_k(cand, ["column_name"], [F.col("_h"), F.col("value")], SHAPIRO_SAMPLE, salt_on="_h") \
-        .select("column_name", "value")
-    from .normality import shapiro_per_group, SHAPIRO_SCHEMA
-    sw = sample.groupBy("column_name").applyInPandas(shapiro_per_group, SHAPIRO_SCHEMA) \
-        .join(small_cols, "column_name").select("column_name", "n", F.lit("shapiro_wilk").alias("method"), "p_value")
-    both = big.unionByName(sw)
-    return both.select("column_name", "n", "method", safe4(F.col("p_value"), 6).alias("p_value"),
-                       F.coalesce(F.col("p_value") > alpha, F.lit(False)).alias("is_normal"))
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    mom = _shape(long).where(F.col("n") >= MIN_ROWS_DISTRIBUTION)
+    ranked = running_totals(counted, ["column_name"], "value", ["c"]).join(
+        F.broadcast(mom.select("column_name", "n", "_mean")), "column_name").withColumn("lo", F.col("c_cum") - F.col("c"))
+    parts = ranked.select("*", F.explode(F.sequence(F.col("lo"), F.col("c_cum") - 1, F.lit(RANKS_PER_ROW).cast("long"))).alias("at"))
+    rows = parts.withColumn("i", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + RANKS_PER_ROW, F.col("c_cum")))))
+    rows = with_steps(rows.withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25)), INVERSE_NORMAL_STEPS)
+    i, n, v = F.col("i"), F.col("n"), F.col("value")
+    sums = rows.groupBy("column_name").agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * v).alias("mx"),
+        F.sum((v - F.col("_mean")) * (v - F.col("_mean"))).alias("ss"), F.max(F.when(i == n, F.col("m"))).alias("m1"),
+        F.max(F.when(i == n - 1, F.col("m"))).alias("m2"), F.min("value").alias("x1"), F.max("value").alias("y1"),
+        F.max(F.when(i == 2, v)).alias("x2"), F.max(F.when(i == n - 1, v)).alias("y2"))
+    out = sums.join(mom, "column_name").withColumn("n", F.col("n").cast("double"))
+    out = with_steps(out, normality_steps.STEPS)
+    k2 = F.when(F.col("n") >= MIN_ROWS_K2, dagostino_k2_pvalue(F.col("n"), F.col("_g1"), F.col("_g2")))
+    return out.select("column_name", F.col("n").cast("long").alias("n"), rnd(F.col("w"), 6).alias("w_statistic"),
+                      rnd(F.col("w_p"), 6).alias("w_p_value"), rnd(k2, 6).alias("k2_p_value"),
+                      F.coalesce(F.coalesce(F.col("w_p"), k2) > alpha, F.lit(False)).alias("is_normal"))
+
+
+def _shape(long: DataFrame) -> DataFrame:
+    return long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"),
+                                           F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
 
 
 def normality_k2(df: DataFrame, cols: Sequence[str], alpha: float = NORMAL_ALPHA) -> DataFrame:
-    """E-7a alone: D'Agostino-Pearson for every column with n > 5000 (pure SQL expressions)."""
-    long = to_long(df, cols)
-    mom = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.skewness("value").alias("_g1"),
-                                     F.kurtosis("value").alias("_g2")).where(F.col("n") > SHAPIRO_MAX_N)
+    """E-7a alone: D'Agostino-Pearson for every column with n >= 8 (pure SQL expressions, one aggregate)."""
+    mom = _shape(to_long(df, cols)).where(F.col("n") >= MIN_ROWS_K2)
     p = dagostino_k2_pvalue(F.col("n"), F.col("_g1"), F.col("_g2"))
     return mom.select("column_name", "n", safe4(p, 6).alias("p_value"), (p > alpha).alias("is_normal"))
 
@@ -211,11 +211,8 @@ def correlations(df: DataFrame, cols: Sequence[str], batch: int = 8) -> DataFram
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool = True) -> DataFrame:
     long = to_long(df, cols)
-    sizes = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), distinct_bound(F.col("value")).alias("_nd"))
-    rows = sizes.collect()  # one row per column
-    bound = max((r["_nd"] for r in rows), default=0)
-    qs = quantile_columns(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, exact=exact, max_distinct=bound)
-    n = df.sparkSession.createDataFrame([(r["column_name"], r["n"]) for r in rows], "column_name string, n long")
+    n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    qs = quantile_columns(long, ["column_name"], "value", {"q1": 0.25, "q3": 0.75}, exact=exact)
     iqr = F.col("q3") - F.col("q1")
     return qs.join(n, "column_name").select("column_name", "n", "q1", "q3", (F.col("q1") - k * iqr).alias("lower"),
                                             (F.col("q3") + k * iqr).alias("upper"))
@@ -223,12 +220,10 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool = True) -> DataFrame:
     """E-10: strict IQR fences; columns with n >= 4 and at least one outlier.
-    Outliers are counted on the per-value table the quantiles already built."""
+    Outliers are counted on the scan against the broadcast fences; only one row per column and task is shuffled."""
     fences = iqr_fences(df, cols, k, exact).where(F.col("n") >= MIN_ROWS_OUTLIERS)
-    counted = to_long(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_w"))
-    flagged = counted.join(F.broadcast(fences.select("column_name", "lower", "upper")), "column_name") \
-        .groupBy("column_name").agg(F.sum(F.when((F.col("value") < F.col("lower")) |
-                                                 (F.col("value") > F.col("upper")), F.col("_w")).otherwise(0))
+    flagged = to_long(df, cols).join(F.broadcast(fences.select("column_name", "lower", "upper")), "column_name") \
+        .groupBy("column_name").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
                                     .alias("n_outliers"))
     return flagged.join(fences, "column_name").where(F.col("n_outliers") > 0).select(
         "column_name", F.col("n_outliers").cast("long").alias("n_outliers"),

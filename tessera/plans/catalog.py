@@ -224,15 +224,42 @@ g AS (SELECT column_name, n, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) - 3.0 AS g2
 WITH {_moments_cte('events', ['value'])}
 SELECT column_name, n, {S.safe4(S.dagostino_sql('n', 'g1', 'g2'), 6)} AS p_value,
        {S.dagostino_sql('n', 'g1', 'g2')} > 0.05 AS is_normal
-FROM g WHERE n > 5000""")
+FROM g WHERE n >= 8""")
 def q_normality_k2(spark, sf):
     from ..operators.stats import normality_k2
     return normality_k2(table(spark, sf, "events"), ["value"])
 
 
-@register("normality")
+def _normality_sql(tbl, cols):
+    """Row by row: every rank's expected order statistic, then the shared closing formulas."""
+    from ..functions.exprs import INVERSE_NORMAL_STEPS
+    from ..operators.normality import STEPS
+
+    def chain(name, steps):
+        return "".join(f",\n{name}{k} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM {name}{k - 1})"
+                       for k, step in enumerate(steps, 1))
+    steps, ranks = chain("t", STEPS), chain("o", INVERSE_NORMAL_STEPS)
+    k2 = f"CASE WHEN n >= 8 THEN {S.dagostino_sql('n', 'g1', 'g2')} END"
+    return f"""
+WITH {_moments_cte(tbl, cols)},
+r AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS i,
+             count(*) OVER (PARTITION BY column_name) AS n FROM l),
+o0 AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r WHERE n >= 5){ranks},
+o AS (SELECT * FROM o{len(INVERSE_NORMAL_STEPS)}),
+t0 AS (SELECT o.column_name, o.n::DOUBLE AS n, sum(m * m) AS mm, sum(m * value) AS mx,
+              sum((value - mean_) * (value - mean_)) AS ss, max(CASE WHEN i = o.n THEN m END) AS m1,
+              max(CASE WHEN i = o.n - 1 THEN m END) AS m2, min(value) AS x1, max(value) AS y1,
+              max(CASE WHEN i = 2 THEN value END) AS x2, max(CASE WHEN i = o.n - 1 THEN value END) AS y2,
+              any_value(g1) AS g1, any_value(g2) AS g2
+       FROM o JOIN mu USING (column_name) JOIN g USING (column_name) GROUP BY o.column_name, o.n){steps}
+SELECT column_name, n::BIGINT AS n, round(w, 6) + 0.0 AS w_statistic, round(w_p, 6) + 0.0 AS w_p_value,
+       round({k2}, 6) + 0.0 AS k2_p_value, coalesce(coalesce(w_p, {k2}) > 0.05, false) AS is_normal
+FROM t{len(STEPS)}"""
+
+
+@register("normality", _normality_sql("documents", ["n_chars", "doc_id"]))
 def q_normality(spark, sf):
-    """E-7 with both branches: K^2 for n > 5000, Shapiro-Wilk on <= 2000 sampled rows otherwise."""
+    """E-7: W and K^2 over all rows."""
     from ..operators.stats import normality
     return normality(table(spark, sf, "documents"), ["n_chars", "doc_id"])
 

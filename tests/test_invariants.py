@@ -98,12 +98,39 @@ def test_edge_tables(spark):
     assert st["std"] == 0.0 and st["skewness"] == 0.0
 
 
-def test_shapiro_null_rate():
-    from tessera.operators.normality import shapiro_wilk
+def test_normal_steps(spark):
+    from statistics import NormalDist
+    from tessera.functions.exprs import INVERSE_NORMAL_STEPS, normal_tail_steps, with_steps
+    ps = [1e-12, 1e-4, 0.02, 0.075, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-6]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    rows = with_steps(with_steps(df, INVERSE_NORMAL_STEPS), normal_tail_steps("m", "tail")).collect()
+    for r in rows:
+        assert abs(r["m"] - NormalDist().inv_cdf(r["p"])) < 1e-9 and abs(r["tail"] - (1 - r["p"])) < 1e-9
+
+
+def test_normality_over_all_rows(spark):
+    """W of samples: null rejection rate, power, ties, few values; the weights of a published n = 10 table."""
+    from tessera.operators.stats import normality
     rng = np.random.default_rng(0)
-    rej = np.mean([shapiro_wilk(rng.normal(size=60))[1] < 0.05 for _ in range(300)])
-    assert 0.02 < rej < 0.09
-    assert shapiro_wilk(rng.exponential(size=200))[1] < 0.01
+    cols = {f"c{i}": rng.normal(size=60) for i in range(150)}
+    rej = np.mean([r["w_p_value"] < 0.05 for r in normality(_frame(spark, cols), list(cols)).collect()])
+    assert 0.01 < rej < 0.11
+    skewed = normality(_frame(spark, {"x": rng.exponential(size=6000)}), ["x"]).first()
+    assert skewed["w_p_value"] is None and skewed["w_statistic"] < 0.9 and skewed["k2_p_value"] < 0.01 and not skewed["is_normal"]
+    rounded = normality(_frame(spark, {"x": np.round(rng.normal(size=4000) * 2)}), ["x"]).first()
+    assert rounded["w_statistic"] < 0.99 and not rounded["is_normal"]  # ties over all rows, no sample
+    # weights for n = 10 are 0.5739, 0.3291, 0.2141, 0.1224, 0.0399 (Shapiro and Wilk's table); W of this sample by them
+    x = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, ], float)
+    a = np.array([0.5739, 0.3291, 0.2141, 0.1224, 0.0399])
+    w = (a @ (x[::-1][:5] - x[:5])) ** 2 / ((x - x.mean()) ** 2).sum()
+    got = normality(_frame(spark, {"x": x, "five": np.r_[x[:5], [np.nan] * 5]}), ["x", "five"]).collect()
+    assert {r["column_name"]: r["k2_p_value"] is None for r in got} == {"x": False, "five": True}
+    assert abs([r for r in got if r["column_name"] == "x"][0]["w_statistic"] - w) < 2e-3
+
+
+def _frame(spark, columns):
+    return spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*columns.values())],
+                                 ", ".join(f"{c} double" for c in columns))
 
 
 def test_stream_equals_batch(spark):
@@ -119,8 +146,8 @@ def test_stream_equals_batch(spark):
     assert (s[["psi", "js_distance", "n_current"]].values == b[["psi", "js_distance", "n_current"]].values).all()
 
 
-def test_bucketed_paths_match_single_task_paths(spark):
-    """The scalable (bucketed) branches give the same answers as the size-checked ones."""
+def test_bucket_counts_do_not_matter(spark):
+    """Any number of buckets gives the exact answer."""
     from tessera.operators.order_stats import first_k_flag, weighted_quantiles
     df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), "id")
     k = F.ceil(F.lit(0.2) * 667)
