@@ -86,11 +86,11 @@ def drift_bars(report: DataFrame) -> DataFrame:
 
 
 def explain(metrics: DataFrame, task_type: str, model_name_col: str = "model_name") -> DataFrame:
-    """L-1: rule-based explanation per model from its metrics (wide: r2 / accuracy / silhouette_score)."""
+    """L-1: rule-based explanation per model from its metrics (wide: r2 / accuracy / silhouette_sq)."""
     cols = set(metrics.columns)
     r2 = F.col("r2") if "r2" in cols else F.lit(None).cast("double")
     acc = F.col("accuracy") if "accuracy" in cols else F.lit(None).cast("double")
-    sil = F.col("silhouette_score") if "silhouette_score" in cols else F.lit(None).cast("double")
+    sil = F.col("silhouette_sq") if "silhouette_sq" in cols else F.lit(None).cast("double")
     # Verdict thresholds and sentences.
     perf = (F.when(r2.isNotNull(), F.concat(F.lit("R² = "), short_float_str(r2), F.lit(". "),
                                             F.when(r2 > 0.9, "Excellent fit.").when(r2 > 0.7, "Good fit.")

@@ -1,10 +1,11 @@
 """Density and hierarchical clustering re-aimed for Spark (M-14, M-15).
 
 ``grid_density_clusters`` (M-14, DBSCAN re-aim): points fall into grid cells of
-side ``eps`` over at most three dimensions (the highest-variance ones); a cell
-holding at least ``min_samples`` points is dense; adjacent dense cells are
-connected (3^g - 1 neighbour offsets, cell-level joins only); components come
-from iterative min-label propagation with a reliable checkpoint per round.
+side ``eps`` over all dimensions; a cell holding at least ``min_samples`` points
+is dense; dense cells that differ by at most one step in every dimension are
+connected. Neighbours are joined on the cell's first coordinates and then
+checked in all (cell-level joins only); components come from min-label
+propagation with pointer jumping, a reliable checkpoint per round, until no label changes.
 Points of dense cells take their component, points of sparse cells adjacent
 to a dense cell take the smallest adjacent component, the rest are noise (-1).
 No point pairs are ever formed, so a cell holding a third of the data is one
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-GRID_DIMS = 3
-MAX_ROUNDS = 100
+#: Leading coordinates that neighbour joins use as their key (3^KEY_DIMS offsets); the others are checked.
+KEY_DIMS = 3
 MICRO_CLUSTERS = 200
 
 
@@ -42,47 +43,50 @@ def _vector_cols(df: DataFrame, vec: str, key: str) -> tuple[DataFrame, int]:
     return out, d
 
 
+def _neighbours(cells: DataFrame, others: DataFrame, g: int) -> DataFrame:
+    """(cell, nbr): pairs of a cell of ``cells`` and another one of ``others`` within one step in each of g dimensions."""
+    k = min(KEY_DIMS, g)
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=k)])
+    near = cells.select("cell", F.explode(offsets).alias("off")) \
+        .select("cell", F.array(*[F.col("cell")[i] + F.col("off")[i] for i in range(k)]).alias("_key"))
+    away = others.select(F.col("cell").alias("nbr"), F.slice("cell", 1, k).alias("_key"))
+    close = F.forall(F.zip_with("cell", "nbr", lambda a, b: F.abs(a - b) <= 1), lambda x: x)
+    return near.join(away, "_key").where(close & (F.col("cell") != F.col("nbr"))).select("cell", "nbr")
+
+
 def grid_density_clusters(df: DataFrame, vec: str, key: str, eps: float = 0.5, min_samples: int = 5,
                           dims: Sequence[int] | None = None) -> DataFrame:
-    """Return ``(key, cluster)`` with cluster -1 for noise."""
+    """Return ``(key, cluster)`` with cluster -1 for noise; ``dims`` picks dimensions, default all."""
     pts, d = _vector_cols(df, vec, key)
-    if dims is None:
-        var = pts.select(F.posexplode("_x").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")) \
-            .orderBy(F.col("v").desc(), "j").limit(min(GRID_DIMS, d)).collect()  # d rows: metadata
-        dims = sorted(r["j"] for r in var)
+    dims = list(range(d)) if dims is None else list(dims)
     g = len(dims)
     cell = F.array(*[F.floor(F.col("_x")[j] / eps).cast("long") for j in dims])
     pts = pts.withColumn("cell", cell)
     counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     dense = materialize(counts.where(F.col("n") >= min_samples).select("cell"))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=g) if any(o)]
-    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    nb = dense.select("cell", F.explode(off_arr).alias("off")) \
-        .select("cell", F.array(*[F.col("cell")[i] + F.col("off")[i] for i in range(g)]).alias("nbr"))
-    edges = nb.join(dense.select(F.col("cell").alias("nbr")), "nbr").select("cell", "nbr")
-    edges = materialize(edges)
+    edges = materialize(_neighbours(dense, dense, g))
     key_of = lambda c: F.concat_ws(",", F.transform(c, lambda v: v.cast("string")))
-    labels = dense.select("cell", key_of(F.col("cell")).alias("lab"))
-    for _ in range(MAX_ROUNDS):
-        prop = edges.join(labels.withColumnRenamed("cell", "nbr").withColumnRenamed("lab", "nlab"), "nbr") \
+    # a label names a cell, so the label of the label's cell is a legal next label
+    labels = dense.select(key_of(F.col("cell")).alias("id"), "cell", key_of(F.col("cell")).alias("lab"))
+    while True:
+        prop = edges.join(labels.select(F.col("cell").alias("nbr"), F.col("lab").alias("nlab")), "nbr") \
             .groupBy("cell").agg(F.min("nlab").alias("nlab"))
         new = labels.join(prop, "cell", "left").select(
-            "cell", F.least(F.col("lab"), F.coalesce(F.col("nlab"), F.col("lab"))).alias("lab"))
-        new = materialize(new)
-        changed = new.join(labels.withColumnRenamed("lab", "old"), "cell").where(F.col("lab") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+            "id", "cell", F.col("lab").alias("old"), F.least(F.col("lab"), F.coalesce(F.col("nlab"), F.col("lab"))).alias("lab"))
+        jump = labels.select(F.col("id").alias("lab"), F.col("lab").alias("further"))
+        new = materialize(new.join(jump, "lab").select("id", "cell", "old", F.least("lab", "further").alias("lab")))
+        labels = new.drop("old")
+        if new.where(F.col("lab") != F.col("old")).isEmpty():
             break
     # sparse cells adjacent to a dense cell: smallest adjacent label
     sparse = counts.where(F.col("n") < min_samples).select("cell")
-    sb = sparse.select("cell", F.explode(off_arr).alias("off")) \
-        .select("cell", F.array(*[F.col("cell")[i] + F.col("off")[i] for i in range(g)]).alias("nbr")) \
-        .join(labels.withColumnRenamed("cell", "nbr"), "nbr").groupBy("cell").agg(F.min("lab").alias("lab"))
-    cell_lab = labels.unionByName(sb)
-    ids = cell_lab.select("lab").distinct()
-    from .order_stats import dense_codes
-    codes = dense_codes(ids, "lab", "cluster")
-    out = pts.join(cell_lab, "cell", "left").join(codes, "lab", "left")
+    sb = _neighbours(sparse, dense, g).join(labels.select(F.col("cell").alias("nbr"), "lab"), "nbr") \
+        .groupBy("cell").agg(F.min("lab").alias("lab"))
+    cell_lab = labels.select("cell", "lab").unionByName(sb)
+    from .order_stats import dense_codes, keyed_join
+    codes = dense_codes(labels.select("lab").distinct(), "lab", "cluster")
+    coded = cell_lab.join(codes, "lab").select("cell", "cluster")  # cells, not points
+    out = keyed_join(pts, coded, ["cell"], key, "left")  # a cell may hold a third of all points
     return out.select(key, F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, ks_pvalue, rnd
 from ..session import materialize
-from .order_stats import running_totals, weighted_quantiles
+from .order_stats import keyed_join, running_totals, weighted_quantiles
 from .stats import bin_index
 
 # Drift thresholds.
@@ -62,11 +62,11 @@ def drift(reference: DataFrame, current: DataFrame, cols: Sequence[str],
         F.min("value").alias("_lo"), F.max("value").alias("_hi")) \
         .where((F.col("n_train") >= MIN_VALUES) & (F.col("n_test") >= MIN_VALUES))
     # second moment around the side means (two passes over the small table: stable)
-    spread = vc.join(first.select(*keys, "_m0", "_m1"), keys).groupBy(*keys).agg(
+    spread = keyed_join(vc, first.select(*keys, "_m0", "_m1"), keys, "value").groupBy(*keys).agg(
         F.sqrt(F.sum(c0 * (v - F.col("_m0")) * (v - F.col("_m0"))) / F.sum("c0")).alias("_s0"),
         F.sqrt(F.sum(c1 * (v - F.col("_m1")) * (v - F.col("_m1"))) / F.sum("c1")).alias("_s1"))
     sizes = first.join(spread, keys)
-    valid = vc.join(first.select(*keys, "n_train", "n_test", "_lo", "_hi"), keys)
+    valid = keyed_join(vc, first.select(*keys, "n_train", "n_test", "_lo", "_hi"), keys, "value")
 
     # KS: running totals over distinct values -> max |F0 - F1|
     cum = running_totals(valid, keys, "value", ["c0", "c1"])
@@ -78,7 +78,7 @@ def drift(reference: DataFrame, current: DataFrame, cols: Sequence[str],
     edges = qs.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
     nb = F.size("edges") - 1
     raw_bin = F.size(F.filter(F.col("edges"), lambda e: e <= F.col("value"))) - 1
-    bin_counts = valid.join(edges, keys).where(nb >= 2) \
+    bin_counts = keyed_join(valid, edges, keys, "value").where(nb >= 2) \
         .where((F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1))) \
         .withColumn("bin", F.least(raw_bin, nb - 1)) \
         .groupBy(*keys, "bin").agg(F.sum("c0").alias("b0"), F.sum("c1").alias("b1"))

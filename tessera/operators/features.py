@@ -137,18 +137,21 @@ def target_encode(df: DataFrame, column: str, target: str, fit: DataFrame | None
     out = output or f"{column}_te"
     means = fit.groupBy(col(column).alias("_cat")).agg(F.avg(col(target)).alias(out))
     glob = fit.agg(F.avg(col(target)).alias("_gm"))
-    return df.join(means, df[column].eqNullSafe(means["_cat"]), "left").crossJoin(F.broadcast(glob)) \
-        .withColumn(out, F.coalesce(F.col(out), F.col("_gm"))).drop("_cat", "_gm")
+    # a category may hold a third of the rows; null is a category, so keys are compared as (is null, text)
+    from .order_stats import keyed_join
+    flat = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("v"))
+    tagged = df.withColumn("_k", flat(col(column))).withColumn("_spread", F.xxhash64(*[col(x) for x in df.columns]))
+    joined = keyed_join(tagged, means.select(flat(F.col("_cat")).alias("_k"), out), ["_k"], "_spread", "left")
+    return joined.crossJoin(F.broadcast(glob)) \
+        .withColumn(out, F.coalesce(F.col(out), F.col("_gm"))).drop("_k", "_spread", "_gm")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """F-15: one 0/1 column per category (categories read from the data when not given;
-    only used for low-cardinality columns, <= 10 values)."""
+    """F-15: one 0/1 column per category. Categories become column names, so they are read from the
+    data when not given; suggestions only offer this for columns of few values."""
     if values is None:
         values = [r[0] for r in df.select(col(column).cast("string")).where(col(column).isNotNull())
-                  .distinct().orderBy(1).limit(ONE_HOT_MAX + 1).collect()]
-        if len(values) > ONE_HOT_MAX:
-            raise ValueError(f"{column} has more than {ONE_HOT_MAX} categories; use target_encode")
+                  .distinct().orderBy(1).collect()]
     return df.withColumns({f"{column}_{v}": (col(column).cast("string") == F.lit(v)).cast("int") for v in values})
 
 

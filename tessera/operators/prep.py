@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import col, split_hash
 from ..session import materialize
-from .order_stats import dense_codes, first_k_flag, quantile_columns, to_long
+from .order_stats import dense_codes, first_k_flag, keyed_join, quantile_columns, to_long
 
 # Fixed values.
 TEST_FRACTION = 0.2
@@ -46,7 +46,9 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
     for c in cols:
         key = F.coalesce(col(c).cast("string"), F.lit(NULL_CLASS))
         mapping = dense_codes(fit.select(key.alias("_v")), "_v", "_code")
-        out = out.withColumn("_v", key).join(mapping, "_v", "left").drop("_v", c) \
+        # a category may hold a third of the rows: spread over salts of the whole row
+        out = keyed_join(out.withColumn("_v", key).withColumn("_spread", F.xxhash64(*[col(x) for x in out.columns])),
+                         mapping, ["_v"], "_spread", "left").drop("_v", "_spread", c) \
             .withColumnRenamed("_code", c)
     return out.select(*df.columns)
 
@@ -88,8 +90,7 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = TE
     tagged = df.withColumn("_skey", key).withColumn("_h", split_hash(F.col("_skey"), seed))
     groups = [strata] if strata else []
     # the flag sorts only the hash bucket that straddles the cut of each stratum
-    sized = tagged.join(tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups) if groups \
-        else tagged.crossJoin(tagged.agg(F.count(F.lit(1)).alias("_n")))
+    sized = keyed_join(tagged, tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups, "_skey")
     flagged = first_k_flag(sized, groups, ["_h", "_skey"], F.ceil(F.col("_n") * test_fraction), name)
     return flagged.drop("_skey", "_h", "_n")
 
@@ -132,9 +133,10 @@ def prepare(df: DataFrame, target: str | None, task: str, key_cols: Sequence[str
     imp_train = impute_median(enc_train, features, fit=enc_train)
     imp_test = impute_median(enc_test, features, fit=enc_train)
     if task == "classification":
-        classes = dense_codes(train_raw.select("_label_raw"), "_label_raw", "label")
-        imp_train = imp_train.join(classes, "_label_raw", "left")
-        imp_test = imp_test.join(classes, "_label_raw", "left")
+        # codes of the whole target: a class whose rows all fall into one part still has its code in both
+        classes = materialize(dense_codes(split.select("_label_raw"), "_label_raw", "label"))
+        imp_train = keyed_join(imp_train, classes, ["_label_raw"], "_key", "left")
+        imp_test = keyed_join(imp_test, classes, ["_label_raw"], "_key", "left")
     elif target:
         imp_train = imp_train.withColumn("label", F.col("_label_raw"))
         imp_test = imp_test.withColumn("label", F.col("_label_raw"))

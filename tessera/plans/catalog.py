@@ -1265,7 +1265,22 @@ def _scaled_customer(spark, sf):
         .select("c_custkey", "v")
 
 
-@register("density_clusters")
+@register("density_clusters", """
+WITH RECURSIVE s AS (SELECT avg(c_acctbal) AS ma, stddev_samp(c_acctbal) AS sa, avg(c_nationkey) AS mn,
+                            stddev_samp(c_nationkey) AS sn FROM customer),
+p AS (SELECT c_custkey, floor((c_acctbal - ma) / sa / 0.5)::BIGINT AS x, floor((c_nationkey - mn) / sn / 0.5)::BIGINT AS y
+      FROM customer, s),
+c AS (SELECT x, y, count(*) AS n FROM p GROUP BY x, y),
+d AS (SELECT x, y FROM c WHERE n >= 5),
+r AS (SELECT x, y, x AS rx, y AS ry FROM d
+      UNION SELECT d.x, d.y, r.rx, r.ry FROM r JOIN d ON abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
+lab AS (SELECT x, y, min(rx || ',' || ry) AS lab FROM r GROUP BY x, y),
+near AS (SELECT c.x, c.y, min(lab) AS lab FROM c JOIN lab ON abs(lab.x - c.x) <= 1 AND abs(lab.y - c.y) <= 1
+         WHERE c.n < 5 GROUP BY c.x, c.y),
+cells AS (SELECT * FROM lab UNION ALL SELECT * FROM near),
+codes AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS code FROM (SELECT DISTINCT lab FROM lab))
+SELECT coalesce(code, -1)::INTEGER AS cluster, count(*) AS size
+FROM p LEFT JOIN cells USING (x, y) LEFT JOIN codes USING (lab) GROUP BY 1""")
 def q_density_clusters(spark, sf):
     """M-14 re-aim: grid-density clustering (eps 0.5, min_samples 5) of standardized customer
     balance and nation; cluster sizes with noise (-1) included (V-13)."""
@@ -1375,11 +1390,53 @@ def q_json_roundtrip(spark, sf):
     from ..sources.readers import load, to_json_rows
     path = _scratch(spark, "documents-json") + "/documents.json"
     to_json_rows(table(spark, sf, "documents")).write.text(path)
-    d = load(spark, path)
+    d = load(spark, path, orient="lines")
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").cast("long").alias("total_chars"),
                  F.count_distinct("lang").alias("n_langs"), F.count_if(F.col("text").isNull()).alias("null_texts"))
 
 
+_LABELLED_SQL = """
+SELECT count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(quality) AS BIGINT) AS good,
+       count(*) FILTER (WHERE quality IS NULL) AS unlabelled, count(*) FILTER (WHERE toxic = 1) AS toxic_docs,
+       round(avg(n_chars * quality), 4) + 0.0 AS mean_chars
+FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def _labelled(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return d.join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+def _labelled_summary(d):
+    from ..functions.exprs import rnd
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").cast("long").alias("ids"),
+                 F.sum("quality").cast("long").alias("good"), F.count_if(F.col("quality").isNull()).alias("unlabelled"),
+                 F.count_if(F.col("toxic") == 1).alias("toxic_docs"), rnd(F.avg(F.col("n_chars") * F.col("quality"))).alias("mean_chars"))
+
+
+@register("csv_missing_roundtrip", _LABELLED_SQL)
+def q_csv_missing_roundtrip(spark, sf):
+    """S-1/S-5/S-6/S-12: labels with missing values written as NA tokens under padded column names, and an
+    all-missing row; loaded back as numbers with the names stripped and the empty row dropped."""
+    from ..sources.readers import load, write_csv
+    d = _labelled(spark, sf)
+    text = d.select(*[F.coalesce(F.col(c).cast("string"), F.lit(t)).alias(f"  {c} ") for c, t in
+                      zip(d.columns, ("NA", "nan", "NULL", "NA", "n/a"))])
+    empty = spark.range(1).select(*[F.lit("NA").alias(c) for c in text.columns])
+    path = _scratch(spark, "labelled-csv") + "/labelled.csv"
+    write_csv(text.unionByName(empty), path)
+    return _labelled_summary(load(spark, path))
+
+
+@register("json_missing_roundtrip", _LABELLED_SQL)
+def q_json_missing_roundtrip(spark, sf):
+    """S-3/S-13: the same rows as JSON lines that keep their nulls."""
+    from ..sources.readers import load, to_json_rows
+    path = _scratch(spark, "labelled-json") + "/labelled.json"
+    to_json_rows(_labelled(spark, sf)).write.text(path)
+    return _labelled_summary(load(spark, path, orient="lines"))
+
+
 @register("sample_values", """
 WITH l AS (SELECT 'o_custkey' AS column_name, o_orderkey AS ord, CAST(o_custkey AS VARCHAR) AS value FROM orders
            WHERE o_custkey IS NOT NULL

@@ -29,17 +29,18 @@ def _ext(path: str) -> str:
     return m.group(1).lower() if m else ""
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None, schema=None, do_clean: bool = True) -> DataFrame:
-    """S-1 ... S-4: read CSV / JSON / xlsx / Parquet; unknown extension -> ``ValueError``."""
+def load(spark: SparkSession, path: str, fmt: str | None = None, schema=None, do_clean: bool = True,
+         orient: str = "auto", multi_line: bool = False) -> DataFrame:
+    """S-1 ... S-4: read CSV / JSON / xlsx / Parquet; unknown extension -> ``ValueError``.
+    ``orient`` is the JSON layout (see ``read_json``); ``multi_line`` says that CSV values hold line feeds,
+    which keeps Spark from splitting a file."""
     ext = f".{fmt}" if fmt else _ext(path)
     if ext not in SUPPORTED:
         raise ValueError(f"Unsupported file type: {ext}")
     if ext == ".csv":
-        r = spark.read.option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE")
-        df = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
-        df = _na_tokens(df)
+        df = read_csv(spark, path, schema, multi_line)
     elif ext == ".json":
-        df = read_json(spark, path, schema)
+        df = read_json(spark, path, schema, orient)
     elif ext == ".xlsx":
         df = read_xlsx(spark, path)
     else:
@@ -47,37 +48,65 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema=None, do
     return clean(df) if do_clean else df
 
 
-def _na_tokens(df: DataFrame) -> DataFrame:
-    """String columns: pandas' NA tokens become null (numeric columns were inferred already)."""
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """S-1: CSV with header. Missing-value tokens become null on the text, before types are inferred from what
+    is left (one aggregate): a number column that holds ``NA`` stays a number column."""
+    text = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line).csv(path)
+    text = text.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if schema is None:
+        return _infer_types(text)
     from pyspark.sql import types as T
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            out.append(F.when(F.trim(c).isin(*NA_TOKENS), F.lit(None)).otherwise(c).alias(f.name))
-        else:
-            out.append(c)
-    return df.select(*out)
-
-
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """S-3: JSON records (array or lines) or pandas' column-oriented ``{"col": {"0": v}}``."""
-    head = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("v")).limit(1).first()
-    text = head["v"] if head else ""
-    if text.startswith("{") and re.match(r'^\{\s*"[^"]*"\s*:\s*\{', text):
+    kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return text.select(*[F.col(f"`{c}`").try_cast(f.dataType).alias(f.name) for c, f in zip(text.columns, kinds.fields)])
+
+
+#: Types tried for a text column, narrowest first.
+CSV_TYPES = ("int", "bigint", "double", "boolean", "timestamp")
+
+
+def _infer_types(df: DataFrame) -> DataFrame:
+    """Each string column as the first of CSV_TYPES that all its values parse as; one aggregate over the table."""
+    def fits(c, kind):
+        v, shape = F.col(f"`{c}`"), {"int": "^[+-]?[0-9]+$", "bigint": "^[+-]?[0-9]+$", "timestamp": "^[0-9]{4}-"}.get(kind)
+        ok = v.try_cast(kind).isNotNull()
+        return F.bool_and(F.when(v.isNotNull(), ok & F.trim(v).rlike(shape) if shape else ok))
+    checks = df.agg(*[fits(c, k).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k in CSV_TYPES]).first()
+    kind = [next((k for k in CSV_TYPES if checks[f"{i}_{k}"]), None) for i in range(len(df.columns))]
+    return df.select(*[(F.col(f"`{c}`").try_cast(k) if k else F.col(f"`{c}`")).alias(c) for c, k in zip(df.columns, kind)])
+
+
+def _json_orient(spark: SparkSession, path: str) -> str:
+    """The layout that all files have: two booleans per file are aggregated, no text leaves the executors."""
+    text = F.ltrim("value")
+    inner = F.from_json(text, "map<string, map<string, string>>")
+    columns = text.startswith("{") & F.coalesce(F.forall(F.map_values(inner), lambda m: m.isNotNull() & F.forall(
+        F.map_keys(m), lambda k: k.rlike("^[0-9]+$"))), F.lit(False)) & (F.size(inner) > 0)
+    r = spark.read.text(path, wholetext=True).agg(F.bool_and(columns).alias("columns"),
+                                                  F.bool_and(text.startswith("[")).alias("records")).first()
+    return "columns" if r["columns"] else "records" if r["records"] else "lines"
+
+
+def read_json(spark: SparkSession, path: str, schema=None, orient: str = "auto") -> DataFrame:
+    """S-3: JSON by ``orient``: ``records`` (one array of objects, or one object, a file), ``lines`` (an object per
+    line; files are split) or ``columns`` (pandas' ``{"col": {"0": v}}``). ``auto`` looks at every file whole, a task
+    a file, to find out; say which it is for large files."""
+    orient = _json_orient(spark, path) if orient == "auto" else orient
+    if orient == "columns":
         return _column_oriented_json(spark, path)
-    r = spark.read.option("multiLine", text.startswith("["))
+    if orient not in ("records", "lines"):
+        raise ValueError(f"Unknown JSON layout: {orient}")
+    r = spark.read.option("multiLine", orient == "records")
     return r.schema(schema).json(path) if schema else r.json(path)
 
 
 def _column_oriented_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
-    cells = parsed.select(F.explode("m").alias("column_name", "rows")) \
-        .select("column_name", F.explode("rows").alias("row", "value"))
-    cols = [r[0] for r in cells.select("column_name").distinct().collect()]  # column names: metadata
-    wide = cells.groupBy(F.col("row").cast("long").alias("_row")).pivot("column_name", cols).agg(F.first("value"))
-    return _infer_numeric(wide.orderBy("_row").drop("_row"))
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    parsed = raw.select("path", F.from_json("value", "map<string, map<string, string>>").alias("m"))
+    cells = parsed.select("path", F.explode("m").alias("column_name", "rows")) \
+        .select("path", "column_name", F.explode("rows").alias("row", "value"))
+    cols = [r[0] for r in cells.select("column_name").distinct().orderBy("column_name").collect()]  # column names: metadata
+    wide = cells.groupBy("path", F.col("row").cast("long").alias("_row")).pivot("column_name", cols).agg(F.first("value"))
+    return _infer_numeric(wide.drop("path", "_row"))
 
 
 def _infer_numeric(df: DataFrame) -> DataFrame:
@@ -100,6 +129,21 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """Part name of the first sheet in the workbook's own order, which need not be that of the file names."""
+    names = z.namelist()
+    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        first = next(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet"), None)
+        rel = first is not None and first.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")
+        for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")) if rel else ():
+            target = r.get("Target", "").lstrip("/")
+            target = target if target.startswith("xl/") else f"xl/{target}"
+            if r.get("Id") == rel and target in names:
+                return target
+    return sheets[0]
+
+
 def parse_xlsx_cells(path: str, content: bytes) -> pd.DataFrame:
     """Cells of the first worksheet as (path, row, col, value) using only the stdlib."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -108,12 +152,13 @@ def parse_xlsx_cells(path: str, content: bytes) -> pd.DataFrame:
             root = ET.fromstring(z.read("xl/sharedStrings.xml"))
             for si in root.findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
-        root = ET.fromstring(z.read(sheets[0]))
-    rows = []
+        root = ET.fromstring(z.read(_first_sheet(z)))
+    rows, rnum = [], -1
     for r in root.iter(f"{{{_NS['m']}}}row"):
-        rnum = int(r.get("r")) - 1
+        rnum = int(r.get("r")) - 1 if r.get("r") else rnum + 1  # the row number is optional
+        cnum = -1
         for c in r.findall("m:c", _NS):
+            cnum = _col_index(c.get("r")) if c.get("r") else cnum + 1
             t = c.get("t")
             v = c.find("m:v", _NS)
             if t == "s" and v is not None:
@@ -122,7 +167,7 @@ def parse_xlsx_cells(path: str, content: bytes) -> pd.DataFrame:
                 val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
             else:
                 val = v.text if v is not None else None
-            rows.append((path, rnum, _col_index(c.get("r")), val))
+            rows.append((path, rnum, cnum, val))
     return pd.DataFrame(rows, columns=["path", "row", "col", "value"])
 
 
@@ -149,8 +194,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """S-13: one JSON document per row (``to_json(struct(*))``)."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)

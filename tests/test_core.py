@@ -150,3 +150,46 @@ class TestRecommender:
         s = dataset_summary(regression_df, prof, ["feature_a", "target"], 0, "regression")
         rows = recommend(s, registry(spark)).orderBy("rank").collect()
         assert rows and rows[0]["recommended"] and all(0 <= r["score"] <= 100 for r in rows)
+
+
+def test_readers_on_awkward_files(spark, tmp_path):
+    """NA tokens in number columns, nested JSON lines, two column-oriented files, null fields kept, sheet order."""
+    import zipfile
+    from tessera.sources.readers import load, parse_xlsx_cells, to_json_rows
+    (tmp_path / "a.csv").write_text("a,b, c \n1,x,2020-01-01\nNA,,2021-05-06\n3,n/a,NaN\n")
+    df = load(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"a": "int", "b": "string", "c": "timestamp"} and [r["a"] for r in df.collect()] == [1, None, 3]
+    (tmp_path / "l.json").write_text('{"o": {"p": 1}, "q": null}\n{"o": {"p": 2}, "q": 5}\n')
+    assert [r["o"]["p"] for r in load(spark, str(tmp_path / "l.json"), orient="lines").collect()] == [1, 2]
+    folder = tmp_path / "cols.json"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.json").write_text('{"u": {"0": %d, "1": 2}, "v": {"0": "s", "1": null}}' % k)
+    assert sorted(r["u"] for r in load(spark, str(folder), orient="columns").collect()) == [0.0, 1.0, 2.0, 2.0]
+    assert load(spark, str(folder)).count() == 4 and load(spark, str(tmp_path / "l.json")).count() == 2
+    assert to_json_rows(spark.range(1).selectExpr("id", "cast(null as int) as n")).first()["json"] == '{"id":0,"n":null}'
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="A" r:id="r2"/><sheet name="B" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/>'
+                   '<Relationship Id="r2" Target="worksheets/sheet10.xml"/></Relationships>')
+        for name, v in (("sheet1", 1), ("sheet10", 10)):
+            z.writestr(f"xl/worksheets/{name}.xml", f"<worksheet {ns}><sheetData><row><c><v>{v}</v></c></row></sheetData></worksheet>")
+    cells = parse_xlsx_cells("w", (tmp_path / "w.xlsx").read_bytes())
+    assert cells[["row", "col", "value"]].values.tolist() == [[0, 0, "10"]]
+
+
+def test_class_codes_of_the_whole_target(spark):
+    """A class with one row has its code wherever the row falls."""
+    from tessera.operators.prep import prepare
+    rows = [(i, float(i), "rare" if i == 7 else ("a" if i % 2 else "b")) for i in range(41)]
+    out = prepare(spark.createDataFrame(rows, "id long, x double, y string"), "y", "classification", ["id"])
+    both = out["train"].unionByName(out["test"])
+    assert both.where("label is null").count() == 0 and both.select("label").distinct().count() == 3
+
+
+def test_explanation_of_a_clustering(spark):
+    from tessera.operators.chartdata import explain
+    got = explain(spark.createDataFrame([("k", 0.61)], "model_name string, silhouette_sq double"), "clustering").first()
+    assert got["performance_analysis"] == "Silhouette score = 0.61. Good cluster separation."

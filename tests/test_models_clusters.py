@@ -53,3 +53,14 @@ def test_kernel_and_forest_keys_fit(spark, regression_df):
         assert {"r2", "rmse", "mae", "cv_r2_mean", "cv_r2_std"} <= set(m)
     imp = fit_eval(prep, "random_forest_reg", cv_folds=2)["importance"].collect()
     assert [r["rank"] for r in imp] == [1, 2] and abs(sum(r["importance"] for r in imp) - 1) < 1e-3
+
+
+def test_density_over_all_dimensions(spark):
+    """16 groups that only four dimensions together tell apart; a chain of 160 cells is one cluster."""
+    from tessera.operators.cluster import grid_density_clusters
+    rows = [(i * 10 + k, [float(10 * (i >> j & 1)) + 0.01 * k for j in range(4)]) for i in range(16) for k in range(6)]
+    out = grid_density_clusters(spark.createDataFrame(rows, "id long, v array<double>"), "v", "id").collect()
+    assert len({r["cluster"] for r in out}) == 16 and all(r["cluster"] >= 0 for r in out)
+    chain = [(i * 5 + k, [0.5 * i + 0.1, 0.1]) for i in range(160) for k in range(5)]
+    out = grid_density_clusters(spark.createDataFrame(chain, "id long, v array<double>"), "v", "id").collect()
+    assert {r["cluster"] for r in out} == {0}
