@@ -1241,17 +1241,17 @@ def q_forecast_frame(spark, sf):
 # ---------------------------------------------------------------------------
 # D-13: streaming drift
 
-@register("drift_stream")
+@register("drift_stream", S.window_drift_sql(EV_REF_SQL, "SELECT * FROM events", "ts", ["value", "user_id"]))
 def q_drift_stream(spark, sf):
     """D-13: events replayed as a file stream; daily PSI / JS distance per feature against the
-    first half of the month as reference (windows finalized by a 1-hour watermark)."""
+    first half of the month as reference; every window that has events, the last one included."""
     from ..streaming.drift_stream import drift_stream
     ref, _ = _event_halves(spark, sf)
     path = f"{sf.rstrip('/')}/event[s].parquet"
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(path)
-    query, out = drift_stream(stream, ref, "ts", ["value", "user_id"], window="1 day", delay="1 hour")
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    monitor = drift_stream(stream, ref, "ts", ["value", "user_id"], window="1 day", delay="1 hour")
+    monitor.query.awaitTermination()
+    return monitor.result().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 # ---------------------------------------------------------------------------

@@ -8,27 +8,31 @@ Reference bins are static DataFrames joined to the stream (stream-static join):
 * JS: 20 equal-width bins over the reference range (a window's own range is
   not known until it closes; values outside the range go to the edge bins).
 
-``window_bin_counts`` is the streaming aggregation (watermark + tumbling
-window, append mode); ``window_drift_from_counts`` turns finalized counts into
-PSI/JS rows and is used both inside ``foreachBatch`` and by the batch twin
-``window_drift``, so stream and batch agree by construction.
+``window_bin_counts`` is the streaming aggregation (watermark + tumbling window). It runs in update
+mode: each micro-batch writes the counts that changed into a folder of its own (overwritten if the
+batch runs again), so every window has rows from its first event on, the last one included.
+``DriftStream.result`` takes each count's latest value and turns them into PSI/JS rows with the
+function that the batch twin ``window_drift`` uses. The reference's bins and counts are computed once.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, rnd
 from ..operators.order_stats import exact_quantiles, to_long
-from ..session import ensure_checkpoint_dir, small_frame
+from ..session import ensure_checkpoint_dir, materialize
 
 PSI_BINS = 10
 JS_BINS = 20
 JS_EPS = 1e-10
+#: Votes that flag drift, as in batch; here PSI and JS vote.
+VOTES = 2
 
 
 def reference_bins(reference: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -76,11 +80,14 @@ def window_bin_counts(stream: DataFrame, bins: DataFrame, ts: str, cols: Sequenc
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature", "kind", "bin", "n")
 
 
-def window_drift_from_counts(counts: DataFrame, bins: DataFrame, reference: DataFrame,
-                             cols: Sequence[str]) -> DataFrame:
-    """PSI and JS per (window, feature) from finalized window counts."""
-    ref_counts = _tag(reference.withColumn("_t", F.lit(0).cast("timestamp")), bins, "_t", cols) \
+def reference_counts(reference: DataFrame, bins: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Reference rows per (feature, kind, bin)."""
+    return _tag(reference.withColumn("_t", F.lit(0).cast("timestamp")), bins, "_t", cols) \
         .groupBy("feature", "kind", "bin").agg(F.count(F.lit(1)).alias("ref_c"))
+
+
+def window_drift_from_counts(counts: DataFrame, bins: DataFrame, ref_counts: DataFrame) -> DataFrame:
+    """PSI and JS per (window, feature) from window counts."""
     keys = ["window_start", "window_end", "feature"]
     win_n = counts.where(F.col("kind") == "js").groupBy(*keys).agg(F.sum("n").alias("cur_n"))
     nb = F.size("edges") - 1
@@ -107,7 +114,7 @@ def window_drift_from_counts(counts: DataFrame, bins: DataFrame, reference: Data
     out = win_n.join(js, keys).join(psi, keys, "left")
     return out.select(*keys, F.col("cur_n").alias("n_current"), rnd(F.coalesce("psi", F.lit(0.0))).alias("psi"),
                       rnd(F.col("js")).alias("js_distance"),
-                      ((F.coalesce("psi", F.lit(0.0)) > 0.1).cast("int") + (F.col("js") > 0.05).cast("int") >= 1)
+                      ((F.coalesce("psi", F.lit(0.0)) > 0.1).cast("int") + (F.col("js") > 0.05).cast("int") >= VOTES)
                       .alias("drift_flag"))
 
 
@@ -116,24 +123,36 @@ def window_drift(current: DataFrame, reference: DataFrame, ts: str, cols: Sequen
     """Batch twin of the streaming operator (same counting and formulas)."""
     bins = reference_bins(reference, cols)
     counts = window_bin_counts(current, bins, ts, cols, window, delay="0 seconds")
-    return window_drift_from_counts(counts, bins, reference, cols)
+    return window_drift_from_counts(counts, bins, reference_counts(reference, bins, cols))
+
+
+class DriftStream(NamedTuple):
+    """A running monitor: the query, the folder of its counts, the reference's bins and counts."""
+    query: object
+    path: str
+    bins: DataFrame
+    ref_counts: DataFrame
+
+    def result(self) -> DataFrame:
+        """PSI and JS of every (window, feature) that has events so far."""
+        key = ["window_start", "window_end", "feature", "kind", "bin"]
+        kinds = "window_start timestamp, window_end timestamp, feature string, kind string, bin int, n long, batch_id long"
+        seen = self.bins.sparkSession.read.schema(kinds).parquet(self.path)
+        latest = seen.groupBy(*key).agg(F.max_by("n", "batch_id").alias("n"))
+        return window_drift_from_counts(latest, self.bins, self.ref_counts)
 
 
 def drift_stream(stream: DataFrame, reference: DataFrame, ts: str, cols: Sequence[str], window: str = "1 day",
-                 delay: str = "1 hour", output_path: str | None = None, available_now: bool = True):
-    """Start the streaming drift monitor; each micro-batch's finalized windows are
-    turned into PSI/JS rows and appended as parquet under ``output_path`` (default:
-    a fresh folder in the session's checkpoint directory, which is shared storage).
-    Returns ``(query, output_path)``."""
-    spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/drift-stream-{uuid.uuid4().hex}"
-    out = output_path or base + "/out"
-    bins = small_frame(reference_bins(reference, cols))  # one row per feature, pinned by value
+                 delay: str = "1 hour", path: str | None = None, available_now: bool = True) -> DriftStream:
+    """Start the streaming drift monitor under ``path`` (a shared folder: counts and checkpoint; the same path
+    resumes a stopped monitor). Default: a fresh folder in the session's checkpoint directory."""
+    base = (path or ensure_checkpoint_dir(stream.sparkSession).rstrip("/") + f"/drift-stream-{uuid.uuid4().hex}").rstrip("/")
+    bins = materialize(reference_bins(reference, cols))
+    ref_counts = materialize(reference_counts(reference, bins, cols))
     counts = window_bin_counts(stream, bins, ts, cols, window, delay)
 
     def sink(batch: DataFrame, batch_id: int):
-        window_drift_from_counts(batch, bins, reference, cols).write.mode("append").parquet(out)
-    writer = counts.writeStream.outputMode("append").foreachBatch(sink) \
-        .option("checkpointLocation", base + "/checkpoint")
+        batch.write.mode("overwrite").parquet(f"{base}/counts/batch_id={batch_id}")
+    writer = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", base + "/checkpoint")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(), out
+    return DriftStream(writer.start(), base + "/counts", bins, ref_counts)

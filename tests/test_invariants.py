@@ -141,7 +141,7 @@ def test_stream_equals_batch(spark):
     s = QUERIES["drift_stream"](spark, sf).toPandas().sort_values(["window_start", "feature"]).reset_index(drop=True)
     ref, _ = _event_halves(spark, sf)
     b = window_drift(table(spark, sf, "events"), ref, "ts", ["value", "user_id"]).toPandas()
-    b = b[b.window_start.isin(s.window_start.unique())].sort_values(["window_start", "feature"]).reset_index(drop=True)
+    b = b.sort_values(["window_start", "feature"]).reset_index(drop=True)  # every window, the last one too
     assert len(s) > 0 and len(s) == len(b)
     assert (s[["psi", "js_distance", "n_current"]].values == b[["psi", "js_distance", "n_current"]].values).all()
 
