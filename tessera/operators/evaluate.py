@@ -37,12 +37,12 @@ def classification_metrics(pred: DataFrame, n_classes: int | None = None, positi
     exactly two classes (``n_classes``, counted on the whole target), else
     support-weighted; 0/0 -> 0. Works from the confusion table (classes^2 rows)."""
     cm = confusion(pred, label, prediction)
-    classes = cm.select(F.col("actual").alias("c")).union(cm.select(F.col("predicted").alias("c"))).distinct()
-    per = classes.join(cm, (cm["actual"] == classes["c"]) | (cm["predicted"] == classes["c"]), "left").groupBy("c").agg(
-        F.sum(F.when((F.col("actual") == F.col("c")) & (F.col("predicted") == F.col("c")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("actual") != F.col("c")) & (F.col("predicted") == F.col("c")), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("actual") == F.col("c")) & (F.col("predicted") != F.col("c")), F.col("n")).otherwise(0)).alias("fn"),
-        F.sum(F.when(F.col("actual") == F.col("c"), F.col("n")).otherwise(0)).alias("support"))
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    rows = cm.where("actual is not null").groupBy(F.col("actual").alias("c")).agg(F.sum("n").alias("_s"), right.alias("_t"))
+    cols = cm.where("predicted is not null").groupBy(F.col("predicted").alias("c")).agg(F.sum("n").alias("_p"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    per = rows.join(cols, "c", "full").select("c", zero("_t").alias("tp"), (zero("_p") - zero("_t")).alias("fp"),
+                                              (zero("_s") - zero("_t")).alias("fn"), zero("_s").alias("support"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))

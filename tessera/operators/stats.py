@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (clean_value, col, dagostino_k2_pvalue, INVERSE_NORMAL_STEPS, is_missing, rnd, safe4,
                                sample_excess_kurtosis, sample_skewness, with_steps)
@@ -40,11 +41,16 @@ def role_counts(profile: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """E-2: rows identical to an earlier row (nulls equal; NaN treated as null).
 
-    ``groupBy`` on every column: partial aggregation collapses hot duplicates
-    map-side, so a value repeated a billion times ships one row per partition.
+    Rows are compared by a 128-bit hash, so long texts are not shuffled; partial aggregation
+    collapses hot duplicates map-side, so a row repeated a billion times ships one hash per partition.
     """
-    cleaned = df.select(*[clean_value(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
-    return cleaned.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c")) \
+    values = []
+    for f in df.schema.fields:
+        v = clean_value(col(f.name), f.dataType)
+        v = v + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else v  # -0.0 is 0.0
+        values.append(F.struct(v.isNull(), v))  # a hash skips nulls: say where they are
+    hashes = [F.xxhash64(F.lit(k), *values).alias(f"_h{k}") for k in range(2)]
+    return df.select(*hashes).groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_c")) \
         .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -231,21 +237,27 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bo
         safe4(F.col("lower")).alias("lower_bound"), safe4(F.col("upper")).alias("upper_bound"))
 
 
-def quality_score(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True,
-                  outliers: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
-    """E-11 + E-13: one row with the inputs, the score (1 dp), grade and missing-cell share.
-    ``outliers`` / ``missing`` accept already computed ``iqr_outliers`` / ``missing_counts``."""
-    n_cols = len(df.columns)
-    miss = (missing if missing is not None else missing_counts(df)).groupBy().agg(
-        F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("total_missing_cells"))
-    dups = duplicate_rows(df)
-    if outliers is not None:
-        outl = outliers.agg(F.avg("pct").alias("mean_outlier_pct"))
-    elif numeric_cols:
-        outl = iqr_outliers(df, numeric_cols, exact=exact).agg(F.avg("pct").alias("mean_outlier_pct"))
+def quality_inputs(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """One row: n_rows, total_missing_cells, n_missing_cols, duplicate_rows, mean_outlier_pct, n_outlier_cols."""
+    miss = missing_counts(df).groupBy().agg(
+        F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("total_missing_cells"),
+        F.count_if(F.col("n_missing") > 0).alias("n_missing_cols"))
+    if numeric_cols:
+        outl = iqr_outliers(df, numeric_cols, exact=exact).agg(F.avg("pct").alias("mean_outlier_pct"),
+                                                               F.count(F.lit(1)).alias("n_outlier_cols"))
     else:
-        outl = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean_outlier_pct"))
-    one = miss.crossJoin(dups).crossJoin(outl)  # three one-row frames
+        outl = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("mean_outlier_pct"),
+                                               F.lit(0).cast("long").alias("n_outlier_cols"))
+    return miss.crossJoin(F.broadcast(duplicate_rows(df))).crossJoin(F.broadcast(outl))  # one-row frames
+
+
+def quality_score(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """E-11 + E-13: one row with the inputs, the score (1 dp), grade and missing-cell share."""
+    return scored_quality(quality_inputs(df, numeric_cols, exact), len(df.columns))
+
+
+def scored_quality(one: DataFrame, n_cols: int, more: Sequence[str] = ()) -> DataFrame:
+    """The score of ``quality_inputs``' row; ``more`` names inputs to pass through."""
     n = F.col("n_rows").cast("double")
     missing_pct = F.col("total_missing_cells") * 100.0 / (n * n_cols)
     dup_pct = F.col("duplicate_rows") * 100.0 / n
@@ -258,7 +270,7 @@ def quality_score(df: DataFrame, numeric_cols: Sequence[str], exact: bool = True
         rnd(F.col("mean_outlier_pct"), 4).alias("mean_outlier_pct"),
         score.alias("quality_score"),
         F.when(score >= 80, "good").when(score >= 60, "fair").otherwise("poor").alias("quality_grade"),
-        F.when(n > 0, F.round(missing_pct, 2)).otherwise(F.lit(0.0)).alias("missing_cells_pct"))
+        F.when(n > 0, F.round(missing_pct, 2)).otherwise(F.lit(0.0)).alias("missing_cells_pct"), *more)
 
 
 def eda_report(df: DataFrame, profile: DataFrame | None = None, exact: bool = True) -> dict[str, DataFrame]:

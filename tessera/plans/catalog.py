@@ -806,7 +806,7 @@ def q_recommend(spark, sf):
     for i, t, task, _ in REC_CASES:
         df = clean(table(spark, sf, t))
         prof = small_frame(schema_profile(df))          # one row per column
-        s = small_frame(dataset_summary(df, prof, role_columns(prof), i, task))  # one row
+        s = dataset_summary(df, prof, role_columns(prof), i, task)
         summ = s if summ is None else summ.unionByName(s)
     return recommend(summ, registry(spark))
 

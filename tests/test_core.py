@@ -193,3 +193,10 @@ def test_explanation_of_a_clustering(spark):
     from tessera.operators.chartdata import explain
     got = explain(spark.createDataFrame([("k", 0.61)], "model_name string, silhouette_sq double"), "clustering").first()
     assert got["performance_analysis"] == "Silhouette score = 0.61. Good cluster separation."
+
+
+def test_duplicates_by_row_hash(spark):
+    """Nulls in different columns differ; NaN is null; -0.0 is 0.0; repeated rows count."""
+    from tessera.operators.stats import duplicate_rows
+    rows = [(None, 1.0, "a"), (1.0, None, "a"), (float("nan"), 1.0, "a"), (0.0, 2.0, None), (-0.0, 2.0, None), (3.0, 3.0, "")]
+    assert duplicate_rows(spark.createDataFrame(rows, "a double, b double, c string")).first()[0] == 2
