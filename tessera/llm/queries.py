@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
     "op6_topk": topk.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_itq": itq.OP10_SQL,

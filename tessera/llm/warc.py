@@ -287,3 +287,17 @@ def op5(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     back = read(write(pages.select("page_id", "url", "html")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+#: The same result without archives: SHA-1 in base32 digit by digit, the largest id of equal payloads.
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, sha1(html) as hex, max(page_id) over (partition by html) as top from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, (5 * (i // 4) + 1)::integer, 5))::integer >> (15 - 5 * (i % 4))::integer) & 31) + 1, 1)), '')
+         as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id <> top then top end as refers_to, true as digest_ok
+from h
+"""
