@@ -1,6 +1,7 @@
 """Invariants and brute-force checks on small inputs (skew included)."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -164,3 +165,29 @@ def test_bucket_counts_do_not_matter(spark):
     got1 = {r["p"]: r["q"] for r in weighted_quantiles(counted, ["k"], "v", "c", probs).collect()}
     for p in probs:
         assert abs(got[p] - np.quantile(vals, p)) < 1e-9 and abs(got1[p] - np.quantile(vals, p)) < 1e-9
+
+
+def test_keyed_join_spreads_keys(spark):
+    """Per-column frames are broadcast, frames keyed by data values meet them by key and salt; results are plain joins'."""
+    from tessera.operators.order_stats import keyed_join
+    df = spark.createDataFrame([(i, "x", "c") for i in range(1000)], "id long, g string, column_name string")
+    by_name = spark.createDataFrame([("c", 1)], "column_name string, v int")
+    by_value = spark.createDataFrame([("x", 2), ("y", 3)], "g string, w int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = keyed_join(df, by_name, ["column_name"], "id"), keyed_join(df, by_value, ["g"], "id", "left")
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (a, b)]
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+        assert re.search(r"SortMergeJoin \[g#\d+, _salt#\d+\]", plans[1]), plans[1]
+        assert a.count() == 1000 and b.count() == 1000 and b.agg(F.sum("w")).first()[0] == 2000
+        assert keyed_join(df, by_value.where("g = 'x'").drop("g"), [], "id").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_string_buckets_ignore_common_prefixes(spark):
+    from tessera.operators.order_stats import _tagged, row_ranks
+    df = spark.range(1000).select(F.format_string("Customer#%09d", "id").alias("s"), "id")
+    assert _tagged(df, [], "s", 64).select("_bucket").distinct().count() > 32
+    assert all(r["rank"] == r["id"] + 1 for r in row_ranks(df, [], ["s"]).collect())

@@ -14,7 +14,8 @@ from oracle_compare import compare, duck  # noqa: E402
 SF = "/root/testdata/sf0.01"
 FAST = ["schema_profile", "numeric_stats", "categorical_top10", "duplicate_rows", "missing_table", "histogram20",
         "normality_k2", "pearson_matrix", "iqr_outliers", "drift_report", "stratified_split", "task_detect",
-        "feature_apply", "linreg_simple", "class_metrics", "cluster_metrics", "lag_matrix", "leaderboard"]
+        "feature_apply", "linreg_simple", "class_metrics", "cluster_metrics", "lag_matrix", "leaderboard", "normality", "density_clusters", "drift_stream", "csv_missing_roundtrip",
+        "json_missing_roundtrip", "quality_score"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TESSERA_FULL_ORACLE") else FAST
 
 
