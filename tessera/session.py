@@ -109,11 +109,7 @@ def materialize(df):
     return out
 
 
-def small_frame(df, max_rows: int = 100_000):
-    """Pin a frame that is small by construction (one row per column, dataset or model)
-    by collecting it and recreating it from its rows -- cheaper than a checkpoint
-    write for metadata-sized results. Raises when the frame is not small."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"frame has more than {max_rows} rows; use materialize() instead")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def small_frame(df):
+    """Pin a frame that is small by construction (one row per column or model) by collecting it and
+    recreating it from its rows -- cheaper than a checkpoint write. Not for frames that grow with the data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
