@@ -17,6 +17,7 @@ from tessera.llm.common import stored
 
 #: Below this score a text is in none of the learnt languages (four even languages give 0.25 each).
 LANGUAGE_SCORE = 0.4
+BUCKETS = 1 << 20
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,14 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id cannot be told apart and stay.
     """
     found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    others = found.filter("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    others = stored(found.filter("doc_id is not null and component_id != doc_id").select("doc_id").distinct(), "pipeline-others")
+    # most documents share no hash bucket with one that goes and are kept without a shuffle of their texts;
+    # the buckets are a table of at most BUCKETS numbers, the others are decided by an exact join
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    buckets = F.broadcast(others.select(bucket.alias("_bucket")).distinct())
+    tagged = docs.withColumn("_bucket", bucket)
+    kept = tagged.join(buckets, "_bucket", "left_anti").unionByName(
+        tagged.join(buckets, "_bucket", "left_semi").join(others, "doc_id", "left_anti").select(*tagged.columns)).drop("_bucket")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():
         whole = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])

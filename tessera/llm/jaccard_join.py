@@ -237,29 +237,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     low = docs.filter("c is not null").groupBy("c", "n").agg(F.min("doc").alias("low"))
     low = low.select(_class_key().alias("k"), "low")
 
-    members = regions.select("k").distinct()
-    wanted = members.join(low, "k").select(F.coalesce("low", F.lit(0)).alias("low"))  # a null id passes as 0
-    bits = spark.sparkContext.broadcast(_filter(wanted))  # 4 MB
-    sets = rows.mapInArrow(_sets(width, bits), "c long, n int, items array<long>").select(_class_key().alias("k"), "items")
-    sets = stored(sets.join(members, "k", "left_semi").dropDuplicates(["k"]), "jaccard-sets")
-
-    # members that no member of their region can link with, by size and place, are of no use there
-    least = regions.groupBy("s").agg(F.min("k.n").alias("least"))
-    n, i = F.col("k.n"), F.col("i")
-    smallest = F.greatest(F.col("least"), F.ceil(n * percent / 100))
-    regions = stored(regions.join(least, "s").filter((100 + percent) * (n - i) >= percent * (n + smallest)).drop("least"), "jaccard-regions")
-    first = regions.groupBy("s").agg(F.min(F.struct("i", "k")).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    regions = stored(regions.join(first.select("s", F.col("first.k").alias("p"), F.col("first.i").alias("pi")), "s"), "jaccard-regions")
-    star = regions.filter((F.col("p") != F.col("k")) & _fits(percent, F.col("p.n"), F.col("pi"), n, i)).select(
-        F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b")).distinct()
-    compared = [_compared(star, sets, percent)]
+    def sets_of(members: DataFrame) -> DataFrame:
+        """(k, items) of some classes, hashed anew from the text of each class's first document.
+
+        Not stored: both sides of a comparison read the one shuffle by class that removes duplicates. Sets of
+        other documents that pass the filter by chance match no pair.
+        """
+        members = stored(members.join(low, "k").select("k", F.coalesce("low", F.lit(0)).alias("low")), "jaccard-wanted")
+        bits = spark.sparkContext.broadcast(_filter(members.select("low")))  # 4 MB; a null id passes as 0
+        found = rows.mapInArrow(_sets(width, bits), "c long, n int, items array<long>").select(_class_key().alias("k"), "items")
+        return found.dropDuplicates(["k"])
+
+    star = stored(regions.filter((F.col("p") != F.col("k")) & _fits(percent, F.col("p.n"), F.col("pi"), F.col("k.n"), F.col("i"))).select(
+        F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b")).distinct(), "jaccard-star")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    compared = [_compared(star, sets_of(ends(star)), percent)]
     distance = compared[0].select("a", "b", "d").union(compared[0].select("b", "a", "d")).toDF("p", "k", "d")
-    regions = regions.select("s", "k", "i", "p")
-    groups = asked = heads = None
+    regions = regions.filter("size > 2").select("s", "k", "i", "p")  # two classes have met
+    groups, heads, seen = None, None, 0
     while True:
-        if groups is None or not compared[-1].filter("linked").isEmpty():
+        if len(compared) > seen and not compared[-1].filter("linked").isEmpty() or groups is None:
             groups = components(reduce(DataFrame.union, compared).filter("linked").select("a", "b"), "jaccard")
-        if asked is not None and heads.isEmpty():
+        seen = len(compared)
+        if heads is not None and heads.isEmpty():
             break
         labelled = regions.join(groups.select(F.col("id").alias("k"), "component"), "k", "left").withColumn(
             "component", F.coalesce("component", "k"))
@@ -276,11 +276,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         heads = stored(heads.select("s", "m.k", "m.i", "component", "m.d"), "jaccard-pivots")
         asked = todo.filter(F.col("size") <= leaf).select("s", *side("k", "i", "component", "d")).unionByName(heads)
         near = F.col("d").isNull() | F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) <= 1 - percent / 100 + 1e-12)
-        pairs = (asked.join(other, "s").filter((F.col("component") != F.col("other")) & near
+        pairs = stored(asked.join(other, "s").filter((F.col("component") != F.col("other")) & near
                                                & _fits(percent, F.col("k.n"), F.col("i"), F.col("l.n"), F.col("j")))
                  .select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
-                 .join(reduce(DataFrame.union, compared).select("a", "b"), ["a", "b"], "left_anti"))
-        compared.append(_compared(pairs, sets, percent))
+                 .join(reduce(DataFrame.union, compared).select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            compared.append(_compared(pairs, sets_of(ends(pairs)), percent))
         regions = stored(todo.filter(F.col("size") > leaf).join(heads.select("s", "k"), ["s", "k"], "left_anti")
                          .select("s", "k", "i", "p"), "jaccard-regions")
     named = groups.join(low.withColumnRenamed("k", "id"), "id").select("id", "component", "low")
@@ -291,10 +292,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def _shared_regions(texts: DataFrame, width: int, percent: int, levels) -> DataFrame:
-    """(s, k, i): regions that hold more than one class. Those of frequent shingles are counted by salt and all kept."""
+    """(s, k, i, p, pi, size): the regions of more than one class, without members that no other member can link with by
+    size and place, each with its pivot p and the pivot's place.
+
+    One shuffle by shingle does it all. The rows of frequent shingles are spread by salt and not looked
+    into there; their regions' sizes and pivots come from partial aggregates.
+    """
     spread = texts.mapInArrow(_regions(width, percent, levels), "s long, c long, n int, i int, salt int")
-    counted = spread.withColumn("m", F.count("*").over(Window.partitionBy("s", "salt")))
-    return stored(counted.filter("m > 1 or salt >= 0").select("s", _class_key().alias("k"), "i").distinct(), "jaccard-shared")
+    region = Window.partitionBy("s", "salt")
+    n, i, alone = F.col("n"), F.col("i"), F.col("salt") < 0
+    useful = (100 + percent) * (n - i) >= percent * (n + F.greatest(F.col("least"), F.ceil(n * percent / 100)))
+    key = F.struct("i", "c", "n")
+    rows = spread.withColumns({"least": F.min("n").over(region)}).filter(~alone | useful)
+    rows = rows.withColumns({"p": F.min(key).over(region), "q": F.max(F.struct("c", "n")).over(region), "o": F.min(F.struct("c", "n")).over(region)})
+    rows = rows.filter(~alone | (F.col("o") != F.col("q"))).select("s", "salt", "c", "n", "i", "p").distinct()
+    rows = stored(rows.withColumn("size", F.count("*").over(region)), "jaccard-shared")
+    member = ["s", _class_key().alias("k"), "i", F.struct("p.c", "p.n").alias("p"), F.col("p.i").alias("pi"), "size"]
+    rare = rows.filter(alone).select(*member)
+    often = rows.filter(~alone).drop("p", "size")
+    whole = often.groupBy("s").agg(F.min("n").alias("least"), F.min(key).alias("p"), F.max(F.struct("c", "n")).alias("q"),
+                                   F.min(F.struct("c", "n")).alias("o"), F.count("*").alias("size")).filter("o != q").drop("o", "q")
+    return stored(rare.unionByName(often.join(whole, "s").filter(useful).select(*member)), "jaccard-regions")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
