@@ -3,10 +3,10 @@
 Counting   Word counts over all training documents (those outside fold 0 of 10): hashed words are counted in the
            tasks and summed by Spark. Every token's base probability, and the share of rare words in the
            model's, comes from this table.
-Training   Each training document gives a stretch of consecutive tokens. Data-parallel rounds: every task runs
-           truncated backpropagation through time over its stretches in NumPy (windows of ``WINDOW`` tokens, the
-           state carried from one to the next, Adam), Spark averages the tasks' weights by tokens, and
-           the next round starts from the average.
+Training   All tokens of all training documents, in every round. Data-parallel rounds: every task runs truncated
+           backpropagation through time over its documents in NumPy (windows of ``WINDOW`` tokens, the state
+           carried from one to the next through the whole document, Adam), Spark averages the tasks' weights by
+           tokens, and the next round starts from the average.
 Scoring    A document's log-likelihood is summed window by window with the state carried to its end; no text is cut.
            Many documents move through the network together, sorted by length.
 
@@ -21,15 +21,17 @@ Null texts are empty: one end token. Without training documents all base probabi
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_words, fold, mix64, stored
+from .common import document_words, fold, stored
 
 HIDDEN, WORDS, CLASS_SIZE, COMMON = 16, 1022, 32, 1 << 17
-WINDOW, WINDOWS, BATCH, ROUNDS, RATE = 16, 2, 256, 2, 0.02
+WINDOW, BATCH, ROUNDS, RATE = 16, 256, 2, 0.02
 LANES, GROUP_TOKENS = 512, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 SIZE = WORDS + 2  # two more entries: rare words, and one unused that fills the last class
@@ -47,7 +49,7 @@ def _tokens(column):
 
 
 def _survey(batches):
-    """Rows (h, n) of word counts and (stretch) of training stretches: the token before and WINDOW * WINDOWS more."""
+    """Rows (h, n) of word counts."""
     held: list[tuple] = []
     size = 0
 
@@ -60,31 +62,19 @@ def _survey(batches):
         return h[first], np.add.reduceat(n, first) if len(h) else n
 
     def counts(h, n):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.binary())],
-                                          ["h", "n", "stretch"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    span = WINDOW * WINDOWS
     for batch in batches:
-        out = []
-        for a, b, h, owner in _tokens(batch.column(0)):
+        for _, _, h, _ in _tokens(batch.column(0)):
             u, n = np.unique(h, return_counts=True)
             held.append((u, n.astype(np.int64)))
             size += len(u)
-            ends = np.flatnonzero(h == END)
-            start = np.concatenate([[0], ends[:-1] + 1])
-            for lo, hi in zip(start.tolist(), (ends + 1).tolist()):
-                at = lo + int(mix64(h[lo:lo + 1] + np.uint64(hi - lo))[0] % np.uint64(max(1, hi - lo - span + 1)))
-                before = END if at == lo else h[at - 1]
-                out.append(np.concatenate([[before], h[at:min(hi, at + span)]]).astype("<u8").tobytes())
             if size > 1 << 20:
                 held[:] = [merged()]
                 size = len(held[0][0])
                 if size > 1 << 20:  # what a task holds is bounded; Spark adds the parts
                     yield counts(*held.pop())
                     size = 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()),
-                                              pa.array(out, pa.binary())], ["h", "n", "stretch"])
     if held:
         yield counts(*merged())
 
@@ -237,32 +227,69 @@ class Network:
         return into.flat, states[-1]
 
 
+def _windows(groups):
+    """(lanes, first, tokens, target, weight) of windows [steps, lanes] over all documents of ``groups`` (ids, starts).
+
+    A lane goes through a document window by window (``first``: its first) and then takes the next document, so lanes
+    stand empty only behind the last ones.
+    """
+    ids, steps = np.zeros(0, np.int64), np.arange(WINDOW)
+    begin, left, last, first = (np.zeros(BATCH, np.int64) for _ in range(4))
+    nothing = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    for new, starts in chain(groups, [nothing]):
+        held = np.flatnonzero(left)
+        ids = np.concatenate([*[ids[i:i + n] for i, n in zip(begin[held].tolist(), left[held].tolist())], new])
+        begin[held] = np.cumsum(left[held]) - left[held]
+        starts, lengths, at = starts + (len(ids) - len(new)), np.diff(starts), 0
+        while True:
+            free = np.flatnonzero(left == 0)[:len(lengths) - at]
+            begin[free], left[free], last[free], first[free] = starts[at:at + len(free)], lengths[at:at + len(free)], 0, 1
+            at += len(free)  # last: entry 0 is the end token
+            lanes = np.flatnonzero(left)
+            if not len(lanes) or len(lanes) < BATCH and len(lengths) and left.sum() < GROUP_TOKENS:
+                break  # the next documents fill the lanes first, if what waits is not too long
+            inside = steps[None, :] < left[lanes, None]
+            target = np.where(inside, ids[np.minimum(begin[lanes, None] + steps[None, :], len(ids) - 1)], 0)
+            before = np.hstack([last[lanes, None], target[:, :-1]])
+            yield lanes, first[lanes] == 1, before.T, target.T, inside.T.astype(np.float32)
+            last[lanes], first[lanes] = target[:, -1], 0
+            done = np.minimum(left[lanes], WINDOW)
+            begin[lanes] += done
+            left[lanes] -= done
+
+
 def _train(flat, vocabulary):
-    """One round over a task's stretches: (block, weights times tokens, tokens) of the weights it ends with."""
+    """One round over a task's documents: (block, weights times tokens, tokens) of the weights it ends with."""
+    def groups(batches):
+        for batch in batches:
+            for a, b, h, owner in _tokens(batch.column(0)):
+                yield entry_ids(vocabulary.value, h), np.searchsorted(owner, np.arange(b - a + 1))
+
     def run(batches):
         net = Network(flat.value.copy())
         m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
-        tokens = step = 0
-        for batch in batches:
-            stretches = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(0)]
-            for at in range(0, len(stretches), BATCH):
-                some = stretches[at:at + BATCH]
-                length = np.array([len(x) for x in some])
-                ids = np.zeros((len(some), WINDOW * WINDOWS + 1), np.int64)
-                flat_ids = entry_ids(vocabulary.value, np.concatenate(some))
-                ids[np.arange(ids.shape[1])[None, :] < length[:, None]] = flat_ids
-                weight = (np.arange(1, ids.shape[1])[None, :] < length[:, None]).astype(np.float32)
-                h = np.zeros((len(some), HIDDEN), np.float32)
-                for k in range(0, ids.shape[1] - 1, WINDOW):
-                    part = weight[:, k:k + WINDOW].T
-                    if not part.any():
-                        break
-                    g, h = net.gradients(ids[:, k:k + WINDOW].T, ids[:, k + 1:k + WINDOW + 1].T, part / part.sum(), h)
-                    step += 1
-                    m += 0.1 * (g - m)
-                    s += 0.01 * (g * g - s)
-                    net.flat += RATE / (1 + step / 100) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
-                tokens += int(weight.sum())
+        h, total = np.zeros((BATCH, HIDDEN), np.float32), np.zeros_like(net.flat)
+        tokens = step = held = 0
+
+        def climb():
+            nonlocal m, s, step
+            g = total / held
+            step += 1
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            net.flat += RATE / (1 + step / 100) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
+
+        for lanes, first, before, target, weight in _windows(groups(batches)):
+            h[lanes[first]] = 0
+            g, h[lanes] = net.gradients(before, target, weight, h[lanes])
+            total += g
+            n = int(weight.sum())
+            tokens, held = tokens + n, held + n
+            if 2 * held >= WINDOW * BATCH:  # the last lanes' windows are few tokens each: one step for several
+                climb()
+                total[:], held = 0, 0
+        if held:
+            climb()
         if tokens:
             blocks = np.array_split(net.flat.astype(np.float64) * tokens, 16)
             yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()),
@@ -281,9 +308,9 @@ def entry_ids(vocabulary: Vocabulary, h: np.ndarray) -> np.ndarray:
     return np.where((ids < 0) | (ids >= WORDS), RARE, ids).astype(np.int64)
 
 
-def train(stretches: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Rounds of local training and averaging. Two-step sums: no task gathers all tasks' weights."""
-    sc = stretches.sparkSession.sparkContext
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Rounds of local training on all of ``texts`` (one column) and averaging. Two-step sums: no task gathers all tasks' weights."""
+    sc = texts.sparkSession.sparkContext
     counts = np.zeros(SIZE)
     known = vocabulary.counts[:WORDS]
     counts[:len(known)] = known
@@ -292,7 +319,7 @@ def train(stretches: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
     shared = sc.broadcast(vocabulary)  # COMMON entries
     schema = "block int, sums binary, tokens long"
     for _ in range(rounds):
-        parts = stretches.mapInArrow(_train(sc.broadcast(net.flat), shared), schema)
+        parts = texts.mapInArrow(_train(sc.broadcast(net.flat), shared), schema)
         parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
         once = parts.groupBy("block", "salt").applyInArrow(_added, schema)
         got = {r["block"]: np.frombuffer(r["sums"], np.float64) / r["tokens"]
@@ -385,15 +412,15 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fold
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), (fold(F.col(key), folds) == 0).alias("held_out"),
                      F.col(text).cast("string").alias("text"))
-    survey = stored(rows.filter("not held_out").select("text").mapInArrow(_survey, "h long, n long, stretch binary"), "lm-survey")
-    counts = stored(survey.filter("h is not null").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
+    learnt = rows.filter("not held_out").select("text")
+    counts = stored(learnt.mapInArrow(_survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
     h, c = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
     ends = int(c[h == END].sum())
     vocabulary = Vocabulary(np.concatenate([[END], h[h != END]]).astype(np.uint64), np.concatenate([[ends], c[h != END]]),
                             total["n"], total["v"])
-    net = train(survey.filter("stretch is not null").select("stretch"), vocabulary)
+    net = train(learnt, vocabulary)
     sc = spark.sparkContext
     scored = stored(rows.mapInArrow(_score(sc.broadcast(net.flat), sc.broadcast(vocabulary)), _DOCS), "lm-scores")
     rare = (scored.filter("h is not null").groupBy("h", "row").agg(F.sum("n").alias("n")).join(counts, "h", "left")

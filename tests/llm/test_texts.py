@@ -261,3 +261,29 @@ def test_vocabulary_slots():
     voc = gru_lm.Vocabulary(keys, np.arange(5000, 0, -1), 10**6, 5000)
     assert (voc.entries(keys) == np.arange(5000)).all()
     assert (voc.entries(rng.integers(2**63, 2**64, 1000, dtype=np.uint64)) == -1).all()
+
+
+def test_training_takes_every_token():
+    """Windows over all documents, each in order through one lane from a new state, whatever groups they come in."""
+    rng = np.random.default_rng(7)
+    lengths = [1, 5000, 16, 17, *rng.integers(1, 200, 900).tolist(), 700]
+    docs = [rng.integers(0, gru_lm.SIZE, n) for n in lengths]
+    groups = [(np.concatenate(docs[a:a + 100]), np.cumsum([0, *lengths[a:a + 100]])) for a in range(0, len(docs), 100)]
+    got, open_ = [], {}
+    for lanes, first, before, target, weight in gru_lm._windows(groups):
+        for k, lane in enumerate(lanes.tolist()):
+            n = int(weight[:, k].sum())
+            if first[k]:
+                open_[lane] = []
+                got.append(open_[lane])
+            assert before[:n, k].tolist() == [*(open_[lane][-1:] or [0]), *target[:n - 1, k].tolist()]
+            open_[lane] += target[:n, k].tolist()
+    assert sorted(got) == sorted(d.tolist() for d in docs)
+
+
+def test_network_learns_beyond_the_start(spark):
+    """A word's successor that shows only deep in long documents is learnt."""
+    text = " ".join(["w%d" % (i % 7) for i in range(100)] + ["left right"] * 3000)
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    for r in gru_lm.score_documents(docs).collect():
+        assert r["score"] > 0.5 * r["base_score"]
