@@ -417,7 +417,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fold
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
     h, c = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
-    ends = int(c[h == END].sum())
+    ends = counts.filter(F.col("h") == F.lit(int(END.view(np.int64)))).first()  # not only if it is among the top
+    ends = ends["c"] if ends else 0
     vocabulary = Vocabulary(np.concatenate([[END], h[h != END]]).astype(np.uint64), np.concatenate([[ends], c[h != END]]),
                             total["n"], total["v"])
     net = train(learnt, vocabulary)

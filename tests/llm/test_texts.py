@@ -287,3 +287,10 @@ def test_network_learns_beyond_the_start(spark):
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
     for r in gru_lm.score_documents(docs).collect():
         assert r["score"] > 0.5 * r["base_score"]
+
+
+def test_end_token_beyond_the_common_words(spark, monkeypatch):
+    """The end token has its count although many words are more frequent than there are documents."""
+    monkeypatch.setattr(gru_lm, "COMMON", 8)
+    docs = spark.createDataFrame([(i, " ".join("w%d" % (j % 40) for j in range(400))) for i in range(20)], "doc_id long, text string")
+    check_base(gru_lm.score_documents(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
