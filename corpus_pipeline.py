@@ -33,23 +33,25 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, of rows that repeat it one.
+    """Of each group of linked documents one row stays: the one with the smallest doc_id, of several the first row.
 
-    Documents without an id cannot be told apart and stay.
+    Rows are told apart by a key of their own, so rows that repeat a doc_id or have none are documents by themselves;
+    null ids come after all others.
     """
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    others = stored(found.filter("doc_id is not null and component_id != doc_id").select("doc_id").distinct(), "pipeline-others")
-    # most documents share no hash bucket with one that goes and are kept without a shuffle of their texts;
-    # the buckets are a table of at most BUCKETS numbers, the others are decided by an exact join
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard_join.near_duplicates(keyed, key="_row").select("_row", "component_id")
+    # the rows of groups of two or more; most documents are alone and kept without a shuffle of their texts
+    groups = stored(found.filter("component_id != _row").select("_row", F.col("component_id").alias("_group")), "pipeline-linked")
+    members = groups.unionByName(groups.select(F.col("_group").alias("_row"), "_group").distinct())
+    ids = members.join(keyed.select("_row", "doc_id"), "_row")
+    first = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
+    others = stored(ids.join(first, "_group").filter(F.col("_row") != F.col("_first._row")).select("_row"), "pipeline-others")
+    # the buckets are a table of at most BUCKETS numbers, the rows in them are decided by an exact join
+    bucket = F.pmod(F.xxhash64("_row"), F.lit(BUCKETS))
     buckets = F.broadcast(others.select(bucket.alias("_bucket")).distinct())
-    tagged = docs.withColumn("_bucket", bucket)
+    tagged = keyed.withColumn("_bucket", bucket)
     kept = tagged.join(buckets, "_bucket", "left_anti").unionByName(
-        tagged.join(buckets, "_bucket", "left_semi").join(others, "doc_id", "left_anti").select(*tagged.columns)).drop("_bucket")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        whole = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = whole.unionByName(kept.filter("doc_id is null"))
+        tagged.join(buckets, "_bucket", "left_semi").join(others, "_row", "left_anti").select(*tagged.columns))
     return kept.select(*docs.columns)
 
 

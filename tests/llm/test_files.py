@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import jaccard_join, langid, pii, quality, warc
 
+from .conftest import sentence
 from .test_pairs import brute_join
 from .test_tokens import check_packing
 
@@ -108,3 +109,12 @@ def test_stages_take_odd_documents(spark, odd_docs, no_docs):
     kept = corpus_pipeline.near_duplicate_stage(spark, odd_docs, SF)
     assert kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id is null").count() == 1
     assert jaccard_join.near_duplicates(odd_docs).count() == odd_docs.count()
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each group stays, whatever ids repeat or are missing; of near copies too."""
+    rows = [(5, 0), (5, 1), (3, 1), (7, 0), (15, 2), (15, 3), (13, 3), (25, 4), (25, 4), (None, 5), (39, 5), (None, 6), (None, 6), (None, 7)]
+    docs = [(i, f"{sentence(k, 80)} tail{n} text{k}") for n, (i, k) in enumerate(rows)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], int(r["text"].rsplit("text", 1)[1])) for r in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()]
+    assert sorted(got, key=str) == sorted([(5, 0), (3, 1), (15, 2), (13, 3), (25, 4), (39, 5), (None, 6), (None, 7)], key=str)
