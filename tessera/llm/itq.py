@@ -7,11 +7,11 @@ tables; two vectors are candidates if in some table their keys differ in at most
 every pair of codes at a Hamming distance below tables * (radius + 1) is found, and most beyond. Candidates
 are compared by cosine of the original vectors in double precision, so no link is wrong.
 
-Up to ``2^22`` distinct vectors the tables are 8 of 8 bits with radius 0, beyond that 4 of 16 bits with radius 1:
-both find all codes within 7 bits, the second in smaller buckets. A bucket is cut into blocks by a hash, and
-pairs of blocks are compared apart, so a bucket of any size is spread over tasks. A pair found in several
-tables counts in the first. Only each vector's number of links and a spanning forest leave a task, not
-the pairs. Equal vectors are one class with a count, so copies meet nowhere.
+At every size the tables are 4 of 16 bits with radius 2, which finds all codes within 11 bits: each vector stands
+under its key and the 16 keys one bit away, so that two keys at most two bits apart share one. A bucket is cut into
+blocks by a hash, and pairs of blocks are compared apart, so a bucket of any size is spread over tasks. A pair found
+in several tables or keys counts in the first. Only each vector's number of links and a spanning forest leave a task,
+not the pairs. Equal vectors are one class with a count, so copies meet nowhere.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors
 of different lengths with each other. Rows with a null id are returned with no links and kept. Rows that repeat
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from .common import components, stored
 
-BITS, SAMPLE, ROUNDS, BLOCK, MANY = 64, 4096, 50, 512, 1 << 22
+BITS, SAMPLE, ROUNDS, BLOCK = 64, 4096, 50, 512
+TABLES, RADIUS = 4, 2
 
 
 class Rotation:
@@ -130,7 +131,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, model: dict[int, Rotation], threshold: float, tables: int, radius: int) -> DataFrame:
     """(cls, n_links, root): for each class and pair of blocks that links it, the rows it links to (0 if counted in
-    an earlier table) and the smallest class it reaches there."""
+    an earlier table) and the smallest class it reaches there. ``radius``: 0, 1 or 2."""
     width = BITS // tables
     codes = stored(coded(distinct, model), "itq-codes")
     keys = []
@@ -138,8 +139,8 @@ def links(distinct: DataFrame, model: dict[int, Rotation], threshold: float, tab
         key = F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit((1 << width) - 1))
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key"), F.lit(False).alias("probe")))
         for bit in range(width if radius else 0):  # a key and its neighbour meet where the bit is 1
-            keys.append(F.when(key.bitwiseAND(F.lit(1 << bit)) == 0, F.struct(
-                F.lit(t).alias("t"), key.bitwiseOR(F.lit(1 << bit)).alias("key"), F.lit(True).alias("probe"))))
+            probe = F.struct(F.lit(t).alias("t"), key.bitwiseXOR(F.lit(1 << bit)).alias("key"), F.lit(True).alias("probe"))
+            keys.append(probe if radius > 1 else F.when(key.bitwiseAND(F.lit(1 << bit)) == 0, probe))
     rows = codes.select("cls", "n", "v", "code", F.size("v").alias("d"), F.explode(F.array_compact(F.array(*keys))).alias("k")).select(
         "cls", "n", "v", "code", "d", "k.*")
     # blocks of a bucket: its size is counted first; one row for each bucket that needs more than one block
@@ -151,28 +152,36 @@ def links(distinct: DataFrame, model: dict[int, Rotation], threshold: float, tab
     rows = rows.select("d", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        "own", "probe", "cls", "n", "code", "v")
 
+    mask = np.uint64((1 << width) - 1)
+
     def pairs(table: pa.Table) -> pa.Table:
-        t = table.column("t")[0].as_py()
+        t, bucket = table.column("t")[0].as_py(), np.uint64(table.column("key")[0].as_py())
         inner = table.column("i")[0] == table.column("j")[0]
         probe, own = np.asarray(table.column("probe")), np.asarray(table.column("own"))
         cls, n, code = (np.asarray(table.column(c)) for c in ("cls", "n", "code"))
         x = _unit(_matrix(table.column("v")))
-        left = np.flatnonzero(~probe)  # every pair has a side that is in its own bucket
+        left = np.flatnonzero(~probe) if radius < 2 else np.arange(len(cls))  # up to 1 every pair has a side in its own bucket
         a, b = [], []
         for at in range(0, len(left), 1024):
             some = left[at:at + 1024]
             r, c = np.nonzero(x[some] @ x.T >= threshold)
             r = some[r]
-            ok = (cls[r] != cls[c]) & (probe[c] | (r < c))
+            ok = (cls[r] != cls[c]) & (probe[c] & (radius < 2) | (r < c))
             if not inner:
                 ok &= own[r] != own[c]
-            a.append(r[ok])
-            b.append(c[ok])
+            r, c = r[ok], c[ok]
+            if radius > 1:  # keys that differ share several buckets: the pair belongs to the greatest, equal ones' to their own
+                k, l = ((code[x].view(np.uint64) >> np.uint64(t * width)) & mask for x in (r, c))
+                low = (k ^ l) & (~(k ^ l) + np.uint64(1))
+                ok = bucket == np.where(k == l, k, np.maximum(k ^ low, l ^ low))
+                r, c = r[ok], c[ok]
+            a.append(r)
+            b.append(c)
         a, b = np.concatenate(a or [[]]).astype(np.int64), np.concatenate(b or [[]]).astype(np.int64)
         differ = (code[a] ^ code[b]).view(np.uint64)
         new = np.ones(len(a), bool)
         for before in range(t):
-            part = (differ >> np.uint64(before * width)) & np.uint64((1 << width) - 1)
+            part = (differ >> np.uint64(before * width)) & mask
             new &= np.bitwise_count(part) > radius
         count = np.zeros(len(cls), np.int64)
         np.add.at(count, a[new], n[b[new]])
@@ -192,7 +201,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     rows = df.select(F.col(key), F.col(vector).alias("v"))
     distinct = classes(df, key, vector)
     if tables is None:
-        tables, radius = (8, 0) if distinct.count() <= MANY else (4, 1)
+        tables, radius = TABLES, RADIUS
     found = stored(links(distinct, fit(distinct), threshold, tables, radius), "itq-links")
     counts = found.groupBy("cls").agg(F.sum("n_links").alias("others"))
     groups = components(found.filter("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "itq")

@@ -114,6 +114,32 @@ def test_buckets_of_several_blocks(spark):
     assert {r["n_links"] for r in got} == {1299} and {r["component_id"] for r in got} == {0}
 
 
+def test_links_beyond_seven_bits(spark, monkeypatch):
+    """Every pair of codes within 11 bits is found and counted once, by the same tables at every size."""
+    assert not hasattr(itq, "MANY")  # no switch by size
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, 64)
+    rows, bits = [], []
+    for i in range(60):
+        flipped = base.copy()
+        flipped[rng.choice(64, int(rng.integers(0, 7)), replace=False)] ^= 1
+        bits.append(flipped)
+        rows.append((i, [float(v) for v in np.where(flipped == 1, 1.0, -1.0) * 0.02 + 1 + 0.0001 * rng.normal(size=64)]))
+    signs = {tuple(r[1]): b for r, b in zip(rows, bits)}
+
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "cls long, v array<double>, n long")
+
+    def coded(distinct, model):
+        out = [(i, 1, v, int(np.packbits(signs[tuple(v)]).view("<i8")[0])) for i, v in rows]
+        return spark.createDataFrame(out, "cls long, n long, v array<double>, code long")
+
+    monkeypatch.setattr(itq, "coded", coded)
+    got = {r["cls"]: r["n"] for r in itq.links(frame, {}, 0.95, itq.TABLES, itq.RADIUS).groupBy("cls").agg(F.sum("n_links").alias("n")).collect()}
+    for i in range(60):
+        near = sum(int((bits[i] != bits[j]).sum()) <= 11 for j in range(60) if j != i)
+        assert near <= got.get(i, 0) <= 59
+
+
 # ---------------------------------------------------------------- sets
 
 def shingles(text):
