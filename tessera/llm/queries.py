@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gru_lm, itq, jaccard_join, langid, line_dedup, packing, pii, quality, topk, warc
+from . import bpe, gru_lm, itq, jaccard_join, langid, line_dedup, packing, pii, quality, topk, warc, whitening
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_itq": itq.op10,
+    "op12_whitening": whitening.op12,
     "op13_line_dedup": line_dedup.op13,
 }
 
