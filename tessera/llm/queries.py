@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gru_lm, itq, jaccard_join, langid, line_dedup, packing, pii, quality, topk, warc, whitening
+from . import bpe, conversation, gru_lm, itq, jaccard_join, langid, line_dedup, packing, pii, quality, topk, warc, whitening
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8,
     "op9_jaccard_join": jaccard_join.op9,
     "op10_itq": itq.op10,
+    "op11_conversation_repair": conversation.op11,
     "op12_whitening": whitening.op12,
     "op13_line_dedup": line_dedup.op13,
 }
@@ -24,5 +25,6 @@ ORACLE: dict[str, str] = {
     "op6_topk": topk.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_itq": itq.OP10_SQL,
+    "op11_conversation_repair": conversation.OP11_SQL,
     "op13_line_dedup": line_dedup.OP13_SQL,
 }
