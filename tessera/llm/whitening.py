@@ -36,6 +36,8 @@ BLOCK, FAN_IN = 2048, 16
 EPS = float(np.finfo(float).eps)
 #: Eigenvalues closer than this, relatively, form a cluster whose vectors are made orthogonal.
 CLUSTER = 1e-3
+#: Relative distance of the shift from eigenvalues that are equal to rounding.
+APART = 1e-9
 
 
 # ---------------------------------------------------------------- solver on the triangular factor
@@ -192,7 +194,8 @@ class Tridiagonal:
 
 
 def _orthogonal(z: np.ndarray, others: list) -> tuple[np.ndarray, float]:
-    """z without its parts along ``others``, as a unit vector, and the length that was left."""
+    """z without its parts along ``others``, as a unit vector, and the share of its length that was left."""
+    z = z / np.linalg.norm(z)
     for _ in range(2):
         for o in others:
             z = z - (o @ z) * o
@@ -214,11 +217,10 @@ def directions(a: np.ndarray, b: np.ndarray, values: np.ndarray, most: int) -> n
         if near and near[-1][0] - value > CLUSTER * near[-1][0]:
             near.clear()
         z, left = _orthogonal(matrix.vector(value), [x for _, x in near])
-        for _ in range(8 if left < 0.5 else 0):
-            z, _ = _orthogonal(rng.standard_normal(t - s) if left < 1e-8 else z, [x for _, x in near])
-            z, left = _orthogonal(matrix.solve(value, z), [x for _, x in near])
-            if left > 0.5:
-                break
+        if left < 0.5:  # equal to rounding: a shift a little off amplifies all of the cluster alike, what is found is taken out
+            z = rng.standard_normal(t - s)
+            for _ in range(4):
+                z, _ = _orthogonal(matrix.solve(value * (1 + APART), z), [x for _, x in near])
         near.append((value, z))
         whole = np.zeros(len(a))
         whole[s:t] = z
