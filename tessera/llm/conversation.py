@@ -190,18 +190,21 @@ def _segments(rows: DataFrame, conv_type: T.DataType, most: int) -> DataFrame:
         own = _Segment(None)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
+                out = []
                 for conv, turn, role, text, copies, first, symbol in zip(*(c.to_pylist() for c in batch.slice(low, SLICE_ROWS).columns)):
                     if not conversations or conv != own.conv:
                         if conversations:
                             # the first conversation is open, the others are whole if this is their only segment
-                            yield _batch([own.row(part, seq, conversations > 1 and own.begins)], schema)
+                            out.append(own.row(part, seq, conversations > 1 and own.begins))
                             seq += 1
                         conversations, own = conversations + 1, _Segment(conv)
                     for _ in range(copies):
                         if own.full(text, most):
-                            yield _batch([own.row(part, seq, False)], schema)
+                            out.append(own.row(part, seq, False))
                             seq, own = seq + 1, _Segment(conv, begins=False)
                         own.add(turn, role, text, first, symbol)
+                if out:
+                    yield _batch(out, schema)
         if conversations:
             yield _batch([own.row(part, seq, False)], schema)
 
