@@ -323,10 +323,10 @@ def _triangles(fit: DataFrame, centre: dict[int, Whitening]) -> dict[int, np.nda
             yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([r.ravel().tolist()])],
                                              ["d", "id", "r"])
 
-    def reduce(key, table: pa.Table) -> pa.Table:
-        d = key[0].as_py()
+    def reduce(table: pa.Table) -> pa.Table:
+        d = table.column("d")[0].as_py()
         both = triangle(np.vstack([np.array(r.as_py()).reshape(-1, d) for r in table.column("r")]))
-        return pa.table({"d": pa.array([d], pa.int64()), "id": pa.array([key[1].as_py()], pa.int64()), "r": [both.ravel().tolist()]})
+        return pa.table({"d": table.column("d").slice(0, 1), "id": table.column("id").slice(0, 1), "r": [both.ravel().tolist()]})
 
     kind = "d long, id long, r array<double>"
     parts = stored(fit.mapInArrow(run, kind), "whitening-factors")

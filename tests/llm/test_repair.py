@@ -190,6 +190,16 @@ def test_whitening_by_eigenvectors(spark):
     assert np.abs(found * signs - want).max() < 1e-8
 
 
+def test_triangles_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "FAN_IN", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(9)
+        check_whitened(spark, [(i, rng.normal(size=8).tolist()) for i in range(200)])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_whitening_of_degenerate_tables(spark):
     rng = np.random.default_rng(4)
     few = [(i, rng.normal(size=20).tolist()) for i in range(6)]  # rank 5
