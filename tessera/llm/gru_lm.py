@@ -32,7 +32,7 @@ from .common import document_words, fold, stored
 
 HIDDEN, WORDS, CLASS_SIZE, COMMON = 16, 1022, 32, 1 << 17
 WINDOW, BATCH, ROUNDS, RATE = 16, 256, 2, 0.02
-LANES, GROUP_TOKENS = 512, 1 << 20
+LANES, GROUP_TOKENS, LINES = 512, 1 << 20, 64
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 SIZE = WORDS + 2  # two more entries: rare words, and one unused that fills the last class
 RARE = WORDS
@@ -180,26 +180,34 @@ class Network:
             into.c += states.T @ p
             into.d += p.sum(0)
             back = p @ self.c.T
+        # words in their classes: targets of a class in blocks of LINES, one product over all blocks
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(SIZE // CLASS_SIZE + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[k]:cuts[k + 1]]
-            words = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            s = states[at]
-            logits = s @ self.w[words].T + self.v[words]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            j = target[at] - k * CLASS_SIZE
-            r = np.arange(len(at))
-            out[at] += logits[r, j] - np.log(total)
-            if grad is not None:
-                p = e / total[:, None]
-                p[r, j] -= 1
-                p *= -weight[at][:, None]
-                into.w[words] += p.T @ s
-                into.v[words] += p.sum(0)
-                back[at] += p @ self.w[words]
+        count = np.bincount(kind, minlength=SIZE // CLASS_SIZE)
+        blocks = -(-count // LINES)
+        slot = rows + np.repeat((np.cumsum(blocks) - blocks) * LINES - (np.cumsum(count) - count), count)
+        own = np.repeat(np.arange(len(count)), blocks)
+        s = np.zeros((len(own) * LINES, HIDDEN), np.float32)
+        s[slot] = states[order]
+        s = s.reshape(-1, LINES, HIDDEN)
+        w = self.w.reshape(-1, CLASS_SIZE, HIDDEN)[own]
+        logits = s @ w.transpose(0, 2, 1)
+        logits += self.v.reshape(-1, 1, CLASS_SIZE)[own]
+        logits -= logits.max(2, keepdims=True)
+        j = (target - kind * CLASS_SIZE)[order]
+        chosen = logits.reshape(-1, CLASS_SIZE)[slot, j]
+        e = np.exp(logits, out=logits)
+        total = e.sum(2, keepdims=True)
+        out[order] += chosen - np.log(total.ravel()[slot])
+        if grad is not None:
+            e /= total
+            flat = e.reshape(-1, CLASS_SIZE)
+            flat[slot, j] -= 1
+            scale = np.zeros(len(flat), np.float32)
+            scale[slot] = -weight[order]
+            flat *= scale[:, None]
+            np.add.at(into.w.reshape(-1, CLASS_SIZE, HIDDEN), own, e.transpose(0, 2, 1) @ s)
+            np.add.at(into.v.reshape(-1, CLASS_SIZE), own, e.sum(1))
+            back[order] += (e @ w).reshape(-1, HIDDEN)[slot]
         return out, back
 
     def gradients(self, tokens: np.ndarray, target: np.ndarray, weight: np.ndarray, h: np.ndarray):
@@ -210,20 +218,24 @@ class Network:
         back = back.reshape(states.shape)
         dh = np.zeros_like(h)
         inputs = np.empty((*tokens.shape, 3 * HIDDEN), np.float32)
+        gates = np.empty_like(inputs)
+        across = self.u.T.copy()
         for t in range(len(tokens) - 1, -1, -1):
             before, z, r, n, a = kept[t]
             dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            inputs[t] = np.hstack([dz, dr, dn])
-            da = np.hstack([dz, dr, dn * r])
-            into.u += before.T @ da
-            dh = dh * z + da @ self.u.T
-        order = np.argsort(tokens.ravel(), kind="stable")
-        ids = tokens.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        into.x[ids[first]] += np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+            keep = 1 - z
+            dn = dh * keep * (1 - n * n)
+            g, d = inputs[t], gates[t]
+            g[:, :HIDDEN] = dh * (before - n) * z * keep
+            g[:, HIDDEN:2 * HIDDEN] = dn * a * r * (1 - r)
+            g[:, 2 * HIDDEN:] = dn
+            d[:, :2 * HIDDEN] = g[:, :2 * HIDDEN]
+            d[:, 2 * HIDDEN:] = dn * r
+            dh = dh * z + d @ across
+        before = np.concatenate([k[0] for k in kept])
+        into.u += before.T @ gates.reshape(len(before), -1)
+        place = tokens.ravel()[:, None] * (3 * HIDDEN) + np.arange(3 * HIDDEN)
+        into.x += np.bincount(place.ravel(), inputs.ravel(), into.x.size).reshape(into.x.shape)
         return into.flat, states[-1]
 
 
@@ -407,6 +419,27 @@ def _score(network, vocabulary):
     return run
 
 
+def common(counts: DataFrame, most: int = COMMON) -> DataFrame:
+    """At most ``most`` rows of ``counts`` (h, c): the highest classes of frequency, 64 to a doubling, and of the next class
+    the words with the lowest hashes. Two histograms of bounded size find the cut, so no task sorts or sends more."""
+    level, place = F.floor(F.log2("c") * 64), F.shiftrightunsigned("h", 50)
+    left, cut = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] > left:
+            cut = r["level"]
+            break
+        left -= r["count"]
+    if cut is None:
+        return counts
+    low = 0
+    for r in sorted(counts.filter(level == cut).groupBy(place.alias("place")).count().collect()):
+        left -= r["count"]
+        if left < 0:
+            break
+        low = r["place"] + 1
+    return counts.filter((level > cut) | ((level == cut) & (place < low)))
+
+
 def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``key`` an integer column."""
     spark = df.sparkSession
@@ -415,7 +448,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fold
     learnt = rows.filter("not held_out").select("text")
     counts = stored(learnt.mapInArrow(_survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    top = sorted(common(counts).collect(), key=lambda r: (-r["c"], r["h"]))  # at most COMMON rows
     h, c = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
     ends = counts.filter(F.col("h") == F.lit(int(END.view(np.int64)))).first()  # not only if it is among the top
     ends = ends["c"] if ends else 0
