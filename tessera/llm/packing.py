@@ -9,8 +9,14 @@ the other, until one near-equal partition is left. k starts at what the batch's
 fullest window exceeds the capacity, k rises by one and the batch is split anew. No sequence spans two
 batches, so a batch is all that a task holds.
 
-The last batch of a task has few pieces and its windows may stay partly empty. Since cuts are free, the
-tail is packed into full windows plus windows whose lengths are powers of two, which need no padding.
+The last batch of a task is differenced like the others, whatever its size. Its tokens are no multiple of the capacity, so
+what exceeds whole windows, and ``SLACK`` tokens a window, is held out first, and its pieces are cut to ``FINE`` tokens,
+which keeps the fullest window within a few tokens of the emptiest. The held-out tokens, fewer than one window and
+the slack, go into windows whose lengths are powers of two, which need no padding. A task with less than one window of
+tokens has one window of the largest power of two in them.
+
+Sequences of one batch that stand on differencing differ by at most ``piece`` tokens (``FINE`` in the last batch), unless
+k rose.
 
 Ids come from a tokenizers JSON file. Its vocabulary ids follow the order of its merges (checked), so the
 same merges run in tiktoken's engine, which is several times as fast and gives the same ids (tested over the
@@ -39,6 +45,8 @@ LENGTH = 2048
 PIECE = 512
 #: Pieces that are partitioned together.
 BATCH = 512
+#: Pieces of a task's last batch, and tokens held out of it for each window.
+FINE, SLACK = 128, 8
 
 
 # ---------------------------------------------------------------- differencing
@@ -204,12 +212,26 @@ def _packed(df, json_path, pattern, end_id, text, key, length, piece, batch_piec
             nonlocal sequence
             members = waiting[:batch_pieces]
             del waiting[:batch_pieces]
-            groups = tail(members) if final else [[members[i] for i in w] for w in
-                                                  windows([len(x[3]) // 4 for x in members], length)]
+            members, rest = held_out(members) if final else (members, [])
+            groups = [[members[i] for i in w] for w in windows([len(x[3]) // 4 for x in members], length)] + tail(rest)
             for g in groups:
                 put(g, sequence)
                 sequence += 1
 
+        def held_out(members):
+            """(fine pieces that fill whole windows but for the slack, the rest)."""
+            total = sum(len(x[3]) // 4 for x in members)
+            k = total // length
+            room = k * length - SLACK * k if k else 1 << total.bit_length() - 1
+            kept, rest = [], []
+            for key, start, n, ids in members:
+                size, at = len(ids) // 4, 0
+                while at < size:
+                    take = min(FINE if k else size, size - at, room or size)
+                    (kept if room else rest).append((key, start + at, n, ids[4 * at:4 * (at + take)]))
+                    at, room = at + take, room - take if room else 0
+            return kept, rest
+
         def tail(members):
             """Full windows, then windows of powers of two."""
             total = sum(len(x[3]) // 4 for x in members)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, packing
 
+from .conftest import sentence
+
 SF = "/root/testdata/sf0.01"
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -120,3 +122,22 @@ def test_differencing():
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in g) for g in groups) == [14, 16]
     for w in packing.windows([2000, 1500, 600, 600, 2048, 1]):
         assert sum([2000, 1500, 600, 600, 2048, 1][i] for i in w) <= 2048
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_every_task_differences(spark, parts):
+    """Few documents a task: whole windows still come from differencing, near-equal, and little stays empty."""
+    docs = spark.createDataFrame([(i, sentence(i, 30 + 7 * i % 90)) for i in range(1200)], "doc_id long, text string").repartition(parts)
+    rows = packing.packed_documents(docs).collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r["length"])
+    tasks = {}
+    for k, lengths in sequences.items():
+        tasks.setdefault(k >> 40, []).append((sum(lengths), len(lengths)))
+    assert len(tasks) == parts
+    for own in tasks.values():
+        near_full = [n for n, pieces in own if n > packing.LENGTH * 0.98 and pieces > 1]
+        assert near_full and max(near_full) - min(near_full) <= packing.PIECE
+        padding = sum(0 if n & (n - 1) == 0 else packing.LENGTH - n for n, _ in own)
+        assert padding <= 0.02 * sum(n for n, _ in own) + packing.LENGTH * (parts == 1)
