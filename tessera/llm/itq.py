@@ -1,9 +1,10 @@
 """Near-duplicate vectors by iterative quantisation, multi-index Hamming tables and exact cosines.
 
-A rotation is learnt on a bounded sample so that the signs of the rotated unit vectors make 64-bit codes close to
-the vectors (iterative quantisation). The vectors are not centred: links are by angle from the origin, and a group
-of near copies that outweighs the rest would otherwise become the centre and be torn apart. A code's substrings are its keys in as many
-tables; two vectors are candidates if in some table their keys differ in at most ``radius`` bits, so
+A rotation is learnt on a bounded sample so that the signs of the rotated, centred unit vectors make 64-bit codes close to
+the vectors (iterative quantisation), and each bit is cut at its median, so that codes are balanced whatever mean the
+vectors share. Centre, rotation and medians come from representatives of the sample, no two of them within the link
+threshold: a group of near copies that outweighs the rest counts once, so it becomes neither the centre nor a cut that
+tears it apart. A code's substrings are its keys in as many tables; two vectors are candidates if in some table their keys differ in at most ``radius`` bits, so
 every pair of codes at a Hamming distance below tables * (radius + 1) is found, and most beyond. Candidates
 are compared by cosine of the original vectors in double precision, so no link is wrong.
 
@@ -33,25 +34,40 @@ TABLES, RADIUS = 4, 2
 
 
 class Rotation:
-    """Projection for one vector length."""
+    """Balanced codes for one vector length."""
 
-    def __init__(self, x: np.ndarray):
-        """``x``: unit vectors (rows). Principal directions first, then the rotation that fits their signs best."""
+    def __init__(self, x: np.ndarray, threshold: float = 0.95):
+        """``x``: unit vectors (rows). Principal directions of the centred representatives first, then the rotation that fits
+        their signs best, then each bit's median. Without vectors, a random projection of all dimensions, cut at 0."""
         rng = np.random.default_rng(0)
-        x = np.pad(x, ((0, 0), (0, max(0, BITS - x.shape[1]))))
-        _, vectors = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(x.shape[1]))
+        if len(x) == 0:
+            self.axes, self.cuts = rng.standard_normal((x.shape[1], BITS)), np.zeros(BITS)
+            return
+        x = representatives(x, threshold)
+        dims = x.shape[1]
+        y = np.pad(x - x.mean(0) if len(x) > 1 else x, ((0, 0), (0, max(0, BITS - dims))))
+        _, vectors = np.linalg.eigh(y.T @ y + 1e-12 * np.eye(y.shape[1]))
         axes = vectors[:, ::-1][:, :BITS]
         turn = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
-        v = x @ axes
-        for _ in range(ROUNDS if len(x) else 0):
+        v = y @ axes
+        for _ in range(ROUNDS):
             u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
             turn = (u @ w).T
-        self.axes = axes @ turn
+        self.axes = (axes @ turn)[:dims]
+        self.cuts = np.median(x @ self.axes, axis=0) if len(x) > 1 else np.zeros(BITS)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        x = np.pad(x, ((0, 0), (0, max(0, BITS - x.shape[1]))))
-        bits = x @ self.axes >= 0
-        return np.packbits(bits, axis=1).view("<i8").ravel()
+        return np.packbits(x @ self.axes >= self.cuts, axis=1).view("<i8").ravel()
+
+
+def representatives(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of ``x`` such that no two have a cosine of ``threshold`` or more and every row has one with some of them."""
+    left, taken = np.arange(len(x)), []
+    while len(left):
+        taken.append(left[0])
+        left = left[x[left] @ x[left[0]] < threshold]
+        left = left[left != taken[-1]]
+    return x[taken]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -80,8 +96,9 @@ def classes(df: DataFrame, key: str, vector: str) -> DataFrame:
                   .withColumn("cls", F.monotonically_increasing_id()), "itq-classes")
 
 
-def fit(distinct: DataFrame, sample: int = SAMPLE, lengths: int = 8) -> dict[int, Rotation]:
-    """A rotation for each of the ``lengths`` most frequent vector lengths, from about ``sample`` vectors each."""
+def fit(distinct: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, lengths: int = 8) -> dict[int, Rotation]:
+    """A rotation for each of the ``lengths`` most frequent vector lengths, from about ``sample`` vectors each; vectors of
+    other lengths get a random projection when they are coded."""
     counts = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(lengths).collect()
     out = {}
     for row in counts:
@@ -89,12 +106,12 @@ def fit(distinct: DataFrame, sample: int = SAMPLE, lengths: int = 8) -> dict[int
         rows = (distinct.filter((F.size("v") == row["d"]) & (place < min(1 << 30, -(-(sample << 30) // row["n"]))))
                 .select("low", "v").limit(2 * sample).collect())
         x = np.array([r["v"] for r in sorted(rows, key=lambda r: r["low"])], np.float64).reshape(-1, row["d"])
-        out[row["d"]] = Rotation(_unit(x) if len(x) else x)
+        out[row["d"]] = Rotation(_unit(x) if len(x) else x, threshold)
     return out
 
 
 def coded(distinct: DataFrame, model: dict[int, Rotation]) -> DataFrame:
-    """``distinct`` (cls, n, v) with its code; a length without a learnt rotation gets a random one."""
+    """``distinct`` (cls, n, v) with its code; a length without a learnt rotation gets a random projection."""
     shared = distinct.sparkSession.sparkContext.broadcast(model)  # a few matrices of length x 64
 
     def run(batches):
@@ -202,7 +219,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     distinct = classes(df, key, vector)
     if tables is None:
         tables, radius = TABLES, RADIUS
-    found = stored(links(distinct, fit(distinct), threshold, tables, radius), "itq-links")
+    found = stored(links(distinct, fit(distinct, threshold), threshold, tables, radius), "itq-links")
     counts = found.groupBy("cls").agg(F.sum("n_links").alias("others"))
     groups = components(found.filter("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "itq")
     members = groups.select(F.col("id").alias("cls"), "component").join(distinct.select("cls", "low"), "cls")

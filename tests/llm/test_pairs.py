@@ -142,6 +142,40 @@ def test_links_beyond_seven_bits(spark, monkeypatch):
 
 # ---------------------------------------------------------------- sets
 
+@pytest.mark.parametrize("mean", [0.0, 1.0, 3.0])
+def test_codes_are_balanced_whatever_the_mean(mean):
+    """Vectors that share a mean spread over the buckets of a table like those that do not."""
+    rng = np.random.default_rng(1)
+    x = itq._unit(rng.normal(size=(20_000, 64)) + mean)
+    codes = itq.Rotation(x[:4096]).codes(x)
+    for table in range(4):
+        _, n = np.unique(codes >> 16 * table & 0xFFFF, return_counts=True)
+        assert n.max() < 60
+    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0)
+    assert np.abs(bits - 0.5).max() < 0.06
+
+
+def test_a_dense_group_is_not_torn_apart():
+    """Two thirds of the sample are near copies of one vector: their codes stay close, the others' stay balanced."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    x = itq._unit(np.vstack([base + 0.05 * rng.normal(size=(4000, 64)), rng.normal(size=(2000, 64))]))
+    codes = itq.Rotation(x).codes(x)
+    differ = np.bitwise_count((codes[:4000] ^ codes[0]).view(np.uint64))
+    assert np.percentile(differ, 99) <= 11
+    assert np.unique(codes[4000:] & 0xFFFF, return_counts=True)[1].max() < 20
+    assert len(itq.representatives(x, 0.95)) < 2100
+
+
+def test_lengths_beyond_the_learnt_ones_use_all_dimensions():
+    own = itq.Rotation(np.zeros((0, 256)))
+    rng = np.random.default_rng(3)
+    x = itq._unit(rng.normal(size=(500, 256)))
+    y = x.copy()
+    y[:, 64:] = rng.normal(size=(500, 192))
+    assert np.bitwise_count((own.codes(x) ^ own.codes(itq._unit(y))).view(np.uint64)).mean() > 10
+
+
 def shingles(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", w) if x]
