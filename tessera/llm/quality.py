@@ -183,10 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if len(shares) == 1:
         return Model(float(next(iter(shares))))
     wanted = fitting_sample(known.select("doc_id", "quality"), "quality", "doc_id", rows_per_class)
-    lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1
     sample = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
               .join(F.broadcast(wanted), "doc_id")  # at most 4 * rows_per_class ids
-              .filter(lines <= fit_lines).dropDuplicates(["doc_id"]))
+              .dropDuplicates(["doc_id"]))
 
     def run(batches):
         for batch in batches:
@@ -194,10 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             for a, b in slices(offsets):
                 x, size, first = line_table(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
+                # of a longer document, a run of fit_lines lines that begins anywhere; its lines keep their neighbours' features
+                spare = np.maximum(np.diff(first) - fit_lines, 0)
+                begin = first[:-1] + (np.add.reduceat(size, first[:-1]) * 2654435761 >> 8) % (spare + 1)
+                ends = begin + np.minimum(np.diff(first), fit_lines)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2),
-                    pa.array([x[i:j].astype("<f4").tobytes() for i, j in zip(first, first[1:])], pa.binary()),
-                    pa.array([size[i:j].astype("<i8").tobytes() for i, j in zip(first, first[1:])], pa.binary())],
+                    pa.array([x[i:j].astype("<f4").tobytes() for i, j in zip(begin, ends)], pa.binary()),
+                    pa.array([size[i:j].astype("<i8").tobytes() for i, j in zip(begin, ends)], pa.binary())],
                     ["doc_id", "quality", "x", "size"])
 
     schema = T.StructType([sample.schema["doc_id"], sample.schema["quality"], T.StructField("x", T.BinaryType()),
