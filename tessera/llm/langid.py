@@ -12,12 +12,14 @@ to a gap; so every n-gram has a small code and tables stay small for any script.
 
 The fit reads at most 2 * rows_per_class rows of each language (documented bound). Scoring reads whole
 texts, piece by piece when they are long. A text that is null or has no letter is ``und`` with score 0. If no
-row can be learnt from, every text is ``und``; with one language, every other text is that one. Ties go
-to the language that sorts first.
+row can be learnt from, every text is ``und``; with one language, every other text is that one. Ties go to the language that sorts first. Repeated rows are scored each.
+Every language with a row is learnt, however many there are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,12 @@ from .common import fitting_sample, fold, slices, text_buffers
 
 #: Labelled rows of each language for the fit, landmarks among them, n-grams kept, ridge.
 ROWS_PER_CLASS, LANDMARKS, FEATURES, RIDGE = 200, 32, 4096, 1e-2
+#: Landmarks of all languages together: beyond 32 languages each has fewer, one at least.
+ALL_LANDMARKS = 1024
 #: Sharpness of the softmax that turns the regression's values into a score.
 SHARPNESS = 5.0
+#: How far below the fitting texts' lowest value a text may lie and still be in a language.
+MARGIN = 0.1
 _BITS = 7
 _TRI, _BI = 0, 1 << 3 * _BITS
 _UNI = _BI + (1 << 2 * _BITS)
@@ -105,6 +111,7 @@ class Model:
         self.langs = langs
         if not langs:
             return
+        landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(langs)))
         count = np.zeros(CODES, np.int64)
         for _, g in rows:
             count[g] += 1
@@ -126,38 +133,67 @@ class Model:
         root = vectors[:, keep] / np.sqrt(values[keep])
         x = np.hstack([self.kernel(presence) @ root, np.ones((len(rows), 1))])
         y = np.where(np.array([r[0] for r in rows])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-        share = np.array([1 / sum(r[0] == lang for r in rows) for lang, _ in rows]) * len(rows) / len(langs)
+        held = Counter(lang for lang, _ in rows)
+        share = np.array([1 / held[lang] for lang, _ in rows]) * len(rows) / len(held)
         xw = x * share[:, None]
         w = np.linalg.solve(x.T @ xw + ridge * len(rows) / x.shape[1] * np.eye(x.shape[1]), xw.T @ y)
         self.weights = (root @ w[:-1]).astype(np.float32)
         self.bias = w[-1].astype(np.float32)
+        own = [v[langs.index(lang)] for v, (lang, _) in zip(x @ w, rows) if lang is not None]
+        #: Texts below it are further from every language than any text that was learnt from.
+        self.floor = min(0.0, float(min(own))) - MARGIN
 
     def kernel(self, presence: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(presence.sum(1), 1))
         return presence @ self.marks / (own[:, None] * self.norms[None, :])
 
-    def scores(self, presence: np.ndarray) -> np.ndarray:
-        v = (self.kernel(presence) @ self.weights + self.bias) * SHARPNESS
+    def values(self, presence: np.ndarray) -> np.ndarray:
+        """The regression's value for each language: about 1 for its texts, -1 for others."""
+        return self.kernel(presence) @ self.weights + self.bias
+
+    @staticmethod
+    def scores(values: np.ndarray) -> np.ndarray:
+        v = values * SHARPNESS
         e = np.exp(v - v.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS,
-        landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE) -> Model:
-    """A model from the rows of ``docs`` with a language and a letter."""
+        landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE, rest: bool = False) -> Model:
+    """A model from the rows of ``docs`` with a language and a letter. With ``rest``, every language is also told from the
+    same letters in random order, so that a text in no language has a low value for all of them."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     sample = fitting_sample(known.select(key, text, lang), lang, key, rows_per_class)
     found = gram_sets(sample.select(F.struct(lang, key).alias("row"), text), "row").collect()
     rows = sorted(((r["key"][lang], np.frombuffer(r["grams"], "<i4")) for r in found), key=lambda r: (r[0], r[1].tobytes()))
-    order = np.random.default_rng(0).permutation(len(rows))
-    return Model(sorted({r[0] for r in rows}), [rows[i] for i in order], landmarks, features, ridge)
-
-
-def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its score; no shuffle. Columns of these names are replaced."""
-    fields = [f for f in df.schema.fields if f.name not in (lang_col, score_col)]
+    langs, rng = sorted({r[0] for r in rows}), np.random.default_rng(0)
+    if rest:
+        rows += [(None, _scrambled(g, rng)) for _, g in rows]
+    order = rng.permutation(len(rows))
+    return Model(langs, [rows[i] for i in order], landmarks, features, ridge)
+
+
+def _scrambled(grams: np.ndarray, rng) -> np.ndarray:
+    """As many n-grams of the same letters, drawn at random."""
+    letters = grams[grams >= _UNI] - _UNI
+    if not len(letters):
+        return grams
+    two, three = int(((grams >= _BI) & (grams < _UNI)).sum()), int((grams < _BI).sum())
+    a, b = rng.choice(letters, (2, two)), rng.choice(letters, (3, three))
+    return np.unique(np.concatenate([grams[grams >= _UNI], _BI + (a[0] << _BITS | a[1]), _TRI + (b[0] << 2 * _BITS | b[1] << _BITS | b[2])])).astype("<i4")
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score",
+            value_col: str = "lang_value") -> DataFrame:
+    """``df`` with the predicted language, its score and its value; no shuffle. Columns of these names are replaced.
+
+    The score is a share among the learnt languages, so it depends on how many there are. The value is the language's
+    own regression's: above 0 the text is on its language's side of the rest, whatever else was learnt.
+    """
+    names = [lang_col, score_col, value_col]
+    fields = [f for f in df.schema.fields if f.name not in names]
     keep = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([*fields, *(T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType())))])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: CODES, features x landmarks
 
     def run(batches):
@@ -165,22 +201,24 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "la
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             raw, offsets = text_buffers(column)
-            langs, scores = [], []
+            langs, scores, values = [], [], []
             for a, b in slices(offsets, rows=256):
-                found, best = _score(model, raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                found, share, value = _score(model, raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 langs += found
-                scores += best
+                scores += share
+                values += value
             rest = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*keep, lang_col, score_col])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                                              pa.array(values, pa.float64())], [*keep, *names])
 
     return df.mapInArrow(run, schema)
 
 
-def _score(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float]]:
+def _score(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and best value of each text."""
     n = len(offsets) - 1
     if not model.langs:
-        return ["und"] * n, [0.0] * n
+        return ["und"] * n, [0.0] * n, [-1.0] * n
     features = model.marks.shape[0]
     present = np.zeros(n * features, np.float32)
     if n == 1:
@@ -205,10 +243,11 @@ def _score(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str
                 at[cross[(cross >= 0) & (cross < len(at))]] = -1
             ok = at >= 0
             present[owner[:len(at)][ok] + at[ok]] = 1
-    p = model.scores(present.reshape(n, features))
-    best = p.argmax(1)
+    values = model.values(present.reshape(n, features))
+    p, best = model.scores(values), values.argmax(1)
     return ([model.langs[k] if h else "und" for k, h in zip(best.tolist(), has.tolist())],
-            [v if h else 0.0 for v, h in zip(p.max(1).astype(float).tolist(), has.tolist())])
+            [v if h else 0.0 for v, h in zip(p.max(1).astype(float).tolist(), has.tolist())],
+            [v if h else -1.0 for v, h in zip(values.max(1).astype(float).tolist(), has.tolist())])
 
 
 def predicted(docs: DataFrame) -> DataFrame:
@@ -217,6 +256,16 @@ def predicted(docs: DataFrame) -> DataFrame:
     return predict(docs.withColumn("held_out", fold(F.col("doc_id"), 3) == 1), model)
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learnt language: it has a letter, and the best language's value is not below
+    all that the fit has seen. Neither depends on how many languages there are."""
+    model = fit(docs.filter(fold(F.col("doc_id"), 3) != 1), rest=True)
+    if not model.langs:
+        return docs.limit(0)
+    found = predict(docs, model, lang_col="_lang", score_col="_score", value_col="_value")
+    return found.filter((F.col("_lang") != "und") & (F.col("_value") >= model.floor)).select(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """op3: the language of every document, by the string kernel; the scoring is one narrow stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

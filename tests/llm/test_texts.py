@@ -111,7 +111,7 @@ def test_language_scores_by_brute_force(spark):
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         one = langid._score(model, raw, np.array([0, len(raw)]))
         two = langid._score(model, np.concatenate([raw, raw]), np.array([0, len(raw), 2 * len(raw)]))
-        assert one[1] == pytest.approx([float(model.scores(present).max())], abs=1e-5)
+        assert one[1] == pytest.approx([float(model.scores(model.values(present)).max())], abs=1e-5)
         assert two[1] == pytest.approx(one[1] * 2, abs=1e-5) and two[0] == one[0] * 2
 
 
@@ -294,3 +294,56 @@ def test_end_token_beyond_the_common_words(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "COMMON", 8)
     docs = spark.createDataFrame([(i, " ".join("w%d" % (j % 40) for j in range(400))) for i in range(20)], "doc_id long, text string")
     check_base(gru_lm.score_documents(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_every_language_is_learnt(spark):
+    """300 languages of their own words: all are learnt, and told apart on texts that were not."""
+    rng = np.random.default_rng(2)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 7))) for _ in range(12)] for _ in range(300)]
+    rows = [(300 * k + j, " ".join(rng.choice(words[j], 40)), f"l{j:03d}") for j in range(300) for k in range(8)]
+    df = spark.createDataFrame([(i, t, w) for i, t, w in rows], "doc_id long, text string, lang string")
+    model = langid.fit(df.filter("doc_id < 2100"))
+    assert len(model.langs) == 300
+    test = langid.predict(df.filter("doc_id >= 2100"), model)
+    assert test.filter("lang = lang_pred").count() > 270
+
+
+def test_quality_learns_from_long_documents(spark):
+    """All documents of one label have more lines than the fit takes of each; the label is learnt all the same."""
+    good = "\n".join(f"This is line {i} of a calm and readable text." for i in range(700))
+    rows = [(i, good if i % 2 else "$$$ %%% ###\n!!! 0000 @@@", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert model.constant is None
+    got = quality.score(df, model).select("quality", "score").distinct().collect()
+    assert all((r["score"] >= 0.5) == (r["quality"] == 1) for r in got)
+
+
+def test_common_words_are_bounded(spark):
+    counts = spark.createDataFrame([((i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63), 1 + 1000 // (i + 1)) for i in range(3000)], "h long, c long")
+    by_count = sorted((r["c"] for r in counts.collect()), reverse=True)
+    for most in (10, 100, 1500):
+        got = [r["c"] for r in gru_lm.common(counts, most).collect()]
+        assert most * 0.9 - 2 <= len(got) <= most
+        assert sorted(got, reverse=True)[:len(got) // 2] == by_count[:len(got) // 2]
+    assert gru_lm.common(counts, 5000).count() == 3000
+
+
+def test_network_score_by_one_token_at_a_time(spark):
+    """log10 probabilities of a document against a plain forward pass."""
+    net = network(3)
+    ids = np.random.default_rng(1).integers(0, gru_lm.SIZE - 1, 90)
+    h, last, total = np.zeros(gru_lm.HIDDEN), 0, 0.0
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    H, C = gru_lm.HIDDEN, gru_lm.CLASS_SIZE
+    for t in ids.tolist():
+        g, a = net.x[last], h @ net.u
+        z, r = sig(g[:H] + a[:H]), sig(g[H:2 * H] + a[H:2 * H])
+        n = np.tanh(g[2 * H:] + r * a[2 * H:])
+        h = n + z * (h - n)
+        c = h @ net.c + net.d
+        w = h @ net.w[t // C * C:(t // C + 1) * C].T + net.v[t // C * C:(t // C + 1) * C]
+        total += (c[t // C] - np.log(np.exp(c).sum()) + w[t % C] - np.log(np.exp(w).sum())) / np.log(10)
+        last = t
+    got = gru_lm._likelihoods(net, np.concatenate([ids, ids[:5]]), np.array([0, 90, 95]))
+    assert got[0] == pytest.approx(total, rel=1e-4)
