@@ -253,7 +253,8 @@ def read_archive(stream, payload: bool = False) -> Iterator[dict]:
 def read(manifest: DataFrame, payload: bool = False) -> DataFrame:
     """The records of the archives that ``manifest`` (column path) names; with ``payload``, their bytes too.
 
-    A record whose digests do not hold has digest_ok false; an archive with broken framing raises.
+    A record whose digests do not hold has digest_ok false; an archive with broken framing raises. Archives are dealt
+    round robin to two tasks for each core of the session, which adaptive execution keeps apart.
     """
     schema = RECORD + (", payload binary" if payload else "")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -273,7 +274,8 @@ def read(manifest: DataFrame, payload: bool = False) -> DataFrame:
                 if held:
                     yield _batch(held, names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    tasks = 2 * manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.select("path").repartition(tasks).mapInArrow(run, schema)
 
 
 def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
