@@ -26,12 +26,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a
     lost executor costs no recomputation of what lies before it."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_path(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once nothing that is still to run reads them."""
+    for df in frames:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id, parts: int):
@@ -39,20 +57,21 @@ def fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def fitting_sample(df: DataFrame, label: str, key: str, rows: int, classes: int = 256) -> DataFrame:
-    """About ``rows`` rows of each class of ``df``, at most 2 * rows * classes of them together.
+def fitting_sample(df: DataFrame, label: str, key: str, rows: int, total: int = 1 << 14, least: int = 8) -> DataFrame:
+    """About ``rows`` rows of every class of ``df``; fewer, but ``least``, where the classes are so many that all together
+    would be more than ``total``. A class with no more rows than that is taken whole.
 
-    A row is taken by the hash of its key, at a rate that follows from its class's count. Classes
-    beyond the ``classes`` most frequent (ties: smaller label) are not taken. For fitting only.
+    A row is taken by the hash of its key, at a rate that follows from its class's count. The rates are a small table
+    that Spark broadcasts by its size. For fitting only.
     """
-    counts = (df.groupBy(label).agg(F.count("*").alias("n")).filter(F.col(label).isNotNull())
-              .orderBy(F.desc("n"), label).limit(classes).collect())
-    if not counts:
+    counts = stored(df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col(label).isNotNull()), "labels")
+    classes = counts.count()
+    if not classes:
         return df.limit(0)
-    scale = 1 << 30
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(scale, -(-rows * scale // r["n"])))])
+    rows, scale = max(min(rows, total // classes), min(rows, least)), 1 << 30
+    rates = counts.select(label, F.least(F.lit(scale), F.ceil(F.lit(rows * scale) / F.col("_n"))).alias("_rate"))
     place = F.pmod(F.xxhash64(F.col(key), F.lit("fit")), F.lit(scale))
-    return df.filter(place < F.try_element_at(rate, F.col(label))).limit(2 * rows * len(counts))
+    return df.join(rates, label).filter(place < F.col("_rate")).drop("_rate").limit(2 * rows * classes)
 
 
 # ---------------------------------------------------------------- text inside tasks
@@ -203,9 +222,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         step = stored(step.join(jump, "component", "left")
                       .select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")),
                       f"{label}-labels")
-        labels = step.select("id", "component")
+        discard(labels)
+        labels = step
         if step.filter(F.col("old") != F.col("component")).isEmpty():
-            return labels
+            discard(both)
+            return step.select("id", "component")
 
 
 def rows_of(batch: pa.RecordBatch, names: Iterable[str]) -> list[pa.Array]:

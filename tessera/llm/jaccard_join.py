@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, document_words, mix64, rows_of, stored
+from .common import components, discard, document_words, mix64, rows_of, stored
 
 WIDTH, PERCENT, LEAF, PIVOTS = 5, 80, 64, 64
 #: Entries of the frequency table, of the filter of wanted ids; share of documents that makes a shingle frequent.
@@ -237,22 +237,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     low = docs.filter("c is not null").groupBy("c", "n").agg(F.min("doc").alias("low"))
     low = low.select(_class_key().alias("k"), "low")
 
-    def sets_of(members: DataFrame) -> DataFrame:
-        """(k, items) of some classes, hashed anew from the text of each class's first document.
+    def compare(pairs: DataFrame) -> DataFrame:
+        """The exact distances of ``pairs``, which are removed then. The sets are hashed anew from the text of each class's
+        first document.
 
-        Not stored: both sides of a comparison read the one shuffle by class that removes duplicates. Sets of
+        They are not stored: both sides of a comparison read the one shuffle by class that removes duplicates. Sets of
         other documents that pass the filter by chance match no pair.
         """
+        members = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         members = stored(members.join(low, "k").select("k", F.coalesce("low", F.lit(0)).alias("low")), "jaccard-wanted")
         bits = spark.sparkContext.broadcast(_filter(members.select("low")))  # 4 MB; a null id passes as 0
         found = rows.mapInArrow(_sets(width, bits), "c long, n int, items array<long>").select(_class_key().alias("k"), "items")
-        return found.dropDuplicates(["k"])
+        out = _compared(pairs, found.dropDuplicates(["k"]), percent)
+        discard(pairs, members)
+        return out
 
     star = stored(regions.filter((F.col("p") != F.col("k")) & _fits(percent, F.col("p.n"), F.col("pi"), F.col("k.n"), F.col("i"))).select(
         F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b")).distinct(), "jaccard-star")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    compared = [_compared(star, sets_of(ends(star)), percent)]
+    compared = [compare(star)]
     distance = compared[0].select("a", "b", "d").union(compared[0].select("b", "a", "d")).toDF("p", "k", "d")
+    superseded = regions
     regions = regions.filter("size > 2").select("s", "k", "i", "p")  # two classes have met
     groups, heads, seen = None, None, 0
     while True:
@@ -264,26 +268,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         labelled = regions.join(groups.select(F.col("id").alias("k"), "component"), "k", "left").withColumn(
             "component", F.coalesce("component", "k"))
         open_ = labelled.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        todo = labelled.join(open_.filter("x != y").select("s", "size"), "s").filter("k != p")  # p has met its whole region
+        open_ = open_.filter("x != y").select("s", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        labelled = labelled.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))  # a common shingle's rows in several tasks
+        todo = labelled.join(open_, ["s", "salt"]).filter("k != p")  # p has met its whole region
         todo = stored(todo.join(distance, ["p", "k"], "left").select("s", "p", "k", "i", "component", "d", "size"), "jaccard-open")
         if todo.isEmpty():
             break
         side = lambda *names: [F.col(x).alias(y) for x, y in zip(("k", "i", "component", "d"), names)]
-        other = todo.select("s", *side("l", "j", "other", "e"))
+        # regions beyond a leaf are spread by salt; their pivots go to every salt
+        salt = F.when(F.col("size") > leaf, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+        other = todo.select("s", salt, *side("l", "j", "other", "e"))
         window = Window.partitionBy("s").orderBy("m.i", "m.k")
         heads = (todo.filter(F.col("size") > leaf).groupBy("s", "component").agg(F.min(F.struct("i", "k", "d")).alias("m"))
                  .withColumn("r", F.row_number().over(window)).filter(F.col("r") <= PIVOTS))
         heads = stored(heads.select("s", "m.k", "m.i", "component", "m.d"), "jaccard-pivots")
-        asked = todo.filter(F.col("size") <= leaf).select("s", *side("k", "i", "component", "d")).unionByName(heads)
+        asked = todo.filter(F.col("size") <= leaf).select("s", F.lit(0).alias("salt"), *side("k", "i", "component", "d")).unionByName(
+            heads.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
         near = F.col("d").isNull() | F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) <= 1 - percent / 100 + 1e-12)
-        pairs = stored(asked.join(other, "s").filter((F.col("component") != F.col("other")) & near
+        pairs = stored(asked.join(other, ["s", "salt"]).filter((F.col("component") != F.col("other")) & near
                                                & _fits(percent, F.col("k.n"), F.col("i"), F.col("l.n"), F.col("j")))
                  .select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
                  .join(reduce(DataFrame.union, compared).select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
-            compared.append(_compared(pairs, sets_of(ends(pairs)), percent))
+            compared.append(compare(pairs))
         regions = stored(todo.filter(F.col("size") > leaf).join(heads.select("s", "k"), ["s", "k"], "left_anti")
                          .select("s", "k", "i", "p"), "jaccard-regions")
+        discard(superseded, todo)
+        superseded = regions
     named = groups.join(low.withColumnRenamed("k", "id"), "id").select("id", "component", "low")
     named = named.join(named.groupBy("component").agg(F.min("low").alias("lowest")), "component").select(F.col("id").alias("k"), "lowest")
     classes = low.join(named, "k", "left").select("k.c", "k.n", F.coalesce("lowest", "low").alias("component_id"))
@@ -312,7 +323,9 @@ def _shared_regions(texts: DataFrame, width: int, percent: int, levels) -> DataF
     often = rows.filter(~alone).drop("p", "size")
     whole = often.groupBy("s").agg(F.min("n").alias("least"), F.min(key).alias("p"), F.max(F.struct("c", "n")).alias("q"),
                                    F.min(F.struct("c", "n")).alias("o"), F.count("*").alias("size")).filter("o != q").drop("o", "q")
-    return stored(rare.unionByName(often.join(whole, "s").filter(useful).select(*member)), "jaccard-regions")
+    out = stored(rare.unionByName(often.join(whole, "s").filter(useful).select(*member)), "jaccard-regions")
+    discard(rows)
+    return out
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import jaccard_join, langid, pii, quality, warc
+from tessera.llm.common import fold
 
 from .conftest import sentence
 from .test_pairs import brute_join
@@ -83,7 +84,8 @@ def test_pipeline_by_brute_force(spark):
     kept = corpus_pipeline.quality_stage(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() == good.count() < docs.count()
     spoken = corpus_pipeline.language_stage(spark, kept, SF)
-    found = langid.predicted(kept).filter("lang_pred != 'und' and score >= 0.4")
+    model = langid.fit(kept.filter(fold(F.col("doc_id"), 3) != 1), rest=True)
+    found = langid.predict(kept, model).filter(f"lang_pred != 'und' and lang_value >= {model.floor!r}")
     rows = sorted((r["doc_id"], r["text"]) for r in spoken.collect())
     assert rows == sorted((r["doc_id"], r["text"]) for r in found.collect())
     sets, comp = brute_join(rows)
@@ -118,3 +120,40 @@ def test_near_duplicates_by_row(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = [(r["doc_id"], int(r["text"].rsplit("text", 1)[1])) for r in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()]
     assert sorted(got, key=str) == sorted([(5, 0), (3, 1), (15, 2), (13, 3), (25, 4), (39, 5), (None, 6), (None, 7)], key=str)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html")).repartition(40)
+    manifest = warc.write(pages)
+    back = warc.read(manifest)
+    assert back.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and manifest.count() > 4
+    assert back.select(F.spark_partition_id()).distinct().count() > 2
+    assert back.filter("digest_ok").count() == 400
+
+
+def test_later_stages_remove_earlier_tables(spark, tmp_path):
+    """The near-duplicate stage's tables go once its written result is worked on, and not before."""
+    docs = spark.createDataFrame([(i, sentence(i % 5, 40)) for i in range(20)], "doc_id long, text string")
+    found = corpus_pipeline.near_duplicate_stage(spark, docs, "own")
+    held = list(corpus_pipeline._held["own"])
+    corpus_pipeline.pii_stage(spark, found, "own")
+    assert found.count() == 5
+    found.write.parquet(str(tmp_path / "stage"))
+    corpus_pipeline.pii_stage(spark, spark.read.parquet(str(tmp_path / "stage")), "own").count()
+    assert "own" not in corpus_pipeline._held and held
+    with pytest.raises(Exception):
+        found.count()
+
+
+@pytest.mark.parametrize("langs", [1, 2, 4])
+def test_language_stage_whatever_the_number_of_languages(spark, langs):
+    """Its own texts stay and letters in random order go, with one, two or more languages learnt."""
+    import random
+    rng = random.Random(langs)
+    words = {k: ["".join(rng.choice(alphabet) for _ in range(rng.randint(3, 8))) for _ in range(60)]
+             for k, alphabet in enumerate(["abcde", "fghij", "klmno", "pqrst"][:langs])}
+    rows = [(i, " ".join(rng.choice(words[i % langs]) for _ in range(80)), f"l{i % langs}") for i in range(300)]
+    noise = [(1000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)), None) for i in range(30)]
+    kept = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows + noise, "doc_id long, text string, lang string"), SF)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert len([i for i in ids if i < 1000]) >= 297 and not [i for i in ids if i >= 1000]
