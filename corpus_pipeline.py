@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on every document its predecessor
 written as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
 
 Null texts count as empty texts in every stage; the language stage rejects them. Columns beside doc_id and text
-pass through the first four stages as they are, save that masking updates n_chars.
+pass through the first four stages as they are, save that masking updates n_chars. Empty tables give empty tables. Texts
+of any length are worked on whole. What a stage decides depends on its input's rows alone, not on earlier runs.
 """
 
 from __future__ import annotations
@@ -13,12 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, langid, packing, pii, quality
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
-#: Below this score a text is in none of the learnt languages (four even languages give 0.25 each).
-LANGUAGE_SCORE = 0.4
 BUCKETS = 1 << 20
 
+#: By input, the tables that the near-duplicate stage's result reads; they go when a later stage works on what was written of it.
+_held: dict[str, list[DataFrame]] = {}
+
+
+def _drop_superseded(docs: DataFrame, sf_dir: str) -> None:
+    """Remove the tables of the stage before, unless ``docs`` is its unwritten result."""
+    files, held = docs.inputFiles(), [t.stored_at.rsplit("/", 1)[1] for t in _held.get(sf_dir, [])]  # names of their own
+    if not any(name in f for name in held for f in files):
+        discard(*_held.pop(sf_dir, []))
+
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more; labels come from the labels table."""
@@ -28,8 +37,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages: those without letters or without a likely language go."""
-    found = langid.predicted(docs)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    return langid.recognised(docs)
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +58,8 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bucket = F.pmod(F.xxhash64("_row"), F.lit(BUCKETS))
     buckets = F.broadcast(others.select(bucket.alias("_bucket")).distinct())
     tagged = keyed.withColumn("_bucket", bucket)
+    discard(groups)
+    _held.setdefault(sf_dir, []).extend([keyed, others])
     kept = tagged.join(buckets, "_bucket", "left_anti").unionByName(
         tagged.join(buckets, "_bucket", "left_semi").join(others, "_row", "left_anti").select(*tagged.columns))
     return kept.select(*docs.columns)
@@ -57,6 +67,7 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; no document goes."""
+    _drop_superseded(docs, sf_dir)
     masked = pii.mask(pii.detect(docs))
     if "n_chars" in docs.columns:
         changed = (F.size("spans") > 0) & F.col("n_chars").isNotNull()
@@ -84,6 +95,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return docs
