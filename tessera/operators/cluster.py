@@ -1,6 +1,6 @@
-"""Density and hierarchical clustering re-aimed for Spark (M-14, M-15).
+"""Grid-density clustering, for tables whose dense regions are wide against ``eps``.
 
-``grid_density_clusters`` (M-14, DBSCAN re-aim): points fall into grid cells of
+``grid_density_clusters``: points fall into grid cells of
 side ``eps`` over all dimensions; a cell holding at least ``min_samples`` points
 is dense; dense cells that differ by at most one step in every dimension are
 connected. Neighbours are joined on the cell's first coordinates and then
@@ -9,12 +9,7 @@ propagation with pointer jumping, a reliable checkpoint per round, until no labe
 Points of dense cells take their component, points of sparse cells adjacent
 to a dense cell take the smallest adjacent component, the rest are noise (-1).
 No point pairs are ever formed, so a cell holding a third of the data is one
-count. This is grid-density clustering, not exact DBSCAN.
-
-``ward_agglomerative`` (M-15 re-aim): KMeans micro-clusters (<= 200) summarise
-the data; their weighted centroids are merged with Ward's criterion in one
-bounded ``applyInPandas`` task (at most 200 rows); points map to their micro
-cluster's final label through a join.
+count. This is grid-density clustering; exact DBSCAN is in ``dbscan.py``, Ward's tree in ``ward.py``.
 """
 
 from __future__ import annotations
@@ -22,8 +17,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +24,16 @@ from ..session import materialize
 
 #: Leading coordinates that neighbour joins use as their key (3^KEY_DIMS offsets); the others are checked.
 KEY_DIMS = 3
-MICRO_CLUSTERS = 200
 
 
-def _vector_cols(df: DataFrame, vec: str, key: str) -> tuple[DataFrame, int]:
+def vector_cols(df: DataFrame, vec: str, key: str) -> tuple[DataFrame, int]:
+    """(key, _x: array of doubles) and the vectors' length, 0 if there is none."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.sql import types as T
     arr = F.col(vec) if isinstance(df.schema[vec].dataType, T.ArrayType) else vector_to_array(F.col(vec))
     out = df.select(key, arr.cast("array<double>").alias("_x"))
-    d = len(out.select("_x").first()["_x"])
-    return out, d
+    first = out.where("_x is not null").select("_x").first()
+    return out, len(first["_x"]) if first else 0
 
 
 def _neighbours(cells: DataFrame, others: DataFrame, g: int) -> DataFrame:
@@ -57,7 +50,7 @@ def _neighbours(cells: DataFrame, others: DataFrame, g: int) -> DataFrame:
 def grid_density_clusters(df: DataFrame, vec: str, key: str, eps: float = 0.5, min_samples: int = 5,
                           dims: Sequence[int] | None = None) -> DataFrame:
     """Return ``(key, cluster)`` with cluster -1 for noise; ``dims`` picks dimensions, default all."""
-    pts, d = _vector_cols(df, vec, key)
+    pts, d = vector_cols(df, vec, key)
     dims = list(range(d)) if dims is None else list(dims)
     g = len(dims)
     cell = F.array(*[F.floor(F.col("_x")[j] / eps).cast("long") for j in dims])
@@ -88,51 +81,3 @@ def grid_density_clusters(df: DataFrame, vec: str, key: str, eps: float = 0.5, m
     coded = cell_lab.join(codes, "lab").select("cell", "cluster")  # cells, not points
     out = keyed_join(pts, coded, ["cell"], key, "left")  # a cell may hold a third of all points
     return out.select(key, F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
-
-
-WARD_SCHEMA = "micro int, cluster int"
-
-
-def _ward_merge(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cent = np.stack(pdf["center"].to_numpy()).astype(float)
-        w = pdf["n"].to_numpy(dtype=float)
-        members = [[int(m)] for m in pdf["micro"]]
-        active = list(range(len(w)))
-        while len(active) > k:
-            best = None
-            for ai in range(len(active)):
-                a = active[ai]
-                for b in active[ai + 1:]:
-                    cost = w[a] * w[b] / (w[a] + w[b]) * float(np.sum((cent[a] - cent[b]) ** 2))
-                    if best is None or cost < best[0]:
-                        best = (cost, a, b)
-            _, a, b = best
-            cent[a] = (w[a] * cent[a] + w[b] * cent[b]) / (w[a] + w[b])
-            w[a] += w[b]
-            members[a] += members[b]
-            active.remove(b)
-        rows = [(m, lab) for lab, a in enumerate(sorted(active, key=lambda a: min(members[a])))
-                for m in members[a]]
-        return pd.DataFrame(rows, columns=["micro", "cluster"])
-    return run
-
-
-def ward_agglomerative(df: DataFrame, vec: str, key: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """Return ``(key, cluster)``: Ward merge of KMeans micro-clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.sql import types as T
-    v = array_to_vector(F.col(vec).cast("array<double>")) if isinstance(df.schema[vec].dataType, T.ArrayType) \
-        else F.col(vec)
-    data = df.select(key, v.alias("_v"))
-    n = data.count()
-    micro = KMeans(k=max(k, min(MICRO_CLUSTERS, n)), seed=seed, featuresCol="_v", predictionCol="micro").fit(data)
-    assigned = micro.transform(data).select(key, "micro")
-    sizes = assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n"))
-    centers = data.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(micro.clusterCenters())], "micro int, center array<double>")
-    summary = centers.join(sizes, "micro").withColumn("_g", F.lit(0))
-    # one group of at most MICRO_CLUSTERS rows: a bounded task by construction
-    mapping = summary.groupBy("_g").applyInPandas(_ward_merge(k), WARD_SCHEMA)
-    return assigned.join(F.broadcast(mapping), "micro").select(key, "cluster")

@@ -1054,20 +1054,126 @@ def q_ts_split(spark, sf):
                     rnd(F.col("value")).alias("value"))
 
 
-@register("forecast_hw")
+def _monthly_training_sql(test: str = "") -> str:
+    """CTEs ending in ``tr``: each priority's training values x and test values y in time order."""
+    return """s AS (SELECT o_orderpriority AS series_key, date_trunc('month', o_orderdate) AS t, CAST(sum(o_totalprice) AS DOUBLE) AS value
+      FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY series_key) AS n FROM s),
+tr AS (SELECT series_key, list(value ORDER BY idx) FILTER (idx < floor(n * 0.8)) AS x, list(value ORDER BY idx) FILTER (idx >= floor(n * 0.8)) AS y
+       FROM i WHERE n >= 10 GROUP BY series_key)"""
+
+
+#: The grid search as a recursion over periods; ``fit``: the best end state of each series; ``e``: step, actual, forecast.
+HW_SQL = f"""WITH RECURSIVE {_monthly_training_sql()},
+grid AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS v),
+start AS (SELECT tr.*, len(x) >= 24 AS seasonal, list_sum(x[1:12]) / 12 AS m1, list_sum(x[13:24]) / 12 AS m2 FROM tr),
+hw AS (
+  SELECT series_key, a.v AS a, b.v AS b, g.v AS g, 0 AS t, CASE WHEN seasonal THEN m1 ELSE x[1] END AS level,
+         CASE WHEN seasonal THEN (m2 - m1) / 12 ELSE x[2] - x[1] END AS trend,
+         CASE WHEN seasonal THEN list_transform(x[1:12], lambda q: q - m1) ELSE list_transform(range(12), lambda q: 0.0::DOUBLE) END AS season,
+         0.0::DOUBLE AS sse
+  FROM start, grid a, grid b, (SELECT v FROM grid UNION ALL SELECT 0.0) g WHERE (g.v > 0) = seasonal
+  UNION ALL
+  SELECT series_key, a, b, g, t + 1, nl, b * (nl - level) + (1 - b) * trend,
+         list_append(season[2:12], g * (q - nl) + (1 - g) * season[1]), sse + (q - (level + trend) - season[1]) * (q - (level + trend) - season[1])
+  FROM (SELECT hw.*, tr.x[t + 1] AS q, a * (tr.x[t + 1] - season[1]) + (1 - a) * (level + trend) AS nl
+        FROM hw JOIN tr USING (series_key) WHERE t < len(tr.x))),
+fit AS (SELECT h.*, row_number() OVER (PARTITION BY series_key ORDER BY sse, a, b, g) AS r FROM hw h JOIN tr USING (series_key) WHERE t = len(x)),
+e AS (SELECT series_key, len(x) + h - 1 AS step, y[h] AS actual, level + h * trend + season[((h - 1) % 12 + 1)::INT] AS forecast
+      FROM fit JOIN tr USING (series_key), unnest(range(1, len(y) + 1)) AS u(h) WHERE r = 1)"""
+
+
+def _arima_fold_sql(phi: str, theta: str) -> str:
+    zero = ", ".join(f"'{c}': 0.0::DOUBLE" for c in ("e", "p", "q", "sse", "pp", "pq", "qq", "pe", "qe"))
+    e, p, q = f"(r.w - {phi} * f.w - {theta} * f.e)", f"(-f.w - {theta} * f.p)", f"(-f.e - {theta} * f.q)"
+    return f"""list_reduce(list_transform(w, lambda v: {{'w': v, {zero}}}), lambda f, r: {{'w': r.w, 'e': {e}, 'p': {p}, 'q': {q},
+      'sse': f.sse + {e} * {e}, 'pp': f.pp + {p} * {p}, 'pq': f.pq + {p} * {q}, 'qq': f.qq + {q} * {q}, 'pe': f.pe + {p} * {e}, 'qe': f.qe + {q} * {e}}})"""
+
+
+#: Gauss-Newton steps as a recursion, each fold a list_reduce.
+ARIMA_SQL = f"""WITH RECURSIVE {_monthly_training_sql()},
+d AS (SELECT *, list_transform(range(2, len(x) + 1), lambda k: x[k] - x[k - 1]) AS w FROM tr),
+it AS (
+  SELECT series_key, w, 0 AS k, 0.1::DOUBLE AS phi, 0.1::DOUBLE AS theta FROM d
+  UNION ALL
+  SELECT series_key, w, k + 1, best.phi, best.theta FROM (
+    SELECT series_key, w, k, list_min(list_transform(moved, lambda c: {{'sse': {_arima_fold_sql('c.phi', 'c.theta')}.sse, 'j': c.j, 'phi': c.phi,
+                                                                     'theta': c.theta}})) AS best FROM (
+      SELECT series_key, w, k, list_transform([{{'j': 0, 'v': 1.0}}, {{'j': 1, 'v': 0.5}}, {{'j': 2, 'v': 0.25}}, {{'j': 3, 'v': 0.0625}}, {{'j': 4, 'v': 0.0}}],
+               lambda c: {{'j': c.j, 'phi': greatest(-0.99, least(0.99, phi + c.v::DOUBLE * d1)), 'theta': greatest(-0.99, least(0.99, theta + c.v::DOUBLE * d2))}})
+               AS moved FROM (
+        SELECT *, CASE WHEN det > 0 THEN (f.pq * f.qe - qq * f.pe) / det ELSE 0.0 END AS d1,
+               CASE WHEN det > 0 THEN (f.pq * f.pe - pp * f.qe) / det ELSE 0.0 END AS d2 FROM (
+          SELECT *, pp * qq - f.pq * f.pq AS det FROM (
+            SELECT *, f.pp * 1.001::DOUBLE AS pp, f.qq * 1.001::DOUBLE AS qq FROM (
+              SELECT *, {_arima_fold_sql('phi', 'theta')} AS f FROM it WHERE k < 12))))))),
+fit AS (SELECT series_key, phi, f, len(w) - 1 AS size, phi * f.w + theta * f.e AS ahead FROM (
+          SELECT *, {_arima_fold_sql('phi', 'theta')} AS f FROM it WHERE k = 12)),
+e AS (SELECT series_key, len(x) + h - 1 AS step, y[h] AS actual, x[len(x)] + list_sum(list_transform(range(0, h), lambda j: ahead * pow(phi, j))) AS forecast,
+             size * ln(2 * pi() * greatest(f.sse / size, 1e-300)) + size + 6 AS aic
+      FROM fit JOIN tr USING (series_key), unnest(range(1, len(y) + 1)) AS u(h))"""
+
+
+def _forecast_metrics_sql(cte: str, aic: str) -> str:
+    return f"""{cte}
+SELECT series_key, count(*) AS n_test, {S.rnd('sqrt(sum((actual - forecast) * (actual - forecast)) / count(*))')} AS rmse,
+       {S.rnd('avg(abs(actual - forecast))')} AS mae, {aic} AS aic, 'ok' AS status FROM e GROUP BY series_key"""
+
+
+@register("forecast_hw", _forecast_metrics_sql(HW_SQL, "NULL::DOUBLE"))
 def q_forecast_hw(spark, sf):
     """M-17 + TS-6/TS-7: additive Holt-Winters (m=12, grid-searched) per priority series."""
     from ..operators.forecast import forecast, forecast_metrics
     return forecast_metrics(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
 
 
-@register("forecast_arima")
+@register("forecast_arima", _forecast_metrics_sql(ARIMA_SQL, S.rnd("max(aic)")))
 def q_forecast_arima(spark, sf):
-    """M-16 + TS-7: ARIMA(1,1,1) by Hannan-Rissanen per priority series, with AIC."""
+    """M-16 + TS-7: ARIMA(1,1,1) by conditional least squares per priority series, with AIC."""
     from ..operators.forecast import forecast, forecast_metrics
     return forecast_metrics(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "arima"))
 
 
+@register("forecast_status", f"""
+WITH s AS (SELECT CAST(o_custkey AS VARCHAR) AS series_key, date_trunc('month', o_orderdate) AS t FROM orders
+           WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice) GROUP BY ALL),
+n AS (SELECT series_key, count(*) AS n FROM s GROUP BY series_key)
+SELECT series_key, CASE WHEN n >= 10 THEN 'ok' ELSE 'Time series requires at least 10 data points.' END AS status,
+       CASE WHEN n >= 10 THEN n ELSE 1 END AS steps, CASE WHEN n >= 10 THEN n - floor(n * 0.8) ELSE 0 END::BIGINT AS n_test
+FROM n""")
+def q_forecast_status(spark, sf):
+    """TS-2: every customer's monthly series, forecast or with the reason why not."""
+    from ..operators.forecast import forecast
+    fc = forecast(_orders_monthly(spark, sf, ["o_custkey"]), "exponential_smoothing")
+    return fc.groupBy("series_key").agg(F.max("status").alias("status"), F.count(F.lit(1)).alias("steps"),
+                                        F.count(F.when(F.col("segment") == "test", 1)).alias("n_test"))
+
+
+_TS_MODELS = [("arima", "ARIMA", 0, ARIMA_SQL, S.rnd("max(aic)")),
+              ("exponential_smoothing", "Exponential Smoothing (Holt-Winters)", 1, HW_SQL, "NULL::DOUBLE")]
+
+
+@register("leaderboard_time_series", "WITH m AS (" + " UNION ALL ".join(
+    f"SELECT series_key AS run_id, '{k}' AS model_key, '{n}' AS model_name, {p} AS pos, rmse FROM ({_forecast_metrics_sql(c, aic)})"
+    for k, n, p, c, aic in _TS_MODELS) + """),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rmse, pos) AS rank FROM m)
+SELECT run_id, rank, model_key, model_name, 'rmse' AS primary_metric, rmse AS primary_value,
+       CASE rank WHEN 1 THEN '🥇 CHAMPION' ELSE '🥈 RUNNER-UP' END AS badge FROM r""")
+def q_leaderboard_time_series(spark, sf):
+    """R-1...R-4 for time series: ARIMA and Holt-Winters ranked by RMSE for each priority's series."""
+    from ..operators.arena import arena_time_series, leaderboard
+    metrics, _ = arena_time_series(_orders_monthly(spark, sf, ["o_orderpriority"]), keys=["arima", "exponential_smoothing"])
+    return leaderboard(metrics, "time_series")
+
+
+@register("arena_time_series")
+def q_arena_time_series(spark, sf):
+    """R-1...R-4 for time series with all its models: the board with every metric."""
+    from ..operators.arena import arena_time_series, leaderboard
+    metrics, _ = arena_time_series(_orders_monthly(spark, sf, ["o_orderpriority"]))
+    return leaderboard(metrics, "time_series", detail=True)
+
+
 @register("forecast_rf")
 def q_forecast_rf(spark, sf):
     """M-18 + TS-5/TS-7: 5-lag random forest, one-step forecasts, per-series metrics with R^2."""
@@ -1230,12 +1336,18 @@ def q_target_distribution(spark, sf):
     return target_distribution(table(spark, sf, "orders"), "o_totalprice", "regression")
 
 
-@register("forecast_frame")
+@register("forecast_frame", f"""{HW_SQL}
+SELECT series_key, (u.k - 1)::INTEGER AS step, 'train' AS segment, x[u.k] AS value FROM tr, unnest(range(1, len(x) + 1)) AS u(k)
+UNION ALL SELECT series_key, step::INTEGER, 'actual', actual FROM e
+UNION ALL SELECT series_key, step::INTEGER, 'forecast', {S.rnd('forecast')} FROM e""".replace("x[u.k] AS value", S.rnd("x[u.k]") + " AS value").replace(
+    "'actual', actual FROM", "'actual', " + S.rnd("actual") + " FROM"))
 def q_forecast_frame(spark, sf):
     """H-8: train / actual / forecast rows of the Holt-Winters forecast per priority."""
     from ..operators.chartdata import forecast_frame
     from ..operators.forecast import forecast
-    return forecast_frame(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
+    from ..functions.exprs import rnd
+    out = forecast_frame(forecast(_orders_monthly(spark, sf, ["o_orderpriority"]), "exponential_smoothing"))
+    return out.withColumn("value", rnd(F.col("value")))
 
 
 # ---------------------------------------------------------------------------
@@ -1289,13 +1401,58 @@ def q_density_clusters(spark, sf):
     return cluster_sizes(grid_density_clusters(_scaled_customer(spark, sf), "v", "c_custkey"), "cluster")
 
 
+@register("dbscan_clusters", """
+WITH RECURSIVE s AS (SELECT avg(c_acctbal) AS ma, stddev_samp(c_acctbal) AS sa, avg(c_nationkey) AS mn,
+                            stddev_samp(c_nationkey) AS sn FROM customer),
+p AS (SELECT c_custkey AS k, (c_acctbal - ma) / sa AS x, (c_nationkey - mn) / sn AS y FROM customer, s),
+near AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1 * 0.1),
+core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 5),
+link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+r AS (SELECT k AS a, k AS root FROM core UNION SELECT link.b, r.root FROM r JOIN link ON link.a = r.a),
+lab AS (SELECT a AS k, min(root) AS root FROM r GROUP BY a),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS c FROM (SELECT DISTINCT root FROM lab)),
+reached AS (SELECT near.a AS k, min(c) AS c FROM near JOIN lab ON lab.k = near.b JOIN num USING (root) GROUP BY near.a),
+own AS (SELECT k, c FROM lab JOIN num USING (root))
+SELECT p.k AS c_custkey, coalesce(own.c, reached.c, -1)::INTEGER AS cluster FROM p LEFT JOIN own USING (k) LEFT JOIN reached USING (k)""")
+def q_dbscan_clusters(spark, sf):
+    """M-14: exact DBSCAN (eps 0.1, min_samples 5) of standardized customer balance and nation, a label for each customer."""
+    from ..operators.dbscan import dbscan
+    return dbscan(_scaled_customer(spark, sf), "v", "c_custkey", eps=0.1)
+
+
+@register("ward_clusters", """
+WITH RECURSIVE p AS (SELECT s_suppkey AS k, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS x,
+                            (s_nationkey - avg(s_nationkey) OVER ()) / stddev_samp(s_nationkey) OVER () AS y FROM supplier),
+st AS (
+  SELECT list({'id': k, 'n': 1.0::DOUBLE, 'x': x, 'y': y, 'm': [k]} ORDER BY k) AS c FROM p
+  UNION ALL
+  SELECT list_append(list_filter(c, lambda q: q.id <> best.a.id AND q.id <> best.b.id),
+           {'id': best.a.id, 'n': best.a.n + best.b.n, 'x': (best.a.n * best.a.x + best.b.n * best.b.x) / (best.a.n + best.b.n),
+            'y': (best.a.n * best.a.y + best.b.n * best.b.y) / (best.a.n + best.b.n), 'm': list_concat(best.a.m, best.b.m)})
+  FROM (SELECT c, list_min(list_transform(flatten(list_transform(c, lambda a: list_transform(list_filter(c, lambda b: a.id < b.id), lambda b: {
+           'd': a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 'a': a, 'b': b}))), lambda o: o)) AS best
+        FROM st WHERE len(c) > 5)),
+f AS (SELECT unnest(c) AS q FROM st WHERE len(c) = 5),
+g AS (SELECT q.m AS m, row_number() OVER (ORDER BY list_min(q.m)) - 1 AS cluster FROM f)
+SELECT unnest(m) AS s_suppkey, cluster::INTEGER AS cluster FROM g""")
+def q_ward_clusters(spark, sf):
+    """M-15: Ward's five clusters of suppliers by standardized balance and nation, a label for each supplier (exact up to
+    the number of cells, on whose centres the tree is built beyond it)."""
+    from ..operators.ward import ward_clusters
+    c = table(spark, sf, "supplier")
+    w = c.agg(*[f(x).alias(f"{n}_{x}") for x in ("s_acctbal", "s_nationkey") for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    scaled = c.crossJoin(F.broadcast(w)).select("s_suppkey", F.array(*[(F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}")
+                                                                       for x in ("s_acctbal", "s_nationkey")]).alias("v"))
+    return ward_clusters(scaled, "v", "s_suppkey", k=5)
+
+
 @register("agglomerative_clusters")
 def q_agglomerative_clusters(spark, sf):
-    """M-15 re-aim: Ward merge of k-means micro-clusters (k=3) on embeddings, with its metrics."""
-    from ..operators.cluster import ward_agglomerative
+    """M-15: Ward's three clusters of the embeddings, with their metrics."""
+    from ..operators.ward import ward_clusters
     from ..operators.evaluate import cluster_metrics
     e = table(spark, sf, "embeddings")
-    labels = materialize(ward_agglomerative(e, "embedding", "vec_id", k=3))
+    labels = materialize(ward_clusters(e, "embedding", "vec_id", k=3))
     return cluster_metrics(e.join(labels, "vec_id"), "embedding", "vec_id", "cluster")
 
 

@@ -25,9 +25,9 @@ def test_grid_density_separates_blobs_and_flags_noise(spark):
 
 
 def test_ward_recovers_three_blobs(spark):
-    from tessera.operators.cluster import ward_agglomerative
+    from tessera.operators.ward import ward_clusters
     df = _blobs(spark, [(0.0, 0.0), (6.0, 0.0), (0.0, 6.0)], n=40)
-    lab = {r["id"]: r["cluster"] for r in ward_agglomerative(df, "v", "id", k=3).collect()}
+    lab = {r["id"]: r["cluster"] for r in ward_clusters(df, "v", "id", k=3).collect()}
     groups = [{lab[i] for i in range(b, b + 40)} for b in (0, 40, 80)]
     assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == 3
 
