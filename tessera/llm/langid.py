@@ -34,8 +34,6 @@ ROWS_PER_CLASS, LANDMARKS, FEATURES, RIDGE = 200, 32, 4096, 1e-2
 ALL_LANDMARKS = 1024
 #: Sharpness of the softmax that turns the regression's values into a score.
 SHARPNESS = 5.0
-#: How far below the fitting texts' lowest value a text may lie and still be in a language.
-MARGIN = 0.1
 _BITS = 7
 _TRI, _BI = 0, 1 << 3 * _BITS
 _UNI = _BI + (1 << 2 * _BITS)
@@ -139,9 +137,11 @@ class Model:
         w = np.linalg.solve(x.T @ xw + ridge * len(rows) / x.shape[1] * np.eye(x.shape[1]), xw.T @ y)
         self.weights = (root @ w[:-1]).astype(np.float32)
         self.bias = w[-1].astype(np.float32)
-        own = [v[langs.index(lang)] for v, (lang, _) in zip(x @ w, rows) if lang is not None]
-        #: Texts below it are further from every language than any text that was learnt from.
-        self.floor = min(0.0, float(min(own))) - MARGIN
+        values = x @ w
+        own = [v[langs.index(lang)] for v, (lang, _) in zip(values, rows) if lang is not None]
+        others = [v.max() for v, (lang, _) in zip(values, rows) if lang is None]
+        #: Half-way from the lowest of the languages' texts to the middle of the rest: what lies below is no text of theirs.
+        self.floor = min(0.0, (float(min(own)) + float(np.median(others))) / 2) if others else -np.inf
 
     def kernel(self, presence: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(presence.sum(1), 1))
@@ -257,8 +257,8 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learnt language: it has a letter, and the best language's value is not below
-    all that the fit has seen. Neither depends on how many languages there are."""
+    """The rows of ``docs`` whose text is in a learnt language: it has a letter, and the best language's value is nearer
+    to what the fit has seen of languages than to letters in random order. Neither depends on how many languages there are."""
     model = fit(docs.filter(fold(F.col("doc_id"), 3) != 1), rest=True)
     if not model.langs:
         return docs.limit(0)
