@@ -17,6 +17,8 @@ from tessera.llm import jaccard_join, langid, packing, pii, quality
 from tessera.llm.common import discard, stored
 
 BUCKETS = 1 << 20
+#: Rows of text that a Python worker takes at a time.
+BATCH_ROWS = "2048"
 
 #: By input, the tables that the near-duplicate stage's result reads; they go when a later stage works on what was written of it.
 _held: dict[str, list[DataFrame]] = {}
@@ -29,14 +31,21 @@ def _drop_superseded(docs: DataFrame, sf_dir: str) -> None:
         discard(*_held.pop(sf_dir, []))
 
 
+def _small_batches(spark) -> None:
+    """All columns travel with the texts here, so batches are kept small; a setting of the session, as results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more; labels come from the labels table."""
+    _small_batches(spark)
     scored = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.filter("score >= 0.5").select(*docs.columns)
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages: those without letters or without a likely language go."""
+    _small_batches(spark)
     return langid.recognised(docs)
 
 
@@ -46,6 +55,7 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a key of their own, so rows that repeat a doc_id or have none are documents by themselves;
     null ids come after all others.
     """
+    _small_batches(spark)
     keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     found = jaccard_join.near_duplicates(keyed, key="_row").select("_row", "component_id")
     # the rows of groups of two or more; most documents are alone and kept without a shuffle of their texts
@@ -77,6 +87,7 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents as pieces of sequences of at most 2048 tokens."""
+    _small_batches(spark)
     return packing.packed_documents(docs)
 
 
