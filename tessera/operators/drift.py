@@ -151,3 +151,15 @@ def drift_rollup(report: DataFrame, total_features: int, segments: Sequence[str]
         *segs, (F.col("features_drifted") > 0).alias("overall_drift_detected"), sev.alias("drift_severity"),
         "features_drifted", "critical_count", F.lit(total_features).cast("long").alias("total_features"),
         F.when(sev == "none", F.lit(none_txt)).when(sev == "warning", warn_txt).otherwise(crit_txt).alias("summary"))
+
+
+def self_split_drift(df: DataFrame, key_cols: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """D-11: a table against itself. String features are encoded and missing values imputed over the whole table, as the
+    reference does, then the 80 % of the deterministic split are compared with the other 20 %."""
+    from .prep import hash_split, impute_median, label_encode, string_columns
+    wanted = df.select(*key_cols, *[c for c in features if c not in key_cols])
+    split = materialize(hash_split(wanted, key_cols))
+    names = [c for c in string_columns(wanted) if c in features]
+    encoded = label_encode(split, names).select("is_test", *features)
+    ready = materialize(impute_median(encoded, features))
+    return drift(ready.where(~F.col("is_test")), ready.where(F.col("is_test")), features)

@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col, split_hash
-from ..session import materialize
-from .order_stats import dense_codes, first_k_flag, keyed_join, quantile_columns, to_long
+from ..session import materialize, small_frame
+from .order_stats import dense_codes, keyed_join, quantile_columns, row_ranks, to_long
 
 # Fixed values.
 TEST_FRACTION = 0.2
@@ -37,19 +37,37 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, num) and f.name not in exclude]
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
-    """X-2: replace each string column by its 0-based code in code-point order;
-    null is the class ``'nan'``. Codes come from the distinct values of ``fit``
-    through a distributed dense rank; unseen values get null."""
-    fit = fit if fit is not None else df
+#: Most rows of a per-value frame that is broadcast; its rows are counted first, larger ones are joined by key and salt.
+BROADCAST_ROWS = 10_000
+
+
+def column_codes(fit: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """X-2: (column_name, _v, _code): the 0-based code of every distinct value of the columns in code-point order, null as the
+    class ``'nan'``; all columns in one distributed ranking."""
+    values = fit.select(*[F.coalesce(col(c).cast("string"), F.lit(NULL_CLASS)).alias(c) for c in cols])
+    distinct = values.unpivot([], list(cols), "column_name", "_v").distinct()
+    ranked = row_ranks(distinct, ["column_name"], ["_v"], "_r")
+    return materialize(ranked.select("column_name", "_v", (F.col("_r") - 1).cast("double").alias("_code")))
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """X-2: replace each string column by its code in ``fit`` (or in ``codes``, made by ``column_codes``); unseen values get
+    null."""
+    cols = list(cols)
+    if not cols:
+        return df
+    codes = codes if codes is not None else column_codes(fit if fit is not None else df, cols)
+    sizes = {r["column_name"]: r["count"] for r in codes.groupBy("column_name").count().collect()}  # one number a column
     out = df
     for c in cols:
-        key = F.coalesce(col(c).cast("string"), F.lit(NULL_CLASS))
-        mapping = dense_codes(fit.select(key.alias("_v")), "_v", "_code")
-        # a category may hold a third of the rows: spread over salts of the whole row
-        out = keyed_join(out.withColumn("_v", key).withColumn("_spread", F.xxhash64(*[col(x) for x in out.columns])),
-                         mapping, ["_v"], "_spread", "left").drop("_v", "_spread", c) \
-            .withColumnRenamed("_code", c)
+        mapping = codes.where(F.col("column_name") == c).select("_v", "_code")
+        keyed = out.withColumn("_v", F.coalesce(col(c).cast("string"), F.lit(NULL_CLASS)))
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            joined = keyed.join(F.broadcast(mapping), "_v", "left").drop("_v", c)
+        else:  # a category may hold a third of the rows: spread over salts of the whole row
+            spread = keyed.withColumn("_spread", F.xxhash64(*[col(x) for x in out.columns]))
+            joined = keyed_join(spread, mapping, ["_v"], "_spread", "left").drop("_v", "_spread", c)
+        out = joined.withColumnRenamed("_code", c)
     return out.select(*df.columns)
 
 
@@ -80,19 +98,43 @@ def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = No
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], test_fraction: float = TEST_FRACTION,
                seed: int = SPLIT_SEED, strata: str | None = None, name: str = "is_test") -> DataFrame:
-    """X-7/X-8: deterministic split. Within each stratum (whole table when none) the
-    first ``ceil(test_fraction * n)`` rows by ``(md5 hash of key, key)`` are test.
+    """X-7/X-8: deterministic split. Within each stratum (whole table when none) the first ``ceil(test_fraction * n)`` rows by
+    ``(md5 hash of key, key)`` are test; rows that share a key are on the same side. Null strata are one stratum.
 
-    Exact sizes without a global sort: ranks come from bucketed running totals.
+    The cut of each stratum is found by scans of the keys alone, two histograms of the hash and a sort of what is left of
+    a stratum / 2^24, three small jobs; the result is ``df`` joined with one cut a stratum, in one more scan.
     The same rule in SQL is ``row_number() OVER (PARTITION BY s ORDER BY h, key)``.
     """
     key = F.concat_ws("|", *[col(c).cast("string") for c in key_cols])
-    tagged = df.withColumn("_skey", key).withColumn("_h", split_hash(F.col("_skey"), seed))
-    groups = [strata] if strata else []
-    # the flag sorts only the hash bucket that straddles the cut of each stratum
-    sized = keyed_join(tagged, tagged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups, "_skey")
-    flagged = first_k_flag(sized, groups, ["_h", "_skey"], F.ceil(F.col("_n") * test_fraction), name)
-    return flagged.drop("_skey", "_h", "_n")
+    group = F.coalesce(col(strata).cast("string"), F.lit("\0")) if strata else F.lit("")
+    tagged = df.withColumns({"_skey": key, "_g": group}).withColumn("_h", split_hash(F.col("_skey"), seed))
+    cuts = _hash_cuts(tagged.select("_g", "_h", "_skey"), test_fraction, strata is not None)
+    if strata is None or cuts.count() <= BROADCAST_ROWS:
+        joined = tagged.join(F.broadcast(cuts), "_g", "left")
+    else:
+        joined = keyed_join(tagged, cuts, ["_g"], "_skey", "left")
+    first = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col("_skey") <= F.col("_cut_key")))
+    return joined.withColumn(name, F.coalesce(first, F.lit(False))).select(*df.columns, name)
+
+
+def _hash_cuts(rows: DataFrame, fraction: float, many: bool) -> DataFrame:
+    """(_g, _cut_h, _cut_key): the last test row of each group by (_h, _skey)."""
+    pin = materialize if many else small_frame
+    left, keys = None, ["_g"]
+    for bits in (20, 8):  # the highest 12 of 32 bits, then the next 12
+        part = F.shiftright("_h", bits).alias("_part")
+        held = rows if left is None else rows.withColumn("_above", F.shiftright("_h", 20)).join(F.broadcast(left) if not many else left, ["_g", "_above"])
+        counts = held.groupBy("_g", part, *([] if left is None else ["_need"])).agg(F.count(F.lit(1)).alias("_c"))
+        whole, so_far = Window.partitionBy("_g"), Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        need = F.ceil(F.sum("_c").over(whole) * fraction) if left is None else F.col("_need")
+        counts = counts.select("_g", "_part", "_c", need.alias("_need"), F.sum("_c").over(so_far).alias("_cum"))
+        before = F.col("_cum") - F.col("_c")
+        at = counts.where((F.col("_cum") >= F.col("_need")) & (before < F.col("_need"))).select("_g", "_part", (F.col("_need") - before).alias("_need"))
+        left = pin(at).withColumnRenamed("_part", "_above" if left is None else "_part")
+    own = rows.withColumn("_part", F.shiftright("_h", 8)).join(F.broadcast(left) if not many else left, ["_g", "_part"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "_skey"))
+    return pin(own.withColumn("_place", place).where(F.col("_place") == F.col("_need")).select(
+        "_g", F.col("_h").alias("_cut_h"), F.col("_skey").alias("_cut_key")))
 
 
 def standardize(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
@@ -126,8 +168,9 @@ def prepare(df: DataFrame, target: str | None, task: str, key_cols: Sequence[str
     split = materialize(hash_split(base, ["_key"], test_fraction, seed, strata))
     train_raw, test_raw = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     str_cols = [c for c in string_columns(df, exclude + keep_keys)]
-    enc_train = label_encode(train_raw, str_cols, fit=train_raw)
-    enc_test = label_encode(test_raw, str_cols, fit=train_raw)
+    codes = column_codes(train_raw, str_cols) if str_cols else None
+    enc_train = label_encode(train_raw, str_cols, codes=codes)
+    enc_test = label_encode(test_raw, str_cols, codes=codes)
     features = [c for c in numeric_columns(df, exclude) if c not in keep_keys] + str_cols
     features = [c for c in df.columns if c in features]
     imp_train = impute_median(enc_train, features, fit=enc_train)

@@ -416,12 +416,8 @@ FROM (SELECT {LI_KEY_SQL} AS k, {nums}, {enc} FROM lineitem)"""
     f"SELECT * FROM ({_lineitem_encoded_split_sql()}) WHERE is_test", LI_FEATURES))
 def q_drift_self_split(spark, sf):
     """D-11: encode + impute (fitted on the table, as the reference does), split 80/20, compare."""
-    from ..operators.drift import drift
-    from ..operators.prep import hash_split, impute_median, label_encode
-    li = hash_split(table(spark, sf, "lineitem"), LI_KEYS)
-    x = label_encode(li, ["l_returnflag", "l_linestatus"])
-    split = materialize(impute_median(x.select("is_test", *LI_FEATURES), LI_FEATURES))
-    return drift(split.where(~F.col("is_test")), split.where(F.col("is_test")), LI_FEATURES)
+    from ..operators.drift import self_split_drift
+    return self_split_drift(table(spark, sf, "lineitem"), LI_KEYS, LI_FEATURES)
 
 
 # ---------------------------------------------------------------------------
