@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import rnd
 
@@ -65,8 +69,6 @@ def classification_metrics(pred: DataFrame, n_classes: int | None = None, positi
 
 def vector_long(df: DataFrame, vec: str, key: str, cluster: str) -> DataFrame:
     """``(key, cluster, dim, x)`` from an array or ML vector column."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import types as T
     arr = F.col(vec) if isinstance(df.schema[vec].dataType, T.ArrayType) else vector_to_array(F.col(vec))
     return df.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"),
                      F.posexplode(arr).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -126,6 +128,55 @@ def cluster_metrics(df: DataFrame, vec: str, key: str, cluster: str) -> DataFram
         rnd(F.col("calinski_harabasz"), 4).alias("calinski_harabasz"), rnd(F.col("davies_bouldin"), 4).alias("davies_bouldin"))
 
 
+#: Points of the Euclidean silhouette's sample; the reference samples as many.
+SILHOUETTE_SAMPLE = 5000
+
+
+def silhouette(df: DataFrame, vec: str, key: str, cluster: str, sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
+    """V-10: (silhouette, n) by Euclidean distances over a sample of at most ``sample`` points, all of them if they are no
+    more; noise (-1) takes part as a cluster, as in the reference. A sampling operator: the points with the smallest
+    hashes of their keys.
+
+    The sample is broadcast (its size is the bound) and its rows are dealt to tasks, which add up each row's distances by
+    cluster in blocks. A point alone in its cluster counts 0; one cluster in all has no silhouette (null).
+    """
+    spark = df.sparkSession
+    arr = F.col(vec) if isinstance(df.schema[vec].dataType, T.ArrayType) else vector_to_array(F.col(vec))
+    rows = df.select(F.xxhash64(key).alias("h"), F.col(key).cast("string").alias("k"), F.col(cluster).cast("int").alias("c"), arr.cast("array<double>").alias("x"))
+    rows = rows.where("c is not null and x is not null").orderBy("h", "k").limit(sample)
+    held = rows.collect()  # at most ``sample`` rows
+    if not held:
+        return spark.createDataFrame([(None, 0)], "silhouette double, n long")
+    x, c = np.array([r["x"] for r in held]), np.array([r["c"] for r in held])
+    names, place = np.unique(c, return_inverse=True)
+    shared = spark.sparkContext.broadcast((x, place, np.bincount(place)))
+    single = len(names) < 2
+
+    def run(batches):
+        x, place, size = shared.value
+        for batch in batches:
+            out = []
+            for low in range(0, batch.num_rows, 256):
+                at = np.asarray(batch.column(0))[low:low + 256]
+                square = (x[at] ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None, :] - 2 * x[at] @ x.T
+                far = np.sqrt(np.maximum(square, 0))
+                far[np.arange(len(at)), at] = 0
+                sums = np.stack([far[:, place == j].sum(1) for j in range(len(size))], axis=1)
+                own = place[at]
+                mine = np.arange(len(at)), own
+                inside = sums[mine] / np.maximum(size[own] - 1, 1)
+                means = sums / size
+                means[mine] = np.inf
+                other = means.min(axis=1)
+                top = np.maximum(inside, other)
+                out.append(np.where((size[own] > 1) & (top > 0), (other - inside) / np.where(top > 0, top, 1), 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["s"])
+
+    found = spark.range(len(held)).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "s double")
+    value = F.lit(None).cast("double") if single else F.avg("s")
+    return found.agg(rnd(value, 4).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     """V-13: size per cluster label, noise (-1) included."""
     return df.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
@@ -141,10 +192,8 @@ def pca_2d(df: DataFrame, features: Sequence[str] | str, key: str, k: int = 2) -
     """V-15: 2-D PCA of standardized features; data are centered first (Spark's PCA
     does not center) and each component's sign is fixed so its largest loading is positive."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     if isinstance(features, str):
         vec = df.select(key, F.col(features).alias("_v"))
-        from pyspark.sql import types as T
         if isinstance(df.schema[features].dataType, T.ArrayType):
             from pyspark.ml.functions import array_to_vector
             vec = vec.select(key, array_to_vector(F.col("_v").cast("array<double>")).alias("_v"))

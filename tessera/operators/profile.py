@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (clean_value, col, is_missing, kind_of, parses_as_datetime,
                                safe4)
@@ -42,21 +43,35 @@ def role_expr(kind: F.Column, n_unique: F.Column, n_rows: F.Column, dt_ok: F.Col
             .otherwise("other"))
 
 
-def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """P-1 ... P-12 in one ``agg``; the long form is a projection of that one row.
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """One row with the number of distinct values ``_nu<i>`` of every column (P-2), missing ones left out.
 
-    ``exact=False`` swaps ``count(DISTINCT)`` (Expand x columns) for HyperLogLog++,
-    which is what very wide or very large tables want.
+    A row's values become (column, 128-bit hash) pairs, which are made distinct inside the tasks before one shuffle, so
+    neither rows nor values are copied once a column. Exact up to collisions of the hash.
     """
+    pairs = []
+    for i, f in enumerate(df.schema.fields):
+        v = clean_value(col(f.name), f.dataType)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            v = v + F.lit(0.0)  # -0.0 is 0.0
+        pairs.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(v).alias("h"), F.xxhash64(v, F.lit(i)).alias("g"))))
+    if not pairs:
+        return df.sparkSession.range(1).select()
+    found = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.*").distinct()
+    return found.agg(*[F.count_if(F.col("i") == i).alias(f"_nu{i}") for i in range(len(pairs))])
+
+
+def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """P-1 ... P-12 in one ``agg``; the long form is a projection of that one row. Distinct values are counted by
+    ``distinct_counts``, or with ``exact=False`` by HyperLogLog++ in the same aggregate."""
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_n")]
     distincts = []
     for i, f in enumerate(fields):
         v = clean_value(col(f.name), f.dataType)
         kind = kind_of(f.dataType)
-        distinct = F.count_distinct(v) if exact else F.approx_count_distinct(v)
         aggs.append(F.count(v).alias(f"_nn{i}"))
-        distincts.append(distinct.alias(f"_nu{i}"))
+        distincts.append(F.approx_count_distinct(v).alias(f"_nu{i}"))
         if kind == "numeric":
             d = v.cast("double")
             aggs += [F.min(d).alias(f"_mn{i}"), F.max(d).alias(f"_mx{i}"),
@@ -64,9 +79,7 @@ def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         if kind == "string":
             # every non-null value must parse (bool_and skips nulls); no non-null -> not datetime
             aggs.append(F.bool_and(F.when(v.isNotNull(), parses_as_datetime(v))).alias(f"_dt{i}"))
-    # Two one-row aggregates: exact DISTINCT counts expand every input row once per
-    # column, and must not drag the ~5 plain aggregates per column through that Expand.
-    one = df.agg(*aggs).crossJoin(df.agg(*distincts)) if exact else df.agg(*aggs, *distincts)
+    one = df.agg(*aggs).crossJoin(distinct_counts(df)) if exact else df.agg(*aggs, *distincts)  # one row each
     null_d = F.lit(None).cast("double")
     rows = []
     for i, f in enumerate(fields):

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,7 @@ MIN_ROWS_K2 = 8                # the kurtosis transform of K^2 needs at least th
 NORMAL_ALPHA = 0.05
 IQR_K = 1.5
 TOP_VALUES = 10
+MOMENT_ROWS = 4096             # rows whose products are formed at a time
 
 
 def role_columns(profile: DataFrame, roles: Sequence[str] = ("numeric",)) -> list[str]:
@@ -179,40 +182,63 @@ def normality_k2(df: DataFrame, cols: Sequence[str], alpha: float = NORMAL_ALPHA
     return mom.select("column_name", "n", safe4(p, 6).alias("p_value"), (p > alpha).alias("is_normal"))
 
 
-def correlations(df: DataFrame, cols: Sequence[str], batch: int = 8) -> DataFrame:
+def _co_moments(batches, k: int):
+    """One row a task: for each pair of k columns, rows where both are there, their means and centred products there."""
+    n, mean, square, cross = None, None, None, None  # mean, square: [a, b] of a where b is there too
+    for batch in batches:
+        for at in range(0, batch.num_rows, MOMENT_ROWS):
+            part = batch.slice(at, MOMENT_ROWS)
+            x = np.column_stack([np.asarray(c.fill_null(np.nan), float) for c in part.columns])
+            here = ~np.isnan(x)
+            low = np.where(here, x, 0.0).sum(axis=0) / np.maximum(here.sum(axis=0), 1)
+            z, m = np.where(here, x - low, 0.0), here.astype(float)
+            count = m.T @ m
+            some = np.maximum(count, 1)
+            own = (z.T @ m) / some
+            part_square = (z * z).T @ m - count * own * own
+            part_cross = z.T @ z - count * own * own.T
+            own = own + low[:, None]
+            if n is None:
+                n, mean, square, cross = count, own, part_square, part_cross
+                continue
+            total = np.maximum(n + count, 1)
+            apart = np.where((n > 0) & (count > 0), own - mean, 0.0)
+            weight = n * count / total
+            square, cross = square + part_square + weight * apart * apart, cross + part_cross + weight * apart * apart.T
+            mean = np.where(n > 0, mean + apart * count / total, own)
+            n = n + count
+    if n is not None:
+        a, b = (i.ravel() for i in np.indices((k, k)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(v.ravel()) for v in (n, mean, mean.T, square, square.T, cross))],
+                                         ["a", "b", "n", "ma", "mb", "va", "vb", "c"])
+
+
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """E-9: pairwise-complete Pearson r for every ordered pair (full square), undefined -> 0.
 
-    ``corr`` raises under ANSI on a constant column, so r is
-    ``try_divide(covar_pop(a, b), sqrt(covar_pop(a, a) * covar_pop(b, b)))`` over the
-    pair's complete rows. Pairs are aggregated ``batch`` at a time: a few hundred
-    moment aggregates in one projection exceed the whole-stage codegen method limit.
+    One scan for any number of columns: every task merges centred co-moments of blocks of rows by matrix products, one
+    row a pair; the tasks' moments are merged about the pair's common means by two grouped sums.
     """
     cols = list(cols)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     fields = {f.name: f.dataType for f in df.schema.fields}
-    vals = {c: clean_value(col(c), fields[c]).cast("double") for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    frames = []
-    for start in range(0, len(pairs), batch):
-        chunk = pairs[start:start + batch]
-        aggs = []
-        for j, (a, b) in enumerate(chunk):
-            va = F.when(vals[b].isNotNull(), vals[a])
-            vb = F.when(vals[a].isNotNull(), vals[b])
-            r = F.try_divide(F.covar_pop(va, vb), F.sqrt(F.covar_pop(va, va) * F.covar_pop(vb, vb)))
-            aggs.append(safe4(r).alias(f"_r{j}"))
-        one = df.agg(*aggs)
-        structs = []
-        for j, (a, b) in enumerate(chunk):
-            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{j}").alias("r")))
-            if a != b:
-                structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"_r{j}").alias("r")))
-        frames.append(one.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    k = len(cols)
+    values = df.select(*[clean_value(col(c), fields[c]).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = values.mapInArrow(lambda batches: _co_moments(batches, k),
+                              "a long, b long, n double, ma double, mb double, va double, vb double, c double").where("n > 0")
+    pair = Window.partitionBy("a", "b")
+    total = F.sum("n").over(pair)
+    parts = parts.withColumns({"da": F.col("ma") - F.sum(F.col("n") * F.col("ma")).over(pair) / total,
+                               "db": F.col("mb") - F.sum(F.col("n") * F.col("mb")).over(pair) / total})
+    sums = parts.groupBy("a", "b").agg(*[F.sum(F.col(v) + F.col("n") * F.col(x) * F.col(y)).alias(v)
+                                         for v, x, y in (("va", "da", "da"), ("vb", "db", "db"), ("c", "da", "db"))])
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = df.sparkSession.range(k * k).select(F.expr(f"id div {k}").alias("a"), (F.col("id") % k).alias("b"))
+    r = F.try_divide(F.col("c"), F.sqrt(F.col("va") * F.col("vb")))
+    return pairs.join(F.broadcast(sums), ["a", "b"], "left").select(  # one row a pair of columns
+        names[F.col("a").cast("int")].alias("col_a"), names[F.col("b").cast("int")].alias("col_b"),
+        F.when(F.col("a") == F.col("b"), F.when(F.col("va") > 0, 1.0).otherwise(0.0)).otherwise(safe4(r)).alias("r"))
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_K, exact: bool = True) -> DataFrame:

@@ -937,6 +937,18 @@ def q_cluster_metrics(spark, sf):
     return cluster_metrics(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
 
 
+@register("silhouette", """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS d, count(*) AS n
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+p AS (SELECT vec_id, max(CASE WHEN own = other THEN d / n END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette, count(*) AS n FROM p""")
+def q_silhouette(spark, sf):
+    """V-10: Euclidean silhouette of the embeddings' labels (sampled beyond 5000 points, as in the reference)."""
+    from ..operators.evaluate import silhouette
+    return silhouette(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
+
+
 @register("cluster_sizes", "SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label")
 def q_cluster_sizes(spark, sf):
     """V-13."""
