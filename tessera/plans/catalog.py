@@ -690,7 +690,7 @@ def _suggest_spark(spark, sf, tbl):
     from ..operators.features import suggest_features
     from ..operators.profile import clean, schema_profile
     from ..operators.stats import correlations, iqr_outliers, numeric_stats, role_columns
-    df = clean(table(spark, sf, tbl))
+    df = clean(table(spark, sf, tbl) if isinstance(tbl, str) else tbl)
     prof = small_frame(schema_profile(df))  # one row per column: metadata, not data
     num = role_columns(prof)
     skew = numeric_stats(df, num).where(F.col("n") >= 5) if num else None
@@ -712,6 +712,18 @@ def q_feature_suggest_events(spark, sf):
     return _suggest_spark(spark, sf, "events")
 
 
+_PRICES_SQL = "SELECT l_orderkey, l_extendedprice, l_extendedprice * (1 - l_discount) AS net_price, l_extendedprice * (1 + l_tax) AS gross_price FROM lineitem"
+
+
+TABLE_KINDS[f"({_PRICES_SQL})"] = [("l_orderkey", "bigint", "numeric"), *[(c, "double", "numeric") for c in ("l_extendedprice", "net_price", "gross_price")]]
+
+
+@register("feature_suggest_derived", _suggest_sql(f"({_PRICES_SQL})", ["l_orderkey", "l_extendedprice", "net_price", "gross_price"]))
+def q_feature_suggest_derived(spark, sf):
+    """F-4: prices before and after discount and tax, whose pairs are correlated enough for interactions."""
+    return _suggest_spark(spark, sf, spark.sql(_PRICES_SQL.replace("FROM lineitem", "FROM {li}"), li=table(spark, sf, "lineitem")))
+
+
 @register("feature_apply", f"""
 SELECT doc_id, n_chars,
        {S.rnd('CASE WHEN n_chars IS NOT NULL THEN ln(1 + greatest(CAST(n_chars AS DOUBLE), 0.0)) END', 6)} AS n_chars_log,
@@ -745,10 +757,12 @@ def _registry_sql() -> str:
 
     def lit(s):
         return "'" + s.replace("'", "''") + "'"
-    rows = [f"({lit(k)}, {lit(n)}, {lit(t)}, [{', '.join(lit(p) for p in pros)}], {lit(cx)}, {lit(it)}, {lit(uw)}, {i})"
-            for i, (k, n, t, pros, _c, cx, it, uw, _s) in enumerate(REGISTRY)]
+    def many(items):
+        return f"[{', '.join(lit(p) for p in items)}]"
+    rows = [f"({lit(k)}, {lit(n)}, {lit(t)}, {many(pros)}, {many(cons)}, {lit(cx)}, {lit(it)}, {lit(uw)}, {lit(impl)}, {i})"
+            for i, (k, n, t, pros, cons, cx, it, uw, impl) in enumerate(REGISTRY)]
     return (f"SELECT * FROM (VALUES {', '.join(rows)}) "
-            f"AS reg(model_key, model_name, task, pros, complexity, interpretability, use_when, registry_pos)")
+            f"AS reg(model_key, model_name, task, pros, cons, complexity, interpretability, use_when, spark_impl, registry_pos)")
 
 
 def _summary_sql(i: int, tbl: str, task: str, num: list[str]) -> str:
@@ -763,8 +777,8 @@ SELECT {i} AS dataset_id, '{task}' AS task_type, q.n_rows, q.n_cols, q.quality_s
 FROM ({_quality_sql(tbl, cols, num)}) q"""
 
 
-def _recommend_sql() -> str:
-    summ = S.union_all([_summary_sql(*c) for c in REC_CASES])
+def _recommend_sql(summ: str | None = None, more: str = "") -> str:
+    summ = summ or S.union_all([_summary_sql(*c) for c in REC_CASES])
     return f"""
 WITH s AS ({summ}),
 reg AS ({_registry_sql()}),
@@ -788,7 +802,7 @@ SELECT dataset_id, rank, model_key, model_name, score, complexity, interpretabil
             ELSE '**' || model_name || '** may work but consider alternatives.' END
        || ' Best suited when: *' || use_when || '*.'
        || CASE WHEN n_rows < 500 THEN ' With a small dataset, simpler models may generalize better.'
-               WHEN n_rows > 50000 THEN ' With large data, ensemble methods will shine.' ELSE '' END AS reasoning
+               WHEN n_rows > 50000 THEN ' With large data, ensemble methods will shine.' ELSE '' END AS reasoning{more}
 FROM rk"""
 
 
@@ -1374,6 +1388,127 @@ def q_drift_stream(spark, sf):
     return monitor.result().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+# ---------------------------------------------------------------------------
+# branches that no table reaches as it is: data derived from the tables
+
+#: A summary for each nation and task whose figures run through all sides of the scoring rules.
+_NATION_SUMMARIES = """SELECT CAST(c_nationkey AS INTEGER) AS dataset_id,
+    CASE c_nationkey % 4 WHEN 0 THEN 'regression' WHEN 1 THEN 'classification' WHEN 2 THEN 'clustering' ELSE 'time_series' END AS task_type,
+    CAST(count(*) * CASE c_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10000 END AS BIGINT) AS n_rows,
+    CAST(c_nationkey * 4 AS DOUBLE) AS quality_score, CAST(c_nationkey % 5 AS BIGINT) AS n_outlier_cols,
+    CAST(c_nationkey % 7 AS BIGINT) AS numeric_count, CAST(c_nationkey % 6 AS BIGINT) AS cat_count
+FROM customer GROUP BY c_nationkey"""
+
+
+@register("recommend_detail", _recommend_sql(_NATION_SUMMARIES, ", pros, cons, use_when, spark_impl"))
+def q_recommend_detail(spark, sf):
+    """C-1 ... C-8 with the registry's texts over one summary a nation: small, poor, outlying and categorical datasets."""
+    from ..operators.recommend import recommend, registry
+    return recommend(spark.sql(_NATION_SUMMARIES.replace("FROM customer", "FROM {c}"), c=table(spark, sf, "customer")), registry(spark), detail=True)
+
+
+_GAPS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(o_custkey AS DOUBLE) END AS cust,
+    CAST(NULL AS DOUBLE) AS nothing FROM orders"""
+
+
+def _orders_with_gaps(spark, sf):
+    return spark.sql(_GAPS_SQL.replace("FROM orders", "FROM {o}"), o=table(spark, sf, "orders"))
+
+
+@register("impute_medians", f"""
+WITH g AS (SELECT o_orderkey, price, CASE WHEN isnan(cust) THEN NULL ELSE cust END AS cust FROM ({_GAPS_SQL})),
+m AS (SELECT quantile_cont(price, 0.5) AS mp, quantile_cont(cust, 0.5) AS mc FROM g)
+SELECT o_orderkey, {S.rnd('coalesce(price, mp)')} AS price, {S.rnd('coalesce(cust, mc)')} AS cust, 0.0::DOUBLE AS nothing FROM g, m""")
+def q_impute_medians(spark, sf):
+    """X-4: exact medians for nulls and NaN; a column without values becomes 0."""
+    from ..functions.exprs import rnd
+    from ..operators.prep import impute_median
+    out = impute_median(_orders_with_gaps(spark, sf), ["price", "cust", "nothing"])
+    return out.select("o_orderkey", rnd(F.col("price")).alias("price"), rnd(F.col("cust")).alias("cust"), "nothing")
+
+
+@register("null_targets", f"""
+WITH g AS (SELECT * FROM ({_GAPS_SQL}) WHERE price IS NOT NULL),
+s AS (SELECT price, row_number() OVER (ORDER BY {S.split_hash('o_orderkey')}, CAST(o_orderkey AS VARCHAR)) <= ceil(count(*) OVER () * 0.2) AS is_test FROM g)
+SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, count(*) AS n, {S.rnd('sum(price)', 2)} AS label_sum FROM s GROUP BY 1""")
+def q_null_targets(spark, sf):
+    """X-6: rows without a target leave before the split; sizes and labels of both parts."""
+    from ..functions.exprs import rnd
+    from ..operators.prep import prepare
+    parts = prepare(_orders_with_gaps(spark, sf).select("o_orderkey", "price", "cust"), "price", "regression", ["o_orderkey"])
+    both = parts["train"].withColumn("part", F.lit("train")).unionByName(parts["test"].withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("label"), 2).alias("label_sum"))
+
+
+@register("task_second_opinion", f"""
+WITH h AS ({_task_sql()}),
+o AS (SELECT CAST(r_regionkey AS INTEGER) AS dataset_id, 0.5 + 0.1 * r_regionkey AS c, r_name FROM region)
+SELECT h.dataset_id, target_column, CASE WHEN c > 0.7 THEN 'clustering' ELSE task_type END AS task_type,
+       CASE WHEN c > 0.7 THEN c ELSE confidence END::DOUBLE AS confidence, CASE WHEN c > 0.7 THEN r_name ELSE reasoning END AS reasoning,
+       CASE WHEN c > 0.7 THEN 'second_opinion' ELSE 'heuristic' END AS source
+FROM h LEFT JOIN o ON o.dataset_id = h.dataset_id""".replace("0.5 + 0.1 * r_regionkey", "CAST(r_regionkey AS DOUBLE) / 4"))
+def q_task_second_opinion(spark, sf):
+    """T-5: a second opinion replaces the heuristic where its confidence is above 0.7."""
+    from ..operators.task import detect_task
+    targets = spark.createDataFrame([(i, tc) for i, _, tc in TASK_CASES], "dataset_id int, target_column string")
+    second = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("dataset_id"), F.lit("clustering").alias("task_type"),
+                                               (F.col("r_regionkey").cast("double") / 4).alias("confidence"), F.col("r_name").alias("reasoning"))
+    return detect_task(_profiles_with_ids(spark, sf, TASK_CASES), targets, second)
+
+
+_BOARD_SQL = f"""SELECT run_id, model_key, row_number() OVER (PARTITION BY run_id ORDER BY v DESC, run_pos) AS rank FROM (
+    SELECT run_id, model_key, run_pos, {S.rnd("coalesce(max(CASE WHEN metric = 'r2' THEN value END), 0.0)")} AS v
+    FROM ({_ols_arena_sql()}) GROUP BY run_id, model_key, model_name, run_pos)"""
+
+
+@register("arena_summary", f"""
+WITH b AS ({_BOARD_SQL}), e AS (SELECT run_id, count(*) AS failed FROM b WHERE rank > 2 GROUP BY run_id),
+ok AS (SELECT run_id, count(*) AS successful, max(CASE WHEN rank = 1 THEN model_key END) AS winner FROM b WHERE rank <= 2 GROUP BY run_id)
+SELECT run_id, winner, successful, coalesce(failed, 0)::BIGINT AS failed, (successful + coalesce(failed, 0))::BIGINT AS total_models
+FROM ok LEFT JOIN e USING (run_id)""")
+def q_arena_summary(spark, sf):
+    """R-5: winner and counts; the models behind the second place stand for failed ones."""
+    from ..operators.arena import arena_summary, leaderboard
+    board = materialize(leaderboard(_ols_arena(spark, sf), "regression"))
+    return arena_summary(board.where("rank <= 2"), board.where("rank > 2"))
+
+
+@register("pca_2d_customer", f"""
+WITH s AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS x,
+                  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_samp(c_nationkey) OVER () AS y FROM customer),
+r AS (SELECT CASE WHEN corr(x, y) >= 0 THEN 1 ELSE -1 END AS g FROM s)
+SELECT c_custkey, {S.rnd('abs((x + g * y) / sqrt(2))')} AS pc1, {S.rnd('abs((x - g * y) / sqrt(2))')} AS pc2 FROM s, r""")
+def q_pca_2d_customer(spark, sf):
+    """V-15 in closed form: of two standardized features the axes are the diagonals (compared without their signs)."""
+    from ..functions.exprs import rnd
+    from ..operators.evaluate import pca_2d
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("a"), F.col("c_nationkey").cast("double").alias("n"))
+    out = pca_2d(c, ["a", "n"], "c_custkey")
+    return out.select("c_custkey", rnd(F.abs("pc1")).alias("pc1"), rnd(F.abs("pc2")).alias("pc2"))
+
+
+@register("ridge_supplier", f"""
+WITH s AS (SELECT s_acctbal AS y, (s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS x FROM supplier),
+f AS (SELECT regr_sxy(y, x) / (regr_sxx(y, x) + 1) AS b, avg(y) AS a FROM s),
+m AS (SELECT count(*) AS n, sum((y - a - b * x) * (y - a - b * x)) AS sse, sum(abs(y - a - b * x)) AS sae, var_pop(y) AS vy FROM s, f)
+SELECT {S.rnd('b')} AS slope, {S.rnd('a')} AS intercept, {S.rnd('1 - sse / (vy * n)')} AS r2, {S.rnd('sqrt(sse / n)')} AS rmse, {S.rnd('sae / n')} AS mae
+FROM m, f""")
+def q_ridge_supplier(spark, sf):
+    """M-2 + V-1: ridge with alpha 1 on one standardized feature, against its normal equation."""
+    from ..functions.exprs import rnd
+    from ..operators.evaluate import regression_metrics
+    from ..operators.models import estimator
+    from ..operators.prep import assemble, standardize
+    c = table(spark, sf, "supplier").select(F.col("s_acctbal").cast("double").alias("label"), F.col("s_nationkey").cast("double").alias("x"))
+    data = materialize(assemble(standardize(c, ["x"]), ["x"]))
+    about = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
+    model = estimator("ridge", "regression", about["n"], 0, about["s"]).fit(data)
+    coef = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "b double, a double")
+    return coef.crossJoin(regression_metrics(model.transform(data))).select(rnd(F.col("b")).alias("slope"), rnd(F.col("a")).alias("intercept"),
+                                                                            "r2", "rmse", "mae")
+
+
 # ---------------------------------------------------------------------------
 # M-14 / M-15 and the remaining chart frames
 
