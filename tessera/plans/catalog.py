@@ -1509,6 +1509,31 @@ def q_ridge_supplier(spark, sf):
                                                                             "r2", "rmse", "mae")
 
 
+def _newton_sql() -> str:
+    """Two stumps of Newton boosting of the balance on the nation, one after the other."""
+    def stump(src: str, m: str) -> str:
+        return f"""(SELECT k AS cut, -0.3 * gl / (hl + 1) AS l, -0.3 * (g - gl) / (h - hl + 1) AS r FROM (
+    SELECT b.k, sum({m} - y) FILTER (x <= b.k) AS gl, count(*) FILTER (x <= b.k) AS hl, sum({m} - y) AS g, count(*) AS h
+    FROM {src}, (SELECT DISTINCT x AS k FROM {src}) b GROUP BY b.k)
+  WHERE hl >= 1 AND h - hl >= 1 ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, k LIMIT 1)"""
+    return f"""WITH p AS (SELECT c_acctbal AS y, c_nationkey AS x, avg(c_acctbal) OVER () AS m0 FROM customer),
+t1 AS {stump('p', 'm0')},
+q AS (SELECT y, x, m0 + CASE WHEN x > cut THEN r ELSE l END AS m1 FROM p, t1),
+t2 AS {stump('q', 'm1')},
+e AS (SELECT y AS label, m1 + CASE WHEN x > cut THEN r ELSE l END AS prediction FROM q, t2),
+m AS (SELECT count(*) AS n, sum((label - prediction) * (label - prediction)) AS sse, sum(abs(label - prediction)) AS sae, var_pop(label) AS v FROM e)
+SELECT {S.rnd('1 - sse / (v * n)')} AS r2, {S.rnd('sqrt(sse / n)')} AS rmse, {S.rnd('sae / n')} AS mae FROM m"""
+
+
+@register("newton_boosting", _newton_sql())
+def q_newton_boosting(spark, sf):
+    """M-5: second-order boosting, two trees of one split, with the regression metrics (V-1)."""
+    from ..operators import boosting
+    from ..operators.evaluate import regression_metrics
+    c = table(spark, sf, "customer").select(F.col("c_acctbal").cast("double").alias("label"), F.array(F.col("c_nationkey").cast("double")).alias("x"))
+    return regression_metrics(boosting.predict(c, boosting.fit(c, "x", "label", rounds=2, depth=1), "x"))
+
+
 # ---------------------------------------------------------------------------
 # M-14 / M-15 and the remaining chart frames
 
