@@ -146,12 +146,18 @@ def target_encode(df: DataFrame, column: str, target: str, fit: DataFrame | None
         .withColumn(out, F.coalesce(F.col(out), F.col("_gm"))).drop("_k", "_spread", "_gm")
 
 
+#: Columns that ``one_hot`` adds at most.
+MOST_CATEGORIES = 1000
+
+
 def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """F-15: one 0/1 column per category. Categories become column names, so they are read from the
-    data when not given; suggestions only offer this for columns of few values."""
+    data when not given; a column of more than ``MOST_CATEGORIES`` raises (``target_encode`` is for those)."""
     if values is None:
-        values = [r[0] for r in df.select(col(column).cast("string")).where(col(column).isNotNull())
-                  .distinct().orderBy(1).collect()]
+        found = df.select(col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect()
+        if len(found) > MOST_CATEGORIES:
+            raise ValueError(f"Column '{column}' has more than {MOST_CATEGORIES} values: too many for columns of their own.")
+        values = sorted(r["v"] for r in found)
     return df.withColumns({f"{column}_{v}": (col(column).cast("string") == F.lit(v)).cast("int") for v in values})
 
 

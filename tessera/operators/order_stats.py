@@ -174,7 +174,7 @@ def weighted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, weig
     where = (ranks.join(offsets, keys) if keys else ranks.crossJoin(F.broadcast(offsets))).where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bw"))) \
         .select(*keys, "p", "_pos", "_r", "_bucket", "_off")
     need = where.select(*keys, "_bucket").distinct()
-    chosen = tagged.join(F.broadcast(need) if len(keys) <= 1 else need, keys + ["_bucket"], "left_semi")
+    chosen = tagged.join(F.broadcast(need) if set(keys) <= NAMED_KEYS else need, keys + ["_bucket"], "left_semi")
     w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = chosen.withColumn("_c", F.sum("_w").over(w))
     hit = local.join(where, keys + ["_bucket"]) \

@@ -149,11 +149,12 @@ FROM b"""
 
 
 def window_drift_sql(ref: str, cur: str, ts: str, cols: list[str]) -> str:
-    """SQL twin of ``streaming.drift_stream``: PSI and JS of each day of ``cur`` against ``ref``."""
+    """SQL twin of ``streaming.drift_stream``: KS at the edges, PSI and JS of each day of ``cur`` against ``ref``."""
     def long(src, more=""):
         return union_all([f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value{more} FROM ({src}) "
                           f"WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))" for c in cols])
     probs = ", ".join(repr(i / 10) for i in range(11))
+    fine = ", ".join(repr(i / 128) for i in range(1, 128))
     psi_bin = "CASE WHEN len(edges) >= 3 AND value >= edges[1] AND value <= edges[len(edges)] THEN " \
               "least(len(list_filter(edges, lambda e: e <= value)) - 1, len(edges) - 2) END"
     js_bin = "least(19, greatest(0, CAST(floor((value - lo) * 20 / (hi - lo)) AS INTEGER)))"
@@ -161,10 +162,11 @@ def window_drift_sql(ref: str, cur: str, ts: str, cols: list[str]) -> str:
     return f"""
 WITH r AS ({long(ref)}), c AS ({long(cur, day)}),
 b AS (SELECT feature, count(*) AS ref_n, list_sort(list_distinct(quantile_cont(value, [{probs}]))) AS edges,
+             list_sort(list_distinct(quantile_cont(value, [{fine}]))) AS ks_edges,
              CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
              CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM r GROUP BY feature),
-rb AS (SELECT feature, {psi_bin} AS pb, {js_bin} AS jb FROM r JOIN b USING (feature)),
-cb AS (SELECT d, feature, {psi_bin} AS pb, {js_bin} AS jb FROM c JOIN b USING (feature)),
+rb AS (SELECT feature, {psi_bin} AS pb, {js_bin} AS jb, value FROM r JOIN b USING (feature)),
+cb AS (SELECT d, feature, {psi_bin} AS pb, {js_bin} AS jb, value FROM c JOIN b USING (feature)),
 w AS (SELECT d, feature, count(*) AS n_current FROM cb GROUP BY d, feature),
 pg AS (SELECT w.*, ref_n, len(edges) - 1 AS nb, CAST(g.g AS INTEGER) AS bin
        FROM w JOIN b USING (feature), range(0, 10) g(g) WHERE len(edges) >= 3 AND g.g < len(edges) - 1),
@@ -179,8 +181,13 @@ jc AS (SELECT d, feature, jb AS bin, count(*) AS y FROM cb GROUP BY ALL),
 de AS (SELECT d, feature, coalesce(x, 0)::DOUBLE / ref_n + 1e-10 AS p, coalesce(y, 0)::DOUBLE / n_current + 1e-10 AS q
        FROM jg LEFT JOIN jr USING (feature, bin) LEFT JOIN jc USING (d, feature, bin)),
 nm AS (SELECT d, feature, p / sum(p) OVER (PARTITION BY d, feature) AS p, q / sum(q) OVER (PARTITION BY d, feature) AS q FROM de),
-js AS (SELECT d, feature, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js FROM nm GROUP BY d, feature)
-SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, feature, n_current, {rnd('coalesce(psi, 0.0)')} AS psi,
-       {rnd('js')} AS js_distance,
-       (CAST(coalesce(psi, 0.0) > 0.1 AS INTEGER) + CAST(js > 0.05 AS INTEGER)) >= 2 AS drift_flag
-FROM w JOIN js USING (d, feature) LEFT JOIN ps USING (d, feature)"""
+js AS (SELECT d, feature, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js FROM nm GROUP BY d, feature),
+ke AS (SELECT feature, ref_n, unnest(ks_edges) AS e FROM b),
+kr AS (SELECT ke.feature, e, count(*) FILTER (value <= e) / any_value(ref_n) AS f FROM ke JOIN r ON r.feature = ke.feature GROUP BY ke.feature, e),
+kc AS (SELECT d, ke.feature, e, count(*) FILTER (value <= e) / count(*) AS f FROM ke JOIN c ON c.feature = ke.feature GROUP BY d, ke.feature, e),
+ks AS (SELECT d, feature, max(abs(kc.f - kr.f)) AS ks FROM kc JOIN kr USING (feature, e) GROUP BY d, feature),
+kp AS (SELECT d, feature, ks, {ks_pvalue_sql('ks', 'ref_n', 'n_current')} AS p FROM ks JOIN w USING (d, feature) JOIN b USING (feature))
+SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, feature, n_current, {rnd('ks')} AS ks_statistic, {rnd('p', 6)} AS ks_pvalue,
+       {rnd('coalesce(psi, 0.0)')} AS psi, {rnd('js')} AS js_distance,
+       (CAST(p < 0.05 AS INTEGER) + CAST(coalesce(psi, 0.0) > 0.1 AS INTEGER) + CAST(js > 0.05 AS INTEGER)) >= 2 AS drift_flag
+FROM w JOIN js USING (d, feature) JOIN kp USING (d, feature) LEFT JOIN ps USING (d, feature)"""

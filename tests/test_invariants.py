@@ -144,7 +144,34 @@ def test_stream_equals_batch(spark):
     b = window_drift(table(spark, sf, "events"), ref, "ts", ["value", "user_id"]).toPandas()
     b = b.sort_values(["window_start", "feature"]).reset_index(drop=True)  # every window, the last one too
     assert len(s) > 0 and len(s) == len(b)
-    assert (s[["psi", "js_distance", "n_current"]].values == b[["psi", "js_distance", "n_current"]].values).all()
+    same = ["psi", "js_distance", "n_current", "ks_statistic", "ks_pvalue", "drift_flag"]
+    assert (s[same].values == b[same].values).all()
+
+
+def test_stream_ks_is_near_the_exact_one_and_survives_compaction(spark, tmp_path):
+    """The statistic from 128 bins is at most 1/128 below the exact one; compaction keeps every row."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tessera.streaming.drift_stream import drift_stream
+    rng = np.random.default_rng(0)
+    ref, days = rng.normal(size=5000), {d: rng.normal(0.1 * d, 1 + 0.1 * d, 400) for d in range(1, 5)}
+    reference = spark.createDataFrame([(float(v),) for v in ref], "v double")
+    for k, (d, x) in enumerate(days.items()):
+        part = spark.createDataFrame([(d * 86400 + i, float(v)) for i, v in enumerate(x)], "s long, v double")
+        part.select(F.timestamp_seconds("s").alias("ts"), "v").write.parquet(str(tmp_path / "in" / f"d={k}"))
+    schema = "ts timestamp, v double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    monitor = drift_stream(stream, reference, "ts", ["v"], path=str(tmp_path / "out"))
+    monitor.query.awaitTermination()
+    before = sorted(map(tuple, monitor.result().collect()))
+    monitor.compact()
+    assert sorted(map(tuple, monitor.result().collect())) == before and len(before) == 4
+    assert len([p for p in (tmp_path / "out" / "counts").iterdir() if p.name.startswith("batch_id=")]) == 1
+    for r in monitor.result().collect():
+        x = days[int(r["window_start"].timestamp() // 86400)]
+        both = np.concatenate([ref, x])
+        exact = np.abs(np.searchsorted(np.sort(ref), both, "right") / len(ref) - np.searchsorted(np.sort(x), both, "right") / len(x)).max()
+        assert exact - 1 / 128 - 1e-4 <= r["ks_statistic"] <= exact + 1e-4
 
 
 def test_bucket_counts_do_not_matter(spark):
