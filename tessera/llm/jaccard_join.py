@@ -32,6 +32,7 @@ component its name. Two different sets count as equal only if their sizes and 64
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -42,8 +43,9 @@ from pyspark.sql import functions as F
 from .common import components, discard, document_words, mix64, rows_of, stored
 
 WIDTH, PERCENT, LEAF, PIVOTS = 5, 80, 64, 64
-#: Entries of the frequency table, of the filter of wanted ids; share of documents that makes a shingle frequent.
-TABLE_BITS, FILTER_BITS, FREQUENT, SALTS = 19, 25, 0.002, 32
+#: Bytes of text for an entry of the frequency table, whose size follows the corpus, and the bits of its least and largest
+#: size; entries of the filter of wanted ids; share of documents that makes a shingle frequent.
+TABLE_BYTES, LEAST_BITS, MOST_BITS, FILTER_BITS, FREQUENT, SALTS = 128, 16, 23, 25, 0.002, 32
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -80,55 +82,81 @@ def _class(s: np.ndarray) -> int:
         return int(mix64(x[:1] * _ODD[0] + x[1:2] * _ODD[2] + x[2:] * _ODD[3]).view(np.int64)[0])
 
 
-def _survey(width: int):
+def table_bits(rows: DataFrame) -> int:
+    """Size of the frequency table for the texts of ``rows``, from their bytes."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // TABLE_BYTES).bit_length()))
+
+
+def _survey(width: int, bits: int):
     """Per document (doc, c, n); at a task's end its part of the frequency table in rows (block, counts)."""
     def run(batches):
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << bits, np.int32)
+
+        def count(sets):
+            at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            table[at] += n.astype(np.int32)
+
         for batch in batches:
-            c, n, found = [], [], []
+            c, n, found, size = [], [], [], 0
             for _, s in shingle_sets(batch.column(1), width):
                 c.append(_class(s) if len(s) else None)
                 n.append(len(s))
                 found.append(s)
-                if sum(map(len, found[-64:])) > 1 << 16 or len(found) >= 64:
-                    table += np.bincount((np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
-                    found = []
-            if found:
-                table += np.bincount((np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
+                size += len(s)
+                if size > 1 << 18:
+                    count(found)
+                    found, size = [], 0
+            if size:
+                count(found)
             empty = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64()), pa.array(n, pa.int32()), *empty],
                                              ["doc", "c", "n", "block", "counts"])
-        part = table.reshape(-1, 1 << 14).astype("<i4")
+        part = table.reshape(-1, 1 << 14)
         used = np.flatnonzero(part.any(1))
-        yield pa.RecordBatch.from_arrays([
-            pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int32()),
-            pa.array(used, pa.int32()), pa.array([part[i].tobytes() for i in used], pa.binary())],
-            ["doc", "c", "n", "block", "counts"])
+        for at in range(0, len(used), 64):
+            some = used[at:at + 64]
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32()), pa.array(some, pa.int32()),
+                pa.array([zlib.compress(part[i].astype("<i4").tobytes(), 1) for i in some], pa.binary())], ["doc", "c", "n", "block", "counts"])
     return run
 
 
+def _sum(table: pa.Table) -> np.ndarray:
+    total = np.zeros(1 << 14, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(zlib.decompress(x.as_py()), "<i4")
+    return total
+
+
 def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in table.column("counts"))
-    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.clip(0, 2**31 - 1).astype("<i4").tobytes()])})
+    counts = zlib.compress(_sum(table).clip(0, 2**31 - 1).astype("<i4").tobytes(), 1)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([counts], pa.binary())})
+
+
+def _levelled(table: pa.Table) -> pa.Table:
+    level = np.minimum(np.log2(_sum(table) + 1.0) * 3, 127).astype(np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
 
-def frequencies(parts: DataFrame) -> np.ndarray:
-    """The frequency table, 2^TABLE_BITS numbers: parts are added by block in two steps, then sent to the driver."""
+def frequencies(parts: DataFrame, bits: int) -> np.ndarray:
+    """The frequency table as levels, three to a doubling: parts are added by block in two steps, a byte an entry goes to
+    the driver (8 MB at most)."""
     parts = parts.select("block", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
     once = parts.groupBy("block", "salt").applyInArrow(_added, "block int, counts binary")
-    out = np.zeros((1 << TABLE_BITS - 14, 1 << 14), np.int64)
-    for row in once.groupBy("block").applyInArrow(_added, "block int, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], "<i4")
+    out = np.zeros((1 << bits - 14, 1 << 14), np.uint8)
+    for row in once.groupBy("block").applyInArrow(_levelled, "block int, counts binary").collect():
+        out[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out.ravel()
 
 
-def _levels(table: np.ndarray, documents: int) -> np.ndarray:
+def _levels(level: np.ndarray, documents: int) -> np.ndarray:
     """Place of each table entry in the order (low: rare), 128 added where the shingle may be frequent."""
-    level = np.minimum(np.log2(table + 1.0) * 3, 127).astype(np.uint8)
-    return level + np.where(table - np.median(table) > max(64, FREQUENT * documents), 128, 0).astype(np.uint8)
+    often = 2 ** (float(np.median(level)) / 3) + max(64, FREQUENT * documents)
+    return level + np.where(level >= min(127, 3 * np.log2(often)), 128, 0).astype(np.uint8)
 
 
-def _regions(width: int, percent: int, levels):
+def _regions(width: int, percent: int, bits: int, levels):
     """Rows (s, c, n, i, salt): the regions of every set, once for each class in a task; i shingles precede s in the order."""
     def run(batches):
         level, seen = levels.value, set()
@@ -139,7 +167,7 @@ def _regions(width: int, percent: int, levels):
                 if c is None or (c, len(s)) in seen:
                     continue
                 seen.add((c, len(s)))
-                place = level[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                place = level[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 key = place.astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                 first = np.argsort(key, kind="stable")[:len(s) - -(-percent * len(s) // 100) + 1]
                 rows.append((s[first].view(np.int64), c, len(s), np.where(place[first] >= 128, c % SALTS, -1)))
@@ -229,11 +257,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """(key, n_shingles, component_id) for every row of ``df``; ``key`` an integer column."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    survey = stored(rows.mapInArrow(_survey(width), "doc long, c long, n int, block int, counts binary"), "jaccard-survey")
+    bits = table_bits(rows)
+    survey = stored(rows.mapInArrow(_survey(width, bits), "doc long, c long, n int, block int, counts binary"), "jaccard-survey")
     docs = survey.filter("n is not null").select("doc", "c", "n")
-    table = frequencies(survey.filter("block is not null"))
-    levels = spark.sparkContext.broadcast(_levels(table, docs.count()))  # 512 KB
-    regions = _shared_regions(rows.select("text"), width, percent, levels)
+    level = frequencies(survey.filter("block is not null"), bits)
+    levels = spark.sparkContext.broadcast(_levels(level, docs.count()))  # 8 MB at most
+    regions = _shared_regions(rows.select("text"), width, percent, bits, levels)
     low = docs.filter("c is not null").groupBy("c", "n").agg(F.min("doc").alias("low"))
     low = low.select(_class_key().alias("k"), "low")
 
@@ -302,14 +331,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def _shared_regions(texts: DataFrame, width: int, percent: int, levels) -> DataFrame:
+def _shared_regions(texts: DataFrame, width: int, percent: int, bits: int, levels) -> DataFrame:
     """(s, k, i, p, pi, size): the regions of more than one class, without members that no other member can link with by
     size and place, each with its pivot p and the pivot's place.
 
     One shuffle by shingle does it all. The rows of frequent shingles are spread by salt and not looked
     into there; their regions' sizes and pivots come from partial aggregates.
     """
-    spread = texts.mapInArrow(_regions(width, percent, levels), "s long, c long, n int, i int, salt int")
+    spread = texts.mapInArrow(_regions(width, percent, bits, levels), "s long, c long, n int, i int, salt int")
     region = Window.partitionBy("s", "salt")
     n, i, alone = F.col("n"), F.col("i"), F.col("salt") < 0
     useful = (100 + percent) * (n - i) >= percent * (n + F.greatest(F.col("least"), F.ceil(n * percent / 100)))
