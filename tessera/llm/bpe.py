@@ -8,7 +8,8 @@ cut: before the first white space after a non-space character, and around very l
 runs (whose match is known and would overflow the regex engine's stack). Whole texts are encoded;
 the pieces' ids are joined.
 
-Null texts encode as the empty text, which has no ids. Repeated rows and ids are kept as they come.
+Null texts encode as the empty text, which has no ids. Repeated rows and ids are kept as they come; an empty table gives an
+empty table.
 An existing column of the output's name is replaced; other columns pass through.
 """
 

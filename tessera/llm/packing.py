@@ -22,7 +22,8 @@ Ids come from a tokenizers JSON file. Its vocabulary ids follow the order of its
 same merges run in tiktoken's engine, which is several times as fast and gives the same ids (tested over the
 whole vocabulary). A JSON without that property is run by the tokenizers library itself.
 
-Null texts are empty documents: only the end id. Duplicate doc_ids are separate documents.
+Null texts are empty documents: only the end id. Duplicate doc_ids are separate documents; null ids are kept. Equal pieces
+are told apart by their place. An empty table gives an empty table. Columns other than key and text are ignored.
 """
 
 from __future__ import annotations

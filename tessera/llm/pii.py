@@ -14,7 +14,9 @@
 A base match that passes its rule is always a span; a wider candidate is one if the classifier gives it
 ``threshold`` or more and it overlaps no base span. Offsets are code points, ends exclusive.
 
-Null texts are empty and have no spans; columns of ``df`` pass through unless they bear a result's name.
+Null texts are empty and have no spans; columns of ``df`` pass through unless they bear a result's name. Repeated rows have the
+same spans each and count as often in the estimates; spans that begin alike are ordered by kind. An empty table gives an
+empty table.
 Quantifiers that cannot give back are possessive: same matches, no deep recursion and linear time on long runs.
 """
 

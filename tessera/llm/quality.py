@@ -7,8 +7,8 @@ by the lines' lengths, is the document's raw quality. A one-variable logistic cu
 sample, turns it into the probability that the document's label is 1.
 
 Fitting: line labels are those of their documents; the likelihood is maximised by Adam on a sample of at
-most 2 * rows_per_class documents of each label with up to ``fit_lines`` lines (documented bounds). Both
-labels weigh alike in the random field; the curve is fitted with the labels' own shares. Whole texts are
+most 2 * rows_per_class documents of each label, of longer ones a run of ``fit_lines`` lines that begins anywhere (documented
+bounds), so a label is learnt whatever the length of its documents. Both labels weigh alike in the random field; the curve is fitted with the labels' own shares. Whole texts are
 scored, however many lines they have.
 
 Null and empty texts are one empty line. Without labelled rows every score is 0.5; with one label
