@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.01"
 FAST = ["schema_profile", "numeric_stats", "categorical_top10", "duplicate_rows", "missing_table", "histogram20",
         "normality_k2", "pearson_matrix", "iqr_outliers", "drift_report", "stratified_split", "task_detect",
         "feature_apply", "linreg_simple", "class_metrics", "cluster_metrics", "lag_matrix", "leaderboard", "normality", "density_clusters", "drift_stream", "csv_missing_roundtrip",
-        "json_missing_roundtrip", "quality_score"]
+        "json_missing_roundtrip", "quality_score", "forecast_hw", "forecast_arima", "forecast_status", "dbscan_clusters", "silhouette",
+        "impute_medians", "null_targets", "ridge_supplier", "newton_boosting", "recommend_detail", "pca_2d_customer", "prep_matrix"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TESSERA_FULL_ORACLE") else FAST
 
 
