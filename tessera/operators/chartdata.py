@@ -49,6 +49,13 @@ def cluster_scatter(pca: DataFrame, labels: DataFrame, key: str) -> DataFrame:
                     .otherwise(F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))).alias("label"))
 
 
+def cluster_shares(labelled: DataFrame, label: str = "label") -> DataFrame:
+    """H-7: (label, size, share in percent) of every cluster, noise included."""
+    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.sum("size").alias("_n"))  # one row
+    return sizes.crossJoin(F.broadcast(total)).select(label, "size", rnd(F.col("size") * 100.0 / F.col("_n"), 2).alias("share"))
+
+
 def forecast_frame(fc: DataFrame) -> DataFrame:
     """H-8: series_key, step, segment (train / actual / forecast), value."""
     train = fc.where(F.col("segment") == "train").select("series_key", "step", F.lit("train").alias("segment"),

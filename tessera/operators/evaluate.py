@@ -206,3 +206,17 @@ def pca_2d(df: DataFrame, features: Sequence[str] | str, key: str, k: int = 2) -
     signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
     out = model.transform(scaled).select(key, vector_to_array("_p").alias("_a"))
     return out.select(key, *[(F.col("_a")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
+
+
+#: Predictions that a run's result shows.
+PREDICTION_SAMPLE = 50
+
+
+def prediction_sample(pred: DataFrame, key: str, order: Sequence[str], n: int = PREDICTION_SAMPLE) -> DataFrame:
+    """V-8: the first ``n`` rows of ``pred`` (key, label, prediction) in ``order`` (columns that decide the order alone)."""
+    return pred.orderBy(*order).limit(n).select(key, "label", "prediction")
+
+
+def run_sizes(split: DataFrame, n_features: int, flag: str = "is_test") -> DataFrame:
+    """V-9: rows of both parts of a split and the number of features, one row."""
+    return split.agg(F.count_if(~F.col(flag)).alias("train_size"), F.count_if(flag).alias("test_size"), F.lit(n_features).alias("n_features"))

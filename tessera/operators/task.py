@@ -97,3 +97,29 @@ def suggested_k(df: DataFrame) -> DataFrame:
 def datetime_columns(profile: DataFrame) -> DataFrame:
     """T-9: datetime-role columns in position order."""
     return profile.where(F.col("role") == "datetime").select("column_name", "position")
+
+
+def subtask_info(df: DataFrame, profile: DataFrame, task: str, target: str | None = None) -> DataFrame:
+    """T-6 ... T-9 as one row for a verdict: what its task asks for, the other fields null. A classification without a known
+    target has two classes and no distribution."""
+    empty = {"n_classes": "long", "is_binary": "boolean", "class_distribution": "map<string,double>", "target_min": "double", "target_max": "double",
+             "target_mean": "double", "target_std": "double", "suggested_k": "int", "datetime_cols": "array<string>", "freq_hint": "string"}
+    known = target is not None and target in df.columns
+    row = df.sparkSession.range(1).select(F.lit(task).alias("task_type"))
+    if task == "classification":
+        if known:
+            # one entry a class: as large as the result itself
+            shares = class_distribution(df, target)
+            pairs = F.array_sort(F.collect_list(F.struct("class_value", "share")))
+            row = row.crossJoin(shares.agg(F.count(F.lit(1)).alias("n_classes"), F.map_from_entries(pairs).alias("class_distribution")))
+        else:
+            row = row.withColumns({"n_classes": F.lit(2).cast("long"), "class_distribution": F.expr("map()").cast("map<string,double>")})
+        row = row.withColumn("is_binary", F.col("n_classes") == 2)
+    elif task == "regression" and known:
+        row = row.crossJoin(regression_detail(df, target))
+    elif task == "clustering":
+        row = row.crossJoin(suggested_k(df).select("suggested_k"))
+    elif task == "time_series":
+        names = F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda c: c["column_name"])
+        row = row.crossJoin(datetime_columns(profile).agg(names.alias("datetime_cols"))).withColumn("freq_hint", F.lit("inferred"))
+    return row.select("task_type", *[(F.col(c) if c in row.columns else F.lit(None)).cast(k).alias(c) for c, k in empty.items()])

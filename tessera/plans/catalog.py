@@ -1325,14 +1325,14 @@ def q_prediction_sample(spark, sf):
     residuals and the diagonal range. The 50-row limit is the operator itself."""
     from pyspark.ml.regression import LinearRegression
     from ..functions.exprs import rnd, split_hash
+    from ..operators.evaluate import prediction_sample
     from ..operators.prep import assemble, hash_split
     li = materialize(hash_split(table(spark, sf, "lineitem").select(
         *LI_KEYS, "l_quantity", F.col("l_extendedprice").alias("label")), LI_KEYS)
         .withColumn("_key", F.concat_ws("|", *LI_KEYS)))
     model = LinearRegression(regParam=0.0, solver="normal").fit(assemble(li.where(~F.col("is_test")), ["l_quantity"]))
     test = li.where(F.col("is_test")).withColumn("_h", split_hash(F.col("_key")))
-    sample = model.transform(assemble(test, ["l_quantity"])).orderBy("_h", "_key").limit(50)
-    s2 = sample.select("_key", "label", "prediction")
+    s2 = prediction_sample(model.transform(assemble(test, ["l_quantity"])), "_key", ["_h", "_key"])
     out = s2.crossJoin(F.broadcast(s2.agg(F.least(F.min("label"), F.min("prediction")).alias("_lo"),
                                           F.greatest(F.max("label"), F.max("prediction")).alias("_hi"))))
     return out.select("_key", rnd(F.col("label")).alias("actual"), rnd(F.col("prediction")).alias("predicted"),
@@ -1667,15 +1667,50 @@ def q_importance_bars(spark, sf):
 def q_cluster_scatter(spark, sf):
     """V-15 + H-6/H-7: k-means labels on the 2-D PCA of embeddings, with cluster shares."""
     from pyspark.ml.functions import array_to_vector
-    from ..operators.chartdata import cluster_scatter
+    from ..operators.chartdata import cluster_scatter, cluster_shares
     from ..operators.evaluate import pca_2d
     from ..operators.models import kmeans
     e = table(spark, sf, "embeddings")
     vec = e.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     labels, _ = kmeans(vec, "v", "vec_id", k=3)
     sc = cluster_scatter(pca_2d(e, "embedding", "vec_id"), labels, "vec_id")
-    share = sc.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return sc.join(share, "label")
+    return sc.join(F.broadcast(cluster_shares(sc).select("label", "size")), "label")  # three clusters
+
+
+@register("cluster_shares", """
+SELECT CAST(label AS VARCHAR) AS label, count(*) AS size, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS share FROM embeddings GROUP BY 1""")
+def q_cluster_shares(spark, sf):
+    """H-7: share of every label of the embeddings."""
+    from ..operators.chartdata import cluster_shares
+    return cluster_shares(table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("label")))
+
+
+@register("subtask_info", f"""
+WITH c AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1),
+n AS (SELECT count(*) AS n FROM orders)
+SELECT 'classification' AS task_type, count(*)::DOUBLE AS n_classes, (count(*) = 2)::INTEGER::DOUBLE AS is_binary,
+       string_agg(v || '=' || CAST(round(c.n / (SELECT sum(n) FROM c), 4) AS VARCHAR), ',' ORDER BY v) AS classes, NULL::DOUBLE AS target_min,
+       NULL::DOUBLE AS target_max, NULL::DOUBLE AS target_mean, NULL::DOUBLE AS target_std, NULL::DOUBLE AS suggested_k, NULL::VARCHAR AS datetime_cols,
+       NULL::VARCHAR AS freq_hint FROM c
+UNION ALL SELECT 'regression', NULL, NULL, NULL, {S.rnd('min(o_totalprice)')}, {S.rnd('max(o_totalprice)')}, {S.rnd('avg(o_totalprice)')},
+       {S.rnd('stddev_samp(o_totalprice)')}, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'clustering', NULL, NULL, NULL, NULL, NULL, NULL, NULL, least(greatest(2, CAST(floor(sqrt(n) / 5) AS INTEGER)), 10), NULL, NULL FROM n
+UNION ALL SELECT 'time_series', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'o_orderdate', 'inferred'""")
+def q_subtask_info(spark, sf):
+    """T-6 ... T-9 composed: what each task's verdict on orders carries."""
+    from ..functions.exprs import rnd
+    from ..operators.profile import schema_profile
+    from ..operators.task import subtask_info
+    o = table(spark, sf, "orders")
+    prof = small_frame(schema_profile(o))
+    out = None
+    for task, target in (("classification", "o_orderstatus"), ("regression", "o_totalprice"), ("clustering", None), ("time_series", "o_totalprice")):
+        one = subtask_info(o, prof, task, target)
+        out = one if out is None else out.unionByName(one)
+    classes = F.array_join(F.transform(F.map_entries("class_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    number = lambda c: F.col(c).cast("double").alias(c)  # noqa: E731 - null beside numbers
+    return out.select("task_type", number("n_classes"), number("is_binary"), classes.alias("classes"), *[rnd(F.col(c)).alias(c) for c in (
+        "target_min", "target_max", "target_mean", "target_std")], number("suggested_k"), F.array_join("datetime_cols", ",").alias("datetime_cols"), "freq_hint")
 
 
 # ---------------------------------------------------------------------------
@@ -1791,10 +1826,9 @@ SELECT count(*) FILTER (WHERE NOT is_test) AS train_size, count(*) FILTER (WHERE
        {len(LI_FEATURES)} AS n_features FROM ({_li_split_sql()})""")
 def q_split_sizes(spark, sf):
     """V-9: train/test sizes of the exact 80/20 hash split and the feature count."""
+    from ..operators.evaluate import run_sizes
     from ..operators.prep import hash_split
-    s = hash_split(table(spark, sf, "lineitem").select(*LI_KEYS), LI_KEYS)
-    return s.agg(F.count_if(~F.col("is_test")).alias("train_size"), F.count_if("is_test").alias("test_size"),
-                 F.lit(len(LI_FEATURES)).alias("n_features"))
+    return run_sizes(hash_split(table(spark, sf, "lineitem").select(*LI_KEYS), LI_KEYS), len(LI_FEATURES))
 
 
 @register("datetime_columns", f"""
