@@ -75,21 +75,30 @@ def _infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`").try_cast(k) if k else F.col(f"`{c}`")).alias(c) for c, k in zip(df.columns, kind)])
 
 
+def _looks_column_oriented(text) -> F.Column:
+    """``{"col": {"0": v, ...}, ...}``: an object of objects whose keys are row numbers."""
+    inner = F.from_json(text, "map<string, map<string, string>>")
+    rows = F.forall(F.map_values(inner), lambda m: m.isNotNull() & F.forall(F.map_keys(m), lambda k: k.rlike("^[0-9]+$")))
+    return text.startswith("{") & F.coalesce(rows, F.lit(False)) & (F.size(inner) > 0)
+
+
 def _json_orient(spark: SparkSession, path: str) -> str:
-    """The layout that all files have: two booleans per file are aggregated, no text leaves the executors."""
+    """The layout that all files have, from aggregates; no text leaves the executors. Files of an object on each of several lines
+    are recognised line by line, in splits; only other layouts, which cannot be split, are looked at file by file."""
     text = F.ltrim("value")
-    inner = F.from_json(text, "map<string, map<string, string>>")
-    columns = text.startswith("{") & F.coalesce(F.forall(F.map_values(inner), lambda m: m.isNotNull() & F.forall(
-        F.map_keys(m), lambda k: k.rlike("^[0-9]+$"))), F.lit(False)) & (F.size(inner) > 0)
-    r = spark.read.text(path, wholetext=True).agg(F.bool_and(columns).alias("columns"),
+    plain = text.startswith("{") & F.from_json(text, "map<string, string>").isNotNull() & ~_looks_column_oriented(text)
+    lines = spark.read.text(path).where(F.trim("value") != "").agg(F.count(F.lit(1)).alias("n"), F.count_if(plain).alias("objects")).first()
+    if lines["n"] > 1 and lines["objects"] == lines["n"]:
+        return "lines"
+    r = spark.read.text(path, wholetext=True).agg(F.bool_and(_looks_column_oriented(text)).alias("columns"),
                                                   F.bool_and(text.startswith("[")).alias("records")).first()
     return "columns" if r["columns"] else "records" if r["records"] else "lines"
 
 
 def read_json(spark: SparkSession, path: str, schema=None, orient: str = "auto") -> DataFrame:
     """S-3: JSON by ``orient``: ``records`` (one array of objects, or one object, a file), ``lines`` (an object per
-    line; files are split) or ``columns`` (pandas' ``{"col": {"0": v}}``). ``auto`` looks at every file whole, a task
-    a file, to find out; say which it is for large files."""
+    line; files are split) or ``columns`` (pandas' ``{"col": {"0": v}}``). ``auto`` finds out in one scan more; only
+    ``records`` and ``columns`` files, which Spark cannot split either, are looked at whole."""
     orient = _json_orient(spark, path) if orient == "auto" else orient
     if orient == "columns":
         return _column_oriented_json(spark, path)

@@ -200,3 +200,17 @@ def test_duplicates_by_row_hash(spark):
     from tessera.operators.stats import duplicate_rows
     rows = [(None, 1.0, "a"), (1.0, None, "a"), (float("nan"), 1.0, "a"), (0.0, 2.0, None), (-0.0, 2.0, None), (3.0, 3.0, "")]
     assert duplicate_rows(spark.createDataFrame(rows, "a double, b double, c string")).first()[0] == 2
+
+
+def test_json_layouts_are_found(spark, tmp_path):
+    """Lines, arrays, pretty-printed arrays and column-oriented files, one or several, without saying which."""
+    from tessera.sources.readers import _json_orient, load
+    texts = {"lines": ['{"a": 1, "o": {"x": 2}}\n\n{"a": 2}\n'], "records": ['[{"a": 1}, {"a": 2}]'], "pretty": ['[\n {\n  "a": 1\n },\n {"a": 2}\n]'],
+             "columns": ['{"a": {"0": 1, "1": 2}}'], "two": ['{"a": {"0": 1}}', '{"a": {"0": 2}}']}
+    for name, files in texts.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        for k, text in enumerate(files):
+            (folder / f"{k}.json").write_text(text)
+        assert _json_orient(spark, str(folder)) == {"pretty": "records", "two": "columns"}.get(name, name)
+        assert sorted(r["a"] for r in load(spark, str(folder), fmt="json").collect()) == [1, 2]
