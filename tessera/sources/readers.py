@@ -64,14 +64,24 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Fal
 CSV_TYPES = ("int", "bigint", "double", "boolean", "timestamp")
 
 
+#: First rows that rule types out before the whole table is looked at.
+PROBE_ROWS = 1000
+
+
 def _infer_types(df: DataFrame) -> DataFrame:
-    """Each string column as the first of CSV_TYPES that all its values parse as; one aggregate over the table."""
+    """Each string column as the first of CSV_TYPES that all its values parse as. One value that does not parse rules a type
+    out, so the first rows are asked first (a failing parse is dear); what they leave is checked over the table in one aggregate."""
     def fits(c, kind):
         v, shape = F.col(f"`{c}`"), {"int": "^[+-]?[0-9]+$", "bigint": "^[+-]?[0-9]+$", "timestamp": "^[0-9]{4}-"}.get(kind)
         ok = v.try_cast(kind).isNotNull()
-        return F.bool_and(F.when(v.isNotNull(), ok & F.trim(v).rlike(shape) if shape else ok))
-    checks = df.agg(*[fits(c, k).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k in CSV_TYPES]).first()
-    kind = [next((k for k in CSV_TYPES if checks[f"{i}_{k}"]), None) for i in range(len(df.columns))]
+        return F.bool_and(F.when(v.isNotNull(), F.trim(v).rlike(shape) & ok if shape else ok))
+    checks = {(i, k): None for i in range(len(df.columns)) for k in CSV_TYPES}
+    for rows in (df.limit(PROBE_ROWS), df):
+        asked = [at for at, fit in checks.items() if fit is not False]
+        if asked:
+            found = rows.agg(*[fits(df.columns[i], k).alias(f"{i}_{k}") for i, k in asked]).first()
+            checks.update(zip(asked, found))
+    kind = [next((k for k in CSV_TYPES if checks[i, k]), None) for i in range(len(df.columns))]
     return df.select(*[(F.col(f"`{c}`").try_cast(k) if k else F.col(f"`{c}`")).alias(c) for c, k in zip(df.columns, kind)])
 
 
