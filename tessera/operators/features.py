@@ -117,9 +117,8 @@ def apply_features(df: DataFrame, suggestions: DataFrame | Sequence[dict]) -> Da
 
 def robust_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """F-13: (x - median) / IQR with exact quantiles fitted on ``fit``; IQR 0 -> divide by 1."""
-    from .order_stats import quantile_columns, to_long
-    long = to_long(fit if fit is not None else df, cols)
-    q = quantile_columns(long, ["column_name"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    from .order_stats import column_quantiles
+    q = column_quantiles(fit if fit is not None else df, cols, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     wide = q.groupBy().pivot("column_name", list(cols)).agg(
         F.first("med").alias("med"), F.first(F.col("q3") - F.col("q1")).alias("iqr"))
     joined = df.crossJoin(F.broadcast(wide))  # one row
