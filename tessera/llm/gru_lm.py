@@ -22,6 +22,7 @@ Null texts are empty: one end token. Without training documents all base probabi
 from __future__ import annotations
 
 from itertools import chain
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import document_words, fold, stored
 
 HIDDEN, WORDS, CLASS_SIZE, COMMON = 16, 1022, 32, 1 << 17
 WINDOW, BATCH, ROUNDS, RATE = 16, 256, 2, 0.02
-LANES, GROUP_TOKENS, LINES = 512, 1 << 20, 64
+LANES, GROUP_TOKENS = 512, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 SIZE = WORDS + 2  # two more entries: rare words, and one unused that fills the last class
 RARE = WORDS
@@ -118,18 +119,19 @@ def _sigmoid(x):
 
 
 class Network:
-    """x: the gates' input by token; u: the gates' recurrent weights; c, d: classes; w, v: words of the classes."""
+    """x: the gates' input by token (held by gate, as xt); u: the gates' recurrent weights; c, d: classes; w, v: words of the classes."""
 
-    SHAPES = {"x": (SIZE, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, SIZE // CLASS_SIZE), "d": (SIZE // CLASS_SIZE,),
+    SHAPES = {"xt": (3 * HIDDEN, SIZE), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, SIZE // CLASS_SIZE), "d": (SIZE // CLASS_SIZE,),
               "w": (SIZE, HIDDEN), "v": (SIZE,)}
 
     def __init__(self, flat: np.ndarray):
-        self.flat = flat.astype(np.float32)
+        self.flat, self.rooms = flat.astype(np.float32), {}
         at = 0
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at:at + n].reshape(shape))
             at += n
+        self.x = self.xt.T
 
     @classmethod
     def first(cls, counts: np.ndarray) -> Network:
@@ -146,97 +148,140 @@ class Network:
         net.v[:] = np.log(by_class / by_class.sum(1, keepdims=True)).ravel()
         return net
 
-    def steps(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each row of ``tokens`` [steps, lanes] from state ``h``, and what backpropagation needs."""
-        states, kept = np.empty((len(tokens), *h.shape), np.float32), []
-        gates = self.x[tokens]
-        for t in range(len(tokens)):
-            g, a = gates[t], h @ self.u
-            zr = 1 / (1 + np.exp(-(g[:, :2 * HIDDEN] + a[:, :2 * HIDDEN])))
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = 2 / (1 + np.exp(-2 * (g[:, 2 * HIDDEN:] + r * a[:, 2 * HIDDEN:]))) - 1
-            if keep:
-                kept.append((h, z, r, n, a[:, 2 * HIDDEN:]))
-            h = n + z * (h - n)
-            states[t] = h
-        return states, kept
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that this network uses again in every window, uninitialised."""
+        n = prod(shape)
+        if name not in self.rooms or len(self.rooms[name]) < n:
+            self.rooms[name] = np.empty(n, np.float32)
+        return self.rooms[name][:n].reshape(shape)
+
+    def steps(self, tokens: np.ndarray, h: np.ndarray):
+        """States [steps, lanes, HIDDEN] after each row of ``tokens`` [steps, lanes] from state ``h`` [lanes, HIDDEN], and what
+        backpropagation needs; both hold until the next call. Inside, lanes are the last axis: every gate is one block."""
+        steps, lanes = tokens.shape
+        states = self.room("states", steps + 1, HIDDEN, lanes)
+        states[0] = h.T
+        gates, inner = self.room("gates", steps, 3 * HIDDEN, lanes), self.room("inner", steps, HIDDEN, lanes)
+        gates[:] = np.take(self.xt, tokens, axis=1, out=self.room("x", 3 * HIDDEN, steps, lanes), mode="clip").transpose(1, 0, 2)
+        across = np.ascontiguousarray(self.u.T)
+        a, part = np.empty((3 * HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
+        for t in range(steps):
+            np.matmul(across, states[t], out=a)
+            zr, n = gates[t, :2 * HIDDEN], gates[t, 2 * HIDDEN:]  # z, r and n take the places of their inputs
+            zr += a[:2 * HIDDEN]
+            np.negative(zr, zr)
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            inner[t] = a[2 * HIDDEN:]
+            np.multiply(zr[HIDDEN:], inner[t], part)
+            n += part
+            np.tanh(n, n)
+            after = np.subtract(states[t], n, states[t + 1])
+            after *= zr[:HIDDEN]
+            after += n
+        return states[1:].transpose(0, 2, 1), (states, gates, inner)
 
     def log_probabilities(self, states: np.ndarray, target: np.ndarray, grad=None):
         """Natural log P of each target after its state; with ``grad`` (a Network of gradients, weights) also
-        adds the gradients of the weighted sum and returns that of the states."""
-        logits = states @ self.c + self.d
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        kind = target // CLASS_SIZE
-        rows = np.arange(len(target))
-        out = logits[rows, kind] - np.log(total)
+        adds the gradients of the weighted sum and returns that of the states, transposed."""
+        s = self.room("s", HIDDEN + 1, len(target))
+        s[:HIDDEN] = states.T
+        return self._log_probabilities(s, target, grad)
+
+    def _log_probabilities(self, s: np.ndarray, target: np.ndarray, grad=None):
+        """``log_probabilities`` of the states in the columns of ``s`` but for its last row, which takes the biases."""
+        n = len(target)
+        s[HIDDEN] = 1
+        kind, j = np.divmod(target, CLASS_SIZE)
+        into, weight = grad if grad is not None else (None, None)
+        c, w = np.vstack([self.c, self.d]), np.hstack([self.w, self.v[:, None]])
+        out, e = _softmax(np.matmul(c.T, s, out=self.room("logits", SIZE // CLASS_SIZE, n)), kind, weight)
         back = None
         if grad is not None:
-            into, weight = grad
-            p = e / total[:, None]
-            p[rows, kind] -= 1
-            p *= -weight[:, None]
-            into.c += states.T @ p
-            into.d += p.sum(0)
-            back = p @ self.c.T
-        # words in their classes: targets of a class in blocks of LINES, one product over all blocks
-        order = np.argsort(kind, kind="stable")
-        count = np.bincount(kind, minlength=SIZE // CLASS_SIZE)
-        blocks = -(-count // LINES)
-        slot = rows + np.repeat((np.cumsum(blocks) - blocks) * LINES - (np.cumsum(count) - count), count)
-        own = np.repeat(np.arange(len(count)), blocks)
-        s = np.zeros((len(own) * LINES, HIDDEN), np.float32)
-        s[slot] = states[order]
-        s = s.reshape(-1, LINES, HIDDEN)
-        w = self.w.reshape(-1, CLASS_SIZE, HIDDEN)[own]
-        logits = s @ w.transpose(0, 2, 1)
-        logits += self.v.reshape(-1, 1, CLASS_SIZE)[own]
-        logits -= logits.max(2, keepdims=True)
-        j = (target - kind * CLASS_SIZE)[order]
-        chosen = logits.reshape(-1, CLASS_SIZE)[slot, j]
-        e = np.exp(logits, out=logits)
-        total = e.sum(2, keepdims=True)
-        out[order] += chosen - np.log(total.ravel()[slot])
+            moved = e @ s.T
+            into.c += moved[:, :HIDDEN].T
+            into.d += moved[:, HIDDEN]
+            back = np.matmul(self.c, e, out=self.room("back", HIDDEN, n))
+        # words in their classes: targets in order of class, one product a class
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=SIZE // CLASS_SIZE)).tolist()
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        s = np.take(s, order, axis=1, out=self.room("sorted", HIDDEN + 1, n), mode="clip")
+        w = w.reshape(-1, CLASS_SIZE, HIDDEN + 1)
+        logits = self.room("logits", CLASS_SIZE, n)
+        for k, a, b in parts:
+            np.matmul(w[k], s[:, a:b], out=logits[:, a:b])
+        chosen, e = _softmax(logits, j[order], weight[order] if grad is not None else None)
+        out[order] += chosen
         if grad is not None:
-            e /= total
-            flat = e.reshape(-1, CLASS_SIZE)
-            flat[slot, j] -= 1
-            scale = np.zeros(len(flat), np.float32)
-            scale[slot] = -weight[order]
-            flat *= scale[:, None]
-            np.add.at(into.w.reshape(-1, CLASS_SIZE, HIDDEN), own, e.transpose(0, 2, 1) @ s)
-            np.add.at(into.v.reshape(-1, CLASS_SIZE), own, e.sum(1))
-            back[order] += (e @ w).reshape(-1, HIDDEN)[slot]
+            moved = np.zeros_like(w)
+            for k, a, b in parts:
+                np.matmul(e[:, a:b], s[:, a:b].T, out=moved[k])
+            moved = moved.reshape(SIZE, HIDDEN + 1)
+            into.w += moved[:, :HIDDEN]
+            into.v += moved[:, HIDDEN]
+            for k, a, b in parts:  # the states are not needed any more
+                np.matmul(w[k, :, :HIDDEN].T, e[:, a:b], out=s[:HIDDEN, a:b])
+            place = np.empty_like(order)
+            place[order] = np.arange(n)
+            back += np.take(s[:HIDDEN], place, axis=1, out=self.room("s", HIDDEN, n), mode="clip")
         return out, back
 
-    def gradients(self, tokens: np.ndarray, target: np.ndarray, weight: np.ndarray, h: np.ndarray):
-        """(gradient of the weighted log-likelihood, last state) of one window [steps, lanes]; ``h`` is taken as given."""
-        into = Network(np.zeros_like(self.flat))
-        states, kept = self.steps(tokens, h, keep=True)
-        _, back = self.log_probabilities(states.reshape(-1, HIDDEN), target.ravel(), (into, weight.ravel()))
-        back = back.reshape(states.shape)
-        dh = np.zeros_like(h)
-        inputs = np.empty((*tokens.shape, 3 * HIDDEN), np.float32)
-        gates = np.empty_like(inputs)
-        across = self.u.T.copy()
-        for t in range(len(tokens) - 1, -1, -1):
-            before, z, r, n, a = kept[t]
-            dh = dh + back[t]
-            keep = 1 - z
-            dn = dh * keep * (1 - n * n)
-            g, d = inputs[t], gates[t]
-            g[:, :HIDDEN] = dh * (before - n) * z * keep
-            g[:, HIDDEN:2 * HIDDEN] = dn * a * r * (1 - r)
-            g[:, 2 * HIDDEN:] = dn
-            d[:, :2 * HIDDEN] = g[:, :2 * HIDDEN]
-            d[:, 2 * HIDDEN:] = dn * r
-            dh = dh * z + d @ across
-        before = np.concatenate([k[0] for k in kept])
-        into.u += before.T @ gates.reshape(len(before), -1)
-        place = tokens.ravel()[:, None] * (3 * HIDDEN) + np.arange(3 * HIDDEN)
-        into.x += np.bincount(place.ravel(), inputs.ravel(), into.x.size).reshape(into.x.shape)
-        return into.flat, states[-1]
+    def gradients(self, tokens: np.ndarray, target: np.ndarray, weight: np.ndarray, h: np.ndarray, into: Network | None = None):
+        """(gradient of the weighted log-likelihood, last state) of one window [steps, lanes]; ``h`` is taken as given. With
+        ``into`` the gradient is added to it."""
+        into = Network(np.zeros_like(self.flat)) if into is None else into
+        steps, lanes = tokens.shape
+        after, (states, gates, inner) = self.steps(tokens, h)
+        s = self.room("s", HIDDEN + 1, steps * lanes)
+        s[:HIDDEN].reshape(HIDDEN, steps, lanes)[:] = after.transpose(2, 0, 1)
+        _, back = self._log_probabilities(s, target.ravel(), (into, weight.ravel()))
+        back = back.reshape(HIDDEN, steps, lanes).transpose(1, 0, 2)
+        z, r, n, before = gates[:, :HIDDEN], gates[:, HIDDEN:2 * HIDDEN], gates[:, 2 * HIDDEN:], states[:-1]
+        factors = self.room("factors", steps, 4 * HIDDEN, lanes)  # of the state's gradient
+        by_z, by_r, by_a, by_n = (factors[:, k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
+        keep = self.room("keep", steps, HIDDEN, lanes)
+        np.subtract(1, z, keep)
+        np.subtract(before, n, by_z)
+        by_z *= z
+        by_z *= keep
+        np.multiply(n, n, by_n)
+        np.subtract(1, by_n, by_n)
+        by_n *= keep
+        np.multiply(by_n, r, by_a)
+        np.subtract(1, r, by_r)
+        by_r *= by_a
+        by_r *= inner
+        dh, part = np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            dh += back[t]
+            f = factors[t].reshape(4, HIDDEN, lanes)
+            f *= dh
+            dh *= z[t]
+            dh += np.matmul(self.u, factors[t, :3 * HIDDEN], out=part)
+        into.u += np.matmul(before, factors[:, :3 * HIDDEN].transpose(0, 2, 1)).sum(0)
+        inputs = self.room("x", 3, HIDDEN, steps, lanes)
+        for k, by in enumerate((by_z, by_r, by_n)):
+            inputs[k] = by.transpose(1, 0, 2)
+        place = tokens.ravel()
+        for row, g in zip(into.xt, inputs.reshape(3 * HIDDEN, -1)):
+            np.add.at(row, place, g)
+        return into.flat, states[-1].T
+
+
+def _softmax(logits: np.ndarray, chosen: np.ndarray, weight: np.ndarray | None):
+    """(log of the softmax down each column at its ``chosen`` row, the weighted gradient of that) of ``logits``, which are used up."""
+    columns = np.arange(len(chosen))
+    logits -= logits.max(0)
+    out = logits[chosen, columns]
+    e = np.exp(logits, out=logits)
+    total = e.sum(0)
+    out -= np.log(total)
+    if weight is not None:
+        e *= -weight / total
+        e[chosen, columns] += weight
+    return out, e
 
 
 def _windows(groups):
@@ -260,11 +305,12 @@ def _windows(groups):
             lanes = np.flatnonzero(left)
             if not len(lanes) or len(lanes) < BATCH and len(lengths) and left.sum() < GROUP_TOKENS:
                 break  # the next documents fill the lanes first, if what waits is not too long
-            inside = steps[None, :] < left[lanes, None]
-            target = np.where(inside, ids[np.minimum(begin[lanes, None] + steps[None, :], len(ids) - 1)], 0)
-            before = np.hstack([last[lanes, None], target[:, :-1]])
-            yield lanes, first[lanes] == 1, before.T, target.T, inside.T.astype(np.float32)
-            last[lanes], first[lanes] = target[:, -1], 0
+            inside = steps[:, None] < left[lanes]
+            target = ids.take(begin[lanes] + steps[:, None], mode="clip")
+            target *= inside
+            before = np.vstack([last[lanes], target[:-1]])
+            yield lanes, first[lanes] == 1, before, target, inside.astype(np.float32)
+            last[lanes], first[lanes] = target[-1], 0
             done = np.minimum(left[lanes], WINDOW)
             begin[lanes] += done
             left[lanes] -= done
@@ -280,26 +326,37 @@ def _train(flat, vocabulary):
     def run(batches):
         net = Network(flat.value.copy())
         m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
-        h, total = np.zeros((BATCH, HIDDEN), np.float32), np.zeros_like(net.flat)
+        h, total, spare = np.zeros((BATCH, HIDDEN), np.float32), Network(np.zeros_like(net.flat)), np.empty_like(net.flat)
         tokens = step = held = 0
 
         def climb():
             nonlocal m, s, step
-            g = total / held
             step += 1
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            net.flat += RATE / (1 + step / 100) * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
+            g, a = total.flat, spare
+            g /= held
+            np.subtract(g, m, a)
+            a *= 0.1
+            m += a
+            g *= g
+            g -= s
+            g *= 0.01
+            s += g
+            np.divide(s, 1 - 0.99 ** step, g)
+            np.sqrt(g, g)
+            g += 1e-6
+            np.divide(m, g, a)
+            a *= RATE / (1 + step / 100) / (1 - 0.9 ** step)
+            net.flat += a
+            total.flat[:] = 0
 
         for lanes, first, before, target, weight in _windows(groups(batches)):
             h[lanes[first]] = 0
-            g, h[lanes] = net.gradients(before, target, weight, h[lanes])
-            total += g
+            _, h[lanes] = net.gradients(before, target, weight, h[lanes], total)
             n = int(weight.sum())
             tokens, held = tokens + n, held + n
             if 2 * held >= WINDOW * BATCH:  # the last lanes' windows are few tokens each: one step for several
                 climb()
-                total[:], held = 0, 0
+                held = 0
         if held:
             climb()
         if tokens:
@@ -362,9 +419,12 @@ def _likelihoods(net: Network, ids: np.ndarray, first: np.ndarray) -> np.ndarray
             target = np.where(inside, ids[np.minimum(place, len(ids) - 1)], 0)
             tokens = np.hstack([last[:n, None], target[:, :-1]]).T
             states, _ = net.steps(tokens, h[:n])
-            rows = inside.T.ravel()
-            p, _ = net.log_probabilities(states.reshape(-1, HIDDEN)[rows], target.T.ravel()[rows])
-            owner = np.broadcast_to(np.arange(n)[None, :], (steps, n)).ravel()[rows]
+            rows = np.flatnonzero(inside.T)
+            s = states.transpose(2, 0, 1).reshape(HIDDEN, -1)
+            if len(rows) < s.shape[1]:
+                s = np.take(s, rows, axis=1)
+            p, _ = net.log_probabilities(s.T, target.T.ravel()[rows])
+            owner = rows % n
             out[docs[:n]] += np.bincount(owner, weights=p, minlength=n)
             h, last = states[-1], target[:, -1]
     return out / np.log(10)

@@ -347,3 +347,17 @@ def test_network_score_by_one_token_at_a_time(spark):
         last = t
     got = gru_lm._likelihoods(net, np.concatenate([ids, ids[:5]]), np.array([0, 90, 95]))
     assert got[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_windows_share_their_room():
+    """op7: gradients of windows of different sizes are added in place; arrays used again leave nothing of the window before."""
+    rng, total, alone = np.random.default_rng(6), gru_lm.Network(np.zeros_like(network().flat)), 0
+    net = network()
+    for steps, lanes in ((16, 40), (16, 3), (5, 40), (16, 64)):
+        tokens, target = rng.integers(0, gru_lm.SIZE, (steps, lanes)), rng.integers(0, gru_lm.SIZE, (steps, lanes))
+        weight, h = rng.random((steps, lanes)).astype(np.float32), rng.uniform(-1, 1, (lanes, gru_lm.HIDDEN)).astype(np.float32)
+        _, last = net.gradients(tokens, target, weight, h, total)
+        g, own = network().gradients(tokens, target, weight, h)
+        alone = alone + g
+        assert np.allclose(last, own, atol=1e-6)
+    assert np.allclose(total.flat, alone, rtol=1e-4, atol=1e-4)
