@@ -3,16 +3,17 @@
 Every vector of integers is cut into ``LISTS`` groups of dimensions; a group's partial products with a query form one
 list, and a candidate's score is the sum of its entries in all lists.
 
-Phase 1  Each task holds a block of candidates and a block of queries and sends the k best entries of each
+Phase 1  Each task holds a block of candidates and a block of queries and takes the k best entries of each
          list. The union's candidates get exact scores; the k-th best of them is a safe cutoff: no result
          scores less.
-Phase 2  The cutoffs go back to the query blocks. A list sends every entry of at least cutoff / LISTS: what
+Phase 2  The cutoffs go back to the query blocks. A list gives every entry of at least cutoff / LISTS: what
          stays below in every list sums to less than the cutoff.
-Phase 3  Each candidate received is resolved exactly from the vectors themselves, and the k best remain.
+Phase 3  Each candidate given is resolved exactly from its entries in all lists, which are whole numbers, and the k
+         best remain. The task holds both vectors, so it resolves them itself and sends k of a query at most.
 
 Blocks are cut where rows are stored, without a shuffle, so a repeated id or vector cannot gather in one
-task. Query blocks meet candidate blocks in the cells of a grid; both are sent once for each
-column or row of it. Vectors that occur several times are one candidate that carries its k + 1 smallest
+task. Query blocks meet candidate blocks in the cells of a grid; query blocks are sent once for each
+column of it. A table of blocks takes much more memory than its files, so no join of them goes through the driver. Vectors that occur several times are one candidate that carries its k + 1 smallest
 ids (a result can need no more), so copies do not multiply the entries.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Only vectors of equal
@@ -31,7 +32,8 @@ from .common import stored
 
 #: Lists, rows of a block, candidate rows of a grid column, salts for the copies of one vector.
 LISTS, BLOCK, COLUMN, SALTS = 2, 2048, 16384, 32
-_BLOCKS = "block long, dim int, ids array<long>, data binary"
+_BLOCKS = "block long, dim int, ids array<long>, names array<array<long>>, data binary"
+_SCORED = "q long, query_id long, ids array<long>, score long"
 
 
 def _clean(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -42,17 +44,18 @@ def _clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.when(fine, v).alias("v")).filter("id is not null and v is not null")
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """Rows (n, id, v) of each partition as blocks of at most BLOCK vectors of one length: ids and an int64 matrix."""
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """Rows (row, names, v) of each partition as blocks of at most ``size`` vectors of one length: rows, their names and an
+    int64 matrix."""
     def run(batches):
         from pyspark import TaskContext
         block = TaskContext.get().partitionId() << 32
         held: dict[int, list] = {}
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, names, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 x = np.asarray(v.values)
-                held.setdefault(len(x), []).append((i, x))
-                if len(held[len(x)]) == BLOCK:
+                held.setdefault(len(x), []).append((i, np.asarray(names.values), x))
+                if len(held[len(x)]) == size:
                     yield out(block, held.pop(len(x)))
                     block += 1
         for rows in held.values():
@@ -60,13 +63,14 @@ def _blocks(df: DataFrame) -> DataFrame:
             block += 1
 
     def out(block, rows):
-        data = np.stack([x for _, x in rows]).astype("<i8")
+        data = np.stack([x for _, _, x in rows]).astype("<i8")
         return pa.RecordBatch.from_arrays([
             pa.array([block], pa.int64()), pa.array([data.shape[1]], pa.int32()),
-            pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())],
-            ["block", "dim", "ids", "data"])
+            pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())),
+            pa.array([[names for _, names, _ in rows]], pa.list_(pa.list_(pa.int64()))), pa.array([data.tobytes()], pa.binary())],
+            ["block", "dim", "ids", "names", "data"])
 
-    return df.select("row", "v").mapInArrow(run, _BLOCKS)
+    return df.select("row", "names", "v").mapInArrow(run, _BLOCKS)
 
 
 def _matrix(data: bytes, dim: int) -> np.ndarray:
@@ -98,77 +102,91 @@ def top_k(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector:
     few = salted.withColumn("n", F.row_number().over(small)).filter(F.col("n") <= k + 1)
     distinct = few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
     # collect_list gathers at most SALTS * (k + 1) ids
-    candidates = stored(distinct.withColumn("row", F.monotonically_increasing_id()), "topk-candidates")
-    asked = stored(asked.withColumn("row", F.monotonically_increasing_id()), "topk-queries")
+    candidates = stored(distinct.select(F.monotonically_increasing_id().alias("row"), F.col("ids").alias("names"), "v"), "topk-candidates")
+    asked = stored(asked.select(F.monotonically_increasing_id().alias("row"), F.array("id").alias("names"), "v"), "topk-queries")
     many = candidates.count()
     columns = max(1, -(-many // COLUMN))
-    place = lambda b: F.pmod(F.xxhash64(b), F.lit(columns))
-    cand = stored(_blocks(candidates).withColumn("column", place("block")), "topk-blocks")
-    ask = stored(_blocks(asked), "topk-asked")
-    grid = ask.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-                      F.explode(F.expr(f"sequence(0L, {columns - 1}L)")).alias("column"))
+    cand = stored(_blocks(candidates, COLUMN).select(
+        F.pmod(F.xxhash64("block"), F.lit(columns)).alias("column"), "dim", "ids", "names", "data"), "topk-blocks")
+    ask = stored(_blocks(asked, BLOCK), "topk-asked").withColumnsRenamed({"block": "q_block", "ids": "q_ids", "names": "q_names", "data": "q_data"})
+
+    def entries(ask: DataFrame, cut: bool) -> DataFrame:
+        grid = ask.withColumn("column", F.explode(F.expr(f"sequence(0L, {columns - 1}L)")))
+        pairs = grid.join(cand.hint("merge"), ["column", "dim"])
+        return pairs.select("dim", "q_ids", "q_names", "q_data", "ids", "names", "data", *["cutoffs"] * cut).mapInArrow(_entries(k, cut), _SCORED)
+
     # phase 1: the k best entries of each list
-    pairs = grid.join(cand, ["column", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
-    best = pairs.mapInArrow(_entries(k, False), "q long, c long, list int, part long")
-    rank = Window.partitionBy("q", "list").orderBy(F.desc("part"), "c")
-    first = (best.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= k + 1).select("q", "c").distinct())
-    scored = _resolved(first, asked, candidates)
+    scored = entries(ask, False)
     # the query's own id must not count: a candidate vector counts as often as it has other ids
     place_of = Window.partitionBy("q").orderBy(F.desc("score"))
     before = F.sum("copies").over(place_of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cutoff = (scored.withColumn("copies", F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int"))
+    cutoff = (scored.select("q", "score", (F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int")).alias("copies"))
               .withColumn("upto", before).filter(F.col("upto") >= k).groupBy("q").agg(F.max("score").alias("cutoff")))
     # phase 2: every entry of at least a LISTS-th of the cutoff; a query without k others has no cutoff
     lowest = asked.select(F.col("row").alias("q")).join(cutoff, "q", "left")
-    cut = (ask.select("block", F.posexplode("ids").alias("at", "q")).join(lowest, "q")
-           .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "cutoff"))).alias("cuts")))  # a block's rows
-    cut = cut.select(F.col("block").alias("q_block"), F.col("cuts.cutoff").alias("cutoffs"))
-    again = grid.join(cut, "q_block").join(cand, ["column", "dim"]).select("dim", "q_ids", "q_data", "ids", "data", "cutoffs")
-    sent = again.mapInArrow(_entries(k, True), "q long, c long, list int, part long").groupBy("q", "c").agg(
-        F.sum("part").alias("known"), F.count("*").alias("lists"))
-    # phase 3: exact scores of what was sent
-    exact = _resolved(sent.select("q", "c"), asked, candidates)
+    cut = (ask.select("q_block", F.posexplode("q_ids").alias("at", "q")).join(lowest.hint("merge"), "q")
+           .groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", "cutoff"))).alias("cuts")))  # a block's rows
+    # phase 3: exact scores of what was given
+    exact = entries(ask.join(cut.select("q_block", F.col("cuts.cutoff").alias("cutoffs")).hint("merge"), "q_block"), True)
     found = exact.select("q", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def _resolved(pairs: DataFrame, asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(q, query_id, c, ids, score) with the exact inner product of each pair of rows."""
-    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, z: s + z)
-    return (pairs.join(candidates.select(F.col("row").alias("c"), "ids", F.col("v").alias("y")), "c")
-            .join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("x")), "q")
-            .select("q", "query_id", "c", "ids", product.alias("score")))
-
-
 def _entries(k: int, cut: bool):
-    """Entries (query row, candidate row, list, partial score): the k + 1 best of each list, or those above the cut."""
+    """(query row, query id, ids, exact score) of the candidates that the lists give: the k + 1 best of each, or those above
+    the cut. Of these the k best of each query by score and the smallest id that is not its own."""
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                q, c = _matrix(row["q_data"], row["dim"]), _matrix(row["data"], row["dim"])
-                q_ids, ids = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
-                groups = _groups(row["dim"])
+            for r in range(batch.num_rows):
+                at = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
+                dim = at["dim"].as_py()
+                q, c = _matrix(at["q_data"].as_py(), dim), _matrix(at["data"].as_py(), dim)
+                q_ids, own = np.asarray(at["q_ids"].values), np.asarray(at["q_names"].values.flatten())
+                names = at["names"].values
+                first, second = _first_two(names)
+                groups = _groups(dim)
                 if cut:  # a query without cutoff takes every entry
-                    limit = [-(1 << 62) if x is None else -(-x // len(groups)) for x in row["cutoffs"]]
-                    limit = np.array(limit, np.int64)[:, None]
-                for a in range(0, len(q), 256):
-                    for number, dims in enumerate(groups):
-                        part = _product(q[a:a + 256, dims], c[:, dims])
+                    cutoffs = np.array([-(1 << 62) if x is None else x for x in at["cutoffs"].as_py()], np.int64)[:, None]
+                step = max(1, (1 << 21) // len(c))
+                for a in range(0, len(q), step):
+                    rows = slice(a, a + step)
+                    parts = [_product(q[rows, dims], c[:, dims]) for dims in groups]
+                    taken = np.zeros(parts[0].shape, bool)
+                    for part in parts:
                         if cut:
-                            i, j = np.nonzero(part >= limit[a:a + 256])
+                            taken |= part >= -(-cutoffs[rows] // len(groups))
                         else:
-                            n = min(k + 1, part.shape[1])
-                            j = np.argpartition(-part, n - 1, axis=1)[:, :n]
-                            i = np.repeat(np.arange(len(part)), n)
-                            j = j.ravel()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(q_ids[a + i]), pa.array(ids[j]), pa.array(np.full(len(i), number, np.int32)),
-                             pa.array(part[i, j])], ["q", "c", "list", "part"])
+                            n = min(k + 1, len(c))
+                            np.put_along_axis(taken, np.argpartition(-part, n - 1, axis=1)[:, :n], True, axis=1)
+                    score = sum(parts)
+                    if cut:
+                        taken &= score >= cutoffs[rows]
+                    i, j = np.nonzero(taken)
+                    i, j, score = i + a, j, score[i, j]
+                    other = np.where(first[j] == own[i], second[j], first[j])
+                    fit = other < _NONE
+                    i, j, score, other = i[fit], j[fit], score[fit], other[fit]
+                    order = np.lexsort((other, -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j, score = i[best], j[best], score[best]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(own[i]), names.take(pa.array(j)), pa.array(score)],
+                                                     ["q", "query_id", "ids", "score"])
     return run
 
 
+_NONE = np.iinfo(np.int64).max
+
+
+def _first_two(names: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second id of each list, ``_NONE`` where there is none."""
+    start, size = names.offsets.to_numpy()[:-1], names.value_lengths().to_numpy()
+    flat = np.append(names.values.to_numpy(), _NONE)
+    return flat[start], np.where(size > 1, flat[np.where(size > 1, start + 1, 0)], _NONE)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     """op6: for every vec_id divisible by 50 the five best of all other rows."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
