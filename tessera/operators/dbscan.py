@@ -29,6 +29,9 @@ from ..session import materialize
 from .cluster import KEY_DIMS, vector_cols
 from .order_stats import dense_codes, keyed_join
 
+#: Dimensions in which cells that meet are compared as plain numbers, before their boxes are.
+NEAR_DIMS = 8
+
 
 def least_squared(lo_a, hi_a, lo_b, hi_b) -> Column:
     """Squared distance of the nearest points of two boxes."""
@@ -66,17 +69,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _near_cells(cells: DataFrame, leading: list[int], reach: int, eps2: float) -> DataFrame:
-    """(a, b, n_b, dense_b, whole): ordered pairs of different cells with points that may be within eps; ``whole``: all are."""
-    coarse = F.array(*[F.floor(F.col("cell")[j] / reach) for j in leading])
-    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=len(leading))])
-    a = cells.select(F.col("cid").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), coarse.alias("_c")).withColumn("_o", F.explode(offsets))
+def _near_cells(cells: DataFrame, dims: list[int], reach: int, eps2: float) -> DataFrame:
+    """(a, b, n_b, dense_b, whole): ordered pairs of different cells with points that may be within eps; ``whole``: all are.
+
+    ``dims``: all dimensions, those that spread most first. Cells meet by the first ``KEY_DIMS`` of them, with ``NEAR_DIMS``
+    sides of their boxes as plain numbers, each of which must be near; the boxes come to the few pairs that remain."""
+    key, near = dims[:KEY_DIMS], dims[:NEAR_DIMS]
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=len(key))])
+    coarse = F.array(*[F.floor(F.col("cell")[j] / reach) for j in key])
+    sides = lambda c: [F.col(x)[j].alias(f"{x}{j}_{c}") for j in near for x in ("lo", "hi")]
+    a = cells.select(F.col("cid").alias("a"), coarse.alias("_c"), *sides("a")).withColumn("_o", F.explode(offsets))
     a = a.withColumn("_c", F.zip_with("_c", "_o", lambda c, o: c + o)).drop("_o")
-    b = cells.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("dense").alias("dense_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
-                     coarse.alias("_c"))
+    b = cells.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("dense").alias("dense_b"), coarse.alias("_c"), *sides("b"))
+    hashed = lambda df: df.withColumn("_h", F.xxhash64("_c"))  # noqa: E731  # rows are sorted by a number before the array
+    some = F.col("a") != F.col("b")
+    for j in near:
+        gap = F.greatest(F.col(f"lo{j}_a") - F.col(f"hi{j}_b"), F.col(f"lo{j}_b") - F.col(f"hi{j}_a"), F.lit(0.0))
+        some = some & (gap * gap <= eps2)
+    pairs = hashed(a).join(hashed(b), ["_h", "_c"]).where(some).select("a", "b", "n_b", "dense_b")
+    for c in ("a", "b"):
+        pairs = pairs.join(cells.select(F.col("cid").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")), c)
     boxes = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
-    return a.join(b, "_c").where((F.col("a") != F.col("b")) & (least_squared(*boxes) <= eps2)).select(
-        "a", "b", "n_b", "dense_b", (greatest_squared(*boxes) <= eps2).alias("whole"))
+    return pairs.where(least_squared(*boxes) <= eps2).select("a", "b", "n_b", "dense_b", (greatest_squared(*boxes) <= eps2).alias("whole"))
 
 
 def _dense_links(points: DataFrame, pairs: DataFrame, d: int, side: float, eps2: float) -> DataFrame:
@@ -117,8 +131,8 @@ def dbscan(df: DataFrame, vec: str, key: str, eps: float = 0.5, min_samples: int
     cells = points.groupBy("cell").agg(F.sum("w").alias("n"), F.min("low").alias("low"), *_box(d))
     cells = materialize(cells.withColumns({"dense": F.col("n") >= min_samples, "cid": F.monotonically_increasing_id()}))
     spread = points.agg(*[F.stddev_pop(F.col("x")[j]).alias(str(j)) for j in range(d)]).first()  # one number a dimension
-    leading = sorted(range(d), key=lambda j: -(spread[j] or 0.0))[:KEY_DIMS]
-    pairs = materialize(_near_cells(cells, leading, math.ceil(eps / side), eps2))
+    dims = sorted(range(d), key=lambda j: -(spread[j] or 0.0))
+    pairs = materialize(_near_cells(cells, dims, math.ceil(eps / side), eps2))
 
     points = materialize(points.join(cells.select("cell", "cid", "n", "dense"), "cell").drop("cell"))
     sparse = points.where("not dense").select("pid", "x", F.col("cid").alias("a"), "n", "low")
